@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, url_filter
+from . import mixing, near_dup, url_filter
 from .common import table
 
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -22,7 +22,15 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op1_url_filter": op1_url_filter, "op4_mixing": op4_mixing}
+def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
+
+
+QUERIES = {
+    "op1_url_filter": op1_url_filter,
+    "op4_mixing": op4_mixing,
+    "op7_near_dup": op7_near_dup,
+}
 
 ORACLE_SQL = {
     "op1_url_filter": f"""
