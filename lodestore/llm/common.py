@@ -59,6 +59,8 @@ class Stored:
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
         df.write.option("compression", "zstd").parquet(self.path)
+        # the shuffle files behind it are not needed any more; Spark deletes them once the JVM has collected their plan
+        self.spark._jvm.System.gc()
         atexit.register(_drop_at_exit, self.spark, self.path)
         self.schema = df.schema
 

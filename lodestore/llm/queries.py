@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, near_dup, url_filter
+from . import mixing, near_dup, suffix_dedup, url_filter
 from .common import table
 
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -26,10 +26,17 @@ def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+    removed = F.col("n_bytes") - F.octet_length("kept")
+    return cut.select("doc_id", "n_bytes", removed.cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op4_mixing": op4_mixing,
     "op7_near_dup": op7_near_dup,
+    "op8_suffix_dedup": op8_suffix_dedup,
 }
 
 ORACLE_SQL = {
