@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, near_dup, packing, suffix_dedup, url_filter
-from .common import table
+from . import mixing, near_dup, packing, suffix_dedup, toxicity, url_filter
+from .common import crc_mod, table
 
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 _RULES_SQL = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)
@@ -37,12 +37,19 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", removed.cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    learn = table(spark, sf_dir, "labels").where(crc_mod(F.col("doc_id"), 5) != 0)
+    scored = toxicity.score_toxicity(table(spark, sf_dir, "documents"), learn)
+    return scored.select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op3_packing": op3_packing,
     "op4_mixing": op4_mixing,
     "op7_near_dup": op7_near_dup,
     "op8_suffix_dedup": op8_suffix_dedup,
+    "op9_toxicity": op9_toxicity,
 }
 
 ORACLE_SQL = {
