@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, mixing, near_dup, packing, suffix_dedup, toxicity, url_filter
+from . import language, mixing, near_dup, packing, quality, suffix_dedup, toxicity, url_filter
 from .common import crc_mod, table
 
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -33,6 +33,12 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    learn = table(spark, sf_dir, "labels").where(crc_mod(F.col("doc_id"), 3) != 1)
+    scored = quality.score_quality(table(spark, sf_dir, "documents"), learn)
+    return scored.select("doc_id", (crc_mod(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted")
+
+
 def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
 
@@ -54,6 +60,7 @@ QUERIES = {
     "op2_language": op2_language,
     "op3_packing": op3_packing,
     "op4_mixing": op4_mixing,
+    "op6_quality": op6_quality,
     "op7_near_dup": op7_near_dup,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_toxicity": op9_toxicity,
