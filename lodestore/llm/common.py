@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import math
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -48,6 +49,17 @@ def _drop_at_exit(spark: SparkSession, path: str) -> None:
         pass
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that have ended.
+
+    It does so once the driver's JVM has collected them; the last events of a job
+    may still hold its plan, hence the second time.
+    """
+    for _ in range(2):
+        spark._jvm.System.gc()
+        time.sleep(0.2)
+
+
 class Stored:
     """A DataFrame written to the shared folder and read back, which cuts lineage.
 
@@ -59,8 +71,7 @@ class Stored:
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
         df.write.option("compression", "zstd").parquet(self.path)
-        # the shuffle files behind it are not needed any more; Spark deletes them once the JVM has collected their plan
-        self.spark._jvm.System.gc()
+        release(self.spark)
         atexit.register(_drop_at_exit, self.spark, self.path)
         self.schema = df.schema
 

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 #: Bytes that one vectorised step handles; bounds memory at about 100 times that.
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True

@@ -2,18 +2,20 @@
 
 Every string of ``SPAN`` bytes picks one of its k-mers, the one with the smallest
 hash, as its anchor; equal strings pick alike.  So only suffixes that begin at
-anchors need sorting: about one byte in twenty.  A run of neighbouring strings
-with the same anchor travels as one piece of text.
+anchors need sorting: about one byte in fifteen.  A run of neighbouring strings
+with the same anchor is one piece of text.
 
 1. Documents are dealt into buckets of bounded size.  Each bucket reports the
    hashes of its anchors; those that two documents hold are reported back.
-2. Each bucket sends, for shared anchors, its distinct pieces with their smallest
-   document id and the suffix's leading k-mer.  Sampled splitters range-partition
-   them by that k-mer, so equal leads are never cut by a boundary; each partition
-   sorts its suffixes by multikey quicksort and compares the strings of equal
-   leads, which finds the smallest document of every string.
-3. Buckets are told which pieces, and which strings inside a piece, an earlier
-   document holds, and cut the bytes out.
+2. For shared anchors, each bucket claims its distinct pieces (by hash, with their
+   smallest document).  Of equal pieces only the one in the smallest document
+   stays; if an anchor then still has several different pieces, their texts are
+   asked for.
+3. These texts go, with the suffix's leading k-mer, to partitions that sampled
+   splitters cut by that k-mer, so equal leads are never cut by a boundary.  Each
+   partition sorts its suffixes by multikey quicksort and compares the strings of
+   equal leads, which finds the smallest document of every string.
+4. Buckets cut the bytes out.
 
 What is sent for a passage grows with the buckets that hold it, not with its
 copies, so a passage that a third of all documents share is no hot spot.
@@ -30,7 +32,9 @@ from . import kernel
 from .common import Stored, parts_for, text_bytes
 
 SPAN = 50
-KMER = 12
+KMER = 20
+#: Bytes of text in a bucket, on average.
+BUCKET = 4 << 20
 _WINDOW = SPAN - KMER + 1
 _POSITION = np.uint64((1 << 22) - 1)
 
@@ -92,7 +96,7 @@ def walk(data: np.ndarray, offsets: np.ndarray):
 
 def _bucket(table: pa.Table):
     """Ids and texts of one bucket, in the order of ids."""
-    table = table.sort_by([("id", "ascending")])
+    table = table.sort_by([("id", "ascending"), ("text", "ascending")])
     ids = table.column("id").to_numpy()
     data, offsets = kernel.strings(table.column("text"))
     return ids, data, offsets
@@ -162,36 +166,92 @@ def _shared(table: pa.Table) -> pa.Table:
     return pa.table({"b": pa.array([r[0] for r in rows], pa.int32()), "shared": pa.array([r[1] for r in rows], pa.binary())})
 
 
+def _member(table: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Which of ``x`` are in the sorted ``table``."""
+    if not len(table):
+        return np.zeros(len(x), bool)
+    return table[np.minimum(np.searchsorted(table, x), len(table) - 1)] == x
+
+
+def _distinct(ids, data, offsets, wanted):
+    """Distinct pieces that ``wanted(anchor, whole)`` picks, each at its smallest document: start, count, place, doc, anchor, whole."""
+    found = [np.zeros((6, 0), np.int64)]
+    for start, count, owner, place, anchor, whole in walk(data, offsets):
+        hit = wanted(anchor, whole)
+        found.append(np.stack([start[hit], count[hit], place[hit], ids[owner[hit]], (anchor[hit] & _LOW).view(np.int64), whole[hit].view(np.int64)]))
+    rows = np.concatenate(found, axis=1)
+    rows = rows[:, np.lexsort((rows[3], rows[5]))]
+    head = np.ones(rows.shape[1], bool)
+    head[1:] = rows[5, 1:] != rows[5, :-1]
+    return rows[:, head]
+
+
+def _claim(dests: int):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        b = left.column("b")[0].as_py()
+        ids, data, offsets = _bucket(left)
+        own, several = _own_anchors(ids, data, offsets)
+        shared = np.unique(np.concatenate([*(_from_six(x) for x in right.column("shared").to_pylist()), own[several] & _LOW]))
+        _, _, _, doc, anchor, whole = _distinct(ids, data, offsets, lambda a, w: _member(shared, a & _LOW))
+        order = np.lexsort((whole, anchor))
+        doc, anchor, whole = doc[order], anchor[order], whole[order]
+        dest = (anchor * dests) >> 48 if dests < 1 << 15 else (anchor >> 16) * dests >> 32
+        cut = np.searchsorted(dest, np.arange(dests + 1))
+        some = np.flatnonzero(np.diff(cut))
+        return pa.table(
+            {
+                "d": pa.array(some, pa.int32()),
+                "b": pa.array([b] * len(some), pa.int32()),
+                "anchors": pa.array([_six(anchor[cut[d] : cut[d + 1]]) for d in some], pa.binary()),
+                "wholes": pa.array([whole[cut[d] : cut[d + 1]].tobytes() for d in some], pa.binary()),
+                "docs": pa.array([doc[cut[d] : cut[d + 1]].tobytes() for d in some], pa.binary()),
+            }
+        )
+
+    return run
+
+
+def _settle(table: pa.Table) -> pa.Table:
+    """Of one range of anchors: for each bucket the pieces that a smaller document holds whole, and those whose text must be compared."""
+    anchors = [_from_six(x) for x in table.column("anchors").to_pylist()]
+    bucket = np.repeat(table.column("b").to_numpy(), [len(x) for x in anchors])
+    anchor = np.concatenate(anchors)
+    whole, doc = (np.concatenate([np.frombuffer(x, np.int64) for x in table.column(c).to_pylist()]) for c in ("wholes", "docs"))
+    order = np.lexsort((doc, whole, anchor))
+    bucket, anchor, whole, doc = bucket[order], anchor[order], whole[order], doc[order]
+    new_anchor = np.concatenate([[True], anchor[1:] != anchor[:-1]])
+    new_piece = new_anchor | np.concatenate([[True], whole[1:] != whole[:-1]])
+    least = doc[np.flatnonzero(new_piece)][np.cumsum(new_piece) - 1]
+    gone = doc > least
+    kinds = np.add.reduceat(new_piece.astype(np.int64), np.flatnonzero(new_anchor))[np.cumsum(new_anchor) - 1]
+    asked = ~gone & (kinds > 1)
+    order = np.argsort(bucket, kind="stable")
+    bucket, whole, gone, asked = bucket[order], whole[order], gone[order], asked[order]
+    names, first = np.unique(bucket, return_index=True)
+    cut = [*first, len(bucket)]
+    rows = [(int(b), whole[x:y][gone[x:y]].tobytes(), whole[x:y][asked[x:y]].tobytes()) for b, x, y in zip(names, cut[:-1], cut[1:], strict=True) if (gone[x:y] | asked[x:y]).any()]
+    return pa.table({"b": pa.array([r[0] for r in rows], pa.int32()), "gone": pa.array([r[1] for r in rows], pa.binary()), "asked": pa.array([r[2] for r in rows], pa.binary())})
+
+
+def _sorted_hashes(blobs: list[bytes]) -> np.ndarray:
+    return np.unique(np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, np.int64) for x in blobs)]))
+
+
 def _send(left: pa.Table, right: pa.Table) -> pa.Table:
-    """Distinct pieces at shared anchors, with the smallest document and whether others of the bucket hold them."""
+    """Text of the pieces asked for, with their smallest document and leading k-mer."""
     b = left.column("b")[0].as_py()
+    asked = _sorted_hashes(right.column("asked").to_pylist())
     ids, data, offsets = _bucket(left)
-    known = [_from_six(x) for x in right.column("shared").to_pylist()]
-    own, several = _own_anchors(ids, data, offsets)
-    shared = np.unique(np.concatenate([*known, own[several] & _LOW]))
-    raw = data.tobytes()
-    out = []
-    if len(shared):
-        found = []
-        for start, count, owner, place, anchor, whole in walk(data, offsets):
-            low = anchor & _LOW
-            hit = shared[np.minimum(np.searchsorted(shared, low), len(shared) - 1)] == low
-            found.append(np.stack([start[hit], count[hit], place[hit], ids[owner[hit]], whole[hit].view(np.int64)]))
-        start, count, place, doc, whole = np.concatenate(found, axis=1)
-        order = np.lexsort((doc, whole))
-        start, count, place, doc, whole = (x[order] for x in (start, count, place, doc, whole))
-        head = np.flatnonzero(np.concatenate([[True], whole[1:] != whole[:-1]])) if len(whole) else np.zeros(0, np.int64)
-        for i in head:
-            s, p = int(start[i]), int(place[i])
-            out.append((raw[p : p + KMER], p - s, raw[s : s + int(count[i]) + SPAN - 1], int(whole[i]), int(doc[i])))
+    raw = memoryview(np.ascontiguousarray(data))
+    start, count, place, doc, _, whole = _distinct(ids, data, offsets, lambda a, w: _member(asked, w.view(np.int64))) if len(asked) else np.zeros((6, 0), np.int64)
     return pa.table(
         {
-            "lead": pa.array([x[0] for x in out], pa.binary()),
-            "place": pa.array([x[1] for x in out], pa.int32()),
-            "piece": pa.array([x[2] for x in out], pa.binary()),
-            "whole": pa.array([x[3] for x in out], pa.int64()),
-            "doc": pa.array([x[4] for x in out], pa.int64()),
-            "b": pa.array([b] * len(out), pa.int32()),
+            "lead": pa.array([bytes(raw[p : p + KMER]) for p in place.tolist()], pa.binary()),
+            "place": pa.array(place - start, pa.int32()),
+            "piece": pa.array([bytes(raw[s : s + n]) for s, n in zip(start.tolist(), (count + SPAN - 1).tolist(), strict=True)], pa.binary()),
+            "whole": pa.array(whole),
+            "doc": pa.array(doc),
+            "b": pa.array(np.full(len(doc), b), pa.int32()),
         }
     )
 
@@ -214,102 +274,88 @@ def multikey_order(keys: np.ndarray) -> np.ndarray:
     return order
 
 
-def compare(leads: np.ndarray, pieces: list[bytes], place: np.ndarray, doc: np.ndarray):
-    """For each piece the smallest document that holds it whole, and a bit for each of its strings that a document before that one holds."""
+def compare(leads: np.ndarray, pieces: list[bytes], doc: np.ndarray) -> np.ndarray:
+    """For each piece a bit for each of its strings that a document before its own holds."""
     order = multikey_order(leads)
     ordered = leads[order]
     cut = np.flatnonzero(np.concatenate([[True], (ordered[1:] != ordered[:-1]).any(axis=1), [True]])) if len(order) else np.zeros(1, np.int64)
-    first = np.array(doc, np.int64)
     mask = np.zeros(len(doc), np.int64)
-    for a, z in zip(cut[:-1], cut[1:], strict=True):
-        group = order[a:z]
+    docs = doc.tolist()
+    for a, z in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
         if z - a == 1:
             continue
-        least: dict[tuple[bytes, int], int] = {}
+        group = order[a:z].tolist()
+        holder: dict[bytes, int] = {}
         for i in group:
-            key = (pieces[i], place[i])
-            least[key] = min(least.get(key, doc[i]), doc[i])
+            piece, d = pieces[i], docs[i]
+            for j in range(len(piece) - SPAN + 1):
+                s = piece[j : j + SPAN]
+                if holder.get(s, d) >= d:
+                    holder[s] = d
         for i in group:
-            first[i] = least[pieces[i], place[i]]
-        if len(least) > 1:
-            holder: dict[bytes, int] = {}
-            for (piece, _), d in least.items():
-                for j in range(len(piece) - SPAN + 1):
-                    s = piece[j : j + SPAN]
-                    if holder.get(s, d) >= d:
-                        holder[s] = d
-            bits = {}
-            for (piece, p), d in least.items():
-                bits[piece, p] = sum(1 << j for j in range(len(piece) - SPAN + 1) if holder[piece[j : j + SPAN]] < d)
-            for i in group:
-                mask[i] = bits[pieces[i], place[i]]
-    return first, mask
+            piece, d = pieces[i], docs[i]
+            mask[i] = sum(1 << j for j in range(len(piece) - SPAN + 1) if holder[piece[j : j + SPAN]] < d)
+    return mask
 
 
 def _judge(batches):
-    """One range of leading k-mers: replies (bucket, piece hash, strings to cut) where an earlier document holds any."""
-    table = pa.Table.from_batches(list(batches))
-    if not table.num_rows:
+    """One range of leading k-mers: replies (bucket, piece hash, bits of the strings to cut)."""
+    batches = list(batches)
+    table = pa.Table.from_batches(batches) if batches else None
+    if table is None or not table.num_rows:
         return
     leads = kernel.strings(table.column("lead"))[0].reshape(-1, KMER)
-    doc = table.column("doc").to_numpy()
-    first, mask = compare(leads, table.column("piece").to_pylist(), table.column("place").to_numpy(), doc)
-    mask = np.where(first < doc, -1, mask)
-    told = mask != 0
-    yield from pa.table({"b": table.column("b"), "whole": table.column("whole"), "cut": pa.array(mask)}).filter(pa.array(told)).to_batches()
+    mask = compare(leads, table.column("piece").to_pylist(), table.column("doc").to_numpy())
+    yield from pa.table({"b": table.column("b"), "whole": table.column("whole"), "bits": pa.array(mask)}).filter(pa.array(mask != 0)).to_batches()
 
 
 def _cut(left: pa.Table, right: pa.Table) -> pa.Table:
     ids, data, offsets = _bucket(left)
-    n = len(ids)
-    whole_told = right.column("whole").to_numpy()
-    cut_told = right.column("cut").to_numpy()
-    order = np.argsort(whole_told)
-    whole_told, cut_told = whole_told[order], cut_told[order]
-    found = [np.zeros((4, 0), np.int64)]
+    gone_told = _sorted_hashes([x for x in right.column("gone").to_pylist() if x])
+    told = right.filter(right.column("bits").is_valid())
+    part_told, bits_told = told.column("whole").to_numpy(), told.column("bits").to_numpy()
+    order = np.argsort(part_told)
+    part_told, bits_told = part_told[order], bits_told[order]
     own, several = _own_anchors(ids, data, offsets)
     local = own[several]
-    if len(whole_told) or len(local):
+    found = [np.zeros((4, 0), np.int64)]
+    if len(gone_told) or len(part_told) or len(local):
         for start, count, owner, _, anchor, whole in walk(data, offsets):
             w = whole.view(np.int64)
-            hit = np.zeros(len(w), bool)
-            if len(whole_told):
-                hit |= whole_told[np.minimum(np.searchsorted(whole_told, w), len(whole_told) - 1)] == w
-            if len(local):
-                hit |= local[np.minimum(np.searchsorted(local, anchor), len(local) - 1)] == anchor
+            hit = _member(gone_told, w) | _member(part_told, w) | _member(local, anchor)
             found.append(np.stack([start[hit], count[hit], ids[owner[hit]], w[hit]]))
     start, count, doc, whole = np.concatenate(found, axis=1)
-    mask = np.zeros(len(whole), np.int64)
-    if len(whole_told) and len(whole):
-        at = np.minimum(np.searchsorted(whole_told, whole), len(whole_told) - 1)
-        mask = np.where(whole_told[at] == whole, cut_told[at], 0)
-    # in this bucket all but the smallest document of a piece hold it after another one
+    bits = np.zeros(len(whole), np.int64)
+    if len(part_told) and len(whole):
+        at = np.minimum(np.searchsorted(part_told, whole), len(part_told) - 1)
+        bits = np.where(part_told[at] == whole, bits_told[at], 0)
+    # in this bucket, all but the smallest document of a piece hold it after another one
     order = np.lexsort((doc, whole))
-    head = np.flatnonzero(np.concatenate([[True], whole[order][1:] != whole[order][:-1]])) if len(whole) else np.zeros(0, np.int64)
-    least = np.empty(len(whole), np.int64)
-    least[order] = np.repeat(doc[order][head], np.diff(np.concatenate([head, [len(whole)]])))
-    mask = np.where(doc > least, -1, mask)
-    gone = np.zeros(len(data) + 1, np.int32)
-    every = mask == -1
-    np.add.at(gone, start[every], 1)
-    np.add.at(gone, start[every] + count[every] + SPAN - 1, -1)
-    for i in np.flatnonzero((mask != 0) & ~every):
-        bits, s = int(mask[i]), int(start[i])
-        for j in range(int(count[i])):
-            if bits >> j & 1:
-                gone[s + j] += 1
-                gone[s + j + SPAN] -= 1
-    removed = np.cumsum(gone[:-1]) > 0
+    w, d = whole[order], doc[order]
+    head = np.ones(len(w), bool)
+    head[1:] = w[1:] != w[:-1]
+    least = np.empty(len(w), np.int64)
+    least[order] = d[head][np.cumsum(head) - 1]
+    every = _member(gone_told, whole) | (doc > least)
+    edge = np.zeros(len(data) + 1, np.int32)
+    np.add.at(edge, start[every], 1)
+    np.add.at(edge, start[every] + count[every] + SPAN - 1, -1)
+    some = ~every & (bits != 0)
+    start, bits = start[some], bits[some]
+    for j in range(_WINDOW):
+        on = start[(bits >> j) & 1 == 1] + j
+        np.add.at(edge, on, 1)
+        np.add.at(edge, on + SPAN, -1)
+    removed = np.cumsum(edge[:-1]) > 0
     spans, kept = [], []
-    for i in range(n):
-        a, z = int(offsets[i]), int(offsets[i + 1])
+    for a, z in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
         r = removed[a:z]
-        edge = np.flatnonzero(np.diff(np.concatenate([[0], r.astype(np.int8), [0]])))
-        spans.append([{"start": int(x), "end": int(y)} for x, y in zip(edge[::2], edge[1::2], strict=True)])
+        turn = np.flatnonzero(np.diff(np.concatenate([[0], r.astype(np.int8), [0]]))).tolist()
+        spans.append([{"start": x, "end": y} for x, y in zip(turn[::2], turn[1::2], strict=True)])
         kept.append(data[a:z][~r].tobytes())
     return pa.table(
         {
-            "id": left.sort_by([("id", "ascending")]).column("id"),
+            "id": pa.array(ids),
             "n_bytes": pa.array(np.diff(offsets)),
             "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
             "kept": pa.array(kept, pa.binary()),
@@ -330,21 +376,24 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     spark = docs.sparkSession
     nbytes = text_bytes(docs, text_col)
-    buckets = parts_for(spark, nbytes)
+    buckets = parts_for(spark, nbytes, BUCKET)
     top = (1 << 63) - 1
     rows = docs.select(
         F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text_col))), F.lit(buckets)).cast("int").alias("b"),
         F.coalesce(F.col(id_col).cast("long"), F.lit(top)).alias("id"),
         F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"),
     )
-    dests = parts_for(spark, nbytes // 3)
+    dests = parts_for(spark, nbytes // 3, BUCKET)
     reports = rows.groupBy("b").applyInArrow(_report(dests), "d int, b int, anchors binary")
     shared = reports.groupBy("d").applyInArrow(_shared, "b int, shared binary")
-    sent = rows.groupBy("b").cogroup(shared.groupBy("b")).applyInArrow(_send, "lead binary, place int, piece binary, whole long, doc long, b int")
-    held = Stored(sent, "pieces")
-    n = held.df.count()
-    ranged = held.df.repartitionByRange(parts_for(spark, 120 * n), "lead")
-    told = Stored(ranged.mapInArrow(_judge, "b int, whole long, cut long"), "repeats")
-    held.drop()
-    out = rows.groupBy("b").cogroup(told.df.groupBy("b")).applyInArrow(_cut, "id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+    claims = rows.groupBy("b").cogroup(shared.groupBy("b")).applyInArrow(_claim(dests), "d int, b int, anchors binary, wholes binary, docs binary")
+    settled = Stored(claims.groupBy("d").applyInArrow(_settle, "b int, gone binary, asked binary"), "claims")
+    asked = settled.df.where(F.octet_length("asked") > 0).select("b", "asked")
+    pieces = Stored(rows.groupBy("b").cogroup(asked.groupBy("b")).applyInArrow(_send, "lead binary, place int, piece binary, whole long, doc long, b int"), "pieces")
+    ranged = pieces.df.repartitionByRange(parts_for(spark, 120 * pieces.df.count(), BUCKET), "lead")
+    told = Stored(ranged.mapInArrow(_judge, "b int, whole long, bits long"), "repeats")
+    pieces.drop()
+    gone = settled.df.where(F.octet_length("gone") > 0).select("b", "gone", F.lit(None).cast("long").alias("whole"), F.lit(None).cast("long").alias("bits"))
+    reply = gone.unionByName(told.df.select("b", F.lit(None).cast("binary").alias("gone"), "whole", "bits"))
+    out = rows.groupBy("b").cogroup(reply.groupBy("b")).applyInArrow(_cut, "id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
     return out.select(F.when(F.col("id") != top, F.col("id")).alias(id_col), "n_bytes", "spans", "kept")
