@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, mixing, near_dup, packing, quality, suffix_dedup, toxicity, url_filter
+from . import ann, language, mixing, near_dup, packing, quality, search, suffix_dedup, toxicity, url_filter
 from .common import crc_mod, table
 
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -33,6 +33,11 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     learn = table(spark, sf_dir, "labels").where(crc_mod(F.col("doc_id"), 3) != 1)
     scored = quality.score_quality(table(spark, sf_dir, "documents"), learn)
@@ -55,15 +60,22 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op10_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return search.top_k(docs, docs.where(F.col("doc_id") % 100 == 0), k=10)
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_language": op2_language,
     "op3_packing": op3_packing,
     "op4_mixing": op4_mixing,
+    "op5_ann": op5_ann,
     "op6_quality": op6_quality,
     "op7_near_dup": op7_near_dup,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_toxicity": op9_toxicity,
+    "op10_search": op10_search,
 }
 
 ORACLE_SQL = {
