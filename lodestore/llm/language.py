@@ -111,9 +111,12 @@ def snippets(docs: DataFrame) -> DataFrame:
 
 def fit(learn: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages, weights and transitions from ``learn(id, lang, text)``; bounded by ROWS for each language."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id", F.lit(2)), "id")
+    hashed = F.xxhash64("id", F.lit(2))
     usable = learn.where("lang is not null and text is not null and id is not null").where(F.octet_length("text") <= LONGEST)
-    picked = usable.select("id", "lang").withColumn("place", F.row_number().over(order)).where(F.col("place") <= ROWS).select("id", "lang")
+    picked = usable.select("id", "lang")
+    for salt in (F.pmod(F.xxhash64("id"), F.lit(64)), F.lit(0)):  # first within shares of a language, so none is ranked whole by one task
+        order = Window.partitionBy("lang", salt).orderBy(hashed, "id")
+        picked = picked.withColumn("place", F.row_number().over(order)).where(F.col("place") <= ROWS).select("id", "lang")
     # a few hundred rows for each language
     rows = snippets(usable.join(F.broadcast(picked), ["id", "lang"])).toPandas().sort_values(["lang", "text"])
     rows = rows[[any(ch.isalpha() for ch in x) for x in rows["text"]]]
@@ -153,7 +156,7 @@ def identify(docs: DataFrame, learn: DataFrame, id_col: str = "doc_id", text_col
     """
     idt = docs.schema[id_col].dataType.simpleString()
     langs, weights, transition = fit(learn.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")))
-    limit = max(1 << 16, kernel.PIECE * 2 // max(4, len(langs)))
+    limit = max(1 << 16, (1 << 21) // max(4, len(langs)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

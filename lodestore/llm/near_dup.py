@@ -8,8 +8,10 @@ registers discards clear misses, and the rest is confirmed on full shingle sets.
 
 Texts with equal shingle sets are one class and only its smallest id takes part.
 A band bucket is never expanded into all its pairs: first every member is tried
-against the bucket's smallest id, and pairs inside a bucket follow only between
-members that are not connected by then, so a large group of copies stays linear.
+against the bucket's smallest id.  What is not connected by then is compared inside
+its buckets, in blocks of bounded size and by an inverted index of shingle
+fingerprints, against the members of other groups only; nothing but the pairs that
+reach the threshold leaves a block.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel
-from .common import Stored
+from .common import Stored, parts_for
 from .components import components
 
 #: Bands and registers a band: a pair at 0.8 escapes all bands with odds of about 5 in a million.
@@ -191,6 +193,92 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int, id_
     return joined.select("a", "b", "ta", "tb").mapInArrow(run, f"a {id_type}, b {id_type}")
 
 
+def _fingerprints(texts: DataFrame, width: int, id_type: str) -> DataFrame:
+    """Sorted distinct 32-bit fingerprints of each text's shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = kernel.strings(batch.column(1))
+            for i, j in kernel.pieces(offsets):
+                words, bounds = kernel.word_hashes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                raw, cut = kernel.shingles(words, bounds, width)
+                low = raw.astype(np.uint32)
+                prints = [np.unique(low[a:z]).tobytes() for a, z in zip(cut[:-1], cut[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(prints, pa.binary())], ["id", "prints"])
+
+    return texts.select("id", "text").mapInArrow(run, f"id {id_type}, prints binary")
+
+
+def _block_pairs(left: list, right: list, percent: int) -> list[tuple]:
+    """Pairs of one block whose fingerprints reach the threshold less one percent; left and right hold (id, group, fingerprints)."""
+    every = np.concatenate([p for _, _, p in right])
+    owner = np.repeat(np.arange(len(right)), [len(p) for _, _, p in right])
+    order = np.argsort(every, kind="stable")
+    every, owner = every[order], owner[order]
+    sizes = np.array([len(p) for _, _, p in right])
+    groups = np.array([g for _, g, _ in right])
+    out = []
+    for x, g, prints in left:
+        lo, hi = np.searchsorted(every, prints, "left"), np.searchsorted(every, prints, "right")
+        n = hi - lo
+        at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        common = np.bincount(owner[at], minlength=len(right))
+        near = (100 * common >= (percent - 1) * (len(prints) + sizes - common)) & (groups != g)
+        out.extend((x, right[k][0]) for k in np.flatnonzero(near))
+    return out
+
+
+def _across_groups(placed: DataFrame, texts: DataFrame, width: int, percent: int, id_type: str, block: int = 1000) -> DataFrame:
+    """Pairs (a, b) that share a bucket of ``placed(key, id, g)``, lie in different groups and nearly reach the threshold.
+
+    In a bucket the members outside its largest group are held against all
+    others.  A bucket of more than ``block`` members is dealt into blocks.
+    """
+    spark = placed.sparkSession
+    several = placed.groupBy("key").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("key")
+    counts = placed.join(several, "key").groupBy("key", "g").agg(F.count(F.lit(1)).alias("m"))
+    plan = counts.groupBy("key").agg(F.sum("m").alias("n"), F.max(F.struct("m", "g")).alias("top"))
+    plan = plan.select(
+        "key",
+        F.col("top.g").alias("main"),
+        F.ceil((F.col("n") - F.col("top.m")) / block).cast("int").alias("lefts"),
+        F.ceil(F.col("n") / block).cast("int").alias("rights"),
+    )
+    rows = Stored(placed.join(plan, "key"), "open-buckets")
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = rows.df.where("g <> main").select("key", "id", "g", own("lefts").alias("i"), every("rights").alias("j"), F.lit(0).alias("side"))
+    right = rows.df.select("key", "id", "g", own("rights").alias("j"), every("lefts").alias("i"), F.lit(1).alias("side"))
+    prints = Stored(_fingerprints(texts.join(rows.df.select("id").distinct(), "id", "left_semi"), width, id_type), "fingerprints")
+    dealt = left.unionByName(right).join(prints.df, "id")
+    dealt = dealt.repartition(parts_for(spark, 0), "key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sides, found = None, ([], []), []
+        ids = lambda: pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], kind) for k in (0, 1)], ["a", "b"])
+        kind = None
+        for batch in batches:
+            kind = batch.column(1).type
+            keys = zip(*(batch.column(k).to_pylist() for k in (0, 3, 4)), strict=True)
+            rest = zip(*(batch.column(k).to_pylist() for k in (5, 1, 2, 6)), strict=True)
+            for key, (s, x, g, p) in zip(keys, rest, strict=True):
+                if key != now:
+                    if sides[0] and sides[1]:
+                        found.extend(_block_pairs(*sides, percent))
+                    now, sides = key, ([], [])
+                sides[s].append((x, g, np.frombuffer(p, np.uint32)))
+            if len(found) > 10000:
+                yield ids()
+                found.clear()
+        if sides[0] and sides[1]:
+            found.extend(_block_pairs(*sides, percent))
+        if found:
+            yield ids()
+
+    pairs = dealt.select("key", "id", "g", "i", "j", "side", "prints").mapInArrow(run, f"a {id_type}, b {id_type}")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """Group documents linked by ``100 * common shingles >= percent * union``.
 
@@ -233,14 +321,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     apart = side(side(near.select(F.col("center").alias("a"), F.col("id").alias("b")), "a"), "b").where("ga <> gb").select("a", "b")
     links = links.unionByName(tried(apart, "links-2").df)
     groups = components(links, idt)
-    # then pairs inside the buckets that still hold several groups
-    placed = Stored(side(members.select("key", F.col("id").alias("b")), "b").select("key", F.col("b").alias("id"), F.col("gb").alias("g")), "placed")
-    mixed = placed.df.groupBy("key").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("key", F.col("lo").alias("main"))
-    open_ = placed.df.join(mixed, "key")
-    left = open_.where("g <> main").select("key", F.col("id").alias("a"), F.col("g").alias("ga"))
-    right = open_.select("key", F.col("id").alias("b"), F.col("g").alias("gb"), "main")
-    within = left.join(right, "key").where("ga > gb").select("a", "b").distinct()
-    links = links.unionByName(tried(within, "links-3").df)
+    # then, inside the buckets that still hold several groups, members of different groups
+    placed = Stored(side(members.where("id <> center").select("key", F.col("id").alias("b")), "b").select("key", F.col("b").alias("id"), F.col("gb").alias("g")), "placed")
+    within = _across_groups(placed.df, texts.df, width, percent, idt)
+    links = links.unionByName(Stored(_confirmed(within, texts.df, width, percent, idt), "links-3").df)
     groups = components(links, idt)
     for done in (cand, texts, small, placed):
         done.drop()

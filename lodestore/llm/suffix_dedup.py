@@ -94,9 +94,13 @@ def walk(data: np.ndarray, offsets: np.ndarray):
             yield start + at, count, owner + i, place + at, anchor, whole
 
 
+def _in_order(table: pa.Table) -> pa.Table:
+    return table.sort_by([("id", "ascending"), ("text", "ascending")])
+
+
 def _bucket(table: pa.Table):
     """Ids and texts of one bucket, in the order of ids."""
-    table = table.sort_by([("id", "ascending"), ("text", "ascending")])
+    table = _in_order(table)
     ids = table.column("id").to_numpy()
     data, offsets = kernel.strings(table.column("text"))
     return ids, data, offsets
@@ -310,7 +314,8 @@ def _judge(batches):
 
 
 def _cut(left: pa.Table, right: pa.Table) -> pa.Table:
-    ids, data, offsets = _bucket(left)
+    table = _in_order(left)
+    ids, data, offsets = _bucket(table)
     gone_told = _sorted_hashes([x for x in right.column("gone").to_pylist() if x])
     told = right.filter(right.column("bits").is_valid())
     part_told, bits_told = told.column("whole").to_numpy(), told.column("bits").to_numpy()
@@ -353,36 +358,40 @@ def _cut(left: pa.Table, right: pa.Table) -> pa.Table:
         turn = np.flatnonzero(np.diff(np.concatenate([[0], r.astype(np.int8), [0]]))).tolist()
         spans.append([{"start": x, "end": y} for x, y in zip(turn[::2], turn[1::2], strict=True)])
         kept.append(data[a:z][~r].tobytes())
+    more = {c: table.column(c) for c in table.column_names if c.startswith("keep_")}
     return pa.table(
         {
             "id": pa.array(ids),
             "n_bytes": pa.array(np.diff(offsets)),
             "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
             "kept": pa.array(kept, pa.binary()),
+            **more,
         }
     )
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """What to cut so that no string of 50 bytes stays that also starts in a document with a smaller id.
 
     Texts are taken as UTF-8 bytes, whole; strings are judged on the input and
     never cross documents.  Returns id, n_bytes, spans (maximal removed runs as
-    byte ranges ``start``, ``end``) and kept (the bytes that stay).  A null or
+    byte ranges ``start``, ``end``), kept (the bytes that stay) and the columns that
+    ``keep`` names.  A null or
     empty text, or one under 50 bytes, loses nothing.  Rows with the same id
     count as one document that repeats itself, which is no reason to cut.  Null
     ids count as larger than all others and come back as null.  Empty input: no
-    rows.  Other columns are not read.  Ids are integers.
+    rows.  Columns not named are not read.  Ids are integers.
     """
     spark = docs.sparkSession
     nbytes = text_bytes(docs, text_col)
     buckets = parts_for(spark, nbytes, BUCKET)
     top = (1 << 63) - 1
-    rows = docs.select(
+    columns = [
         F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text_col))), F.lit(buckets)).cast("int").alias("b"),
         F.coalesce(F.col(id_col).cast("long"), F.lit(top)).alias("id"),
         F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"),
-    )
+    ]
+    rows = docs.select(*columns)
     dests = parts_for(spark, nbytes // 3, BUCKET)
     reports = rows.groupBy("b").applyInArrow(_report(dests), "d int, b int, anchors binary")
     shared = reports.groupBy("d").applyInArrow(_shared, "b int, shared binary")
@@ -395,5 +404,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     pieces.drop()
     gone = settled.df.where(F.octet_length("gone") > 0).select("b", "gone", F.lit(None).cast("long").alias("whole"), F.lit(None).cast("long").alias("bits"))
     reply = gone.unionByName(told.df.select("b", F.lit(None).cast("binary").alias("gone"), "whole", "bits"))
-    out = rows.groupBy("b").cogroup(reply.groupBy("b")).applyInArrow(_cut, "id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
-    return out.select(F.when(F.col("id") != top, F.col("id")).alias(id_col), "n_bytes", "spans", "kept")
+    more = [F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)]
+    kinds = "".join(f", keep_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
+    out = docs.select(*columns, *more).groupBy("b").cogroup(reply.groupBy("b")).applyInArrow(_cut, f"id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary{kinds}")
+    return out.select(F.when(F.col("id") != top, F.col("id")).alias(id_col), "n_bytes", "spans", "kept", *[F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep)])
