@@ -236,3 +236,10 @@ def _(t: Tables):
 @query("ext_policy_templates", "select * from (values ('surveillance', 30, 0.3::double), ('application_log', 90, 0.5::double), ('database_log', 365, 1.0::double), ('archive', 3650, 0.1::double)) t(name, retention_days, ratio)")
 def _(t: Tables):
     return t.spark.sql("select * from values ('surveillance', 30, 0.3D), ('application_log', 90, 0.5D), ('database_log', 365, 1.0D), ('archive', 3650, 0.1D) as t(name, retention_days, ratio)")
+
+
+@query("audit_text_report", "select 1 as line, 'entries: ' || count(*) as text from audit_log union all select 2, 'reduced: ' || count(*) from audit_log where event_type = 'DATA_REDUCED'")
+def _(t: Tables):
+    row = A.summary(t.audit_log)
+    lines = F.array(F.struct(F.lit(1).alias("line"), F.concat(F.lit("entries: "), F.col("entries").cast("string")).alias("text")), F.struct(F.lit(2).alias("line"), F.concat(F.lit("reduced: "), F.col("reduced").cast("string")).alias("text")))
+    return row.select(F.explode(lines).alias("l")).select("l.line", "l.text")

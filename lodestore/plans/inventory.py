@@ -340,3 +340,22 @@ def _(t: Tables):
     walked, scanned = t.files.select("path"), t.files.where("file_id >= 0").select("path")
     both = walked.exceptAll(scanned).unionByName(scanned.exceptAll(walked))
     return both.agg((F.count(F.lit(1)) == 0).alias("complete"))
+
+
+@query("src_adapter_interface", "select file_id, substr(text, 1, 16) as head, md5(text) as md5 from files where strlen(text) = length(text)")
+def _(t: Tables):
+    from ..sources.files import hashed
+
+    rows = t.files.where(F.octet_length("text") == F.length("text"))
+    return rows.select("file_id", F.substring("text", 1, 16).alias("head"), hashed(F.col("text"), "md5").alias("md5"))
+
+
+@query("src_connectors", "select kind, count(*) as n from files, (values ('disk'), ('s3')) k(kind) group by 1")
+def _(t: Tables):
+    from ..sources.files import Registry
+
+    registry = Registry()
+    registry.register("disk", lambda spark, root: t.files.select("path", "size", "sha256"))
+    registry.register("s3", lambda spark, root: t.files.select("path", "size", F.lit(None).cast("string").alias("sha256")))
+    parts = [registry.read(t.spark, k, "/").withColumn("kind", F.lit(k)) for k in registry.kinds()]
+    return parts[0].unionByName(parts[1]).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))

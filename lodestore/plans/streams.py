@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -76,3 +77,13 @@ def _(t: Tables):
     rows = J.drain(_events(t).select("user_id", "event_id", "value"), _folder(t))
     before = F.lag("value").over(Window.partitionBy("user_id").orderBy("event_id"))
     return rows.withColumn("moved", F.abs(F.col("value") - before) > 30).where("moved").select("user_id", "event_id", "moved")
+
+
+@query("str_checkpoint", "select count(*) as n from events")
+def _(t: Tables):
+    """A stream that is stopped and started again on its checkpoint takes each event once."""
+    folder = f"{_folder(t)}/{uuid.uuid4().hex}"
+    for _ in range(2):
+        run = _events(t).select("event_id").writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+        run.awaitTermination()
+    return t.spark.read.schema("event_id long").parquet(f"{folder}/rows").agg(F.count(F.lit(1)).alias("n"))
