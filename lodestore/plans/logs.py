@@ -196,7 +196,7 @@ def _(t: Tables):
 def _(t: Tables):
     size = t.log_lines.groupBy("block_id").agg(F.sum(F.octet_length("raw_line").cast("long")).alias("bytes"))
     b = L.block_action(L.preserve_score(L.blocks(_parsed(t)))).join(size, "block_id")
-    return b.select("block_id", F.floor(F.floor(F.col("total_lines") * F.col("sample_rate")) * F.col("bytes") / F.col("total_lines")).cast("long").alias("new_size"))
+    return b.select("block_id", F.expr("floor(total_lines * sample_rate) * bytes div total_lines").alias("new_size"))
 
 
 @query("ext_log_rules", "select line_number, case when contains(raw_line, 'Exception') then 'keep' when contains(raw_line, 'timeout') then 'sample' else 'drop' end as decision from log_lines")
