@@ -192,7 +192,7 @@ def _(t: Tables):
     return L.blocks(_parsed(t)).select("block_id", decision.alias("decision"))
 
 
-@query("red_log_new_size", f"select block_id, (floor(total_lines * sample_rate) * bytes // total_lines)::bigint as new_size from (select b.block_id, total_lines, a.sample_rate, s.bytes from ({_BLOCKS}) b join ({_ACTION}) a on a.block_id = b.block_id join (select block_id, sum(strlen(raw_line))::bigint as bytes from log_lines group by 1) s on s.block_id = b.block_id)")
+@query("red_log_new_size", f"select block_id, (floor(total_lines * sample_rate)::bigint * bytes // total_lines)::bigint as new_size from (select b.block_id, total_lines, a.sample_rate, s.bytes from ({_BLOCKS}) b join ({_ACTION}) a on a.block_id = b.block_id join (select block_id, sum(strlen(raw_line))::bigint as bytes from log_lines group by 1) s on s.block_id = b.block_id)")
 def _(t: Tables):
     size = t.log_lines.groupBy("block_id").agg(F.sum(F.octet_length("raw_line").cast("long")).alias("bytes"))
     b = L.block_action(L.preserve_score(L.blocks(_parsed(t)))).join(size, "block_id")
