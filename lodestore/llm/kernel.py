@@ -116,9 +116,8 @@ def _cuts(data: np.ndarray) -> Iterator[tuple[int, int]]:
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray, fold_case: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hash of every word, and where each text's words begin (n + 1)."""
-    if len(offsets) == 2 and len(data) > PIECE:
-        parts = [word_hashes(data[a:b], np.array([0, b - a]), fold_case)[0] for a, b in _cuts(data)] if len(data) > 2 * PIECE else [_hash_words(data, offsets, fold_case)[0]]
-        h = np.concatenate(parts)
+    if len(offsets) == 2 and len(data) > 2 * PIECE:
+        h = np.concatenate([_hash_words(data[a:b], np.array([0, b - a]), fold_case)[0] for a, b in _cuts(data)])
         return h, np.array([0, len(h)])
     return _hash_words(data, offsets, fold_case)
 
