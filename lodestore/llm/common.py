@@ -67,11 +67,12 @@ class Stored:
     otherwise they go when the driver ends.
     """
 
-    def __init__(self, df: DataFrame, name: str):
+    def __init__(self, df: DataFrame, name: str, tidy: bool = True):
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
         df.write.option("compression", "zstd").parquet(self.path)
-        release(self.spark)
+        if tidy:
+            release(self.spark)
         atexit.register(_drop_at_exit, self.spark, self.path)
         self.schema = df.schema
 
@@ -92,8 +93,9 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def parts_for(spark: SparkSession, nbytes: int, target: int = TARGET_BYTES) -> int:
-    """Partitions so that each holds about ``target`` bytes, no fewer than the session's."""
-    return max(shuffle_partitions(spark), math.ceil((nbytes or 0) / target))
+    """Partitions so that each holds about ``target`` bytes; no fewer than the session's, unless these would hold under a megabyte."""
+    nbytes = nbytes or 0
+    return max(1, math.ceil(nbytes / target), min(shuffle_partitions(spark), math.ceil(nbytes / (1 << 20))))
 
 
 def text_bytes(docs: DataFrame, text_col: str = "text") -> int:

@@ -32,10 +32,10 @@ def components(links: DataFrame, id_type: str) -> DataFrame:
         # exact sums of hashes, so two different link sets do not look alike
         return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first())
 
-    held = Stored(ordered(links.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u is not null and v is not null")), "links")
+    held = Stored(ordered(links.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u is not null and v is not null")), "links", tidy=False)
     before = mark(held.df)
     while before[0]:
-        new = Stored(star(star(held.df, True), False), "links")
+        new = Stored(star(star(held.df, True), False), "links", tidy=False)
         held.drop()
         held, after = new, mark(new.df)
         if after == before:

@@ -119,7 +119,7 @@ def fit(learn: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
         picked = picked.withColumn("place", F.row_number().over(order)).where(F.col("place") <= ROWS).select("id", "lang")
     # a few hundred rows for each language
     rows = snippets(usable.join(F.broadcast(picked), ["id", "lang"])).toPandas().sort_values(["lang", "text"])
-    rows = rows[[any(ch.isalpha() for ch in x) for x in rows["text"]]]
+    rows = rows[np.array([any(ch.isalpha() for ch in x) for x in rows["text"]], bool)]
     langs = sorted(rows["lang"].unique())
     index = {x: i for i, x in enumerate(langs)}
     if len(langs) < 2:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel
-from .common import Stored, parts_for
+from .common import Stored, shuffle_partitions
 from .components import components
 
 #: Bands and registers a band: a pair at 0.8 escapes all bands with odds of about 5 in a million.
@@ -251,7 +251,7 @@ def _across_groups(placed: DataFrame, texts: DataFrame, width: int, percent: int
     right = rows.df.select("key", "id", "g", own("rights").alias("j"), every("lefts").alias("i"), F.lit(1).alias("side"))
     prints = Stored(_fingerprints(texts.join(rows.df.select("id").distinct(), "id", "left_semi"), width, id_type), "fingerprints")
     dealt = left.unionByName(right).join(prints.df, "id")
-    dealt = dealt.repartition(parts_for(spark, 0), "key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
+    dealt = dealt.repartition(shuffle_partitions(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, sides, found = None, ([], []), []
