@@ -13,22 +13,35 @@ def entry_hash(fields: list[str] = HASHED) -> Column:
     return F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in fields]), 256)
 
 
-def chained(log: DataFrame, segment: Column | None = None) -> DataFrame:
-    """Add entry_hash and previous_hash, the hash of the entry before in line order.
+def with_previous(rows: DataFrame, value: str, order: str, name: str, span: int = 100_000) -> DataFrame:
+    """Add ``name``: the value of the row before in the order of a whole-number column, over the whole table.
 
-    With ``segment`` each segment (for instance a file of the trail) is a chain of
-    its own, which keeps windows small; without, the whole trail is one.
+    Rows are looked at by spans of that column, so no task sorts the whole table;
+    only the last value of each span takes part in the window across spans.
     """
-    w = Window.partitionBy(segment if segment is not None else F.lit(0)).orderBy("line_no")
-    rows = log.withColumn("entry_hash", entry_hash())
-    return rows.withColumn("previous_hash", F.coalesce(F.lag("entry_hash").over(w), F.lit("")))
+    rows = rows.withColumn("span", F.floor(F.col(order) / span))
+    inside = Window.partitionBy("span").orderBy(order)
+    ends = rows.groupBy("span").agg(F.max_by(value, order).alias("end"))
+    ends = ends.select("span", F.lag("end").over(Window.partitionBy(F.lit(0)).orderBy("span")).alias("carried"))
+    met = rows.withColumn("own", F.lag(value).over(inside)).withColumn("head", F.row_number().over(inside) == 1)
+    met = met.join(ends, "span", "left")
+    return met.withColumn(name, F.when(F.col("head"), F.col("carried")).otherwise(F.col("own"))).drop("span", "own", "head", "carried")
 
 
-def verify_chain(log: DataFrame, segment: Column | None = None) -> DataFrame:
-    """Lines whose stored previous_hash differs from the line before or whose stored hash differs from their content."""
-    w = Window.partitionBy(segment if segment is not None else F.lit(0)).orderBy("line_no")
-    rows = log.withColumn("expected", F.coalesce(F.lag("entry_hash").over(w), F.lit(""))).withColumn("again", entry_hash())
-    broken = F.col("previous_hash") != F.col("expected")
+def chained(log: DataFrame) -> DataFrame:
+    """Add entry_hash and previous_hash, the hash of the entry before in line order, empty for the first."""
+    rows = with_previous(log.withColumn("entry_hash", entry_hash()), "entry_hash", "line_no", "previous_hash")
+    return rows.withColumn("previous_hash", F.coalesce("previous_hash", F.lit("")))
+
+
+def verify_chain(log: DataFrame, genesis: str = "") -> DataFrame:
+    """Lines whose stored previous_hash differs from the line before or whose stored hash differs from their content.
+
+    ``genesis`` is what the first line's previous_hash must be, for a trail whose
+    beginning was archived.
+    """
+    rows = with_previous(log, "entry_hash", "line_no", "expected").withColumn("again", entry_hash())
+    broken = F.col("previous_hash") != F.coalesce("expected", F.lit(genesis))
     changed = F.col("entry_hash") != F.col("again")
     return rows.where(broken | changed).select("line_no", broken.alias("broken_link"), changed.alias("changed"))
 

@@ -184,3 +184,9 @@ def _(t: Tables):
     message = F.when(F.col("file_id") % 2 == 0, F.to_json(F.struct("file_id", F.lit("request").alias("type"), F.col("file_id").cast("double").alias("timestamp")))).otherwise(F.to_json(F.struct("file_id", F.lit("junk").alias("type"))))
     m = t.files.select(F.from_json(message, "file_id long, type string, timestamp double").alias("m")).select("m.*")
     return m.select("file_id", F.when(F.col("type").isin("request", "result", "sync"), F.col("type")).otherwise("unknown").alias("kind"), F.coalesce("timestamp", F.lit(0.0)).alias("stamp"))
+
+
+@query("cdc_parallel", "select file_id, size as bytes from files where size > 0")
+def _(t: Tables):
+    spread = t.files.select("file_id", "text").repartition(8, "file_id")
+    return C.content_chunks(spread, "fast", shortest=256, longest=2048, bits=9).groupBy("file_id").agg(F.sum("size").alias("bytes"))

@@ -359,3 +359,43 @@ def _(t: Tables):
     registry.register("s3", lambda spark, root: t.files.select("path", "size", F.lit(None).cast("string").alias("sha256")))
     parts = [registry.read(t.spark, k, "/").withColumn("kind", F.lit(k)) for k in registry.kinds()]
     return parts[0].unionByName(parts[1]).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+for _kind, _storage in (("nas", "src4"), ("usb", "src5"), ("raid", "src6")):
+
+    @query(f"src_{_kind}", f"select path, size, sha256 from files where storage_id = '{_storage}'")
+    def _(t: Tables, kind=_kind, storage=_storage):
+        from ..sources.files import Registry
+
+        registry = Registry()
+        registry.register(kind, lambda spark, root: t.files.where(F.col("storage_id") == root).select("path", "size", "sha256"))
+        return registry.read(t.spark, kind, storage)
+
+
+@query("sink_object_store", "select storage_id as bucket, count(*) as objects, sum(size)::bigint as bytes from files group by 1")
+def _(t: Tables):
+    return t.files.groupBy(F.col("storage_id").alias("bucket")).agg(F.count(F.lit(1)).alias("objects"), F.sum("size").alias("bytes"))
+
+
+@query("sink_filesystem", f"select path, sha256 as checksum, mdate < date '{AS_OF}' - 300 as expired from files")
+def _(t: Tables):
+    return t.files.select("path", F.col("sha256").alias("checksum"), (F.col("mdate") < F.date_sub(F.lit(AS_OF).cast("date"), 300)).alias("expired"))
+
+
+@query("sink_kafka", """select file_id::varchar as key, '{"fp":"' || sha256 || '","size":' || size || '}' as value from files""")
+def _(t: Tables):
+    return t.files.select(F.col("file_id").cast("string").alias("key"), F.to_json(F.struct(F.col("sha256").alias("fp"), "size")).alias("value"))
+
+
+@query("sink_restore_export", "select case file_id % 4 when 0 then 'tar' when 1 then 'tar.gz' when 2 then 'zip' else 'raw' end as form, count(*) as n, sum(size)::bigint as bytes from files group by 1")
+def _(t: Tables):
+    k = F.col("file_id") % 4
+    form = S.first_of([(k == 0, "tar"), (k == 1, "tar.gz"), (k == 2, "zip")], "raw")
+    return t.files.groupBy(form.alias("form")).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
+
+
+@query("chat", "select conv_id, turn, case when contains(lower(text), 'dup') then 'duplicates' when contains(lower(text), 'large') then 'large' when contains(lower(text), 'the') then 'stats' else 'help' end as intent from conversations")
+def _(t: Tables):
+    has = lambda w: F.lower("text").contains(w)
+    intent = S.first_of([(has("dup"), "duplicates"), (has("large"), "large"), (has("the"), "stats")], "help")
+    return t.read("conversations").select("conv_id", "turn", intent.alias("intent"))

@@ -253,3 +253,9 @@ def _(t: Tables):
 @query("fn_data_value", "select file_id, case when contains(lower(text), 'license') then 'LOW' when strlen(text) > 5000 then 'HIGH' else 'MEDIUM' end as value from files")
 def _(t: Tables):
     return t.files.select("file_id", S.first_of([(F.lower("text").contains("license"), "LOW"), (F.col("size") > 5000, "HIGH")], "MEDIUM").alias("value"))
+
+
+@query("lru_cache", "select tier, fp from (select tier, fp, row_number() over (partition by tier order by accessed desc, fp) as place from fingerprints) where place <= 20")
+def _(t: Tables):
+    place = F.row_number().over(Window.partitionBy("tier").orderBy(F.col("accessed").desc(), "fp"))
+    return t.fingerprints.withColumn("place", place).where("place <= 20").select("tier", "fp")
