@@ -180,7 +180,7 @@ def policy(b: DataFrame, ordering: str = "lexical", time_rules: list[tuple[int,
         return F.when(when & (key(c) < key(F.lit(to))), F.lit(to)).otherwise(c)
 
     # each step is a column of its own, so the plan stays a chain and not a tree
-    steps = b.withColumn("p", first_of([(F.col("error_count") > 0, "critical"), (F.col("warn_count") > 0, "high" if ordering == "lexical" else "high")], "medium"))
+    steps = b.withColumn("p", first_of([(F.col("error_count") > 0, "critical"), (F.col("warn_count") > 0, "high")], "medium"))
     steps = steps.withColumn("p", F.when(F.col("error_burst") | F.col("circuit_breaker_open"), F.lit("critical")).otherwise(F.col("p")))
     for flag in ("memory_warning", "timeout_pattern"):
         steps = steps.withColumn("p", raised(F.col("p"), F.col(flag), "high"))

@@ -57,9 +57,8 @@ def _(t: Tables):
 @query("join_ring_md5", f"select k.file_id, coalesce(min(r.pos), (select min(md5(node_id || '-' || i)) from nodes, (select unnest(range(0, {_V})) as i))) as slot from (select file_id, md5(sha256) as h from files) k left join (select md5(node_id || '-' || i) as pos from nodes, (select unnest(range(0, {_V})) as i)) r on r.pos >= k.h group by 1")
 def _(t: Tables):
     r = t.nodes.select(F.explode(F.sequence(F.lit(0), F.lit(_V - 1))).alias("i"), "node_id").select(F.md5(F.concat("node_id", F.lit("-"), F.col("i").cast("string"))).alias("pos"), "node_id")
-    rows = P._with_ring(t.files.select("file_id", F.md5("sha256").alias("h")), r)
-    at = P._bisect(F.col("positions"), F.col("h")) % F.size("positions")
-    return rows.select("file_id", F.element_at("positions", at.cast("int") + 1).alias("slot"))
+    slots = r.select("pos", F.col("pos").alias("payload"))
+    return P.successor(t.files.select("file_id", "sha256"), F.md5("sha256"), slots, P.by_hex, "slot").select("file_id", "slot")
 
 
 @query("join_preferred_shard", f"select file_id, case when bool_or(node_id = 'node-2' and place <= 3) then 'node-2' else arg_min(node_id, place) end as node from ({_DISTINCT}) group by 1")
