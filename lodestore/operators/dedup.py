@@ -23,9 +23,15 @@ def sightings(chunks: DataFrame, uniques: int = 1) -> DataFrame:
     return rows.withColumn("is_unique", F.col("seen") <= uniques)
 
 
+def first_sightings(chunks: DataFrame) -> DataFrame:
+    """Add is_unique for the first sighting of each fingerprint only; one very common chunk is no hot spot."""
+    firsts = chunks.groupBy("fp").agg(F.min(F.struct("file_id", "chunk_index")).alias("first"))
+    return chunks.join(firsts, "fp").withColumn("is_unique", F.struct("file_id", "chunk_index") == F.col("first")).drop("first")
+
+
 def by_file(chunks: DataFrame, uniques: int = 1) -> DataFrame:
     """Per file: chunks, unique ones, bytes in all and stored, share saved."""
-    rows = sightings(chunks, uniques).groupBy("file_id").agg(
+    rows = (first_sightings(chunks) if uniques == 1 else sightings(chunks, uniques)).groupBy("file_id").agg(
         F.count(F.lit(1)).alias("n"), F.count_if("is_unique").alias("n_unique"), F.sum("size").alias("bytes"), F.sum(F.when(F.col("is_unique"), F.col("size")).otherwise(0)).alias("stored")
     )
     return rows.withColumn("saved", F.round(1 - F.col("stored") / F.col("bytes"), 6))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
@@ -57,11 +57,20 @@ def staged_duplicates(files: DataFrame) -> DataFrame:
     return rows.groupBy("size", "full").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("full").alias("sha256"), "size", "n", ((F.col("n") - 1) * F.col("size")).alias("wasted"))
 
 
+def with_first(files: DataFrame) -> DataFrame:
+    """Add first_id, the smallest id of the file's content.
+
+    An aggregate and a join instead of a window: one very common content is
+    combined before the shuffle, and the join can be split.
+    """
+    firsts = files.groupBy("sha256").agg(F.min("file_id").alias("first_id"))
+    return files.join(firsts, "sha256")
+
+
 def duplicate_of(files: DataFrame) -> DataFrame:
     """Each copy with the first file of its content; empty files are no copies."""
-    w = Window.partitionBy("sha256").orderBy("file_id")
-    rows = files.where("size > 0").select("file_id", "size", F.first("file_id").over(w).alias("duplicate_of"))
-    return rows.where("file_id <> duplicate_of")
+    rows = with_first(files.where("size > 0")).where("file_id <> first_id")
+    return rows.select("file_id", "size", F.col("first_id").alias("duplicate_of"))
 
 
 def snapshot_diff(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -81,15 +90,13 @@ def search_content(files: DataFrame, pattern: str, max_results: int, max_size: i
 
 def cleanup_plan(files: DataFrame, batch: int) -> DataFrame:
     """Copies beyond the first of each content, largest first, up to ``batch``; a plan, nothing is deleted."""
-    w = Window.partitionBy("sha256").orderBy("file_id")
-    rows = files.where("size > 0").withColumn("rn", F.row_number().over(w)).where("rn > 1")
+    rows = with_first(files.where("size > 0")).where("file_id <> first_id")
     return rows.orderBy(F.col("size").desc(), "file_id").limit(batch).select("file_id", "path", "size")
 
 
 def suggestions(files: DataFrame, as_of: Column, large: int, wasteful: int) -> DataFrame:
     """Rows of advice: duplicates, temporary, large and old files with count and size, each if it passes its threshold."""
-    seen = F.row_number().over(Window.partitionBy("sha256").orderBy("file_id"))
-    rows = files.withColumn("copy", (F.col("size") > 0) & (seen > 1))
+    rows = with_first(files).withColumn("copy", (F.col("size") > 0) & (F.col("file_id") != F.col("first_id")))
     old = (F.col("mdate") < as_of) & ~F.col("name").startswith(".")
     temp = S.temporary(F.col("name"))
     big = F.col("size") >= large

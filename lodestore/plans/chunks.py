@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import chunking as C
 from ..operators import dedup as D
+from ..operators import inventory as I
 from .catalog import Tables
 from .registry import query
 
@@ -131,9 +131,8 @@ def _(t: Tables):
 
 @query("agg_dedup_task", "select sum(case when rn = 1 then 1 else 0 end)::bigint as new_files, sum(case when rn > 1 then 1 else 0 end)::bigint as duplicates, round(sum(case when rn > 1 then size else 0 end) / sum(size)::double, 6) as saved from (select size, row_number() over (partition by sha256 order by file_id) as rn from files)")
 def _(t: Tables):
-    rn = F.row_number().over(Window.partitionBy("sha256").orderBy("file_id"))
-    rows = t.files.withColumn("rn", rn)
-    return rows.agg(F.count_if(F.col("rn") == 1).alias("new_files"), F.count_if(F.col("rn") > 1).alias("duplicates"), F.round(F.sum(F.when(F.col("rn") > 1, F.col("size")).otherwise(0)) / F.sum("size"), 6).alias("saved"))
+    rows = I.with_first(t.files).withColumn("copy", F.col("file_id") != F.col("first_id"))
+    return rows.agg(F.count_if(~F.col("copy")).alias("new_files"), F.count_if("copy").alias("duplicates"), F.round(F.sum(F.when(F.col("copy"), F.col("size")).otherwise(0)) / F.sum("size"), 6).alias("saved"))
 
 
 @query("agg_scan_merge", f"select count(distinct fp) as distinct_chunks, count(distinct file_id) as scanned, max(size) as longest from {_BLOCKS}")

@@ -193,9 +193,9 @@ def _(t: Tables):
 @query("agg_summary", f"""select category, sum(size)::bigint as bytes, sum(case when rn > 1 and size > 0 then size else 0 end)::bigint as duplicate_bytes, sum(case when category in ('document', 'code') then size else 0 end)::bigint as text_bytes
        from (select *, row_number() over (partition by sha256 order by file_id) as rn from ({_KIND})) group by 1""")
 def _(t: Tables):
-    rows = I.with_kind(t.files).withColumn("rn", F.row_number().over(Window.partitionBy("sha256").orderBy("file_id")))
+    rows = I.with_first(I.with_kind(t.files))
     zero = lambda c: F.sum(F.when(c, F.col("size")).otherwise(0))
-    return rows.groupBy("category").agg(F.sum("size").alias("bytes"), zero((F.col("rn") > 1) & (F.col("size") > 0)).alias("duplicate_bytes"), zero(F.col("category").isin("document", "code")).alias("text_bytes"))
+    return rows.groupBy("category").agg(F.sum("size").alias("bytes"), zero((F.col("file_id") != F.col("first_id")) & (F.col("size") > 0)).alias("duplicate_bytes"), zero(F.col("category").isin("document", "code")).alias("text_bytes"))
 
 
 _GROUPS = "select sha256, count(*) as n, max(size) as size, min(file_id) as first_id from files where size > 0 group by 1 having count(*) > 1"

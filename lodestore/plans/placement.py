@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from ..operators import inventory as I
 from ..operators import placement as P
 from .catalog import Tables
 from .registry import query
@@ -138,7 +138,6 @@ def _(t: Tables):
 
 @query("dist_cluster_api", "select count(*) as chunks, count(distinct sha256) as distinct_chunks, round((sum(size) - (select sum(size) from (select max(size) as size from files group by sha256))) / 1099511627776.0::double * 12 * 5000, 9) as annual_savings from files")
 def _(t: Tables):
-    first = F.row_number().over(Window.partitionBy("sha256").orderBy("file_id")) == 1
-    rows = t.files.withColumn("first", first)
+    rows = I.with_first(t.files).withColumn("first", F.col("file_id") == F.col("first_id"))
     saved = F.sum(F.when(F.col("first"), 0).otherwise(F.col("size")))
     return rows.agg(F.count(F.lit(1)).alias("chunks"), F.count_if("first").alias("distinct_chunks"), F.round(saved / 1099511627776.0 * 12 * 5000, 9).alias("annual_savings"))
