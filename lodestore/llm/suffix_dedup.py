@@ -14,7 +14,9 @@ with the same anchor is one piece of text.
 3. These texts go, with the suffix's leading k-mer, to partitions that sampled
    splitters cut by that k-mer, so equal leads are never cut by a boundary.  Each
    partition sorts its suffixes by multikey quicksort and compares the strings of
-   equal leads, which finds the smallest document of every string.
+   equal leads, which finds the smallest document of every string.  A lead with
+   more than HOT_LEAD pieces (the rim of a very common line) is no task of its own:
+   its strings are aggregated and joined one by one.
 4. Buckets cut the bytes out.
 
 What is sent for a passage grows with the buckets that hold it, not with its
@@ -35,6 +37,8 @@ SPAN = 50
 KMER = 20
 #: Bytes of text in a bucket, on average.
 BUCKET = 4 << 20
+#: Pieces of one leading k-mer that a task compares; those of a commoner one are dealt by their strings.
+HOT_LEAD = 20_000
 _WINDOW = SPAN - KMER + 1
 _POSITION = np.uint64((1 << 22) - 1)
 
@@ -313,6 +317,15 @@ def _judge(batches):
     yield from pa.table({"b": table.column("b"), "whole": table.column("whole"), "bits": pa.array(mask)}).filter(pa.array(mask != 0)).to_batches()
 
 
+def _judge_apart(pieces: DataFrame) -> DataFrame:
+    """What ``_judge`` replies, found by an aggregate over single strings; no group of pieces meets in one task."""
+    strings = F.transform(F.sequence(F.lit(0), F.octet_length("piece") - SPAN), lambda j: F.substr("piece", j + 1, F.lit(SPAN)))
+    rows = pieces.select("b", "whole", "doc", F.posexplode(strings).alias("j", "string"))
+    firsts = rows.groupBy("string").agg(F.min("doc").alias("first"))
+    earlier = rows.join(firsts, "string").where("first < doc")
+    return earlier.groupBy("b", "whole").agg(F.bit_or(F.expr("shiftleft(1L, j)")).alias("bits"))
+
+
 def _cut(left: pa.Table, right: pa.Table) -> pa.Table:
     table = _in_order(left)
     ids, data, offsets = _bucket(table)
@@ -399,8 +412,15 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     settled = Stored(claims.groupBy("d").applyInArrow(_settle, "b int, gone binary, asked binary"), "claims")
     asked = settled.df.where(F.octet_length("asked") > 0).select("b", "asked")
     pieces = Stored(rows.groupBy("b").cogroup(asked.groupBy("b")).applyInArrow(_send, "lead binary, place int, piece binary, whole long, doc long, b int"), "pieces")
-    ranged = pieces.df.repartitionByRange(parts_for(spark, 120 * pieces.df.count(), BUCKET), "lead")
-    told = Stored(ranged.mapInArrow(_judge, "b int, whole long, bits long"), "repeats")
+    n_pieces = pieces.df.count()
+    compared, apart = pieces.df, None
+    if n_pieces > HOT_LEAD:
+        common = Stored(pieces.df.groupBy("lead").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_LEAD).select("lead"), "common-leads", tidy=False).df
+        if not common.isEmpty():
+            compared, apart = pieces.df.join(common, "lead", "left_anti"), _judge_apart(pieces.df.join(common, "lead", "left_semi"))
+    ranged = compared.repartitionByRange(parts_for(spark, 120 * n_pieces, BUCKET), "lead")
+    replies = ranged.select("lead", "place", "piece", "whole", "doc", "b").mapInArrow(_judge, "b int, whole long, bits long")
+    told = Stored(replies if apart is None else replies.unionByName(apart), "repeats")
     pieces.drop()
     gone = settled.df.where(F.octet_length("gone") > 0).select("b", "gone", F.lit(None).cast("long").alias("whole"), F.lit(None).cast("long").alias("bits"))
     reply = gone.unionByName(told.df.select("b", F.lit(None).cast("binary").alias("gone"), "whole", "bits"))

@@ -380,7 +380,9 @@ def plain_cut(docs):
     return out
 
 
-def test_repeated_spans_against_brute_force(spark, texts):
+@pytest.mark.parametrize("hot", [20_000, 2])
+def test_repeated_spans_against_brute_force(spark, texts, hot, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HOT_LEAD", hot)
     made = [t if t is None or len(t) < 100_000 else t[:30_000] for t in texts]
     got = {}
     for r in suffix_dedup.repeated_spans(frame(spark, made), keep=("score", "id")).collect():
