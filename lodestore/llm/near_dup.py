@@ -245,6 +245,8 @@ def _across_groups(placed: DataFrame, texts: DataFrame, width: int, percent: int
         F.ceil(F.col("n") / block).cast("int").alias("rights"),
     )
     rows = Stored(placed.join(plan, "key"), "open-buckets")
+    if rows.df.isEmpty():
+        return spark.createDataFrame([], f"a {id_type}, b {id_type}")
     own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = rows.df.where("g <> main").select("key", "id", "g", own("lefts").alias("i"), every("rights").alias("j"), F.lit(0).alias("side"))
@@ -319,13 +321,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # then all centers that lie in other groups
     apart = side(side(near.select(F.col("center").alias("a"), F.col("id").alias("b")), "a"), "b").where("ga <> gb").select("a", "b")
-    links = links.unionByName(tried(apart, "links-2").df)
-    groups = components(links, idt)
+    more = tried(apart, "links-2").df
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        groups = components(links, idt)
     # then, inside the buckets that still hold several groups, members of different groups
     placed = Stored(side(members.where("id <> center").select("key", F.col("id").alias("b")), "b").select("key", F.col("b").alias("id"), F.col("gb").alias("g")), "placed")
     within = _across_groups(placed.df, texts.df, width, percent, idt)
-    links = links.unionByName(Stored(_confirmed(within, texts.df, width, percent, idt), "links-3").df)
-    groups = components(links, idt)
+    more = Stored(_confirmed(within, texts.df, width, percent, idt), "links-3").df
+    if not more.isEmpty():
+        groups = components(links.unionByName(more), idt)
     for done in (cand, texts, small, placed):
         done.drop()
     final = sk.select("id", F.col("n").alias("n_shingles"), "same").join(classes.df, "same", "left").withColumn("rep", F.when(F.col("n_shingles") > 0, F.col("rep")))
