@@ -133,7 +133,7 @@ def _(t: Tables):
     return O.transitions(t.tasks, "user_id", "created", "status").select("task_id", "before", "status", "legal")
 
 
-@query("win_eta", "select task_id, sum(created) over (partition by user_id order by created) as done, round(sum(created) over (partition by user_id order by created) * 100.0::double / sum(created) over (partition by user_id), 6) as percent from tasks")
+@query("win_eta", "select task_id, (sum(created) over (partition by user_id order by created))::bigint as done, round(sum(created) over (partition by user_id order by created) * 100.0::double / sum(created) over (partition by user_id), 6) as percent from tasks")
 def _(t: Tables):
     return O.progress(t.tasks, "user_id", "created", "created").select("task_id", "done", "percent")
 
