@@ -62,7 +62,8 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return search.top_k(docs, docs.where(F.col("doc_id") % 100 == 0), k=10)
+    found = search.top_k(docs, docs.where(F.col("doc_id") % 100 == 0), k=10)
+    return found.withColumn("score", F.round("score", 6))
 
 
 QUERIES = {
@@ -99,5 +100,59 @@ ORACLE_SQL = {
         )
         select parts.page_id, host, path, rule, coalesce(verdict, 'allow') as verdict
         from parts left join fits on parts.page_id = fits.page_id and place = 1
-    """
+    """,
+    # all pairs that share a shingle, then the smallest id reachable
+    "op7_near_dup": """
+        with recursive words as (
+            select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from documents
+        ),
+        sets as (
+            select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
+                else list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3]) end) as s from words
+        ),
+        items as (select doc_id, len(s) as n, unnest(s) as x from sets),
+        links as (
+            select a.doc_id as a, b.doc_id as b from items a join items b on a.x = b.x and a.doc_id < b.doc_id
+            group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 80 * (a.n + b.n - count(*))
+        ),
+        edges as (select a, b from links union all select b, a from links),
+        reach(doc_id, other) as (select a, b from edges union select reach.doc_id, edges.b from reach join edges on reach.other = edges.a),
+        lowest as (select doc_id, min(other) as other from reach group by 1)
+        select sets.doc_id, len(s)::bigint as n_shingles, least(sets.doc_id, coalesce(other, sets.doc_id)) as component_id, sets.doc_id <= coalesce(other, sets.doc_id) as kept
+        from sets left join lowest on sets.doc_id = lowest.doc_id
+    """,
+    # every string of 50 bytes as 100 hexadecimal digits
+    "op8_suffix_dedup": """
+        with t as (select doc_id, hex(encode(coalesce(text, ''))) as h, strlen(coalesce(text, ''))::bigint as n from documents),
+        strings as (select doc_id, i, substr(h, 2 * i + 1, 100) as s from (select doc_id, h, unnest(range(0, greatest(n - 49, 0))) as i from t)),
+        firsts as (select s, min(doc_id) as first from strings group by s having min(doc_id) < max(doc_id)),
+        hits as (select doc_id, i from strings join firsts on strings.s = firsts.s where first < doc_id),
+        marked as (select doc_id, i, case when i <= lag(i) over (partition by doc_id order by i) + 50 then 0 else 1 end as fresh from hits),
+        runs as (select doc_id, i, sum(fresh) over (partition by doc_id order by i) as run from marked),
+        spans as (select doc_id, run, min(i) as a, max(i) + 50 as z from runs group by doc_id, run),
+        gaps as (
+            select doc_id, coalesce(lag(z) over (partition by doc_id order by a), 0) as lo, a as hi from spans
+            union all select doc_id, max(z) as lo, null as hi from spans group by doc_id
+        ),
+        kept as (select t.doc_id, string_agg(substr(h, 2 * lo + 1, 2 * (coalesce(hi, n) - lo)), '' order by lo) as h from gaps join t on gaps.doc_id = t.doc_id group by t.doc_id),
+        sums as (select doc_id, sum(z - a)::bigint as n_removed, count(*) as n_spans from spans group by doc_id)
+        select t.doc_id, n as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(coalesce(kept.h, t.h))) as kept_sha256
+        from t left join sums on t.doc_id = sums.doc_id left join kept on t.doc_id = kept.doc_id
+    """,
+    "op10_search": """
+        with words as (
+            select doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')) as w from documents
+        ),
+        counts as (select doc_id, w, count(*) as n from words group by 1, 2),
+        lengths as (select doc_id, sum(n) as length from counts group by 1),
+        terms as (select w, count(*) as df from counts group by 1),
+        sizes as (select (select count(*) from documents)::double as docs, (select count(*) from words) / (select count(*) from documents)::double as mean),
+        scores as (
+            select q.doc_id as query_id, d.doc_id, sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * d.n * 2.2 / (d.n + 1.2 * (0.25 + 0.75 * length / mean))) as score
+            from counts q join counts d on q.w = d.w and q.doc_id <> d.doc_id join terms on terms.w = q.w join lengths on lengths.doc_id = d.doc_id, sizes
+            where q.doc_id % 100 = 0 group by 1, 2
+        ),
+        ranked as (select *, row_number() over (partition by query_id order by round(score, 9) desc, doc_id)::int as rank from scores)
+        select query_id, rank, doc_id, round(score, 6) as score from ranked where rank <= 10
+    """,
 }

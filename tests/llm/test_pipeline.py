@@ -130,10 +130,11 @@ def test_registered_queries_run(spark, small):
         assert rows.count() == n and rows.select("doc_id").distinct().count() == n
 
 
-def test_url_rules_match_their_sql(spark, small):
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_rows_match_sql(name, spark, small):
     from compare import connect, same_rows
 
-    same_rows(queries.op1_url_filter(spark, small), connect(small), queries.ORACLE_SQL["op1_url_filter"])
+    same_rows(queries.QUERIES[name](spark, small), connect(small), queries.ORACLE_SQL[name])
 
 
 def test_held_out_accuracy(spark, small):
