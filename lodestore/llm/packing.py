@@ -1,7 +1,8 @@
 """Packing of documents into token sequences, neighbours found by a sharded BM25 index.
 
 Documents are tokenized once and stored; document frequencies of all tokens are
-summed over all documents.  Documents are then dealt into shards of bounded size.
+summed over all documents.  Documents are then ordered by their leading tokens and
+cut into shards of about equal size, so that those on one subject tend to meet.
 A shard builds an inverted index of its documents, takes a seed, ranks the unused
 ones by BM25 for the seed's tokens and fills the seed's window greedily: those
 that fit go in whole, then the best one left is cut to fill the rest and goes on
@@ -29,6 +30,10 @@ END_ID = 1
 K1, B = 1.2, 0.75
 #: Neighbours ranked for a window before the last one is cut; more are ranked if they do not fill it.
 RANKED = 64
+#: A shard's index is rebuilt without used documents once no more than this share of those in it is unused.
+COMPACT = 0.75
+#: Documents that the cuts between shards are learned from: so many a shard, and this many at most.
+SAMPLED, SAMPLED_AT_MOST = 256, 1 << 22
 #: Characters without (or of nothing but) white space beyond which the rank file's merges, quadratic in a piece, are not used.
 LONG_RUN = 20_000
 
@@ -111,6 +116,36 @@ def document_frequencies(rows: DataFrame) -> np.ndarray:
     return df
 
 
+def bm25(n: np.ndarray, idf: np.ndarray, length: np.ndarray | int, mean: float) -> np.ndarray:
+    return idf * n * (K1 + 1) / (n + K1 * (1 - B + B * length / mean))
+
+
+def leads(data: np.ndarray, offsets: np.ndarray, idf: np.ndarray, df: np.ndarray, mean: float) -> np.ndarray:
+    """The three leading tokens of each document as one number of 48 bits, the first one highest.
+
+    A token leads by its BM25 weight times the logarithm of its documents: one that
+    no other document holds leads to nobody.  Ties go to the lower token; absent
+    tokens are 0.  ``data`` holds the ids of all documents, none of them empty.
+    """
+    sizes = np.diff(offsets)
+    kind = np.uint32 if len(sizes) <= 1 << 16 else np.int64
+    key = np.repeat(np.arange(len(sizes), dtype=kind) << kind(16), sizes) | data
+    key.sort()
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    n = np.diff(np.concatenate([first, [len(key)]]))
+    doc, token = (key[first] >> 16).astype(np.int64), (key[first] & 0xFFFF).astype(np.int64)
+    weight = bm25(n, idf[token], sizes[doc], mean) * np.log(df[token])
+    begin = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+    out = np.zeros(len(sizes), np.int64)
+    for _ in range(3):
+        best = np.maximum.reduceat(weight, begin)
+        at = np.flatnonzero(weight == best[doc])
+        at = at[np.concatenate([[True], doc[at][1:] != doc[at][:-1]])]
+        out = out << 16 | np.where(best >= 0, token[at], 0)
+        weight[at] = -1
+    return out
+
+
 class Index:
     """BM25 weights of one shard's documents, by token."""
 
@@ -122,7 +157,7 @@ class Index:
             self.own.append(t)
             token.append(t)
             doc.append(np.full(len(t), i, np.int32))
-            weight.append((idf[t] * n * (K1 + 1) / (n + K1 * (1 - B + B * len(ids) / mean))).astype(np.float32))
+            weight.append(bm25(n, idf[t], len(ids), mean).astype(np.float32))
         all_tokens = np.concatenate(token)
         order = np.argsort(all_tokens, kind="stable")
         self.doc, self.weight = np.concatenate(doc)[order], np.concatenate(weight)[order]
@@ -135,6 +170,12 @@ class Index:
         at = np.repeat(a - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
         return np.bincount(self.doc[at], self.weight[at], self.n)
 
+    def keep(self, unused: np.ndarray) -> None:
+        """Forget the used documents; scores of the others stay the same."""
+        there = unused[self.doc]
+        self.cut = np.concatenate([[0], np.cumsum(there)])[self.cut]
+        self.doc, self.weight = self.doc[there], self.weight[there]
+
 
 def pack_shard(texts: list[np.ndarray], idf: np.ndarray, mean: float, window: int) -> list[tuple[int, int, int, int, int]]:
     """Pieces (text, start, length, sequence, offset) of one shard's texts."""
@@ -149,7 +190,7 @@ def pack_shard(texts: list[np.ndarray], idf: np.ndarray, mean: float, window: in
     left = size - start
     unused = left > 0
     index = Index(texts, idf, mean) if unused.any() else None
-    seed = -1
+    seed, held = -1, len(texts)
     waiting = iter(np.flatnonzero(unused))
     while unused.any():
         if seed < 0 or not unused[seed]:
@@ -167,6 +208,9 @@ def pack_shard(texts: list[np.ndarray], idf: np.ndarray, mean: float, window: in
         put(seed, left[seed])
         ranked = np.flatnonzero(unused)
         if len(ranked) and at < window:
+            if len(ranked) <= COMPACT * held:
+                index.keep(unused)
+                held = len(ranked)
             score = index.scores(index.own[seed].astype(np.int64))[ranked]
             best = np.argpartition(-score, RANKED)[:RANKED] if len(ranked) > 4 * RANKED else np.arange(len(ranked))
             first = ranked[best[np.lexsort((ranked[best], -score[best]))]]
@@ -190,6 +234,40 @@ def pack_shard(texts: list[np.ndarray], idf: np.ndarray, mean: float, window: in
     return pieces
 
 
+def dealt(rows: DataFrame, count: int, idf: np.ndarray, df: np.ndarray, mean: float, shards: int) -> DataFrame:
+    """shard, id and ids of ``rows(id, ids, n)``: ordered by their leads, equal ones by a hash, and cut by tokens."""
+    rows = rows.select("id", "ids", "n", F.xxhash64("id", F.crc32("ids")).alias("hash"))
+    if shards == 1:
+        return rows.select(F.lit(0).cast("long").alias("shard"), "id", "ids")
+
+    def ordered(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray]]:
+        data, offsets = kernel.strings(batch.column(1))
+        salt = batch.column(3).to_numpy() & 0x7FFF
+        for i, j in kernel.pieces(offsets):
+            ids = data[offsets[i] : offsets[j]].view(np.uint16)
+            yield i, j, leads(ids, (offsets[i : j + 1] - offsets[i]) // 2, idf, df, mean) << 15 | salt[i:j]
+
+    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, lead in ordered(batch):
+                yield pa.RecordBatch.from_arrays([pa.array(lead), batch.column(2).slice(i, j - i)], ["lead", "n"])
+
+    # the sample's size is bounded by SAMPLED_AT_MOST
+    one_in = max(1, math.ceil(count / min(SAMPLED * shards, SAMPLED_AT_MOST)))
+    seen = rows.where(F.pmod(F.xxhash64("hash"), F.lit(one_in)) == 0).mapInArrow(sample, "lead long, n long").toPandas().sort_values(["lead", "n"])
+    upto = np.cumsum(seen["n"].to_numpy())
+    whole = upto[-1] if len(upto) else 0
+    cuts = seen["lead"].to_numpy()[np.searchsorted(upto, whole * np.arange(1, shards) / shards, "right")] if whole else np.zeros(0, np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, lead in ordered(batch):
+                shard = np.searchsorted(cuts, lead, "right").astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(shard), batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i)], ["shard", "id", "ids"])
+
+    return rows.mapInArrow(run, f"shard long, id {rows.schema['id'].dataType.simpleString()}, ids binary")
+
+
 def pack(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -197,7 +275,7 @@ def pack(
     vocabulary: str = VOCABULARY,
     window: int = WINDOW,
     end_id: int = END_ID,
-    shard_tokens: int = 1 << 20,
+    shard_tokens: int = 2 << 20,
 ) -> DataFrame:
     """Cut all documents into pieces and place them in sequences of at most ``window`` ids.
 
@@ -235,6 +313,6 @@ def pack(
             }
         )
 
-    dealt = rows.where("kind = 0").select(F.pmod(F.xxhash64("id", F.crc32("ids")), F.lit(shards)).alias("shard"), "id", "ids")
-    packed = dealt.groupBy("shard").applyInArrow(run, f"id {idt}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    placed = dealt(rows.where("kind = 0"), count, idf, df, mean, shards)
+    packed = placed.groupBy("shard").applyInArrow(run, f"id {idt}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
     return packed.withColumnRenamed("id", id_col)

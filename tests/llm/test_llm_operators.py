@@ -193,6 +193,43 @@ def test_packing_prefers_related_neighbours():
     assert sum(same) >= 5
 
 
+def test_packing_deals_related_documents_together(spark):
+    rng = np.random.default_rng(6)
+    topics = [["".join(rng.choice(list("abcdefghijklmnop"), 7)) for _ in range(12)] for _ in range(24)]
+    rows = [(i, " ".join(rng.choice(topics[i % 24], 60))) for i in range(24 * 12)]
+    pieces = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), window=512, shard_tokens=8000).collect()
+    shards = defaultdict(set)
+    for p in pieces:
+        shards[p["doc_id"]].add(p["sequence_id"] >> 32)
+    assert len({s for x in shards.values() for s in x}) > 8 and all(len(x) == 1 for x in shards.values())
+    alike = [shards[i] == shards[j] for i in shards for j in range(i) if i % 24 == j % 24]
+    other = [shards[i] == shards[j] for i in shards for j in range(i) if i % 24 != j % 24]
+    assert np.mean(alike) > 2 * np.mean(other)  # dealt at random the two agree
+
+
+def test_packing_splits_a_crowd_of_copies(spark):
+    docs = spark.createDataFrame([(i, "the same words over and over again " * 8) for i in range(400)], "doc_id long, text string")
+    size = Counter()
+    for p in packing.pack(docs, shard_tokens=3000).collect():
+        size[p["sequence_id"] >> 32] += p["length"]
+    assert len(size) > 5 and max(size.values()) < 6000
+
+
+def test_leads_against_brute_force():
+    rng = np.random.default_rng(8)
+    texts = [rng.integers(0, 300, int(rng.integers(1, 60))).astype(np.uint16) for _ in range(200)]
+    df = np.zeros(1 << 16, np.int64)
+    for t in texts:
+        df[np.unique(t)] += 1
+    idf = np.log1p((200 - df + 0.5) / (df + 0.5))
+    got = packing.leads(np.concatenate(texts), np.concatenate([[0], np.cumsum([len(t) for t in texts])]), idf, df, 30.0)
+    for t, lead in zip(texts, got, strict=True):
+        token, n = np.unique(t, return_counts=True)
+        weight = packing.bm25(n, idf[token], len(t), 30.0) * np.log(df[token])
+        best = [*token[np.lexsort((token, -weight))][:3].tolist(), 0, 0]
+        assert lead == best[0] << 32 | best[1] << 16 | best[2]
+
+
 # 4
 
 
