@@ -72,7 +72,12 @@ def gram_rows(docs: DataFrame) -> DataFrame:
 
 
 class Model:
-    """Log-likelihood differences of modelled words and word pairs; everything else is 0."""
+    """Log-likelihood differences of modelled words and word pairs.
+
+    A pair's says what its word does after the word before it, also where the word by
+    itself is too rare to be modelled.  Everything else is left to the shared counts
+    by both classes, a difference of 0.
+    """
 
     def __init__(self, rows: DataFrame):
         flag = lambda c: F.sum((F.col(c) > 0).cast("long"))
@@ -111,18 +116,14 @@ class Model:
 
     def features(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         words, _, pairs, _, bounds = _grams(data, offsets)
-        gain = np.zeros(len(words))
-        if len(self.words) and len(words):
+        single = np.zeros(len(words))
+        if len(self.words):
             at, hit = self._find(self.words, words)
-            gain[hit] = self.word_gain[at[hit]]
-            single = gain.copy()
-            if len(self.pairs):
-                # only words that both tables know can have a pair in the second one
-                here = np.flatnonzero(hit)
-                at, hit = self._find(self.pairs, pairs[here])
-                gain[here[hit]] = self.pair_gain[at[hit]]
-        else:
-            single = gain
+            single[hit] = self.word_gain[at[hit]]
+        gain = single.copy()
+        if len(self.pairs):
+            at, hit = self._find(self.pairs, pairs)
+            gain[hit] = self.pair_gain[at[hit]]
         out = np.full((len(bounds) - 1, 4), np.nan)  # stays so without words
         sums = np.concatenate([[0.0], np.cumsum(gain)])
         for i, (a, z) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):

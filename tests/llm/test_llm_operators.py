@@ -489,6 +489,23 @@ def test_toxicity_finds_rare_words_in_long_texts(spark):
     assert toxicity.score_toxicity(docs.limit(0), learn).count() == 0
 
 
+def test_toxicity_finds_a_fixed_phrase(spark):
+    rng = np.random.default_rng(12)
+    clean = ["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(300)]
+    rows = []
+    for i in range(400):
+        w = list(rng.choice(clean, 40))
+        if i % 4 == 0:
+            w[20:22] = [clean[0], "fnarg"]  # the second word follows no other one
+        rows.append((i, " ".join(w), int(i % 4 == 0)))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    learn = spark.createDataFrame([(i, y) for i, _, y in rows if i % 5], "doc_id long, toxic int")
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.score_toxicity(docs, learn).collect()}
+    held = [(i, y) for i, _, y in rows if i % 5 == 0]
+    assert np.mean([got[i] for i, y in held if y]) > 0.9
+    assert np.mean([got[i] for i, y in held if not y]) < 0.05
+
+
 # 10
 
 
