@@ -53,12 +53,22 @@ def gzip_archive(files: DataFrame) -> DataFrame:
 
 
 def codec_sizes(files: DataFrame) -> DataFrame:
-    """Bytes of each file under each codec: file_id, codec, bytes."""
-    out = None
-    for codec in CODECS:
-        part = packed(files.select("file_id", "text"), "text", codec).select("file_id", F.lit(codec).alias("codec"), F.octet_length("packed").cast("long").alias("bytes"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Bytes of each file under each codec: file_id, codec, bytes.  Each text is read once for all codecs."""
+    id_type = files.schema["file_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, codecs, sizes = [], [], []
+            for i, x in enumerate(batch.column(1)):
+                raw = x.as_py()
+                raw = raw.encode() if isinstance(raw, str) else raw
+                for codec, (pack, _) in CODECS.items():
+                    ids.append(i)
+                    codecs.append(codec)
+                    sizes.append(None if raw is None else len(pack(raw)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), pa.array(codecs, pa.string()), pa.array(sizes, pa.int64())], ["file_id", "codec", "bytes"])
+
+    return files.select("file_id", "text").mapInArrow(run, f"file_id {id_type}, codec string, bytes long")
 
 
 def best_codec(sizes: DataFrame) -> DataFrame:

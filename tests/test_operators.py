@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from lodestore.functions import scalar as S
 from lodestore.operators import archive, audit, chunking, dedup, frames, inventory, logs, ops, placement
+from lodestore.plans import registry
+from lodestore.plans.catalog import Tables
 from lodestore.sources import files, sinks
 
 
@@ -127,6 +129,16 @@ def test_archive_round_trip(spark):
         assert {r["file_id"]: r["unpacked"] and bytes(r["unpacked"]).decode() for r in back.collect()} == {1: "x" * 4000, 2: "abc", 3: None}
 
 
+def test_codecs_cover_every_file(spark, small):
+    texts = {r["file_id"]: r["text"] for r in Tables(spark, small).files.select("file_id", "text").collect()}
+    want = {(i, name): len(pack(t.encode())) for i, t in texts.items() for name, (pack, _) in archive.CODECS.items()}
+    got = registry.queries()["sink_tier_backend"](spark, small).collect()
+    assert len(got) == len(want) and {(r["file_id"], r["codec"]): r["bytes"] for r in got} == want
+    best = registry.queries()["topk_best_codec"](spark, small).collect()
+    assert len(best) == len(texts)
+    assert all((r["bytes"], r["codec"]) == min((want[r["file_id"], c], c) for c in archive.CODECS) for r in best)
+
+
 def test_health_without_checks(spark):
     assert ops.overall_health(spark.createDataFrame([], "status string")).first()["status"] == "UNKNOWN"
 
