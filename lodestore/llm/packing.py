@@ -212,24 +212,18 @@ def pack_shard(texts: list[np.ndarray], idf: np.ndarray, mean: float, window: in
                 index.keep(unused)
                 held = len(ranked)
             score = index.scores(index.own[seed].astype(np.int64))[ranked]
-            best = np.argpartition(-score, RANKED)[:RANKED] if len(ranked) > 4 * RANKED else np.arange(len(ranked))
-            first = ranked[best[np.lexsort((ranked[best], -score[best]))]]
-            for i in first:
-                if left[i] <= window - at:
-                    put(i, left[i])
-            rest = window - at
-            if rest:
-                over = next((i for i in first if unused[i]), -1)
-                while over < 0 and unused.any() and rest:  # all of the ranked went in whole
-                    i = np.flatnonzero(unused)[0]
-                    if left[i] > rest:
-                        over = i
-                    else:
+            over, open_ = -1, np.arange(len(ranked))
+            while at < window and over < 0 and len(open_):
+                best = open_[np.argpartition(-score[open_], RANKED)[:RANKED]] if len(open_) > 4 * RANKED else open_
+                first = ranked[best[np.lexsort((ranked[best], -score[best]))]]
+                for i in first:
+                    if left[i] <= window - at:
                         put(i, left[i])
-                        rest = window - at
-                if over >= 0 and rest:
-                    put(over, rest)
-                    seed = over
+                over = next((i for i in first if unused[i]), -1)
+                open_ = open_[unused[ranked[open_]]]
+            if over >= 0 and at < window:
+                put(over, window - at)
+                seed = over
         sequence += 1
     return pieces
 

@@ -193,6 +193,14 @@ def test_packing_prefers_related_neighbours():
     assert sum(same) >= 5
 
 
+def test_packing_fills_windows_of_short_texts_by_score():
+    rng = np.random.default_rng(9)
+    texts = [rng.integers(100 * k, 100 * k + 30, 10).astype(np.uint16) for k in (1, 2) * 400]
+    pieces = packing.pack_shard(texts, np.ones(1 << 16), 10.0, 1000)
+    same = [len({i % 2 for i, _, _, s, _ in pieces if s == k}) == 1 for k in range(8)]
+    assert sum(same) >= 6
+
+
 def test_packing_deals_related_documents_together(spark):
     rng = np.random.default_rng(6)
     topics = [["".join(rng.choice(list("abcdefghijklmnop"), 7)) for _ in range(12)] for _ in range(24)]
