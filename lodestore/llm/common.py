@@ -5,7 +5,6 @@ from __future__ import annotations
 import atexit
 import math
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,7 +21,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share; a private one only where none is named."""
+    """The folder all machines share; a private one only where none is named and one machine does all the work."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
@@ -30,6 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
     held = sc._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get()
+    if not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="lodestore-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -50,24 +51,19 @@ def _drop_at_exit(spark: SparkSession, path: str) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that have ended.
-
-    It does so once the driver's JVM has collected them; the last events of a job
-    may still hold its plan, hence the second time.
-    """
-    for _ in range(2):
-        spark._jvm.System.gc()
-        time.sleep(0.2)
+    """Let Spark delete the shuffle files of plans that have ended, which it does once the driver's JVM has collected them."""
+    spark._jvm.System.gc()
 
 
 class Stored:
     """A DataFrame written to the shared folder and read back, which cuts lineage.
 
     It survives the loss of any executor.  ``drop()`` removes the files early;
-    otherwise they go when the driver ends.
+    otherwise they go when the driver ends.  ``tidy`` is for plans that shuffle
+    whole texts: their shuffle files go at once.
     """
 
-    def __init__(self, df: DataFrame, name: str, tidy: bool = True):
+    def __init__(self, df: DataFrame, name: str, tidy: bool = False):
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
         df.write.option("compression", "zstd").parquet(self.path)
@@ -98,6 +94,11 @@ def parts_for(spark: SparkSession, nbytes: int, target: int = TARGET_BYTES) -> i
     return max(1, math.ceil(nbytes / target), min(shuffle_partitions(spark), math.ceil(nbytes / (1 << 20))))
 
 
+def null_salt(c: Column) -> Column:
+    """Tells rows apart that have no id, so that they are not all dealt to one place; null for the others."""
+    return F.when(c.isNull(), F.monotonically_increasing_id())
+
+
 def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
     return docs.agg(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0
 

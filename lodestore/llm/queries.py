@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from . import ann, language, mixing, near_dup, packing, quality, search, suffix_dedup, toxicity, url_filter
 from .common import crc_mod, table
 
-RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
-_RULES_SQL = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)
+RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = spark.sql(f"select * from values {_RULES_SQL} as rules(host, path, verdict)")
+    rows = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)
+    rules = spark.sql(f"select * from values {rows} as rules(host, path, verdict)")
     return url_filter.url_filter(table(spark, sf_dir, "pages"), rules)
 
 
@@ -80,8 +80,10 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
-    "op1_url_filter": f"""
-        with rules(rule_host, rule_path, rule_verdict) as (values {_RULES_SQL}),
+    "op1_url_filter": """
+        with rules(rule_host, rule_path, rule_verdict) as (
+            values ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')
+        ),
         cut as (
             select page_id, case when url is not null and strpos(url, '://') > 0
                 then regexp_extract(substr(url, strpos(url, '://') + 3), '^[^?#]*') else '' end as rest

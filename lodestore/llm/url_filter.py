@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, shuffle_partitions
+from .common import lower_ascii, null_salt, shuffle_partitions
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -93,7 +93,7 @@ def url_filter(pages: DataFrame, rules: DataFrame, url_col: str = "url", id_col:
     host, path = url_parts(F.col(url_col))
     rows = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"))
     rows = rows.select(
-        F.pmod(F.xxhash64("id", "path"), F.lit(buckets)).alias("bucket"),
+        F.pmod(F.xxhash64("id", "host", "path", null_salt(F.col("id"))), F.lit(buckets)).alias("bucket"),
         host_key(F.col("host")).alias("key"),
         F.lit(1).alias("kind"),
         "id", "host", "path",
