@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+
 import numpy as np
 
 #: Steps of a block in ``marginals``.
@@ -75,9 +77,49 @@ def train(features: list[np.ndarray], scatter, labels: list[np.ndarray], n_label
     return w, t
 
 
-def marginals(emission: np.ndarray, bounds: np.ndarray, transition: np.ndarray) -> np.ndarray:
+def transfer(emission: np.ndarray, transition: np.ndarray) -> np.ndarray:
+    """The product of all steps as one matrix (labels, labels), up to a factor; the identity for no step."""
+    n, labels = emission.shape
+    if not n:
+        return np.eye(labels)
+    t = np.exp(transition)
+    p = np.exp(emission - emission.max(axis=1, keepdims=True))
+    begin = np.arange(0, n, BLOCK)
+    whole = np.broadcast_to(np.eye(labels), (len(begin), labels, labels)).copy()
+    for k in range(min(BLOCK, n)):
+        new = (whole @ t) * p[np.minimum(begin + k, n - 1)][:, None, :]
+        new /= np.maximum(new.sum(axis=(1, 2), keepdims=True), 1e-300)
+        whole = np.where((begin + k < n)[:, None, None], new, whole)
+    while len(whole) > 1:
+        pairs = whole[0 : len(whole) // 2 * 2 : 2] @ whole[1::2]
+        pairs /= np.maximum(pairs.sum(axis=(1, 2), keepdims=True), 1e-300)
+        whole = np.concatenate([pairs, whole[len(whole) // 2 * 2 :]])
+    return whole[0]
+
+
+def long_marginals(parts: Callable[[], Iterable[np.ndarray]], transition: np.ndarray) -> Iterator[np.ndarray]:
+    """Label marginals of one chain whose emissions ``parts()`` gives part by part, the same each time.
+
+    A first sweep keeps one small matrix for each part, which gives the messages at
+    the parts' borders; a second one gives the marginals.  The result is that of
+    ``marginals``, in the memory of one part.
+    """
+    steps = [transfer(e, transition) for e in parts()]
+    uniform = np.full(len(transition), 1.0 / len(transition))
+    right = [uniform]
+    for m in reversed(steps[1:]):
+        right.append(_unit(m @ right[-1]))
+    left = uniform
+    for e, m, r in zip(parts(), steps, reversed(right), strict=True):
+        yield marginals(e, np.array([0, len(e)]), transition, left, r)
+        left = _unit(left @ m)
+
+
+def marginals(emission: np.ndarray, bounds: np.ndarray, transition: np.ndarray, before: np.ndarray | None = None, beyond: np.ndarray | None = None) -> np.ndarray:
     """Label marginals of every step; chain i holds the rows ``bounds[i]`` to ``bounds[i + 1]``.
 
+    ``before`` and ``beyond`` are the messages that reach both ends of every chain; uniform if none is given.
+
     Chains are cut into blocks.  The product of a block's steps is one small
     matrix, a scan over a chain's matrices gives each block the messages from both
     ends, and all blocks then run side by side.  The result is that of the plain
@@ -107,6 +149,10 @@ def marginals(emission: np.ndarray, bounds: np.ndarray, transition: np.ndarray)
             new /= np.maximum(new.sum(axis=(1, 2), keepdims=True), 1e-300)
             whole = new if full else np.where(live[k][:, None, None], new, whole)
     left, right = np.full((total, labels), 1.0 / labels), np.full((total, labels), 1.0 / labels)
+    if before is not None:
+        left[first[:-1][blocks > 0]] = before
+    if beyond is not None:
+        right[first[1:][blocks > 0] - 1] = beyond
     by_size = np.argsort(-blocks, kind="stable")
     for j in range(1, int(blocks.max())):
         who = by_size[: np.searchsorted(-blocks[by_size], -j, "left")]
