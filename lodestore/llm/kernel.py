@@ -98,6 +98,17 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.flatnonzero(~space & before), np.flatnonzero(~space & after) + 1
 
 
+def cuts(data: np.ndarray, gap: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Parts of a text of at most ``limit`` bytes that end after a byte of the table ``gap``, where there is one."""
+    at = 0
+    while at < len(data):
+        end = min(len(data), at + limit)
+        here = np.flatnonzero(gap[data[at:end]]) if end < len(data) else np.zeros(0, int)
+        end = at + int(here[-1]) + 1 if len(here) else end
+        yield at, end
+        at = end
+
+
 def _cuts(data: np.ndarray) -> Iterator[tuple[int, int]]:
     """Pieces of one long text that end where a word ends."""
     at, n = 0, len(data)

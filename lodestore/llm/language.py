@@ -19,10 +19,8 @@ from pyspark.sql import functions as F
 
 from . import crf, kernel
 
-#: Learning rows for each language, snippets taken from each, and words of a snippet.
-ROWS, SNIPPETS, WORDS = 300, 6, 16
-#: Texts above this size are not learned from.
-LONGEST = 1 << 18
+#: Learning rows for each language, at most; their whole texts are cut into training snippets of so many words.
+ROWS, WORDS = 100, 16
 TABLE_BITS = 16
 UNDETERMINED = "und"
 
@@ -87,24 +85,19 @@ def _scatter(items, weights, gradient=None):
     where = np.concatenate([[0], np.cumsum(size)[:-1]])
     if weights is not None:
         return emissions(flat, where, weights)
-    out = np.zeros((1 << TABLE_BITS, gradient.shape[1]))
-    np.add.at(out, flat, np.repeat(gradient / np.sqrt(size)[:, None], size, axis=0))
-    return out
+    scaled = np.repeat(gradient / np.sqrt(size)[:, None], size, axis=0)
+    return np.stack([np.bincount(flat, column, 1 << TABLE_BITS) for column in scaled.T], axis=1)
 
 
 def snippets(docs: DataFrame) -> DataFrame:
-    """Snippets (lang, text) of ``docs(lang, text)``, evenly spread over each whole text."""
+    """Snippets (lang, text) that together are the whole texts of ``docs(lang, text)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, out = [], []
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = (text or "").split()
-                parts = max(1, len(words) // WORDS)
-                for k in sorted({int(x) for x in np.linspace(0, parts - 1, min(SNIPPETS, parts))}):
-                    langs.append(lang)
-                    out.append(" ".join(words[k * WORDS : (k + 1) * WORDS]))
-            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(out, pa.string())], ["lang", "text"])
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                words = (text.as_py() or "").split()
+                out = [" ".join(words[k : k + WORDS]) for k in range(0, len(words), WORDS)]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(out), pa.string()), pa.array(out, pa.string())], ["lang", "text"])
 
     return docs.select("lang", "text").mapInArrow(run, "lang string, text string")
 
@@ -112,7 +105,7 @@ def snippets(docs: DataFrame) -> DataFrame:
 def fit(learn: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages, weights and transitions from ``learn(id, lang, text)``; bounded by ROWS for each language."""
     hashed = F.xxhash64("id", F.lit(2))
-    usable = learn.where("lang is not null and text is not null and id is not null").where(F.octet_length("text") <= LONGEST)
+    usable = learn.where("lang is not null and text is not null and id is not null")
     picked = usable.select("id", "lang")
     for salt in (F.pmod(F.xxhash64("id"), F.lit(64)), F.lit(0)):  # first within shares of a language, so none is ranked whole by one task
         order = Window.partitionBy("lang", salt).orderBy(hashed, "id")
@@ -139,7 +132,7 @@ def fit(learn: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
         lengths = [len(f) for f, _, _ in group]
         features.append((np.concatenate([f for f, _, _ in group]), np.concatenate([w + sum(lengths[:k]) for k, (_, w, _) in enumerate(group)])))
         labels.append(np.concatenate([np.full(len(w), y) for _, w, y in group]))
-    weights, transition = crf.train(features, _scatter, labels, len(langs), 1 << TABLE_BITS, epochs=6)
+    weights, transition = crf.train(features, _scatter, labels, len(langs), 1 << TABLE_BITS, epochs=4, batch=128)
     return langs, weights.astype(np.float32), transition
 
 
@@ -147,8 +140,8 @@ def identify(docs: DataFrame, learn: DataFrame, id_col: str = "doc_id", text_col
     """Predict the language of every whole text; returns id, lang_pred and score.
 
     ``learn`` holds labelled rows with the same columns; only its texts and
-    non-null languages are learned from, ROWS by language at most, by a hash of
-    the id.  ``score`` is the share (0 to 1) of the text's letters that the
+    non-null languages are learned from, the whole texts of ROWS rows by language
+    at most, by a hash of the id.  ``score`` is the share (0 to 1) of the text's letters that the
     marginals give to ``lang_pred``; at a tie the first language in order wins.
     A text that is null or has no letter is ``und`` with score 0, as is every text
     if nothing was learned.  Repeated rows are judged alike.  Empty input: no rows.
@@ -156,7 +149,7 @@ def identify(docs: DataFrame, learn: DataFrame, id_col: str = "doc_id", text_col
     """
     idt = docs.schema[id_col].dataType.simpleString()
     langs, weights, transition = fit(learn.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")))
-    limit = max(1 << 16, (1 << 21) // max(4, len(langs)))
+    limit = max(1 << 15, (1 << 20) // max(4, len(langs)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,24 +176,21 @@ _ASCII_LETTER = np.array([b < 128 and chr(b).isalpha() for b in range(256)])
 
 
 def _shares(data: np.ndarray, offsets: np.ndarray, weights: np.ndarray, transition: np.ndarray, limit: int) -> np.ndarray:
-    """Letters (bytes of words) that each language gets in each text."""
-    emitted, sizes, bounds = [], [], None
-    if len(offsets) == 2 and len(data) > 2 * limit:  # one long text: features part by part, one chain
-        at = 0
-        while at < len(data):
-            end = min(len(data), at + limit)
-            gap = np.flatnonzero(_FOLD[data[at:end]] == 32) if end < len(data) else np.zeros(0, int)
-            end = at + int(gap[-1]) + 1 if len(gap) else end
-            flat, where, _, size = word_features(data[at:end], np.array([0, end - at]))
-            emitted.append(emissions(flat, where, weights))
-            sizes.append(size)
-            at = end
-        bounds = np.array([0, sum(len(s) for s in sizes)])
-    else:
-        flat, where, bounds, size = word_features(data, offsets)
-        emitted.append(emissions(flat, where, weights))
-        sizes.append(size)
-    gamma = crf.marginals(np.concatenate(emitted).astype(float), bounds, transition)
-    weighted = gamma * np.concatenate(sizes)[:, None]
+    """Letters (bytes of words) that each language gets in each text; one text of more than ``limit`` bytes part by part."""
+    if len(data) > limit:
+        cuts = list(kernel.cuts(data, _FOLD == 32, limit))
+
+        def parts(column: int) -> Iterator[np.ndarray]:
+            for a, z in cuts:
+                flat, where, _, size = word_features(data[a:z], np.array([0, z - a]))
+                yield emissions(flat, where, weights).astype(float) if column == 0 else size
+
+        share = np.zeros((1, weights.shape[1]))
+        for gamma, size in zip(crf.long_marginals(lambda: parts(0), transition), parts(1), strict=True):
+            share += (gamma * size[:, None]).sum(axis=0)
+        return share
+    flat, where, bounds, size = word_features(data, offsets)
+    gamma = crf.marginals(emissions(flat, where, weights).astype(float), bounds, transition)
+    weighted = gamma * size[:, None]
     sums = np.concatenate([np.zeros((1, gamma.shape[1])), np.cumsum(weighted, axis=0)])
     return np.where(np.diff(bounds)[:, None] > 0, sums[bounds[1:]] - sums[bounds[:-1]], 0.0)
