@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel
-from .common import Stored
+from .common import Stored, null_salt
 
 VOCABULARY = "byte_bpe_50k"
 WINDOW = 2048
@@ -34,6 +34,8 @@ RANKED = 64
 COMPACT = 0.75
 #: Documents that the cuts between shards are learned from: so many a shard, and this many at most.
 SAMPLED, SAMPLED_AT_MOST = 256, 1 << 22
+#: Bytes of text whose ids are handed on together.
+LOT = 1 << 20
 #: Characters without (or of nothing but) white space beyond which the rank file's merges, quadratic in a piece, are not used.
 LONG_RUN = 20_000
 
@@ -45,11 +47,10 @@ def encoders(vocabulary: str):
     from tokenizers import Tokenizer
 
     slow = Tokenizer.from_file(public.path(f"{vocabulary}.json"))
-    slow.encode_special_tokens = True
     with open(public.path(f"{vocabulary}.tiktoken"), "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     fast = tiktoken.Encoding("ranks", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return slow, fast, slow.get_vocab_size()
+    return slow, fast, tuple(t.content for t in slow.get_added_tokens_decoder().values())
 
 
 def _long_run(text: str) -> bool:
@@ -62,9 +63,12 @@ def encode(text: str, vocabulary: str = VOCABULARY) -> list[int]:
     """Ids as the tokenizer's own library gives them.
 
     The same merges run about three times as fast from the rank file; that way is
-    taken for Latin-1 texts without giant words, where both agree (see tests).
+    taken for Latin-1 texts without giant words or added tokens (such as an
+    end-of-text mark, which the library gives its own id wherever it stands).
     """
-    slow, fast, _ = encoders(vocabulary)
+    slow, fast, added = encoders(vocabulary)
+    if any(mark in text for mark in added):
+        return slow.encode(text, add_special_tokens=False).ids
     try:
         text.encode("latin-1")
     except UnicodeEncodeError:
@@ -84,15 +88,14 @@ def token_rows(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, end
         idt = None
         for batch in batches:
             idt = batch.column(0).type
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for i, j in kernel.pieces(kernel.strings(batch.column(1))[1], LOT):
                 out, sizes = [], []
-                for text in part.column(1):
+                for text in batch.column(1).slice(i, j - i):
                     ids = np.array([*encode(text.as_py() or "", vocabulary), end_id], np.uint16)
                     df[np.unique(ids)] += 1
                     out.append(ids.tobytes())
                     sizes.append(len(ids))
-                yield pa.RecordBatch.from_arrays([pa.array([0] * len(out), pa.int32()), part.column(0), pa.array(out, pa.binary()), pa.array(sizes, pa.int64())], names)
+                yield pa.RecordBatch.from_arrays([pa.array([0] * len(out), pa.int32()), batch.column(0).slice(i, j - i), pa.array(out, pa.binary()), pa.array(sizes, pa.int64())], names)
         if idt is not None:
             used = np.flatnonzero(df)
             yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.nulls(1, idt), pa.array([np.stack([used, df[used]]).tobytes()], pa.binary()), pa.array([0], pa.int64())], names)
@@ -230,7 +233,7 @@ def pack_shard(texts: list[np.ndarray], idf: np.ndarray, mean: float, window: in
 
 def dealt(rows: DataFrame, count: int, idf: np.ndarray, df: np.ndarray, mean: float, shards: int) -> DataFrame:
     """shard, id and ids of ``rows(id, ids, n)``: ordered by their leads, equal ones by a hash, and cut by tokens."""
-    rows = rows.select("id", "ids", "n", F.xxhash64("id", F.crc32("ids")).alias("hash"))
+    rows = rows.select("id", "ids", "n", F.xxhash64("id", F.crc32("ids"), null_salt(F.col("id"))).alias("hash"))
     if shards == 1:
         return rows.select(F.lit(0).cast("long").alias("shard"), "id", "ids")
 
