@@ -1,16 +1,16 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-One model of the toxic and one of the ordinary labelled documents give each word
-a probability after the word before it.  Counts are Kneser-Ney's: how many
-different contexts an expression was seen in, so a text that was copied counts
-once.  Both models back off from word pairs to words and from there to counts
-that they share, so an expression too rare to tell says nothing for either.
-
-A text is compared by the difference of its two log-likelihoods, normalised by
-length: over the whole text, over its most toxic passage of eight words, and over
-its one and two most toxic words, as a long text may hold few of them.  A logistic
-regression, fitted on learning rows that the counts have not seen, turns these
-into a score.
+One model of the toxic and one of the ordinary labelled documents give each word a
+probability after the word before it.  Both back off from word pairs to words, from
+words to their openings (words that begin alike) and from there to counts that they
+share: how many different words of all documents begin so.  Counts are Kneser-Ney's,
+of different contexts: of a pair the words before it, of a word likewise, of an
+opening the words that begin so; a passage that was copied counts once.
+
+A text is compared by the difference of its two log-likelihoods, divided by its
+number of words.  As a long text may hold little that is toxic, so are its two and its
+six most toxic words, wherever they stand.  A logistic regression, fitted on learning
+rows that the counts have not seen, turns these and the length into a score.
 """
 
 from __future__ import annotations
@@ -26,125 +26,257 @@ from . import kernel
 from .common import Stored
 from .logistic import Logistic
 
-#: Labelled rows that the models are fitted on, at most, by class; texts over LONGEST bytes are not among them.
-TOXIC_ROWS, ORDINARY_ROWS, LONGEST = 4000, 9000, 1 << 16
-#: Contexts that an expression needs in the toxic class to be modelled, and the discount from its count.
-SEEN, DISCOUNT = 3, 2.0
-PASSAGE = 8
+#: Labelled rows that the models are fitted on, at most, by class; their whole texts are read.
+TOXIC_ROWS, ORDINARY_ROWS = 4000, 9000
+#: Words that must precede a pair for it to be modelled; a rarer one is left to its second word.
+PAIR_CONTEXTS = 5
+#: Bytes of a word's opening.
+OPENING = 8
+#: Most toxic words of a text that are taken together.
+WORST = (2, 6)
+#: Distinct words that a task holds before it hands them on.
+HELD = 500_000
+_FEATURES = ["whole", *(f"worst{n}" for n in WORST), "length"]
 
 #: Words are runs of letters: ASCII letters in lower case and all bytes beyond ASCII.
 _WORDS = kernel.LOWER.copy()
 _WORDS[[b for b in range(128) if not chr(b).isalpha()]] = 32
+_START = np.uint64(1)
+
+
+def _fold(data: np.ndarray) -> np.ndarray:
+    """Letters in lower case, also the accented ones of Latin-1; everything else is a gap."""
+    out = _WORDS[data]
+    capital = np.flatnonzero((data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97) & (data[:-1] == 0xC3)) + 1
+    out[capital] += 32
+    return out
 
 
 def _pair(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return kernel.mix(first * np.uint64(0x9E3779B97F4A7C15) + second)
 
 
-def _grams(data: np.ndarray, offsets: np.ndarray):
-    """Word, pair and triple hashes, and where each text's words begin; a text's first words have fixed contexts."""
-    words, bounds = kernel.word_hashes(_WORDS[data], offsets, fold_case=False)
+class Grams:
+    """Hashes of words, of the words before them and of openings, and where each text's words begin; a text's first word stands after a fixed one."""
+
+    def __init__(self, folded: np.ndarray, offsets: np.ndarray, before: np.uint64 = _START):
+        start, end = kernel.word_spans(folded, offsets)
+        self.bounds = np.searchsorted(start, offsets)
+        sums = kernel.prefix(folded)
+        self.word = kernel.mix(kernel.span_hash(sums, start, end))
+        self.opening = kernel.mix(kernel.span_hash(sums, start, np.minimum(start + OPENING, end)) + np.uint64(7))
+        self.previous = self.shifted(self.word, before)
+
+    def shifted(self, x: np.ndarray, before: np.uint64 = _START) -> np.ndarray:
+        out = np.concatenate([[before], x[:-1]])[: len(x)]
+        first = self.bounds[:-1][self.bounds[:-1] < len(x)]
+        out[first] = before
+        return out
 
-    def before(x: np.ndarray) -> np.ndarray:
-        out = np.concatenate([[np.uint64(1)], x[:-1]])
-        out[bounds[:-1][bounds[:-1] < len(x)]] = 1
-        return out[: len(x)]
 
-    previous = before(words)
-    pairs = _pair(previous, words)
-    return words, previous, pairs, _pair(before(previous), pairs), bounds
+def grams(data: np.ndarray, offsets: np.ndarray) -> Iterator[Grams]:
+    """The grams of some texts, or part by part those of one text beyond PIECE bytes; a run of letters beyond that counts as several words."""
+    if len(data) <= kernel.PIECE:
+        yield Grams(_fold(data), offsets)
+        return
+    folded, before = _fold(data), _START
+    for a, z in kernel.cuts(folded, kernel.SPACE, kernel.PIECE):
+        made = Grams(folded[a:z], np.array([0, z - a]), before)
+        before = made.word[-1] if len(made.word) else before
+        yield made
 
 
 def gram_rows(docs: DataFrame) -> DataFrame:
-    """Rows (toxic, triple, previous, word) of ``docs(toxic, text)``, distinct within a batch."""
+    """Rows (toxic, triple, previous, word, opening) of ``docs(toxic, text)``, distinct within a part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             toxic = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int32)
             data, offsets = kernel.strings(batch.column(1))
             for i, j in kernel.pieces(offsets):
-                words, previous, _, triples, bounds = _grams(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                label = np.repeat(toxic[i:j], np.diff(bounds))
-                first = np.unique(triples ^ label.astype(np.uint64), return_index=True)[1]
-                yield pa.RecordBatch.from_arrays([pa.array(label[first]), *(pa.array(x[first].view(np.int64)) for x in (triples, previous, words))], ["toxic", "triple", "previous", "word"])
+                for g in grams(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]):
+                    label = np.repeat(toxic[i:j], np.diff(g.bounds))
+                    triple = _pair(g.shifted(g.previous), _pair(g.previous, g.word))
+                    first = np.unique(triple ^ label.astype(np.uint64), return_index=True)[1]
+                    yield pa.RecordBatch.from_arrays([pa.array(label[first]), *(pa.array(x[first].view(np.int64)) for x in (triple, g.previous, g.word, g.opening))], ["toxic", "triple", "previous", "word", "opening"])
+
+    return docs.select("toxic", "text").mapInArrow(run, "toxic int, triple long, previous long, word long, opening long")
+
+
+def shared_counts(texts: DataFrame, openings: np.ndarray) -> tuple[np.ndarray, int]:
+    """How many different words of all documents begin with each of the sorted ``openings``, and how many there are at all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush() -> pa.RecordBatch:
+            word, first = np.unique(np.concatenate([w for w, _ in held]), return_index=True)
+            opening = np.concatenate([o for _, o in held])[first]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (opening, word)], ["opening", "word"])
+
+        held, size = [], 0
+        for batch in batches:
+            data, offsets = kernel.strings(batch.column(0))
+            for i, j in kernel.pieces(offsets):
+                for g in grams(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]):
+                    word, first = np.unique(g.word, return_index=True)
+                    held.append((word, g.opening[first]))
+                    size += len(word)
+                    if size > HELD:
+                        yield flush()
+                        size = 0
+        if held:
+            yield flush()
+
+    words = texts.select("text").mapInArrow(run, "opening long, word long").distinct()
+    types = Stored(words.groupBy("opening").agg(F.count(F.lit(1)).alias("n")), "openings")
+    spark = texts.sparkSession
+    known = spark.createDataFrame(pa.table({"opening": openings.view(np.int64)}))
+    # no more than the learning sample holds
+    found = types.df.join(F.broadcast(known), "opening").toArrow()
+    total = types.df.agg(F.sum("n")).first()[0] or 0
+    types.drop()
+    out = np.ones(len(openings), np.int64)
+    out[np.searchsorted(openings, found.column("opening").to_numpy().view(np.uint64))] = found.column("n").to_numpy()
+    return out, max(total, len(openings))
+
+
+def _place(known: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Places of ``x`` in the sorted ``known``; its length where they are not in it."""
+    if not len(known):
+        return np.zeros(len(x), np.int64)
+    at = np.minimum(np.searchsorted(known, x), len(known) - 1)
+    return np.where(known[at] == x, at, len(known))
+
+
+def discounts(n: np.ndarray) -> np.ndarray:
+    """What modified Kneser-Ney takes off each count: one amount for ones, one for twos and one for more, estimated from how many there are."""
+    one, two, three, four = (max(1, np.count_nonzero(n == k)) for k in (1, 2, 3, 4))
+    y = one / (one + 2 * two)
+    amounts = [0.0, *(min(max(k - (k + 1) * y * b / a, 0.1 * k), 0.95 * k) for k, a, b in ((1, one, two), (2, two, three), (3, three, four)))]
+    return np.array(amounts)[np.minimum(n, 3).astype(int)]
+
+
+class KneserNey:
+    """Probabilities of one class, level by level.
+
+    ``opening``, ``word`` and ``pair`` are counts; ``word_opening``, ``pair_word`` and
+    ``pair_context`` tell which opening a word has, and which words make a pair;
+    ``context_size`` is the sum of all counts of pairs after a word; ``shared_opening``
+    and ``shared_word`` are the shared probability of an opening, and of a word that
+    has it.  What is taken off a level is its ``rest``, given to the level below.
+    """
 
-    return docs.select("toxic", "text").mapInArrow(run, "toxic int, triple long, previous long, word long")
+    def __init__(self, opening, word, pair, word_opening, pair_word, pair_context, context_size, shared_opening, shared_word):
+        def level(n: np.ndarray) -> tuple[np.ndarray, float]:
+            d = discounts(n)
+            return (n - d) / n.sum(), d.sum() / n.sum()
+
+        p, self.opening_rest = level(opening)
+        self.opening = p + self.opening_rest * shared_opening
+        p, self.word_rest = level(word)
+        self.word = p + self.word_rest * self.opening[word_opening] * shared_word[word_opening]
+        size = np.maximum(context_size, 1)
+        kept = (pair - discounts(pair)) / size[pair_context] * (pair >= PAIR_CONTEXTS)
+        self.context_rest = 1 - np.bincount(pair_context, kept, len(size))
+        self.pair = kept + self.context_rest[pair_context] * self.word[pair_word]
 
 
 class Model:
-    """Log-likelihood differences of modelled words and word pairs.
+    """Differences of the two classes' log-probabilities: of modelled pairs, and, where there is none, of a word and of what its context leaves to it.
 
-    A pair's says what its word does after the word before it, also where the word by
-    itself is too rare to be modelled.  Everything else is left to the shared counts
-    by both classes, a difference of 0.
+    What neither class has seen is left to the shared counts by both, so these cancel
+    out and only what each class leaves to them counts.
     """
 
-    def __init__(self, rows: DataFrame):
-        flag = lambda c: F.sum((F.col(c) > 0).cast("long"))
-        triples = gram_rows(rows).groupBy("triple", "previous", "word").agg(F.max("toxic").alias("t"), F.max(1 - F.col("toxic")).alias("o"))
-        held = Stored(triples.groupBy("previous", "word").agg(F.sum("t").alias("t"), F.sum("o").alias("o")), "pairs")
-        pairs = held.df
-        words = pairs.groupBy("word").agg(flag("t").alias("wt"), flag("o").alias("wo"))
-        contexts = pairs.groupBy("previous").agg(F.sum("t").alias("ct"), F.sum("o").alias("co"), flag("t").alias("ft"), flag("o").alias("fo"))
-        total_t, total_o, kinds_t, kinds_o = (float(x or 0) for x in words.agg(F.sum("wt"), F.sum("wo"), flag("wt"), flag("wo")).first())
-        self.words = self.pairs = np.zeros(0, np.uint64)
-        self.word_gain = self.pair_gain = np.zeros(0)
-        if total_t and total_o:
-            known = words.where(f"wt >= {SEEN}").toPandas()
-            double = pairs.where(f"t >= {SEEN}").join(words, "word").join(contexts, "previous").toPandas()
-            shared = lambda p: (p["wt"] + p["wo"]) / (total_t + total_o)
-            one = lambda n, total, kinds, s: np.maximum(n - DISCOUNT, 0) / total + min(0.9, DISCOUNT * kinds / total) * s
-            qt = lambda p: one(p["wt"], total_t, kinds_t, shared(p))
-            qo = lambda p: one(p["wo"], total_o, kinds_o, shared(p))
-            two = lambda n, c, f, q: np.where(c > 0, np.maximum(n - DISCOUNT, 0) / np.maximum(c, 1) + np.minimum(0.9, DISCOUNT * f / np.maximum(c, 1)) * q, q)
-            self.words, self.word_gain = self._table(known["word"], np.log(qt(known)) - np.log(qo(known)))
-            gain = np.log(two(double["t"], double["ct"], double["ft"], qt(double))) - np.log(two(double["o"], double["co"], double["fo"], qo(double)))
-            key = _pair(double["previous"].to_numpy(np.int64).view(np.uint64), double["word"].to_numpy(np.int64).view(np.uint64))
-            self.pairs, self.pair_gain = self._table(key.view(np.int64), gain)
-        held.drop()
-
-    @staticmethod
-    def _table(keys, gains) -> tuple[np.ndarray, np.ndarray]:
-        keys = np.asarray(keys, np.int64).view(np.uint64)
-        order = np.argsort(keys)
-        return keys[order], np.asarray(gains, float)[order]
-
-    @staticmethod
-    def _find(keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
-        return at, keys[at] == x
+    def __init__(self, rows: DataFrame, texts: DataFrame):
+        triples = gram_rows(rows).groupBy("triple", "previous", "word", "opening").agg(F.max("toxic").alias("t"), F.max(1 - F.col("toxic")).alias("o"))
+        table = triples.groupBy("previous", "word", "opening").agg(F.sum("t").alias("t"), F.sum("o").alias("o")).toArrow()
+        previous, word, opening = (table.column(c).to_numpy().view(np.uint64) for c in ("previous", "word", "opening"))
+        counts = [table.column(c).to_numpy().astype(float) for c in ("t", "o")]
+        self.known = len(word) > 0 and all(x.any() for x in counts)
+        if not self.known:
+            return
+        self.words, first, of_word = np.unique(word, return_index=True, return_inverse=True)
+        self.openings, word_opening = np.unique(opening[first], return_inverse=True)
+        contexts, of_context = np.unique(previous, return_inverse=True)
+        modelled = np.flatnonzero(np.maximum(*counts) >= PAIR_CONTEXTS)
+        begin_so, total = shared_counts(texts, self.openings)
+
+        def model(n: np.ndarray) -> KneserNey:
+            words = np.bincount(of_word, n > 0, len(self.words))
+            openings = np.bincount(word_opening, words > 0, len(self.openings))
+            size = np.bincount(of_context, n, len(contexts))
+            return KneserNey(openings, words, n, word_opening, of_word, of_context, size, begin_so / total, 1 / begin_so)
+
+        toxic, ordinary = (model(n) for n in counts)
+        gain = lambda a, b: np.log(a) - np.log(b)
+        end = lambda known, other: np.append(known, other).astype(np.float32)  # noqa: E731  the last place is for what is not in a table
+        unseen = gain(toxic.word_rest * toxic.opening_rest, ordinary.word_rest * ordinary.opening_rest)
+        self.opening_gain = end(gain(toxic.word_rest * toxic.opening, ordinary.word_rest * ordinary.opening), unseen)
+        self.word_gain = end(gain(toxic.word, ordinary.word), np.nan)
+        left = gain(toxic.context_rest, ordinary.context_rest)
+        some = np.flatnonzero(left)
+        self.contexts, self.context_gain = contexts[some], end(left[some], 0.0)
+        pairs = _pair(previous[modelled], word[modelled])
+        order = np.argsort(pairs)
+        self.pairs, self.pair_gain = pairs[order], end(gain(toxic.pair, ordinary.pair)[modelled][order], np.nan)
+
+    def gains(self, g: Grams) -> np.ndarray:
+        """Difference of the log-probabilities of each word after the one before it."""
+        out = self.pair_gain[_place(self.pairs, _pair(g.previous, g.word))]
+        at = np.flatnonzero(np.isnan(out))
+        single = self.word_gain[_place(self.words, g.word[at])]
+        new = np.flatnonzero(np.isnan(single))
+        single[new] = self.opening_gain[_place(self.openings, g.opening[at[new]])]
+        out[at] = single + self.context_gain[_place(self.contexts, g.previous[at])]
+        return out
 
     def features(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        words, _, pairs, _, bounds = _grams(data, offsets)
-        single = np.zeros(len(words))
-        if len(self.words):
-            at, hit = self._find(self.words, words)
-            single[hit] = self.word_gain[at[hit]]
-        gain = single.copy()
-        if len(self.pairs):
-            at, hit = self._find(self.pairs, pairs)
-            gain[hit] = self.pair_gain[at[hit]]
-        out = np.full((len(bounds) - 1, 4), np.nan)  # stays so without words
-        sums = np.concatenate([[0.0], np.cumsum(gain)])
-        for i, (a, z) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
-            if z <= a:
-                continue
-            run = sums[a : z + 1]
-            n = min(PASSAGE, z - a)
-            top = single[a:z]
-            best = np.partition(top, len(top) - 2)[-2:] if len(top) > 1 else np.array([min(0.0, top[0]), top[0]])
-            out[i] = (run[-1] - run[0]) / (z - a), (run[n:] - run[:-n]).max() / n, best.max(), best.sum() / 2
+        """By text: differences a word of all of it and of its most toxic words; its size. Not-a-number without words."""
+        out = np.full((len(offsets) - 1, len(_FEATURES)), np.nan)
+        made, bounds, worst = [], None, []
+        for g in grams(data, offsets):
+            made.append(self.gains(g) if self.known else np.zeros(len(g.word), np.float32))
+            worst.append(_worst(g.word, made[-1], g.bounds))
+            bounds = g.bounds if bounds is None else np.array([0, bounds[1] + len(g.word)])
+        size = np.diff(bounds) if bounds is not None else np.zeros(1, int)
+        some = np.flatnonzero(size)
+        if not len(some):
+            return out
+        if len(made) > 1:
+            worst = [_worst(np.concatenate([w for w, _, _ in worst]), np.concatenate([v for _, v, _ in worst]), np.array([0, sum(len(w) for w, _, _ in worst)]))]
+        sums = np.concatenate([[0.0], np.cumsum(np.concatenate(made), dtype=np.float64)])
+        a, z = bounds[:-1][some], bounds[1:][some]
+        out[some, 0] = (sums[z] - sums[a]) / size[some]
+        out[some, -1] = np.log(size[some])
+        _, value, cut = worst[0]
+        top = np.concatenate([[0.0], np.cumsum(value, dtype=np.float64)])
+        for k, n in enumerate(WORST, 1):
+            last = np.minimum(cut[:-1] + n, cut[1:])[some]
+            out[some, k] = (top[last] - top[cut[:-1][some]]) / (last - cut[:-1][some])
         return out
 
 
+def _worst(word: np.ndarray, gain: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text the few different words with the largest gains, largest first: words, gains, and where each text's begin."""
+    text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    order = np.lexsort((-gain, word, text))
+    t, w = text[order], word[order]
+    order = order[np.concatenate([[True], (t[1:] != t[:-1]) | (w[1:] != w[:-1])])[: len(order)]]
+    order = order[np.lexsort((-gain[order], text[order]))]
+    first = np.searchsorted(text[order], np.arange(len(bounds)))
+    order = order[np.arange(len(order)) - first[text[order]] < max(WORST)]
+    return word[order], gain[order], np.searchsorted(text[order], np.arange(len(bounds)))
+
+
 def _scores(x: np.ndarray, finish: Logistic) -> np.ndarray:
     """Calibrated scores; a text without words has nothing that counts against it."""
     return np.where(np.isnan(x[:, 0]), 0.0, finish(np.nan_to_num(x)))
 
 
 def _featured(docs: DataFrame, model: Model, id_type: str, finish=None) -> DataFrame:
-    """id and the four features of ``docs(id, text)``, or id and ``finish`` of them."""
-    names = ["whole", "passage", "word", "two_words"] if finish is None else ["score"]
+    """id and the features of ``docs(id, text)``, or id and ``finish`` of them."""
+    names = _FEATURES if finish is None else ["score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,17 +290,17 @@ def _featured(docs: DataFrame, model: Model, id_type: str, finish=None) -> DataF
 
 
 def _fit(texts: DataFrame, learn: DataFrame, id_col: str, id_type: str) -> tuple[Model, Logistic]:
-    """Model and calibration from the rows of ``texts(id, text)`` that ``learn`` labels."""
+    """Model and calibration from the rows of ``texts(id, text)`` that ``learn`` labels, and from the words of all of them."""
     order = F.xxhash64("id", F.lit(9))
     known = learn.select(F.col(id_col).alias("id"), F.col("toxic").cast("int").alias("toxic")).where("id is not null and toxic in (0, 1)").distinct()
     sample = known.where("toxic = 1").orderBy(order, "id").limit(TOXIC_ROWS).unionByName(known.where("toxic = 0").orderBy(order, "id").limit(ORDINARY_ROWS))
     # the sample's size is bounded by the two limits
-    rows = texts.where(F.octet_length("text") <= LONGEST).join(F.broadcast(sample), "id").withColumn("fit", F.pmod(F.xxhash64("id", F.lit(10)), F.lit(4)) > 0)
+    rows = texts.where("text is not null").join(F.broadcast(sample), "id").withColumn("fit", F.pmod(F.xxhash64("id", F.lit(10)), F.lit(4)) > 0)
     held = Stored(rows, "toxicity-sample")
-    model = Model(held.df.where("fit"))
+    model = Model(held.df.where("fit"), texts)
     fitted = _featured(held.df.where("not fit"), model, id_type).join(F.broadcast(sample), "id").toPandas()
     fitted = fitted[fitted["whole"].notna()]
-    finish = Logistic(fitted[["whole", "passage", "word", "two_words"]].to_numpy(float), fitted["toxic"].to_numpy(float))
+    finish = Logistic(fitted[_FEATURES].to_numpy(float), fitted["toxic"].to_numpy(float))
     if finish.weights is None:
         finish.share = float(held.df.agg(F.avg("toxic")).first()[0] or 0.0)
     held.drop()
@@ -180,11 +312,11 @@ def score_toxicity(docs: DataFrame, learn: DataFrame, id_col: str = "doc_id", te
 
     ``learn(id, toxic)`` names the labelled documents to learn from.  At most
     TOXIC_ROWS and ORDINARY_ROWS of them are used, by a hash of the id; three of
-    four feed the counts and the fourth the calibration.  Whole texts are
-    scored.  A null or empty text, or one without a letter, scores 0.  Null labels
-    and ids are not learned from; without both classes every score is the share
-    of toxic labels, 0 if there are none.  Repeated rows score alike.  Empty
-    input: no rows.  Other columns are not read.
+    four feed the class counts and the fourth the calibration.  The shared counts
+    are of all rows of ``docs``.  Whole texts are read.  A null or empty text, or one
+    without a letter, scores 0.  Null labels and ids are not learned from; without
+    both classes every score is the share of toxic labels, 0 if there are none.
+    Repeated rows score alike.  Empty input: no rows.  Other columns are not read.
     """
     idt = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))

@@ -2,17 +2,22 @@
 
 import hashlib
 import math
+import os
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from lodestore.llm import ann, crf, kernel, language, mixing, near_dup, packing, quality, search, suffix_dedup, toxicity, url_filter
+from lodestore.llm import ann, crf, kernel, language, mixing, near_dup, packing, quality, queries, search, suffix_dedup, toxicity, url_filter
 from lodestore.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -82,6 +87,35 @@ def test_url_filter_against_brute_force(spark):
     assert {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in got} == want
 
 
+def test_url_rules_of_the_query(spark, tmp_path):
+    """The registered query against rules written out by hand, with urls for each of them."""
+    import duckdb
+    import pandas as pd
+    from compare import same_rows
+
+    want = {
+        "https://www.example.com/fr/a": ("com/", "allow"),
+        "https://www.example.com/en/a": ("www.example.com/en/", "allow"),
+        "https://a.www.example.com/en/": ("www.example.com/en/", "allow"),
+        "https://example.com/en/a": ("example.com/en/", "block"),
+        "https://other.example.com/en/a": ("example.com/en/", "block"),
+        "https://example.com/en": ("com/", "allow"),
+        "https://example.com/": ("com/", "allow"),
+        "https://example.com": (None, "allow"),
+        "https://shop.net/es/": ("net/es/", "block"),
+        "https://shop.net/fr/x?y": ("net/fr/", "block"),
+        "https://shop.net/de/": (None, "allow"),
+        "https://shop.org/en/": (None, "allow"),
+        "https://examplecom/en/": (None, "allow"),
+    }
+    pd.DataFrame({"page_id": range(len(want)), "url": list(want), "html": ""}).to_parquet(tmp_path / "pages.parquet")
+    got = queries.op1_url_filter(spark, str(tmp_path))
+    assert {list(want)[r["page_id"]]: (r["rule"], r["verdict"]) for r in got.collect()} == want
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from read_parquet('{tmp_path}/pages.parquet')")
+    same_rows(got, con, queries.ORACLE_SQL["op1_url_filter"])
+
+
 def test_url_filter_without_rules_or_pages(spark):
     none = spark.createDataFrame([], "host string, path string, verdict string")
     pages = spark.createDataFrame([(1, "http://a.com/")], "page_id long, url string")
@@ -116,6 +150,57 @@ def test_marginals_equal_enumeration():
     assert np.allclose(crf.marginals(emission, np.array([0, 4]), transition), sums / total)
 
 
+def test_marginals_part_by_part_equal_those_of_the_whole():
+    rng = np.random.default_rng(2)
+    emission, transition = rng.normal(size=(1000, 3)) * 2, rng.normal(size=(3, 3))
+    cuts = [0, 1, 1, 64, 300, 999, 1000]
+    parts = lambda: (emission[a:z] for a, z in zip(cuts[:-1], cuts[1:]))
+    want = crf.marginals(emission, np.array([0, 1000]), transition)
+    assert np.allclose(np.concatenate(list(crf.long_marginals(parts, transition))), want, atol=1e-9)
+
+
+def line_field():
+    rng = np.random.default_rng(1)
+    field = quality.LineField.__new__(quality.LineField)
+    field.weights, field.transition = rng.normal(size=(quality.WIDTH, 2)) * 0.1, np.array([[1.0, -1.0], [-1.0, 1.0]])
+    return field
+
+
+@pytest.mark.parametrize("end", ["", "\n", "\n\n"])
+def test_quality_of_a_long_text_part_by_part(end, monkeypatch):
+    rng = np.random.default_rng(3)
+    text = "\n".join(" ".join(rng.choice(["aa", "Bb", "cc|", "9"], rng.integers(0, 12))) for _ in range(900)) + end
+    data = np.frombuffer(text.encode(), np.uint8)
+    field, bounds = line_field(), np.array([0, len(data)])
+    monkeypatch.setattr(quality, "PART", 1 << 30)
+    whole = field.features(data, bounds)
+    monkeypatch.setattr(quality, "PART", 500)
+    assert np.allclose(field.features(data, bounds), whole)
+
+
+def test_quality_of_many_short_lines_takes_little_memory():
+    code = """
+import resource, sys
+import numpy as np
+from test_llm_operators import line_field
+data = np.frombuffer(b"a\\n" * (8 << 20), np.uint8)
+line_field().features(data, np.array([0, len(data)]))
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+"""
+    here = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(os.path.dirname(here))
+    said = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, env=os.environ | {"PYTHONPATH": f"{here}:{root}"})
+    assert int(said.stdout) < 500
+
+
+def test_language_of_a_long_text_part_by_part():
+    rng = np.random.default_rng(4)
+    weights, transition = rng.normal(size=(1 << language.TABLE_BITS, 3)).astype(np.float32), np.eye(3)
+    data = np.frombuffer(b"some words, and others " * 500, np.uint8)
+    whole, parts = (language._shares(data, np.array([0, len(data)]), weights, transition, limit) for limit in (1 << 20, 700))
+    assert np.allclose(whole, parts)
+
+
 def test_language_of_mixed_and_empty_texts(spark):
     rng = np.random.default_rng(2)
     stems = {"aa": ["baba", "dada", "gaga", "baga"], "ee": ["lele", "nene", "reme", "meler"], "oo": ["xozo", "kozo", "woxo", "zoko"]}
@@ -146,13 +231,21 @@ def test_quality_tells_junk_lines(spark):
 # 3
 
 
+_TOKENIZER = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def plain_ids(text):
+    """What the tokenizer's file says, with nothing set."""
+    return _TOKENIZER.encode(text, add_special_tokens=False).ids
+
+
 def check_packing(docs, pieces, window=2048):
     by_doc, by_seq = defaultdict(list), defaultdict(list)
     for p in pieces:
         by_doc[p["doc_id"]].append(p)
         by_seq[p["sequence_id"]].append(p)
     for i, text in docs.items():
-        ids = np.array(packing.encoders(packing.VOCABULARY)[0].encode(text or "", add_special_tokens=False).ids + [1], "<u4")
+        ids = np.array([*plain_ids(text or ""), 1], "<u4")
         at = 0
         for p in sorted(by_doc[i], key=lambda p: p["start"]):
             assert p["start"] == at and p["doc_tokens"] == len(ids)
@@ -182,7 +275,12 @@ def test_packing_places_every_id_once(spark, texts):
 @settings(max_examples=150, deadline=None)
 @given(st.text(max_size=200) | st.text(alphabet=st.characters(max_codepoint=255), max_size=400))
 def test_fast_encoding_equals_the_tokenizer(text):
-    assert packing.encode(text) == packing.encoders(packing.VOCABULARY)[0].encode(text, add_special_tokens=False).ids
+    assert packing.encode(text) == plain_ids(text)
+
+
+@pytest.mark.parametrize("text", ["a <|endoftext|> b", "<|endoftext|>", "é<|endoftext|><|endoftext|>x", "— <|endoftext|> ", "<|endoftext |>", "x" * 30_000 + "<|endoftext|>"])
+def test_added_tokens_keep_their_ids(text):
+    assert packing.encode(text) == plain_ids(text)
 
 
 def test_packing_prefers_related_neighbours():
@@ -514,6 +612,87 @@ def test_toxicity_finds_a_fixed_phrase(spark):
     assert np.mean([got[i] for i, y in held if not y]) < 0.05
 
 
+def plain_gains(rows, all_texts, previous_words, word):
+    """Kneser-Ney by dictionaries: log P(word | previous) of the toxic less that of the ordinary model."""
+    split = lambda t: [w for w in re.split(r"[^a-z]+", t.lower()) if w]
+    begins = defaultdict(set)
+    for t in all_texts:
+        for w in split(t):
+            begins[w[: toxicity.OPENING]].add(w)
+    kinds = sum(len(x) for x in begins.values())
+
+    def off(n, counts):
+        one, two, three, four = (max(1, sum(1 for c in counts if c == k)) for k in (1, 2, 3, 4))
+        y = one / (one + 2 * two)
+        k, a, b = {1: (1, one, two), 2: (2, two, three)}.get(n, (3, three, four))
+        return min(max(k - (k + 1) * y * b / a, 0.1 * k), 0.95 * k) if n else 0.0
+
+    out = []
+    for label in (1, 0):
+        before = defaultdict(set)
+        for t, y in rows:
+            if y == label:
+                w = ["<", "<", *split(t)]
+                for a, b, c in zip(w, w[1:], w[2:]):
+                    before[b, c].add(a)
+        pair = {k: len(v) for k, v in before.items()}
+        word_n, opening = Counter(), defaultdict(set)
+        for _, c in pair:
+            word_n[c] += 1
+            opening[c[: toxicity.OPENING]].add(c)
+        opening_n = {o: len(v) for o, v in opening.items()}
+
+        def level(n, counts):
+            counts = list(counts)
+            return (n - off(n, counts)) / sum(counts), sum(off(c, counts) for c in counts) / sum(counts)
+
+        o = word[: toxicity.OPENING]
+        p, rest = level(opening_n.get(o, 0), opening_n.values())
+        p_opening = p + rest * len(begins[o]) / kinds
+        p, rest = level(word_n[word], word_n.values())
+        p_word = p + rest * p_opening / len(begins[o])
+        kept = {k: (n - off(n, pair.values())) for k, n in pair.items() if n >= toxicity.PAIR_CONTEXTS}
+        size = max(1, sum(n for (a, _), n in pair.items() if a == previous_words))
+        left = 1 - sum(v for (a, _), v in kept.items() if a == previous_words) / size
+        out.append(math.log(kept.get((previous_words, word), 0) / size + left * p_word))
+    return out[0] - out[1]
+
+
+def test_toxicity_models_against_brute_force(spark):
+    rng = np.random.default_rng(13)
+    names = ["".join(rng.choice(list("abcd"), int(rng.integers(2, 11)))) for _ in range(60)]
+    weight = 1 / np.arange(1, 61)
+    rows = [(" ".join(rng.choice(names, 25, p=weight / weight.sum())) + (" zork blegh" if i % 3 == 0 else ""), int(i % 3 == 0)) for i in range(60)]
+    rest = [" ".join(rng.choice(names, 25)) + " unheard zorking" for _ in range(20)]
+    texts = spark.createDataFrame([(t,) for t in [*(t for t, _ in rows), *rest]], "text string")
+    model = toxicity.Model(spark.createDataFrame([(y, t) for t, y in rows], "toxic int, text string"), texts)
+    assert len(model.pairs)
+    for text in (rows[0][0], rows[1][0], rest[0]):
+        words_ = text.split()
+        raw = np.frombuffer(text.encode(), np.uint8)
+        (g,) = toxicity.grams(raw, np.array([0, len(raw)]))
+        want = [plain_gains(rows, [*(t for t, _ in rows), *rest], a, b) for a, b in zip(["<", *words_], words_)]
+        got = model.gains(g)
+        known = [i for i, w in enumerate(words_) if w not in ("unheard", "zorking")]  # what no class has seen lacks its shared part, which cancels out
+        assert np.allclose(got[known], np.array(want)[known], atol=1e-4)
+
+
+def test_toxic_words_of_long_texts_in_parts(monkeypatch, spark):
+    rng = np.random.default_rng(14)
+    model = toxicity.Model.__new__(toxicity.Model)
+    model.known = True
+    names = ["".join(rng.choice(list("abcdef"), 6)) for _ in range(50)]
+    data = np.frombuffer((" ".join(rng.choice(names, 3000)) + " É").encode(), np.uint8)
+    (g,) = toxicity.grams(data, np.array([0, len(data)]))
+    model.words = np.unique(g.word)
+    model.word_gain = np.append(rng.normal(size=len(model.words)), np.nan).astype(np.float32)
+    none = np.zeros(0, np.uint64)
+    model.pairs, model.pair_gain, model.contexts, model.context_gain, model.openings, model.opening_gain = none, np.array([np.nan], np.float32), none, np.zeros(1, np.float32), none, np.zeros(1, np.float32)
+    whole = model.features(data, np.array([0, len(data)]))
+    monkeypatch.setattr(kernel, "PIECE", 1000)
+    assert np.allclose(model.features(data, np.array([0, len(data)])), whole, atol=1e-5)
+
+
 # 10
 
 
