@@ -3,42 +3,50 @@
 Every string of ``SPAN`` bytes picks one of its k-mers, the one with the smallest
 hash, as its anchor; equal strings pick alike.  So only suffixes that begin at
 anchors need sorting: about one byte in fifteen.  A run of neighbouring strings
-with the same anchor is one piece of text.
+with the same anchor is one piece of text: the suffix at its anchor, as far as its
+strings reach, and what stands before it.
 
 1. Documents are dealt into buckets of bounded size.  Each bucket reports the
-   hashes of its anchors; those that two documents hold are reported back.
-2. For shared anchors, each bucket claims its distinct pieces (by hash, with their
-   smallest document).  Of equal pieces only the one in the smallest document
-   stays; if an anchor then still has several different pieces, their texts are
-   asked for.
-3. These texts go, with the suffix's leading k-mer, to partitions that sampled
-   splitters cut by that k-mer, so equal leads are never cut by a boundary.  Each
-   partition sorts its suffixes by multikey quicksort and compares the strings of
-   equal leads, which finds the smallest document of every string.  A lead with
-   more than HOT_LEAD pieces (the rim of a very common line) is no task of its own:
-   its strings are aggregated and joined one by one.
-4. Buckets cut the bytes out.
-
-What is sent for a passage grows with the buckets that hold it, not with its
-copies, so a passage that a third of all documents share is no hot spot.
+   hashes of its anchors; those that two documents hold are reported back.  This
+   leaves suffixes out that stand alone and decides nothing else.
+2. Each bucket hands on its different pieces with a shared anchor, each with its
+   smallest document.  Sampled splitters range-partition them by the anchor's bytes.
+3. Each range sorts its suffixes by multikey quicksort.  Neighbours that are equal to
+   the last byte are one piece, held first by its smallest document.  Where one
+   anchor has several pieces, all their strings are sorted likewise, to all 50 bytes,
+   and equal neighbours give each string its smallest document.
+4. An anchor with more pieces than HOT_LEAD (the rim of a very common line) is no
+   task's own: its strings are range-partitioned by their own bytes and document.
+   There equal strings may be cut by a boundary, so ranges exchange their edges: the
+   first string of a range is compared with the last ones of the ranges before it.
+5. Buckets cut the bytes out.
+
+Hashes leave out and order; whatever is cut was found equal byte by byte.  What is
+sent for a passage grows with the buckets that hold it, not with its copies, so a
+passage that a third of all documents share is no hot spot.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernel
-from .common import Stored, parts_for, text_bytes
+from .common import Stored, parts_for, release, shuffle_partitions, text_bytes
 
 SPAN = 50
 KMER = 20
-#: Bytes of text in a bucket, on average.
-BUCKET = 4 << 20
-#: Pieces of one leading k-mer that a task compares; those of a commoner one are dealt by their strings.
-HOT_LEAD = 20_000
+#: Bytes of text in a bucket, on average, and buckets that one task goes through.
+BUCKET, BUCKETS_A_TASK = 4 << 20, 8
+#: Pieces of one anchor that a task compares; those of a commoner one are dealt by their strings.
+HOT_LEAD = 100_000
+#: Pieces handed on in one row; one piece in so many is looked at for splitters and common anchors; splitters at most.
+LOT, SAMPLED, SPLITTERS = 1 << 16, 64, 4096
 _WINDOW = SPAN - KMER + 1
 _POSITION = np.uint64((1 << 22) - 1)
 
@@ -98,16 +106,64 @@ def walk(data: np.ndarray, offsets: np.ndarray):
             yield start + at, count, owner + i, place + at, anchor, whole
 
 
-def _in_order(table: pa.Table) -> pa.Table:
-    return table.sort_by([("id", "ascending"), ("text", "ascending")])
-
-
-def _bucket(table: pa.Table):
-    """Ids and texts of one bucket, in the order of ids."""
-    table = _in_order(table)
-    ids = table.column("id").to_numpy()
-    data, offsets = kernel.strings(table.column("text"))
-    return ids, data, offsets
+class Bucket:
+    """Ids, texts and pieces of one bucket, in the order of ids."""
+
+    def __init__(self, table: pa.Table):
+        self.table = table.sort_by([("id", "ascending"), ("text", "ascending")])
+        self.ids = self.table.column("id").to_numpy()
+        self.data, self.offsets = kernel.strings(self.table.column("text"))
+        made = list(zip(*walk(self.data, self.offsets), strict=True)) or [[np.zeros(0, np.int64)]] * 4 + [[np.zeros(0, np.uint64)]] * 2
+        self.start, self.count, owner, self.place, anchor, self.whole = (np.concatenate(x) for x in made)
+        self.doc = self.ids[owner]
+        self.anchor = anchor & _LOW
+
+    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct anchor hashes, and which of them two documents hold."""
+        order = np.lexsort((self.doc, self.anchor))
+        h, o = self.anchor[order], self.doc[order]
+        at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])[: len(h)])
+        end = np.concatenate([at[1:], [len(h)]])[: len(at)] - 1
+        return h[at], o[at] != o[end]
+
+    def shared(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the pieces with an anchor in the sorted ``wanted``: their indices, the number of the different piece that each is, and the index of each different one at its smallest document.
+
+        Hashes order the pieces, bytes tell them apart; numbers follow the text.
+        """
+        at = np.flatnonzero(_member(wanted, self.anchor))
+        at = at[np.lexsort((self.start[at], self.doc[at], self.whole[at]))]
+        same = np.zeros(len(at), bool)
+        same[1:] = self.whole[at[1:]] == self.whole[at[:-1]]
+        pair = np.flatnonzero(same)
+        same[pair] = self._equal(at[pair], at[pair - 1])
+        first = np.flatnonzero(~same)
+        number = np.empty(len(first), np.int64)
+        by_text = np.argsort(self.start[at[first]], kind="stable")
+        number[by_text] = np.arange(len(first))
+        return at, number[np.cumsum(~same) - 1], at[first[by_text]]
+
+    def _equal(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Which of two lists of pieces are the same bytes with the same anchor."""
+        out = (self.count[x] == self.count[y]) & (self.place[x] - self.start[x] == self.place[y] - self.start[y])
+        words = _words(self.data)
+        end = self.start[x] + self.count[x] + SPAN - 1, self.start[y] + self.count[y] + SPAN - 1
+        for k in range(0, SPAN + _WINDOW, 8):
+            out &= _token(words, self.start[x] + k, end[0], 8) == _token(words, self.start[y] + k, end[1], 8)
+        return out
+
+
+def _words(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number, first byte highest; zeros follow the data."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), ">u8", padded, strides=(1,))
+
+
+def _token(words: np.ndarray, at: np.ndarray, end: np.ndarray, width: int) -> np.ndarray:
+    """Up to ``width`` bytes from each place, but none from its end on."""
+    left = np.clip(end - at, 0, width).astype(np.uint64)
+    value = words[np.minimum(at, len(words) - 1)].astype(np.uint64)
+    return np.where(left == 0, np.uint64(0), value >> (np.uint64(8) * (np.uint64(8) - np.maximum(left, np.uint64(1))))  << (np.uint64(8) * (np.uint64(8) - np.maximum(left, np.uint64(1)))))
 
 
 def _six(values: np.ndarray) -> bytes:
@@ -124,31 +180,13 @@ def _from_six(blob: bytes) -> np.ndarray:
 _LOW = np.uint64((1 << 48) - 1)
 
 
-def _own_anchors(ids, data, offsets) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct anchor hashes of a bucket, and which of them two documents hold."""
-    hashes, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    for _, _, owner, _, anchor, _ in walk(data, offsets):
-        hashes.append(anchor)
-        owners.append(ids[owner])
-    h, o = np.concatenate(hashes), np.concatenate(owners)
-    order = np.lexsort((o, h))
-    h, o = h[order], o[order]
-    first = np.concatenate([[True], h[1:] != h[:-1]])[: len(h)]
-    at = np.flatnonzero(first)
-    if not len(at):
-        return h, np.zeros(0, bool)
-    end = np.concatenate([at[1:], [len(h)]]) - 1
-    return h[at], o[at] != o[end]
-
-
 def _report(dests: int):
     def run(table: pa.Table) -> pa.Table:
         b = table.column("b")[0].as_py()
-        h, several = _own_anchors(*_bucket(table))
-        dest = ((h >> np.uint64(32)) * np.uint64(dests)) >> np.uint64(32)
-        cut = np.searchsorted(dest, np.arange(dests + 1))
-        rows = [(d, b, _six(h[x:y])) for d, x, y in zip(range(dests), cut[:-1], cut[1:], strict=True) if y > x]
-        return pa.table({"d": pa.array([r[0] for r in rows], pa.int32()), "b": pa.array([b] * len(rows), pa.int32()), "anchors": pa.array([r[2] for r in rows], pa.binary())})
+        h, _ = Bucket(table).anchors()
+        cut = np.searchsorted((h >> np.uint64(16)) * np.uint64(dests) >> np.uint64(32), np.arange(dests + 1))
+        some = np.flatnonzero(np.diff(cut))
+        return pa.table({"d": pa.array(some, pa.int32()), "b": pa.array([b] * len(some), pa.int32()), "anchors": pa.array([_six(h[cut[d] : cut[d + 1]]) for d in some], pa.binary())})
 
     return run
 
@@ -181,187 +219,286 @@ def _member(table: np.ndarray, x: np.ndarray) -> np.ndarray:
     return table[np.minimum(np.searchsorted(table, x), len(table) - 1)] == x
 
 
-def _distinct(ids, data, offsets, wanted):
-    """Distinct pieces that ``wanted(anchor, whole)`` picks, each at its smallest document: start, count, place, doc, anchor, whole."""
-    found = [np.zeros((6, 0), np.int64)]
-    for start, count, owner, place, anchor, whole in walk(data, offsets):
-        hit = wanted(anchor, whole)
-        found.append(np.stack([start[hit], count[hit], place[hit], ids[owner[hit]], (anchor[hit] & _LOW).view(np.int64), whole[hit].view(np.int64)]))
-    rows = np.concatenate(found, axis=1)
-    rows = rows[:, np.lexsort((rows[3], rows[5]))]
-    head = np.ones(rows.shape[1], bool)
-    head[1:] = rows[5, 1:] != rows[5, :-1]
-    return rows[:, head]
-
-
-def _claim(dests: int):
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        b = left.column("b")[0].as_py()
-        ids, data, offsets = _bucket(left)
-        own, several = _own_anchors(ids, data, offsets)
-        shared = np.unique(np.concatenate([*(_from_six(x) for x in right.column("shared").to_pylist()), own[several] & _LOW]))
-        _, _, _, doc, anchor, whole = _distinct(ids, data, offsets, lambda a, w: _member(shared, a & _LOW))
-        order = np.lexsort((whole, anchor))
-        doc, anchor, whole = doc[order], anchor[order], whole[order]
-        dest = (anchor * dests) >> 48 if dests < 1 << 15 else (anchor >> 16) * dests >> 32
-        cut = np.searchsorted(dest, np.arange(dests + 1))
-        some = np.flatnonzero(np.diff(cut))
-        return pa.table(
-            {
-                "d": pa.array(some, pa.int32()),
-                "b": pa.array([b] * len(some), pa.int32()),
-                "anchors": pa.array([_six(anchor[cut[d] : cut[d + 1]]) for d in some], pa.binary()),
-                "wholes": pa.array([whole[cut[d] : cut[d + 1]].tobytes() for d in some], pa.binary()),
-                "docs": pa.array([doc[cut[d] : cut[d + 1]].tobytes() for d in some], pa.binary()),
-            }
-        )
-
-    return run
-
+class Pieces:
+    """Pieces of text one after the other: bytes, lengths, places of the anchors in them, documents, buckets and their numbers there."""
+
+    NAMES = {"text": np.uint8, "sizes": np.uint8, "places": np.uint8, "docs": np.int64, "buckets": np.int32, "numbers": np.int32}
+    SCHEMA = "text binary, sizes binary, places binary, docs binary, buckets binary, numbers binary"
+
+    def __init__(self, text, sizes, places, docs, buckets, numbers):
+        self.text, self.sizes, self.places, self.docs, self.buckets, self.numbers = text, sizes, places, docs, buckets, numbers
+        self.end = np.cumsum(sizes, dtype=np.int64)
+        self.start = self.end - sizes
+        self.anchor = self.start + places
+
+    @classmethod
+    def of_table(cls, table) -> Pieces:
+        return cls(*(np.frombuffer(b"".join(x for x in table.column(c).to_pylist()), t) for c, t in cls.NAMES.items()))
+
+    def take(self, at: np.ndarray) -> Pieces:
+        size = self.sizes[at].astype(np.int64)
+        to = np.cumsum(size) - size
+        text = self.text[np.repeat(self.start[at] - to, size) + np.arange(size.sum())]
+        return Pieces(text, self.sizes[at], self.places[at], self.docs[at], self.buckets[at], self.numbers[at])
+
+    def row(self) -> list[bytes]:
+        return [getattr(self, c).astype(t).tobytes() for c, t in self.NAMES.items()]
+
+    def leads(self) -> np.ndarray:
+        """The anchors' bytes, as strings of fixed width."""
+        return np.ascontiguousarray(self.text[self.anchor[:, None] + np.arange(KMER)]).view(f"S{KMER}").reshape(-1)
+
+
+def _claim(left: pa.Table, right: pa.Table) -> pa.Table:
+    """The different pieces of one bucket whose anchor another document holds too, and a row with these anchors."""
+    rows = []
+    if left.num_rows:
+        bucket, b = Bucket(left), left.column("b")[0].as_py()
+        own, several = bucket.anchors()
+        wanted = np.unique(np.concatenate([*(_from_six(x) for x in right.column("shared").to_pylist()), own[several]]))
+        _, _, first = bucket.shared(wanted)
+        rows.append([None] * len(Pieces.NAMES) + [b, _six(wanted)])
+        for at in range(0, len(first), LOT):
+            i = first[at : at + LOT]
+            size = bucket.count[i] + SPAN - 1
+            to = np.cumsum(size) - size
+            text = bucket.data[np.repeat(bucket.start[i] - to, size) + np.arange(size.sum())]
+            rows.append([*Pieces(text, size, bucket.place[i] - bucket.start[i], bucket.doc[i], np.full(len(i), b), at + np.arange(len(i))).row(), None, None])
+    columns = [pa.array([r[k] for r in rows], pa.binary()) for k in range(len(Pieces.NAMES))]
+    return pa.table([*columns, pa.array([r[-2] for r in rows], pa.int32()), pa.array([r[-1] for r in rows], pa.binary())], [*Pieces.NAMES, "b", "shared"])
+
+
+def _leads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Leads of one piece in SAMPLED, by its bytes' hash, so that of every anchor the same share of different pieces is seen."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            p = Pieces.of_table(batch.slice(i, 1))
+            hashes = kernel.mix(kernel.span_hash(kernel.prefix(p.text), p.start, p.end))
+            seen = np.flatnonzero(hashes % np.uint64(SAMPLED) == 0)
+            yield pa.RecordBatch.from_arrays([pa.array(p.take(seen).leads().astype(object), pa.binary()), pa.array(hashes[seen].view(np.int64))], ["lead", "piece"])
+
+
+class Ranges:
+    """Splitters between the ranges of leads, and the leads that have ranges of their own.
+
+    More ranges than splitters are made by a hash of the lead inside each; equal
+    leads stay together.
+    """
 
-def _settle(table: pa.Table) -> pa.Table:
-    """Of one range of anchors: for each bucket the pieces that a smaller document holds whole, and those whose text must be compared."""
-    anchors = [_from_six(x) for x in table.column("anchors").to_pylist()]
-    bucket = np.repeat(table.column("b").to_numpy(), [len(x) for x in anchors])
-    anchor = np.concatenate(anchors)
-    whole, doc = (np.concatenate([np.frombuffer(x, np.int64) for x in table.column(c).to_pylist()]) for c in ("wholes", "docs"))
-    order = np.lexsort((doc, whole, anchor))
-    bucket, anchor, whole, doc = bucket[order], anchor[order], whole[order], doc[order]
-    new_anchor = np.concatenate([[True], anchor[1:] != anchor[:-1]])
-    new_piece = new_anchor | np.concatenate([[True], whole[1:] != whole[:-1]])
-    least = doc[np.flatnonzero(new_piece)][np.cumsum(new_piece) - 1]
-    gone = doc > least
-    kinds = np.add.reduceat(new_piece.astype(np.int64), np.flatnonzero(new_anchor))[np.cumsum(new_anchor) - 1]
-    asked = ~gone & (kinds > 1)
-    order = np.argsort(bucket, kind="stable")
-    bucket, whole, gone, asked = bucket[order], whole[order], gone[order], asked[order]
-    names, first = np.unique(bucket, return_index=True)
-    cut = [*first, len(bucket)]
-    rows = [(int(b), whole[x:y][gone[x:y]].tobytes(), whole[x:y][asked[x:y]].tobytes()) for b, x, y in zip(names, cut[:-1], cut[1:], strict=True) if (gone[x:y] | asked[x:y]).any()]
-    return pa.table({"b": pa.array([r[0] for r in rows], pa.int32()), "gone": pa.array([r[1] for r in rows], pa.binary()), "asked": pa.array([r[2] for r in rows], pa.binary())})
-
-
-def _sorted_hashes(blobs: list[bytes]) -> np.ndarray:
-    return np.unique(np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, np.int64) for x in blobs)]))
-
-
-def _send(left: pa.Table, right: pa.Table) -> pa.Table:
-    """Text of the pieces asked for, with their smallest document and leading k-mer."""
-    b = left.column("b")[0].as_py()
-    asked = _sorted_hashes(right.column("asked").to_pylist())
-    ids, data, offsets = _bucket(left)
-    raw = memoryview(np.ascontiguousarray(data))
-    start, count, place, doc, _, whole = _distinct(ids, data, offsets, lambda a, w: _member(asked, w.view(np.int64))) if len(asked) else np.zeros((6, 0), np.int64)
+    def __init__(self, leads: list[bytes], common: list[bytes], wanted: int):
+        every = np.sort(np.array(leads, f"S{KMER}"))
+        cuts = min(wanted, SPLITTERS)
+        self.splitters = every[np.arange(1, cuts) * len(every) // cuts] if len(every) else every
+        self.inside = math.ceil(wanted / cuts)
+        self.common = np.sort(np.array(common, f"S{KMER}"))
+        self.wanted = wanted
+
+    def deal(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                p = Pieces.of_table(batch.slice(i, 1))
+                leads = p.leads()
+                r = np.searchsorted(self.splitters, leads, "right").astype(np.int64)
+                sums = kernel.prefix(p.text)
+                if self.inside > 1:
+                    r = r * self.inside + (kernel.mix(kernel.span_hash(sums, p.anchor, p.anchor + KMER)) % np.uint64(self.inside)).astype(np.int64)
+                hot = _member(self.common, leads)
+                if hot.any():  # equal pieces still meet
+                    r[hot] = -1 - (kernel.mix(kernel.span_hash(sums, p.start[hot], p.end[hot])) % np.uint64(self.wanted)).astype(np.int64)
+                order = np.argsort(r, kind="stable")
+                names, first = np.unique(r[order], return_index=True)
+                rows = [p.take(x).row() for x in np.split(order, first[1:])] if len(order) else []
+                yield pa.RecordBatch.from_arrays([pa.array(names), *(pa.array([x[k] for x in rows], pa.binary()) for k in range(len(Pieces.NAMES)))], ["r", *Pieces.NAMES])
+
+
+def multikey_order(n: int, token: Callable[[int, np.ndarray], np.ndarray], levels: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of ``n`` items by ``token(level, items)``, level by level, and for each place the first level at which its item differs from the one before (``levels`` if none).
+
+    A level's tokens are read only for items that still tie with a neighbour.
+    """
+    order, depth = np.arange(n), np.full(n, levels)
+    depth[:1] = 0
+    tied, group = np.arange(n), np.zeros(n, np.int64)
+    for k in range(levels):
+        if not len(tied):
+            break
+        item = order[tied]
+        key = token(k, item)
+        by = np.lexsort((key, group))
+        order[tied] = item[by]
+        key = key[by]
+        split = np.zeros(len(tied), bool)
+        split[1:] = (key[1:] != key[:-1]) & (group[1:] == group[:-1])
+        depth[tied[split]] = k
+        # what differs from both neighbours is in its place
+        new = np.concatenate([[True], (group[1:] != group[:-1]) | split[1:]])
+        alone = new & np.concatenate([new[1:], [True]])
+        group = np.cumsum(new)[~alone]
+        tied = tied[~alone]
+    return order, depth
+
+
+def _firsts(order: np.ndarray, depth: np.ndarray, level: int, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Run of items equal up to ``level`` that each place belongs to, and each run's smallest document."""
+    head = depth < level
+    return np.cumsum(head) - 1, np.minimum.reduceat(doc[order], np.flatnonzero(head))
+
+
+_CUTS = [0, 8, 16, KMER, 28, 36, 44, 52, 60, 68, 76, 84]
+
+
+def order_pieces(p: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """Pieces in the order of their suffixes from the anchor on, then of what stands before it, then of lengths; level 3 on have the same lead, level 17 are equal."""
+    words = _words(p.text)
+
+    def token(k: int, i: np.ndarray) -> np.ndarray:
+        if k < 11:
+            return _token(words, p.anchor[i] + _CUTS[k], p.end[i], _CUTS[k + 1] - _CUTS[k])
+        if k < 15:
+            return _token(words, p.start[i] + 8 * (k - 11), p.anchor[i], 8)
+        return (p.sizes if k == 15 else p.places)[i].astype(np.uint64)
+
+    return multikey_order(len(p.sizes), token, 17)
+
+
+def order_strings(text: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The strings of SPAN bytes from each place on, in order; level 7 are equal."""
+    words = _words(text)
+    return multikey_order(len(at), lambda k, i: _token(words, at[i] + 8 * k, at[i] + SPAN, 8), 7)
+
+
+def _strings(p: Pieces, i: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All strings of some pieces: the piece, the number in it and the place."""
+    count = p.sizes[i].astype(np.int64) - SPAN + 1
+    piece = np.repeat(i, count)
+    j = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    return piece, j, p.start[piece] + j
+
+
+def judge(p: Pieces, apart: bool) -> tuple[np.ndarray, np.ndarray]:
+    """For each piece a bit for each of its strings that a smaller document holds; and the different pieces that must be compared by their strings (and were, unless ``apart``)."""
+    n = len(p.sizes)
+    order, depth = order_pieces(p)
+    run, least = _firsts(order, depth, 17, p.docs)
+    bits = np.zeros(n, np.uint32)
+    later = p.docs[order] > least[run]
+    every = ((np.uint64(1) << (p.sizes.astype(np.uint64) - np.uint64(SPAN - 1))) - np.uint64(1)).astype(np.uint32)
+    bits[order[later]] = every[order[later]]
+    holder, of_run = order[~later], run[~later]
+    lead = (np.cumsum(depth < 3) - 1)[depth < 17]
+    open_ = holder[(np.bincount(lead)[lead] > 1)[of_run]]
+    if apart:
+        return bits, holder
+    piece, j, at = _strings(p, open_)
+    if len(at):
+        order, depth = order_strings(p.text, at)
+        run, least = _firsts(order, depth, 7, p.docs[piece])
+        cut = order[least[run] < p.docs[piece[order]]]
+        np.bitwise_or.at(bits, piece[cut], np.uint32(1) << j[cut].astype(np.uint32))
+    return bits, open_
+
+
+_REPLY = "b int, numbers binary, bits binary"
+
+
+def _replies(p: Pieces, bits: np.ndarray) -> list[tuple[int, bytes, bytes]]:
+    at = np.flatnonzero(bits)
+    at = at[np.argsort(p.buckets[at], kind="stable")]
+    names, first = np.unique(p.buckets[at], return_index=True)
+    return [(int(b), p.numbers[i].tobytes(), bits[i].tobytes()) for b, i in zip(names, np.split(at, first[1:]), strict=True)] if len(at) else []
+
+
+def _judge(table: pa.Table) -> pa.Table:
+    """One range of leads: replies (bucket, numbers of pieces, bits of the strings to cut)."""
+    p = Pieces.of_table(table)
+    rows = _replies(p, judge(p, False)[0])
+    return pa.table({"b": pa.array([r[0] for r in rows], pa.int32()), "numbers": pa.array([r[1] for r in rows], pa.binary()), "bits": pa.array([r[2] for r in rows], pa.binary())})
+
+
+_STRING = "string binary, doc long, b int, number int, j int"
+
+
+def _judge_common(table: pa.Table) -> pa.Table:
+    """Some pieces of common leads: replies for the copies, and the strings of all others."""
+    p = Pieces.of_table(table)
+    bits, holder = judge(p, True)
+    rows = _replies(p, bits)
+    piece, j, at = _strings(p, holder)
+    text = p.text[at[:, None] + np.arange(SPAN)]
+    none, m = [None] * len(rows), len(at)
     return pa.table(
         {
-            "lead": pa.array([bytes(raw[p : p + KMER]) for p in place.tolist()], pa.binary()),
-            "place": pa.array(place - start, pa.int32()),
-            "piece": pa.array([bytes(raw[s : s + n]) for s, n in zip(start.tolist(), (count + SPAN - 1).tolist(), strict=True)], pa.binary()),
-            "whole": pa.array(whole),
-            "doc": pa.array(doc),
-            "b": pa.array(np.full(len(doc), b), pa.int32()),
+            "string": pa.array([*none, *np.ascontiguousarray(text).view(f"V{SPAN}").reshape(-1).tolist()], pa.binary()),
+            "doc": pa.array([*none, *p.docs[piece].tolist()], pa.int64()),
+            "b": pa.array([*(r[0] for r in rows), *p.buckets[piece].tolist()], pa.int32()),
+            "number": pa.array([*none, *p.numbers[piece].tolist()], pa.int32()),
+            "j": pa.array([*none, *j.tolist()], pa.int32()),
+            "numbers": pa.array([*(r[1] for r in rows), *[None] * m], pa.binary()),
+            "bits": pa.array([*(r[2] for r in rows), *[None] * m], pa.binary()),
         }
     )
 
 
-def multikey_order(keys: np.ndarray) -> np.ndarray:
-    """Order of equally long byte strings (rows of ``keys``): sorts by one four-byte token at a time, and by the next one only where rows still tie."""
-    tokens = np.ascontiguousarray(keys).view(">u4").astype(np.uint32)
-    order = np.argsort(tokens[:, 0], kind="stable")
-    same = np.concatenate([[False], tokens[order[1:], 0] == tokens[order[:-1], 0]]) if len(order) else np.zeros(0, bool)
-    for k in range(1, tokens.shape[1]):
-        tied = same.copy()
-        tied[:-1] |= same[1:]
-        at = np.flatnonzero(tied)
-        if not len(at):
-            break
-        group = np.cumsum(~same)[at]
-        sub = order[at]
-        order[at] = sub[np.lexsort((tokens[sub, k], group))]
-        same[1:] &= tokens[order[1:], k] == tokens[order[:-1], k]
-    return order
-
-
-def compare(leads: np.ndarray, pieces: list[bytes], doc: np.ndarray) -> np.ndarray:
-    """For each piece a bit for each of its strings that a document before its own holds."""
-    order = multikey_order(leads)
-    ordered = leads[order]
-    cut = np.flatnonzero(np.concatenate([[True], (ordered[1:] != ordered[:-1]).any(axis=1), [True]])) if len(order) else np.zeros(1, np.int64)
-    mask = np.zeros(len(doc), np.int64)
-    docs = doc.tolist()
-    for a, z in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-        if z - a == 1:
-            continue
-        group = order[a:z].tolist()
-        holder: dict[bytes, int] = {}
-        for i in group:
-            piece, d = pieces[i], docs[i]
-            for j in range(len(piece) - SPAN + 1):
-                s = piece[j : j + SPAN]
-                if holder.get(s, d) >= d:
-                    holder[s] = d
-        for i in group:
-            piece, d = pieces[i], docs[i]
-            mask[i] = sum(1 << j for j in range(len(piece) - SPAN + 1) if holder[piece[j : j + SPAN]] < d)
-    return mask
-
-
-def _judge(batches):
-    """One range of leading k-mers: replies (bucket, piece hash, bits of the strings to cut)."""
-    batches = list(batches)
-    table = pa.Table.from_batches(batches) if batches else None
+def _sorted_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One range of strings and documents: strings with a smaller document in it (``kind`` 0), those of its first string that have none (1) and its last string with its smallest document here (2)."""
+    held = list(batches)
+    table = pa.Table.from_batches(held) if held else None
     if table is None or not table.num_rows:
         return
-    leads = kernel.strings(table.column("lead"))[0].reshape(-1, KMER)
-    mask = compare(leads, table.column("piece").to_pylist(), table.column("doc").to_numpy())
-    yield from pa.table({"b": table.column("b"), "whole": table.column("whole"), "bits": pa.array(mask)}).filter(pa.array(mask != 0)).to_batches()
-
-
-def _judge_apart(pieces: DataFrame) -> DataFrame:
-    """What ``_judge`` replies, found by an aggregate over single strings; no group of pieces meets in one task."""
-    strings = F.transform(F.sequence(F.lit(0), F.octet_length("piece") - SPAN), lambda j: F.substr("piece", j + 1, F.lit(SPAN)))
-    rows = pieces.select("b", "whole", "doc", F.posexplode(strings).alias("j", "string"))
-    firsts = rows.groupBy("string").agg(F.min("doc").alias("first"))
-    earlier = rows.join(firsts, "string").where("first < doc")
-    return earlier.groupBy("b", "whole").agg(F.bit_or(F.expr("shiftleft(1L, j)")).alias("bits"))
+    text, offsets = kernel.strings(table.column("string"))
+    doc = table.column("doc").to_numpy()
+    order, depth = order_strings(text, offsets[:-1])
+    run, least = _firsts(order, depth, 7, doc)
+    later = least[run] < doc[order]
+    kind = np.where(later, 0, np.where(run == 0, 1, -1))
+    out = table.take(pa.array(order)).append_column("kind", pa.array(kind.astype(np.int32)))
+    yield from out.filter(pa.array(kind >= 0)).to_batches()
+    edge = order[-1:]
+    last = table.take(pa.array(edge)).set_column(1, "doc", pa.array([int(least[-1])], pa.int64()))
+    yield from last.append_column("kind", pa.array([2], pa.int32())).to_batches()
+
+
+def compare_across(strings: DataFrame, parts: int) -> DataFrame:
+    """Bits of the strings to cut, by bucket and number, of ``strings`` held by few or many documents: sorted in ranges that exchange their edges."""
+    ranged = strings.repartitionByRange(parts, "string", "doc").mapInArrow(_sorted_strings, _STRING + ", kind int")
+    held = Stored(ranged, "sorted-strings").df
+    # the ranges ascend by string and document, so the first range that ends with a string has its smallest document
+    edges = held.where("kind = 2").groupBy("string").agg(F.min("doc").alias("first"))
+    across = held.where("kind = 1").join(edges, "string").where("first < doc")
+    cut = held.where("kind = 0").select("b", "number", "j").unionByName(across.select("b", "number", "j"))
+    return cut.groupBy("b", "number").agg(F.bit_or(F.expr("shiftleft(1L, j)")).alias("bits"))
+
+
+def _pack_replies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        b = batch.column(0).to_numpy()
+        numbers = batch.column(1).to_numpy().astype(np.int32)
+        bits = batch.column(2).to_numpy().astype(np.uint32)
+        order = np.argsort(b, kind="stable")
+        names, first = np.unique(b[order], return_index=True)
+        lots = np.split(order, first[1:]) if len(order) else []
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array([numbers[i].tobytes() for i in lots], pa.binary()), pa.array([bits[i].tobytes() for i in lots], pa.binary())], ["b", "numbers", "bits"])
 
 
 def _cut(left: pa.Table, right: pa.Table) -> pa.Table:
-    table = _in_order(left)
-    ids, data, offsets = _bucket(table)
-    gone_told = _sorted_hashes([x for x in right.column("gone").to_pylist() if x])
-    told = right.filter(right.column("bits").is_valid())
-    part_told, bits_told = told.column("whole").to_numpy(), told.column("bits").to_numpy()
-    order = np.argsort(part_told)
-    part_told, bits_told = part_told[order], bits_told[order]
-    own, several = _own_anchors(ids, data, offsets)
-    local = own[several]
-    found = [np.zeros((4, 0), np.int64)]
-    if len(gone_told) or len(part_told) or len(local):
-        for start, count, owner, _, anchor, whole in walk(data, offsets):
-            w = whole.view(np.int64)
-            hit = _member(gone_told, w) | _member(part_told, w) | _member(local, anchor)
-            found.append(np.stack([start[hit], count[hit], ids[owner[hit]], w[hit]]))
-    start, count, doc, whole = np.concatenate(found, axis=1)
-    bits = np.zeros(len(whole), np.int64)
-    if len(part_told) and len(whole):
-        at = np.minimum(np.searchsorted(part_told, whole), len(part_told) - 1)
-        bits = np.where(part_told[at] == whole, bits_told[at], 0)
+    bucket = Bucket(left)
+    data, offsets = bucket.data, bucket.offsets
+    at, number, first = bucket.shared(_from_six(b"".join(x for x in right.column("shared").to_pylist() if x)))
+    bits = np.zeros(len(first), np.uint32)
+    told = right.filter(right.column("numbers").is_valid())
+    if told.num_rows:
+        numbers, masks = (np.frombuffer(b"".join(told.column(c).to_pylist()), t) for c, t in (("numbers", np.int32), ("bits", np.uint32)))
+        np.bitwise_or.at(bits, numbers, masks)
+    start, count, doc = bucket.start[at], bucket.count[at], bucket.doc[at]
     # in this bucket, all but the smallest document of a piece hold it after another one
-    order = np.lexsort((doc, whole))
-    w, d = whole[order], doc[order]
-    head = np.ones(len(w), bool)
-    head[1:] = w[1:] != w[:-1]
-    least = np.empty(len(w), np.int64)
-    least[order] = d[head][np.cumsum(head) - 1]
-    every = _member(gone_told, whole) | (doc > least)
+    every = doc > bucket.doc[first][number] if len(first) else np.zeros(0, bool)
     edge = np.zeros(len(data) + 1, np.int32)
     np.add.at(edge, start[every], 1)
     np.add.at(edge, start[every] + count[every] + SPAN - 1, -1)
-    some = ~every & (bits != 0)
-    start, bits = start[some], bits[some]
+    some = ~every & (bits[number] != 0) if len(first) else every
+    start, mask = start[some], bits[number[some]]
     for j in range(_WINDOW):
-        on = start[(bits >> j) & 1 == 1] + j
+        on = start[(mask >> np.uint32(j)) & np.uint32(1) == 1] + j
         np.add.at(edge, on, 1)
         np.add.at(edge, on + SPAN, -1)
     removed = np.cumsum(edge[:-1]) > 0
@@ -371,10 +508,10 @@ def _cut(left: pa.Table, right: pa.Table) -> pa.Table:
         turn = np.flatnonzero(np.diff(np.concatenate([[0], r.astype(np.int8), [0]]))).tolist()
         spans.append([{"start": x, "end": y} for x, y in zip(turn[::2], turn[1::2], strict=True)])
         kept.append(data[a:z][~r].tobytes())
-    more = {c: table.column(c) for c in table.column_names if c.startswith("keep_")}
+    more = {c: bucket.table.column(c) for c in bucket.table.column_names if c.startswith("keep_")}
     return pa.table(
         {
-            "id": pa.array(ids),
+            "id": pa.array(bucket.ids),
             "n_bytes": pa.array(np.diff(offsets)),
             "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
             "kept": pa.array(kept, pa.binary()),
@@ -383,6 +520,31 @@ def _cut(left: pa.Table, right: pa.Table) -> pa.Table:
     )
 
 
+def _tasks(spark: SparkSession, groups: int) -> int:
+    return max(min(groups, shuffle_partitions(spark)), math.ceil(groups / BUCKETS_A_TASK))
+
+
+def _compared(spark: SparkSession, claims: DataFrame) -> DataFrame:
+    """Replies to the buckets for all pieces that they claim."""
+    seen = Stored(claims.mapInArrow(_leads, "lead binary, piece long").distinct(), "leads").df
+    n_seen = seen.count()
+    nbytes = n_seen * SAMPLED * (SPAN + _WINDOW)
+    ranges = max(1, math.ceil(nbytes / BUCKET), min(shuffle_partitions(spark), math.ceil(nbytes / (1 << 20))))
+    # no more leads than so many splitters need, and no more common ones than a share of the pieces allows
+    sample = seen.where(F.pmod(F.xxhash64("piece"), F.lit(max(1, n_seen // (32 * SPLITTERS)))) == 0).select("lead").toArrow().column(0).to_pylist()
+    common = seen.groupBy("lead").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * SAMPLED > HOT_LEAD).orderBy(F.desc("n")).limit(1 << 16).select("lead").toArrow().column(0).to_pylist() if n_seen * SAMPLED > HOT_LEAD else []
+    dealt = claims.mapInArrow(Ranges(sample, common, ranges).deal, "r long, " + Pieces.SCHEMA).repartition(_tasks(spark, ranges), "r")
+    if not common:
+        return dealt.groupBy("r").applyInArrow(_judge, _REPLY)
+    ranged = Stored(dealt, "ranges").df
+    replies = ranged.where("r >= 0").groupBy("r").applyInArrow(_judge, _REPLY)
+    apart = Stored(ranged.where("r < 0").groupBy("r").applyInArrow(_judge_common, f"{_STRING}, numbers binary, bits binary"), "common-leads").df
+    strings = apart.where("string is not null").select("string", "doc", "b", "number", "j")
+    parts = max(1, math.ceil(strings.count() * SPAN / BUCKET))
+    across = compare_across(strings, parts).mapInArrow(_pack_replies, _REPLY)
+    return replies.unionByName(apart.where("numbers is not null").select("b", "numbers", "bits")).unionByName(across)
+
+
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """What to cut so that no string of 50 bytes stays that also starts in a document with a smaller id.
 
@@ -404,27 +566,20 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.coalesce(F.col(id_col).cast("long"), F.lit(top)).alias("id"),
         F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"),
     ]
-    rows = docs.select(*columns)
+    tasks = _tasks(spark, buckets)
+    rows = docs.select(*columns).repartition(tasks, "b").groupBy("b")
     dests = parts_for(spark, nbytes // 3, BUCKET)
-    reports = rows.groupBy("b").applyInArrow(_report(dests), "d int, b int, anchors binary")
-    shared = reports.groupBy("d").applyInArrow(_shared, "b int, shared binary")
-    claims = rows.groupBy("b").cogroup(shared.groupBy("b")).applyInArrow(_claim(dests), "d int, b int, anchors binary, wholes binary, docs binary")
-    settled = Stored(claims.groupBy("d").applyInArrow(_settle, "b int, gone binary, asked binary"), "claims")
-    asked = settled.df.where(F.octet_length("asked") > 0).select("b", "asked")
-    pieces = Stored(rows.groupBy("b").cogroup(asked.groupBy("b")).applyInArrow(_send, "lead binary, place int, piece binary, whole long, doc long, b int"), "pieces")
-    n_pieces = pieces.df.count()
-    compared, apart = pieces.df, None
-    if n_pieces > HOT_LEAD:
-        common = Stored(pieces.df.groupBy("lead").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_LEAD).select("lead"), "common-leads", tidy=False).df
-        if not common.isEmpty():
-            compared, apart = pieces.df.join(common, "lead", "left_anti"), _judge_apart(pieces.df.join(common, "lead", "left_semi"))
-    ranged = compared.repartitionByRange(parts_for(spark, 120 * n_pieces, BUCKET), "lead")
-    replies = ranged.select("lead", "place", "piece", "whole", "doc", "b").mapInArrow(_judge, "b int, whole long, bits long")
-    told = Stored(replies if apart is None else replies.unionByName(apart), "repeats")
-    pieces.drop()
-    gone = settled.df.where(F.octet_length("gone") > 0).select("b", "gone", F.lit(None).cast("long").alias("whole"), F.lit(None).cast("long").alias("bits"))
-    reply = gone.unionByName(told.df.select("b", F.lit(None).cast("binary").alias("gone"), "whole", "bits"))
+    reports = rows.applyInArrow(_report(dests), "d int, b int, anchors binary")
+    told = reports.groupBy("d").applyInArrow(_shared, "b int, shared binary")
+    claims = Stored(rows.cogroup(told.groupBy("b")).applyInArrow(_claim, Pieces.SCHEMA + ", b int, shared binary"), "pieces")
+    release(spark)
+    told = Stored(_compared(spark, claims.df.where("b is null").select(*Pieces.NAMES)), "repeats")
+    shared = Stored(claims.df.where("b is not null").select("b", "shared"), "shared-anchors")
+    claims.drop()
+    release(spark)
+    null = lambda kind: F.lit(None).cast(kind)
+    reply = shared.df.select("b", "shared", null("binary").alias("numbers"), null("binary").alias("bits")).unionByName(told.df.select("b", null("binary").alias("shared"), "numbers", "bits"))
     more = [F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)]
     kinds = "".join(f", keep_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
-    out = docs.select(*columns, *more).groupBy("b").cogroup(reply.groupBy("b")).applyInArrow(_cut, f"id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary{kinds}")
+    out = docs.select(*columns, *more).repartition(tasks, "b").groupBy("b").cogroup(reply.groupBy("b")).applyInArrow(_cut, f"id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary{kinds}")
     return out.select(F.when(F.col("id") != top, F.col("id")).alias(id_col), "n_bytes", "spans", "kept", *[F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep)])

@@ -523,9 +523,10 @@ def plain_cut(docs):
     return out
 
 
-@pytest.mark.parametrize("hot", [20_000, 2])
+@pytest.mark.parametrize("hot", [100_000, 2])
 def test_repeated_spans_against_brute_force(spark, texts, hot, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "HOT_LEAD", hot)
+    monkeypatch.setattr(suffix_dedup, "SAMPLED", 1 if hot == 2 else 64)
     made = [t if t is None or len(t) < 100_000 else t[:30_000] for t in texts]
     got = {}
     for r in suffix_dedup.repeated_spans(frame(spark, made), keep=("score", "id")).collect():
@@ -562,11 +563,55 @@ def test_long_texts_are_cut_alike_in_parts(monkeypatch):
     assert strings(whole) == strings(parts) == list(range(4951))
 
 
-@settings(max_examples=50, deadline=None)
-@given(st.lists(st.binary(min_size=20, max_size=20), max_size=30))
-def test_multikey_order_sorts(keys):
-    array = np.frombuffer(b"".join(keys), np.uint8).reshape(-1, 20)
-    assert [keys[i] for i in suffix_dedup.multikey_order(array)] == sorted(keys)
+def judged(texts):
+    """``suffix_dedup.judge`` over the pieces of some texts, each of them a document."""
+    raw = [t.encode() for t in texts]
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    bounds = np.concatenate([[0], np.cumsum([len(t) for t in raw])])
+    parts = [np.concatenate(x) for x in zip(*suffix_dedup.walk(data, bounds))]
+    start, count, owner, place = parts[:4]
+    size = count + suffix_dedup.SPAN - 1
+    text = np.concatenate([data[a : a + n] for a, n in zip(start, size)])
+    p = suffix_dedup.Pieces(text, size.astype(np.uint8), (place - start).astype(np.uint8), owner, np.zeros(len(start), np.int32), np.arange(len(start)))
+    gone = {(int(owner[i]), int(start[i] - bounds[owner[i]]) + j) for i, b in enumerate(suffix_dedup.judge(p, False)[0]) for j in range(count[i]) if b >> j & 1}
+    return gone
+
+
+def test_sorted_suffixes_find_all_later_strings():
+    rng = np.random.default_rng(15)
+    made = ["".join(rng.choice(list("abc"), 300)) for _ in range(12)]
+    for i in range(4, 12):
+        a = int(rng.integers(0, 200))
+        made[i] = made[i][:a] + made[int(rng.integers(0, 4))][a : a + int(rng.integers(48, 90))] + made[i][a:]
+    first, want = {}, set()
+    for i, t in enumerate(made):
+        for s in range(len(t) - 49):
+            if first.setdefault(t[s : s + 50], i) < i:
+                want.add((i, s))
+    assert want and judged(made) == want
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.binary(max_size=30), max_size=40))
+def test_multikey_order_sorts(items):
+    data = np.frombuffer(b"".join(items), np.uint8)
+    end = np.cumsum([len(x) for x in items], dtype=np.int64) if items else np.zeros(0, np.int64)
+    start = end - np.array([len(x) for x in items], np.int64)
+    words = suffix_dedup._words(data)
+    order, depth = suffix_dedup.multikey_order(len(items), lambda k, i: suffix_dedup._token(words, start[i] + 8 * k, end[i], 8), 4)
+    padded = [x.ljust(32, b"\0") for x in items]
+    assert [padded[i] for i in order] == sorted(padded)
+    assert [d == 4 for d in depth[1:]] == [padded[a] == padded[b] for a, b in zip(order, order[1:])]
+
+
+def test_ranges_of_strings_exchange_their_edges(spark):
+    """One string that fills several ranges: only its smallest document keeps it."""
+    rng = np.random.default_rng(16)
+    rows = [(bytearray(b"m" * 50), d, 1, d, 0) for d in range(500)] + [(bytearray(rng.integers(97, 123, 50).astype(np.uint8).tobytes()), d, 2, d, 3) for d in range(100)]
+    rows += [(r[0], 900 + i, 3, i, 4) for i, r in enumerate(rows[-5:])]
+    strings = spark.createDataFrame(rows, "string binary, doc long, b int, number int, j int").repartition(5)
+    got = {(r["b"], r["number"], r["bits"]) for r in suffix_dedup.compare_across(strings, 7).collect()}
+    assert got == {(1, d, 1) for d in range(1, 500)} | {(3, i, 16) for i in range(5)}
 
 
 # 9
