@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import math
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -51,8 +52,14 @@ def _drop_at_exit(spark: SparkSession, path: str) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that have ended, which it does once the driver's JVM has collected them."""
-    spark._jvm.System.gc()
+    """Let Spark delete the shuffle files of plans that have ended; for after stages that shuffled whole texts.
+
+    It does so once the driver's JVM has collected them; the last events of a job may
+    still hold its plan, hence the second time.
+    """
+    for _ in range(2):
+        spark._jvm.System.gc()
+        time.sleep(0.2)
 
 
 class Stored:

@@ -125,10 +125,16 @@ def _cuts(data: np.ndarray) -> Iterator[tuple[int, int]]:
         at = end
 
 
+def word_parts(data: np.ndarray, fold_case: bool = True) -> Iterator[np.ndarray]:
+    """Hashes of one long text's words, part by part."""
+    for a, b in _cuts(data):
+        yield _hash_words(data[a:b], np.array([0, b - a]), fold_case)[0]
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray, fold_case: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hash of every word, and where each text's words begin (n + 1)."""
     if len(offsets) == 2 and len(data) > 2 * PIECE:
-        h = np.concatenate([_hash_words(data[a:b], np.array([0, b - a]), fold_case)[0] for a, b in _cuts(data)])
+        h = np.concatenate(list(word_parts(data, fold_case)))
         return h, np.array([0, len(h)])
     return _hash_words(data, offsets, fold_case)
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel
-from .common import Stored, shuffle_partitions
+from .common import Stored, release, shuffle_partitions
 from .components import components
 
 #: Bands and registers a band: a pair at 0.8 escapes all bands with odds of about 5 in a million.
@@ -34,8 +34,8 @@ BANDS, ROWS = 40, 6
 BUCKETS = BANDS * ROWS
 #: Mantissa bits of a register.
 MANTISSA = 10
-#: Standard errors by which an estimate must fall short before a pair is discarded.
-MARGIN = 5.0
+#: Standard errors by which an estimate must fall short before a pair is discarded; smaller sets share registers, so their estimate is not used.
+MARGIN, ESTIMATED = 5.0, 50
 
 
 def registers(values: np.ndarray) -> np.ndarray:
@@ -155,7 +155,8 @@ def _plausible(pairs: DataFrame, sk: DataFrame, threshold: float, id_type: str)
                 continue
             ra, rb = (kernel.strings(batch.column(c))[0].view(np.uint16).reshape(-1, BUCKETS) for c in (2, 3))
             na, nb = (batch.column(c).to_numpy(zero_copy_only=False) for c in (4, 5))
-            sure = (np.minimum(na, nb) >= threshold * np.maximum(na, nb)) & (estimate(ra, rb, na, nb) >= least)
+            few = np.minimum(na, nb) < ESTIMATED
+            sure = (np.minimum(na, nb) >= threshold * np.maximum(na, nb)) & (few | (estimate(ra, rb, na, nb) >= least))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(sure))
 
     def side(x: str) -> DataFrame:
@@ -286,13 +287,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Words are runs of anything but ASCII white space, A-Z folded to lower case; a
     document's set holds its distinct runs of ``width`` words, or with fewer words
-    the whole sequence.  Returns id, n_shingles, component_id (smallest id
-    reachable through links) and kept (id = component_id).  A null or empty text,
+    the whole sequence.  Returns for each row id, n_shingles, component_id (smallest
+    id reachable through links) and kept (id = component_id).  A null or empty text,
     or one without words, has an empty set and is linked with nothing.  Rows with
-    the same id are the same document.  A null id is left out of links and kept
+    the same id are one document, with the smallest of their texts (null before all).  A null id is left out of links and kept
     false.  Empty input: no rows.  Other columns are not read.
     """
     idt = docs.schema[id_col].dataType.simpleString()
+    ids = docs.select(F.col(id_col).alias("id")).where("id is not null")
+    if ids.count() > ids.distinct().count():
+        given = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+        one = given.where("id is not null").groupBy("id").agg(F.min(F.struct("text")).alias("t"))
+        docs = given.select("id").join(one, "id").select("id", "t.text").unionByName(given.where("id is null"))
+        docs = docs.select(F.col("id").alias(id_col), F.col("text").alias(text_col))
     held = Stored(sketches(docs, id_col, text_col, width), "sketches")
     sk = held.df
     full = sk.where("n > 0 and id is not null")
@@ -328,11 +335,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # then, inside the buckets that still hold several groups, members of different groups
     placed = Stored(side(members.where("id <> center").select("key", F.col("id").alias("b")), "b").select("key", F.col("b").alias("id"), F.col("gb").alias("g")), "placed")
     within = _across_groups(placed.df, texts.df, width, percent, idt)
-    more = Stored(_confirmed(within, texts.df, width, percent, idt), "links-3").df
+    more = tried(within, "links-3").df
     if not more.isEmpty():
         groups = components(links.unionByName(more), idt)
     for done in (cand, texts, small, placed):
         done.drop()
+    release(docs.sparkSession)
     final = sk.select("id", F.col("n").alias("n_shingles"), "same").join(classes.df, "same", "left").withColumn("rep", F.when(F.col("n_shingles") > 0, F.col("rep")))
     final = final.join(groups.select(F.col("id").alias("rep"), "component"), "rep", "left")
     final = final.withColumn("component_id", F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id")))

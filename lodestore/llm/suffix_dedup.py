@@ -35,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import kernel
 from .common import Stored, parts_for, release, shuffle_partitions, text_bytes
@@ -480,7 +481,15 @@ def _pack_replies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array([numbers[i].tobytes() for i in lots], pa.binary()), pa.array([bits[i].tobytes() for i in lots], pa.binary())], ["b", "numbers", "bits"])
 
 
-def _cut(left: pa.Table, right: pa.Table) -> pa.Table:
+def _without_torn(data: np.ndarray, removed: np.ndarray) -> np.ndarray:
+    """``removed`` and all other bytes of every character that it cuts into; the texts are valid UTF-8."""
+    first = np.flatnonzero((data & 0xC0) != 0x80)
+    if not len(first):
+        return removed
+    return np.repeat(np.bitwise_or.reduceat(removed, first), np.diff(np.append(first, len(data))))
+
+
+def _cut(left: pa.Table, right: pa.Table, whole_characters: bool) -> pa.Table:
     bucket = Bucket(left)
     data, offsets = bucket.data, bucket.offsets
     at, number, first = bucket.shared(_from_six(b"".join(x for x in right.column("shared").to_pylist() if x)))
@@ -502,6 +511,8 @@ def _cut(left: pa.Table, right: pa.Table) -> pa.Table:
         np.add.at(edge, on, 1)
         np.add.at(edge, on + SPAN, -1)
     removed = np.cumsum(edge[:-1]) > 0
+    if whole_characters:
+        removed = _without_torn(data, removed)
     spans, kept = [], []
     for a, z in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
         r = removed[a:z]
@@ -545,13 +556,14 @@ def _compared(spark: SparkSession, claims: DataFrame) -> DataFrame:
     return replies.unionByName(apart.where("numbers is not null").select("b", "numbers", "bits")).unionByName(across)
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), whole_characters: bool = False) -> DataFrame:
     """What to cut so that no string of 50 bytes stays that also starts in a document with a smaller id.
 
     Texts are taken as UTF-8 bytes, whole; strings are judged on the input and
     never cross documents.  Returns id, n_bytes, spans (maximal removed runs as
     byte ranges ``start``, ``end``), kept (the bytes that stay) and the columns that
-    ``keep`` names.  A null or
+    ``keep`` names.  With ``whole_characters``
+    the bytes left of a character that is cut into go too.  A null or
     empty text, or one under 50 bytes, loses nothing.  Rows with the same id
     count as one document that repeats itself, which is no reason to cut.  Null
     ids count as larger than all others and come back as null.  Empty input: no
@@ -580,6 +592,13 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     null = lambda kind: F.lit(None).cast(kind)
     reply = shared.df.select("b", "shared", null("binary").alias("numbers"), null("binary").alias("bits")).unionByName(told.df.select("b", null("binary").alias("shared"), "numbers", "bits"))
     more = [F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)]
-    kinds = "".join(f", keep_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
-    out = docs.select(*columns, *more).repartition(tasks, "b").groupBy("b").cogroup(reply.groupBy("b")).applyInArrow(_cut, f"id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary{kinds}")
+    spans = T.ArrayType(T.StructType().add("start", T.LongType()).add("end", T.LongType()))
+    schema = T.StructType().add("id", T.LongType()).add("n_bytes", T.LongType()).add("spans", spans).add("kept", T.BinaryType())
+    for i, c in enumerate(keep):
+        schema = schema.add(f"keep_{i}", docs.schema[c].dataType)
+
+    def cut(left: pa.Table, right: pa.Table) -> pa.Table:
+        return _cut(left, right, whole_characters)
+
+    out = docs.select(*columns, *more).repartition(tasks, "b").groupBy("b").cogroup(reply.groupBy("b")).applyInArrow(cut, schema)
     return out.select(F.when(F.col("id") != top, F.col("id")).alias(id_col), "n_bytes", "spans", "kept", *[F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep)])

@@ -329,13 +329,13 @@ def without_toxic(docs: DataFrame, learn: DataFrame, id_col: str = "doc_id", tex
     """The rows of ``docs``, with all their columns, that ``score_toxicity`` does not predict toxic."""
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     model, finish = _fit(texts, learn, id_col, docs.schema[id_col].dataType.simpleString())
-    place = docs.columns.index(text_col)
+    packed = docs.select(F.col(text_col).alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = kernel.strings(batch.column(place))
+            data, offsets = kernel.strings(batch.column(0))
             for i, j in kernel.pieces(offsets):
                 score = _scores(model.features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]), finish)
                 yield batch.slice(i, j - i).filter(pa.array(score < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return packed.mapInArrow(run, packed.schema).select("row.*")

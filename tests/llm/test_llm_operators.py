@@ -426,11 +426,13 @@ def test_nearest_of_few(spark):
 
 def test_index_finds_every_code_within_the_radius():
     rng = np.random.default_rng(7)
-    code = rng.integers(0, 1 << 16, (500, 4)).astype(np.uint16)
+    code = rng.integers(0, 1 << 32, (500, 2)).astype(np.uint32)
     code[100:200] = code[:100]
     code[100:200, 1] ^= 3
+    code[200:250] = code[:50]
+    code[200:250, 0] ^= 0x10101
     index = ann.Index(code)
-    for radius in (0, 2, 9, 27):
+    for radius in (0, 1, 2, 3, 9, 27):
         for q in code[::50]:
             want = np.flatnonzero([sum(bin(int(a ^ b)).count("1") for a, b in zip(q, c)) <= radius for c in code])
             assert index.within(q, radius).tolist() == want.tolist()
@@ -773,28 +775,48 @@ def test_search_against_brute_force(spark, texts, monkeypatch):
     assert search.top_k(docs, docs.limit(0)).count() == 0
 
 
-def test_search_skips_blocks_that_cannot_win(monkeypatch):
+def shard_of(texts, k=1):
     import pyarrow as pa
 
+    return search.Shard(search.build(np.arange(len(texts)), *kernel.strings(pa.array(texts)), k), 30.0)
+
+
+def hashes_of(*names):
+    data = np.frombuffer(" ".join(names).encode(), np.uint8)
+    return kernel.word_hashes(data, np.array([0, len(data)]))[0]
+
+
+def test_search_reads_no_block_that_cannot_win(monkeypatch):
     monkeypatch.setattr(search, "BLOCK", 8)
+    monkeypatch.setattr(search, "DENSE", 20)
     rng = np.random.default_rng(12)
     texts = [" ".join(rng.choice([f"c{i}" for i in range(20)], 30)) for _ in range(64)]
     texts[40] += " rare"
-    data, offsets = kernel.strings(pa.array(texts))
-    names = np.unique(kernel.word_hashes(np.frombuffer(" ".join([*(f"c{i}" for i in range(20)), "rare"]).encode(), np.uint8), np.array([0, 76]))[0])
-    shard = search.Shard(np.arange(64), data, offsets, names, np.full(len(names), 2), 30.0, 1)
-    rare = np.flatnonzero(names == kernel.word_hashes(np.frombuffer(b"rare", np.uint8), np.array([0, 4]))[0][0])
-    read = []
-
-    class Watched(np.ndarray):
-        def __getitem__(self, key):
-            if isinstance(key, tuple) and isinstance(key[1], slice):
-                read.append(key[1].start)
-            return super().__getitem__(key)
-
-    shard.dense = shard.dense.view(Watched)
-    got = shard.answer([-1], [(rare, np.ones(1))], 1)
-    assert [(q, x) for q, x, _ in got] == [(-1, 40)] and read == [40]
+    shard = shard_of(texts)
+    got = shard.answer([-1], [(hashes_of("rare"), np.ones(1))], 1)
+    assert [(q, x) for q, x, _ in got] == [(-1, 40)] and (shard.all, shard.read) == (8, 1)
+
+
+def test_search_skips_posting_blocks_and_stays_exact(monkeypatch):
+    """Two languages: a query in one leaves most blocks of the other unread, whatever the pivot decides."""
+    monkeypatch.setattr(search, "BLOCK", 8)
+    rng = np.random.default_rng(17)
+    weight = 1 / np.arange(1, 201)
+    make = lambda c: " ".join(rng.choice([f"{c}{i}" for i in range(200)], int(rng.integers(20, 60)), p=weight / weight.sum()))
+    texts = [make("ab"[i % 2]) for i in range(400)]
+    bags = [Counter(words(t)) for t in texts]
+    for dense in (0, 10, 1000):
+        monkeypatch.setattr(search, "DENSE", dense)
+        shard = shard_of(texts, 5)
+        for q in range(0, 40, 3):
+            names = sorted(bags[q])
+            terms = hashes_of(*names)
+            order = np.argsort(terms)
+            idf = 1 + rng.random(len(names))
+            want = sorted((-round(sum(i * b[w] * 2.2 / (b[w] + 1.2 * (0.25 + 0.75 * sum(b.values()) / 30.0)) for w, i in zip(names, idf) if w in b), 9), d) for d, b in enumerate(bags) if d != q)[:5]
+            got = shard.answer([q], [(terms[order], idf[order])], 5)
+            assert [(x, round(s, 9)) for _, x, s in got] == [(d, -s) for s, d in want]
+        assert shard.read < 0.8 * shard.all
 
 
 # primitives

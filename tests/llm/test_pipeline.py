@@ -121,6 +121,44 @@ def test_stages_bear_awkward_rows(spark, small, tmp_path):
             assert docs.count() == 0
 
 
+CLASHING = ("kept", "spans", "n_bytes", "text_was_null", "copies", "copy", "copy_number", "row", "id", "b", "size", "score", "least", "source_size", "keep_0", "a.b")
+
+
+def test_stages_bear_columns_of_any_name(spark, small, tmp_path):
+    docs = table(spark, small, "documents").where("doc_id < 60")
+    more = docs.select("*", *[F.concat(F.lit(f"{c}-"), F.col("doc_id")).alias(c) for c in CLASHING])
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = [stage(spark, x, small) for x in (docs, more)]
+        if k < 4:
+            assert out[1].columns == more.columns
+            path = str(tmp_path / str(k))
+            out[1].write.parquet(path)
+            more = spark.read.parquet(path)
+            assert all(r[c] == f"{c}-{r['doc_id']}" for r in more.collect() for c in CLASHING)
+            docs, plain = more.select(*docs.columns), out[0].collect()
+            assert sorted(map(tuple, plain), key=str) == sorted(map(tuple, docs.collect()), key=str)
+        else:
+            assert sorted(map(tuple, out[0].collect()), key=str) == sorted(map(tuple, out[1].collect()), key=str)
+
+
+def test_one_row_of_each_id_stays(spark, small):
+    """Rows of one id with different texts: the smallest one decides, however the rows are dealt."""
+    rows = [(i, t, "en", "a", i) for i, t in ((1, "b c d e f g"), (1, "a c d e f g"), (2, "a c d e f g"), (3, "z"), (None, "z"))]
+    docs = spark.createDataFrame(rows, table(spark, small, "documents").schema)
+    want = [(1, "a c d e f g"), (3, "z"), (None, "z")]
+    for parts in (1, 3):
+        got = corpus_pipeline.drop_near_duplicates(spark, docs.repartition(parts), small).select("doc_id", "text").collect()
+        assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_characters_are_not_torn(spark, small):
+    """A replacement character that the text had stays; what a cut leaves of a character goes."""
+    text = "".join(str(i) for i in range(60))
+    docs = spark.createDataFrame([(1, "é" + text, "en", "a", 1), (2, "è" + text + "\ufffd", "en", "a", 1)], table(spark, small, "documents").schema)
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.cut_repeated_passages(spark, docs, small).collect()}
+    assert got == {1: ("é" + text, 111), 2: ("è\ufffd", 2)}
+
+
 def test_registered_queries_run(spark, small):
     known = __spark_entry__.queries()
     assert {f"op{n}" for n in range(1, 11)} <= {q.split("_")[0] for q in known} and "pipeline" in known
