@@ -21,35 +21,46 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.without_toxic(docs, table(spark, sf_dir, "labels").where(crc_mod(F.col("doc_id"), 5) != 0))
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """``docs`` as doc_id, text and one struct of all its columns, so that names of theirs clash with none that an operator uses."""
+    return docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+
+def _unpacked(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` from the struct."""
+    return rows.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group; five-word shingles, similarity 0.8 or more. A repeated row stays once; rows without an id stay."""
+    """The document with the smallest id of each group; five-word shingles, similarity 0.8 or more. Of rows with the same id the one with the smallest text stays, once, then by the other columns in order; rows without an id stay."""
     groups = near_dup.near_duplicates(docs)
-    rows, ids = groups.where("doc_id is not null").agg(F.count(F.lit(1)), F.count_distinct("doc_id")).first()
+    named = groups.where("doc_id is not null")
+    rows, ids = named.agg(F.count(F.lit(1)), F.count_distinct("doc_id")).first()
+    packed = _packed(docs)
     if rows > ids:
-        docs = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
-    dropped = groups.where("doc_id is not null and not kept").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+        least = packed.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("text", "row")).alias("least"))
+        packed = least.select("doc_id", "least.text", "least.row").unionByName(packed.where("doc_id is null"))
+    dropped = named.where("not kept").select("doc_id").distinct()
+    return _unpacked(packed.join(dropped, "doc_id", "left_anti"), docs)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents without the strings of 50 bytes that an earlier one holds; a character that is cut into goes. ``n_chars`` follows the text."""
-    names = docs.columns
-    rest = [c for c in names if c not in ("doc_id", "text", "n_chars")]
-    was_null = docs.select("*", F.col("text").isNull().alias("text_was_null"))
-    cut = suffix_dedup.repeated_spans(was_null, keep=(*rest, "text_was_null"))
-    # a byte sequence that is no whole character becomes U+FFFD; one that the text had before cannot be told apart and goes too
-    whole = F.when(F.is_valid_utf8(F.col("kept").cast("string")), F.col("kept").cast("string")).otherwise(F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("�"), F.lit("")))
-    cut = cut.withColumn("text", F.when(~F.col("text_was_null"), whole))
-    if "n_chars" in names:
-        cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return cut.select(*names)
+    """All documents without the strings of 50 bytes that an earlier one holds; bytes left of a character that is cut into go. ``n_chars`` follows the text."""
+    rest = [c for c in docs.columns if c != "text"]
+    row = F.struct(F.col("text").isNull().alias("was_null"), F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest"))
+    cut = suffix_dedup.repeated_spans(docs.select("doc_id", "text", row.alias("row")), keep=("row",), whole_characters=True)
+    text = F.when(~F.col("row.was_null"), F.col("kept").cast("string"))
+    new = {"text": text}
+    if "n_chars" in rest:
+        new["n_chars"] = F.length(text).cast(docs.schema["n_chars"].dataType)
+    return cut.select(*[new.get(c, F.col(f"row.rest.`{c}`")).alias(c) for c in docs.columns])
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it. Rows without an id cannot be named by the mix and are not taken."""
     mixed = mixing.mix_sources(docs).where("copies > 0 and doc_id is not null").select("doc_id", "copies")
-    copies = docs.join(mixed, "doc_id")
-    return copies.select(*docs.columns, F.explode(F.sequence(F.lit(1), "copies")).alias("copy_number")).select(*docs.columns)
+    copies = _packed(docs).join(mixed, "doc_id")
+    return _unpacked(copies.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))), docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
