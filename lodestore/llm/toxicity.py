@@ -148,36 +148,39 @@ def _place(known: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.where(known[at] == x, at, len(known))
 
 
-def discounts(n: np.ndarray) -> np.ndarray:
-    """What modified Kneser-Ney takes off each count: one amount for ones, one for twos and one for more, estimated from how many there are."""
-    one, two, three, four = (max(1, np.count_nonzero(n == k)) for k in (1, 2, 3, 4))
+def amounts(one: int, two: int, three: int, four: int) -> np.ndarray:
+    """What modified Kneser-Ney takes off a count of none, one, two and more, estimated from how many counts are one to four."""
+    one, two, three, four = (max(1, n) for n in (one, two, three, four))
     y = one / (one + 2 * two)
-    amounts = [0.0, *(min(max(k - (k + 1) * y * b / a, 0.1 * k), 0.95 * k) for k, a, b in ((1, one, two), (2, two, three), (3, three, four)))]
-    return np.array(amounts)[np.minimum(n, 3).astype(int)]
+    return np.array([0.0, *(min(max(k - (k + 1) * y * b / a, 0.1 * k), 0.95 * k) for k, a, b in ((1, one, two), (2, two, three), (3, three, four)))])
+
+
+def take_off(n: np.ndarray, by: np.ndarray) -> np.ndarray:
+    return by[np.minimum(n, 3).astype(int)]
 
 
 class KneserNey:
     """Probabilities of one class, level by level.
 
-    ``opening``, ``word`` and ``pair`` are counts; ``word_opening``, ``pair_word`` and
-    ``pair_context`` tell which opening a word has, and which words make a pair;
-    ``context_size`` is the sum of all counts of pairs after a word; ``shared_opening``
-    and ``shared_word`` are the shared probability of an opening, and of a word that
-    has it.  What is taken off a level is its ``rest``, given to the level below.
+    ``opening``, ``word`` and ``pair`` are counts (only pairs that are modelled, of which
+    ``pair_amounts`` are taken off); ``word_opening``, ``pair_word`` and ``pair_context``
+    tell which opening a word has, and which words make a pair; ``context_size`` is the
+    sum of the counts of all pairs after a word; ``shared_opening`` and ``shared_word``
+    are the shared probability of an opening, and of a word that has it.  What is taken
+    off a level is its ``rest``, given to the level below.
     """
 
-    def __init__(self, opening, word, pair, word_opening, pair_word, pair_context, context_size, shared_opening, shared_word):
+    def __init__(self, opening, word, pair, pair_amounts, word_opening, pair_word, pair_context, context_size, shared_opening, shared_word):
         def level(n: np.ndarray) -> tuple[np.ndarray, float]:
-            d = discounts(n)
+            d = take_off(n, amounts(*(np.count_nonzero(n == k) for k in (1, 2, 3, 4))))
             return (n - d) / n.sum(), d.sum() / n.sum()
 
         p, self.opening_rest = level(opening)
         self.opening = p + self.opening_rest * shared_opening
         p, self.word_rest = level(word)
         self.word = p + self.word_rest * self.opening[word_opening] * shared_word[word_opening]
-        size = np.maximum(context_size, 1)
-        kept = (pair - discounts(pair)) / size[pair_context] * (pair >= PAIR_CONTEXTS)
-        self.context_rest = 1 - np.bincount(pair_context, kept, len(size))
+        kept = np.where(pair >= PAIR_CONTEXTS, pair - take_off(pair, pair_amounts), 0) / np.maximum(context_size, 1)[pair_context]
+        self.context_rest = 1 - np.bincount(pair_context, kept, len(context_size))
         self.pair = kept + self.context_rest[pair_context] * self.word[pair_word]
 
 
@@ -190,25 +193,34 @@ class Model:
 
     def __init__(self, rows: DataFrame, texts: DataFrame):
         triples = gram_rows(rows).groupBy("triple", "previous", "word", "opening").agg(F.max("toxic").alias("t"), F.max(1 - F.col("toxic")).alias("o"))
-        table = triples.groupBy("previous", "word", "opening").agg(F.sum("t").alias("t"), F.sum("o").alias("o")).toArrow()
-        previous, word, opening = (table.column(c).to_numpy().view(np.uint64) for c in ("previous", "word", "opening"))
-        counts = [table.column(c).to_numpy().astype(float) for c in ("t", "o")]
-        self.known = len(word) > 0 and all(x.any() for x in counts)
+        held = Stored(triples.groupBy("previous", "word", "opening").agg(F.sum("t").alias("t"), F.sum("o").alias("o")), "pairs")
+        pairs = held.df
+        column = lambda table, c: table.column(c).to_numpy()
+        hashes = lambda table, c: column(table, c).view(np.uint64)
+        words = pairs.groupBy("word").agg(F.min("opening").alias("opening"), *[F.count_if(F.col(c) > 0).alias(c) for c in "to"]).toArrow()
+        self.known = all(column(words, c).any() for c in "to") if words.num_rows else False
         if not self.known:
+            held.drop()
             return
-        self.words, first, of_word = np.unique(word, return_index=True, return_inverse=True)
-        self.openings, word_opening = np.unique(opening[first], return_inverse=True)
-        contexts, of_context = np.unique(previous, return_inverse=True)
-        modelled = np.flatnonzero(np.maximum(*counts) >= PAIR_CONTEXTS)
+        often = pairs.agg(*[F.count_if(F.col(c) == k) for c in "to" for k in (1, 2, 3, 4)]).first()
+        heavy = pairs.where(F.greatest("t", "o") >= PAIR_CONTEXTS)
+        modelled = heavy.toArrow()
+        after = pairs.join(heavy.select("previous").distinct(), "previous", "left_semi").groupBy("previous").agg(F.sum("t").alias("t"), F.sum("o").alias("o")).toArrow()
+        held.drop()
+        order = np.argsort(hashes(words, "word"))
+        self.words = hashes(words, "word")[order]
+        self.openings, word_opening = np.unique(hashes(words, "opening")[order], return_inverse=True)
+        by_context = np.argsort(hashes(after, "previous"))
+        contexts = hashes(after, "previous")[by_context]
+        pair_word, pair_context = np.searchsorted(self.words, hashes(modelled, "word")), np.searchsorted(contexts, hashes(modelled, "previous"))
         begin_so, total = shared_counts(texts, self.openings)
 
-        def model(n: np.ndarray) -> KneserNey:
-            words = np.bincount(of_word, n > 0, len(self.words))
-            openings = np.bincount(word_opening, words > 0, len(self.openings))
-            size = np.bincount(of_context, n, len(contexts))
-            return KneserNey(openings, words, n, word_opening, of_word, of_context, size, begin_so / total, 1 / begin_so)
+        def model(c: str, pair_amounts: np.ndarray) -> KneserNey:
+            n = column(words, c)[order]
+            openings = np.bincount(word_opening, n > 0, len(self.openings))
+            return KneserNey(openings, n, column(modelled, c), pair_amounts, word_opening, pair_word, pair_context, column(after, c)[by_context], begin_so / total, 1 / begin_so)
 
-        toxic, ordinary = (model(n) for n in counts)
+        toxic, ordinary = model("t", amounts(*often[:4])), model("o", amounts(*often[4:]))
         gain = lambda a, b: np.log(a) - np.log(b)
         end = lambda known, other: np.append(known, other).astype(np.float32)  # noqa: E731  the last place is for what is not in a table
         unseen = gain(toxic.word_rest * toxic.opening_rest, ordinary.word_rest * ordinary.opening_rest)
@@ -217,9 +229,9 @@ class Model:
         left = gain(toxic.context_rest, ordinary.context_rest)
         some = np.flatnonzero(left)
         self.contexts, self.context_gain = contexts[some], end(left[some], 0.0)
-        pairs = _pair(previous[modelled], word[modelled])
-        order = np.argsort(pairs)
-        self.pairs, self.pair_gain = pairs[order], end(gain(toxic.pair, ordinary.pair)[modelled][order], np.nan)
+        names = _pair(hashes(modelled, "previous"), hashes(modelled, "word"))
+        order = np.argsort(names)
+        self.pairs, self.pair_gain = names[order], end(gain(toxic.pair, ordinary.pair)[order], np.nan)
 
     def gains(self, g: Grams) -> np.ndarray:
         """Difference of the log-probabilities of each word after the one before it."""
