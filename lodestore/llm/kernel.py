@@ -6,6 +6,8 @@ Hashes are polynomial hashes modulo 2**64 with an odd base, taken from prefix su
 
 from __future__ import annotations
 
+import ctypes
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +42,21 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers
 
 
+def lean(run):
+    """``run`` of one or two tables, after which a worker's freed memory goes back to the machine; workers live on between stages."""
+
+    @functools.wraps(run)
+    def made(*tables: pa.Table) -> pa.Table:
+        out = run(*tables)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+        return out
+
+    return made
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     h = h ^ (h >> np.uint64(31))
     h = h * np.uint64(0xBF58476D1CE4E5B9)

@@ -145,19 +145,27 @@ def band_rows(reps: DataFrame, id_type: str) -> DataFrame:
     return reps.select("id", "registers").mapInArrow(run, f"key long, id {id_type}")
 
 
+def _least(threshold: float) -> float:
+    return threshold - MARGIN * (threshold * (1 - threshold) / BUCKETS) ** 0.5
+
+
+def _may_link(ra, rb, na, nb, threshold: float) -> np.ndarray:
+    """Pairs whose sizes allow the threshold and whose corrected estimate doesn't clearly miss it."""
+    out = np.minimum(na, nb) >= threshold * np.maximum(na, nb)
+    at = np.flatnonzero(out & (np.minimum(na, nb) >= ESTIMATED))
+    out[at] = estimate(ra[at], rb[at], na[at], nb[at]) >= _least(threshold)
+    return out
+
+
 def _plausible(pairs: DataFrame, sk: DataFrame, threshold: float, id_type: str) -> DataFrame:
     """Pairs (a, b) whose corrected estimate doesn't clearly miss the threshold."""
-    least = threshold - MARGIN * (threshold * (1 - threshold) / BUCKETS) ** 0.5
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             ra, rb = (kernel.strings(batch.column(c))[0].view(np.uint16).reshape(-1, BUCKETS) for c in (2, 3))
             na, nb = (batch.column(c).to_numpy(zero_copy_only=False) for c in (4, 5))
-            few = np.minimum(na, nb) < ESTIMATED
-            sure = (np.minimum(na, nb) >= threshold * np.maximum(na, nb)) & (few | (estimate(ra, rb, na, nb) >= least))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(sure))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(_may_link(ra, rb, na, nb, threshold)))
 
     def side(x: str) -> DataFrame:
         return sk.select(F.col("id").alias(x), F.col("registers").alias(f"r{x}"), F.col("n").alias(f"n{x}"))
@@ -194,8 +202,8 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int, id_
     return joined.select("a", "b", "ta", "tb").mapInArrow(run, f"a {id_type}, b {id_type}")
 
 
-def _fingerprints(texts: DataFrame, width: int, id_type: str) -> DataFrame:
-    """Sorted distinct 32-bit fingerprints of each text's shingles."""
+def _shingle_sets(texts: DataFrame, width: int, id_type: str) -> DataFrame:
+    """Sorted distinct shingle hashes of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -203,34 +211,50 @@ def _fingerprints(texts: DataFrame, width: int, id_type: str) -> DataFrame:
             for i, j in kernel.pieces(offsets):
                 words, bounds = kernel.word_hashes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 raw, cut = kernel.shingles(words, bounds, width)
-                low = raw.astype(np.uint32)
-                prints = [np.unique(low[a:z]).tobytes() for a, z in zip(cut[:-1], cut[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(prints, pa.binary())], ["id", "prints"])
+                sets = [np.unique(raw[a:z]).tobytes() for a, z in zip(cut[:-1], cut[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(sets, pa.binary())], ["id", "shingles"])
 
-    return texts.select("id", "text").mapInArrow(run, f"id {id_type}, prints binary")
+    return texts.select("id", "text").mapInArrow(run, f"id {id_type}, shingles binary")
 
 
-def _block_pairs(left: list, right: list, percent: int) -> list[tuple]:
-    """Pairs of one block whose fingerprints reach the threshold less one percent; left and right hold (id, group, fingerprints)."""
-    every = np.concatenate([p for _, _, p in right])
-    owner = np.repeat(np.arange(len(right)), [len(p) for _, _, p in right])
+def block_links(left: list, right: list, percent: int) -> list[tuple]:
+    """Links between different groups of one block, no more than connect them; left and right hold (id, group, registers, shingles).
+
+    Estimates choose whom a member is held against, full sets decide.  Groups that
+    a link has joined are one from then on.
+    """
+    every = np.concatenate([s for *_, s in right])
+    sizes = np.array([len(s) for *_, s in right])
+    owner = np.repeat(np.arange(len(right)), sizes)
     order = np.argsort(every, kind="stable")
     every, owner = every[order], owner[order]
-    sizes = np.array([len(p) for _, _, p in right])
-    groups = np.array([g for _, g, _ in right])
+    regs = np.stack([r for _, _, r, _ in right])
+    number: dict = {}
+    root = np.array([number.setdefault(g, len(number)) for _, g, _, _ in right])
+    mine_of = [number.setdefault(g, len(number)) for _, g, _, _ in left]
+    joined = np.arange(len(number))
     out = []
-    for x, g, prints in left:
-        lo, hi = np.searchsorted(every, prints, "left"), np.searchsorted(every, prints, "right")
+    for (x, _, r, s), group in zip(left, mine_of, strict=True):
+        mine = joined[group]
+        at = np.flatnonzero(root != mine)
+        at = at[_may_link(np.broadcast_to(r, (len(at), len(r))), regs[at], np.full(len(at), len(s)), sizes[at], percent / 100)]
+        if not len(at):
+            continue
+        lo, hi = np.searchsorted(every, s, "left"), np.searchsorted(every, s, "right")
         n = hi - lo
-        at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        common = np.bincount(owner[at], minlength=len(right))
-        near = (100 * common >= (percent - 1) * (len(prints) + sizes - common)) & (groups != g)
-        out.extend((x, right[k][0]) for k in np.flatnonzero(near))
+        hits = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+        common = np.bincount(owner[hits], minlength=len(right))[at]
+        for k in at[100 * common >= percent * (len(s) + sizes[at] - common)].tolist():
+            other = root[k]
+            if other != mine:
+                out.append((x, right[k][0]))
+                root[root == other] = mine
+                joined[joined == other] = mine
     return out
 
 
-def _across_groups(placed: DataFrame, texts: DataFrame, width: int, percent: int, id_type: str, block: int = 1000) -> DataFrame:
-    """Pairs (a, b) that share a bucket of ``placed(key, id, g)``, lie in different groups and nearly reach the threshold.
+def _across_groups(placed: DataFrame, sk: DataFrame, texts: DataFrame, width: int, percent: int, id_type: str, block: int = 400) -> DataFrame:
+    """Links (a, b) that connect the groups of ``placed(key, id, g)`` wherever members of different groups in a bucket reach the threshold.
 
     In a bucket the members outside its largest group are held against all
     others.  A bucket of more than ``block`` members is dealt into blocks.
@@ -252,8 +276,9 @@ def _across_groups(placed: DataFrame, texts: DataFrame, width: int, percent: int
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = rows.df.where("g <> main").select("key", "id", "g", own("lefts").alias("i"), every("rights").alias("j"), F.lit(0).alias("side"))
     right = rows.df.select("key", "id", "g", own("rights").alias("j"), every("lefts").alias("i"), F.lit(1).alias("side"))
-    prints = Stored(_fingerprints(texts.join(rows.df.select("id").distinct(), "id", "left_semi"), width, id_type), "fingerprints")
-    dealt = left.unionByName(right).join(prints.df, "id")
+    open_ = rows.df.select("id").distinct()
+    sets = Stored(_shingle_sets(texts.join(open_, "id", "left_semi"), width, id_type).join(sk.select("id", "registers"), "id"), "shingle-sets")
+    dealt = left.unionByName(right).join(sets.df, "id")
     dealt = dealt.repartition(shuffle_partitions(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,22 +288,22 @@ def _across_groups(placed: DataFrame, texts: DataFrame, width: int, percent: int
         for batch in batches:
             kind = batch.column(1).type
             keys = zip(*(batch.column(k).to_pylist() for k in (0, 3, 4)), strict=True)
-            rest = zip(*(batch.column(k).to_pylist() for k in (5, 1, 2, 6)), strict=True)
-            for key, (s, x, g, p) in zip(keys, rest, strict=True):
+            rest = zip(*(batch.column(k).to_pylist() for k in (5, 1, 2, 6, 7)), strict=True)
+            for key, (s, x, g, r, p) in zip(keys, rest, strict=True):
                 if key != now:
                     if sides[0] and sides[1]:
-                        found.extend(_block_pairs(*sides, percent))
+                        found.extend(block_links(*sides, percent))
                     now, sides = key, ([], [])
-                sides[s].append((x, g, np.frombuffer(p, np.uint32)))
+                sides[s].append((x, g, np.frombuffer(r, np.uint16), np.frombuffer(p, np.uint64)))
             if len(found) > 10000:
                 yield ids()
                 found.clear()
         if sides[0] and sides[1]:
-            found.extend(_block_pairs(*sides, percent))
+            found.extend(block_links(*sides, percent))
         if found:
             yield ids()
 
-    pairs = dealt.select("key", "id", "g", "i", "j", "side", "prints").mapInArrow(run, f"a {id_type}, b {id_type}")
+    pairs = dealt.select("key", "id", "g", "i", "j", "side", "registers", "shingles").mapInArrow(run, f"a {id_type}, b {id_type}")
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -334,8 +359,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         groups = components(links, idt)
     # then, inside the buckets that still hold several groups, members of different groups
     placed = Stored(side(members.where("id <> center").select("key", F.col("id").alias("b")), "b").select("key", F.col("b").alias("id"), F.col("gb").alias("g")), "placed")
-    within = _across_groups(placed.df, texts.df, width, percent, idt)
-    more = tried(within, "links-3").df
+    more = Stored(_across_groups(placed.df, small.df, texts.df, width, percent, idt), "links-3").df
     if not more.isEmpty():
         groups = components(links.unionByName(more), idt)
     for done in (cand, texts, small, placed):

@@ -311,5 +311,5 @@ def pack(
         )
 
     placed = dealt(rows.where("kind = 0"), count, idf, df, mean, shards)
-    packed = placed.groupBy("shard").applyInArrow(run, f"id {idt}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    packed = placed.groupBy("shard").applyInArrow(kernel.lean(run), f"id {idt}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
     return packed.withColumnRenamed("id", id_col)

@@ -546,9 +546,9 @@ def _compared(spark: SparkSession, claims: DataFrame) -> DataFrame:
     common = seen.groupBy("lead").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * SAMPLED > HOT_LEAD).orderBy(F.desc("n")).limit(1 << 16).select("lead").toArrow().column(0).to_pylist() if n_seen * SAMPLED > HOT_LEAD else []
     dealt = claims.mapInArrow(Ranges(sample, common, ranges).deal, "r long, " + Pieces.SCHEMA).repartition(_tasks(spark, ranges), "r")
     if not common:
-        return dealt.groupBy("r").applyInArrow(_judge, _REPLY)
+        return dealt.groupBy("r").applyInArrow(kernel.lean(_judge), _REPLY)
     ranged = Stored(dealt, "ranges").df
-    replies = ranged.where("r >= 0").groupBy("r").applyInArrow(_judge, _REPLY)
+    replies = ranged.where("r >= 0").groupBy("r").applyInArrow(kernel.lean(_judge), _REPLY)
     apart = Stored(ranged.where("r < 0").groupBy("r").applyInArrow(_judge_common, f"{_STRING}, numbers binary, bits binary"), "common-leads").df
     strings = apart.where("string is not null").select("string", "doc", "b", "number", "j")
     parts = max(1, math.ceil(strings.count() * SPAN / BUCKET))
@@ -581,9 +581,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     tasks = _tasks(spark, buckets)
     rows = docs.select(*columns).repartition(tasks, "b").groupBy("b")
     dests = parts_for(spark, nbytes // 3, BUCKET)
-    reports = rows.applyInArrow(_report(dests), "d int, b int, anchors binary")
+    reports = rows.applyInArrow(kernel.lean(_report(dests)), "d int, b int, anchors binary")
     told = reports.groupBy("d").applyInArrow(_shared, "b int, shared binary")
-    claims = Stored(rows.cogroup(told.groupBy("b")).applyInArrow(_claim, Pieces.SCHEMA + ", b int, shared binary"), "pieces")
+    claims = Stored(rows.cogroup(told.groupBy("b")).applyInArrow(kernel.lean(_claim), Pieces.SCHEMA + ", b int, shared binary"), "pieces")
     release(spark)
     told = Stored(_compared(spark, claims.df.where("b is null").select(*Pieces.NAMES)), "repeats")
     shared = Stored(claims.df.where("b is not null").select("b", "shared"), "shared-anchors")
@@ -600,5 +600,5 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
         return _cut(left, right, whole_characters)
 
-    out = docs.select(*columns, *more).repartition(tasks, "b").groupBy("b").cogroup(reply.groupBy("b")).applyInArrow(cut, schema)
+    out = docs.select(*columns, *more).repartition(tasks, "b").groupBy("b").cogroup(reply.groupBy("b")).applyInArrow(kernel.lean(cut), schema)
     return out.select(F.when(F.col("id") != top, F.col("id")).alias(id_col), "n_bytes", "spans", "kept", *[F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep)])

@@ -486,6 +486,31 @@ def test_near_duplicates_in_large_buckets(spark):
     assert got == plain_groups(made, 4, 80)
 
 
+def test_links_of_a_block_connect_its_groups_and_no_more():
+    rng = np.random.default_rng(18)
+    members = []
+    for i in range(60):
+        base = np.arange(i % 4 * 1000, i % 4 * 1000 + 100)
+        base[rng.choice(100, rng.integers(0, 9), replace=False)] += 10_000 + 100 * i
+        s = np.unique(kernel.mix(base.astype(np.uint64)))
+        members.append((i, i, near_dup.sketch(s, np.array([0, len(s)]))[0], s))
+    links = near_dup.block_links(members, members, 80)
+    want = plain_links({i: set(s.tolist()) for i, _, _, s in members}, 80)
+    assert components_of(links, 60) == components_of(want, 60) and len(links) == 60 - len(set(components_of(want, 60)))
+
+
+def plain_links(sets, percent):
+    return [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+
+
+def components_of(links, n):
+    parent = list(range(n))
+    for a, b in links:
+        a, b = parent[a], parent[b]
+        parent = [min(a, b) if p in (a, b) else p for p in parent]
+    return parent
+
+
 def test_near_duplicates_of_nulls_and_repeats(spark):
     docs = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, None)], "doc_id long, text string")
     got = sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in near_dup.near_duplicates(docs).collect()), key=str)
