@@ -7,7 +7,6 @@ Hashes are polynomial hashes modulo 2**64 with an odd base, taken from prefix su
 from __future__ import annotations
 
 import ctypes
-import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,16 +44,23 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 def lean(run):
     """``run`` of one or two tables, after which a worker's freed memory goes back to the machine; workers live on between stages."""
 
-    @functools.wraps(run)
-    def made(*tables: pa.Table) -> pa.Table:
-        out = run(*tables)
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim is not None:
-            trim(0)
-        return out
+    def one(table: pa.Table) -> pa.Table:
+        return tidied(run(table))
 
-    return made
+    def two(left: pa.Table, right: pa.Table) -> pa.Table:
+        return tidied(run(left, right))
+
+    # Spark tells by the number of arguments what to hand over
+    return one if run.__code__.co_argcount == 1 else two
+
+
+def tidied(x):
+    """``x``, after freed memory went back to the machine."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+    return x
 
 
 def mix(h: np.ndarray) -> np.ndarray:
