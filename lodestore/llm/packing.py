@@ -32,6 +32,8 @@ K1, B = 1.2, 0.75
 RANKED = 64
 #: A shard's index is rebuilt without used documents once no more than this share of those in it is unused.
 COMPACT = 0.75
+#: A token that one document in so many holds has a row over all documents of its shard.
+COMMON = 6
 #: Documents that the cuts between shards are learned from: so many a shard, and this many at most.
 SAMPLED, SAMPLED_AT_MOST = 256, 1 << 22
 #: Bytes of text whose ids are handed on together.
@@ -150,7 +152,7 @@ def leads(data: np.ndarray, offsets: np.ndarray, idf: np.ndarray, df: np.ndarray
 
 
 class Index:
-    """BM25 weights of one shard's documents, by token."""
+    """BM25 weights of one shard's documents, by token: postings, and for tokens that one document in COMMON holds a row over all documents."""
 
     def __init__(self, texts: list[np.ndarray], idf: np.ndarray, mean: float):
         token, doc, weight = [], [], []
@@ -161,23 +163,37 @@ class Index:
             token.append(t)
             doc.append(np.full(len(t), i, np.int32))
             weight.append(bm25(n, idf[t], len(ids), mean).astype(np.float32))
-        all_tokens = np.concatenate(token)
-        order = np.argsort(all_tokens, kind="stable")
-        self.doc, self.weight = np.concatenate(doc)[order], np.concatenate(weight)[order]
-        self.cut = np.searchsorted(all_tokens[order], np.arange((1 << 16) + 1))
+        token, doc, weight = (np.concatenate(x) for x in (token, doc, weight))
         self.n = len(texts)
+        common = np.flatnonzero(np.bincount(token, minlength=1 << 16) * COMMON >= max(self.n, COMMON))
+        self.slot = np.full(1 << 16, -1, np.int32)
+        self.slot[common] = np.arange(len(common))
+        self.there = np.arange(self.n)
+        self.dense = np.zeros((len(common), self.n), np.float32)
+        wide = self.slot[token] >= 0
+        self.dense[self.slot[token[wide]], doc[wide]] = weight[wide]
+        token, doc, weight = token[~wide], doc[~wide], weight[~wide]
+        order = np.argsort(token, kind="stable")
+        self.doc, self.weight = doc[order], weight[order]
+        self.cut = np.searchsorted(token[order], np.arange((1 << 16) + 1))
 
     def scores(self, tokens: np.ndarray) -> np.ndarray:
+        slot = self.slot[tokens]
         a, z = self.cut[tokens], self.cut[tokens + 1]
         size = z - a
-        at = np.repeat(a - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-        return np.bincount(self.doc[at], self.weight[at], self.n)
+        at = np.repeat(a - np.cumsum(size) + size, size) + np.arange(size.sum())
+        out = np.bincount(self.doc[at], self.weight[at], self.n).astype(float)
+        if len(self.there):
+            out[self.there] += self.dense[slot[slot >= 0]].sum(axis=0)
+        return out
 
     def keep(self, unused: np.ndarray) -> None:
         """Forget the used documents; scores of the others stay the same."""
-        there = unused[self.doc]
-        self.cut = np.concatenate([[0], np.cumsum(there)])[self.cut]
-        self.doc, self.weight = self.doc[there], self.weight[there]
+        held = unused[self.doc]
+        self.cut = np.concatenate([[0], np.cumsum(held)])[self.cut]
+        self.doc, self.weight = self.doc[held], self.weight[held]
+        still = unused[self.there]
+        self.there, self.dense = self.there[still], self.dense[:, still]
 
 
 def pack_shard(texts: list[np.ndarray], idf: np.ndarray, mean: float, window: int) -> list[tuple[int, int, int, int, int]]:
