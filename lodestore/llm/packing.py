@@ -33,7 +33,7 @@ RANKED = 64
 #: A shard's index is rebuilt without used documents once no more than this share of those in it is unused.
 COMPACT = 0.75
 #: A token that one document in so many holds has a row over all documents of its shard.
-COMMON = 6
+COMMON = 4
 #: Documents that the cuts between shards are learned from: so many a shard, and this many at most.
 SAMPLED, SAMPLED_AT_MOST = 256, 1 << 22
 #: Bytes of text whose ids are handed on together.
@@ -61,7 +61,7 @@ def _long_run(text: str) -> bool:
     return len(edge) < 2 or bool(np.diff(np.concatenate([[0], edge, [len(text)]])).max() >= LONG_RUN)
 
 
-def encode(text: str, vocabulary: str = VOCABULARY) -> list[int]:
+def encode(text: str, vocabulary: str = VOCABULARY) -> np.ndarray:
     """Ids as the tokenizer's own library gives them.
 
     The same merges run about three times as fast from the rank file; that way is
@@ -70,22 +70,22 @@ def encode(text: str, vocabulary: str = VOCABULARY) -> list[int]:
     """
     slow, fast, added = encoders(vocabulary)
     if any(mark in text for mark in added):
-        return slow.encode(text, add_special_tokens=False).ids
+        return np.array(slow.encode(text, add_special_tokens=False).ids, np.uint32)
     try:
         text.encode("latin-1")
     except UnicodeEncodeError:
         pass
     else:
         if len(text) < LONG_RUN or not _long_run(text):
-            return fast.encode_ordinary(text)
-    return slow.encode(text, add_special_tokens=False).ids
+            return fast.encode_to_numpy(text, disallowed_special=())
+    return np.array(slow.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 def token_rows(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, end_id: int) -> DataFrame:
     """id and ids (16-bit, with the end id) of each document; and for each task a row with null ids in ``id`` whose ``df`` counts its documents by token."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df = np.zeros(1 << 16, np.int64)
+        df, last = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
         names = ["kind", "id", "ids", "n"]
         idt = None
         for batch in batches:
@@ -93,8 +93,12 @@ def token_rows(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, end
             for i, j in kernel.pieces(kernel.strings(batch.column(1))[1], LOT):
                 out, sizes = [], []
                 for text in batch.column(1).slice(i, j - i):
-                    ids = np.array([*encode(text.as_py() or "", vocabulary), end_id], np.uint16)
-                    df[np.unique(ids)] += 1
+                    found = encode(text.as_py() or "", vocabulary)
+                    ids = np.empty(len(found) + 1, np.uint16)
+                    ids[:-1], ids[-1] = found, end_id
+                    place = np.arange(len(ids), dtype=np.int32)
+                    last[ids] = place
+                    df[ids[last[ids] == place]] += 1  # each token once
                     out.append(ids.tobytes())
                     sizes.append(len(ids))
                 yield pa.RecordBatch.from_arrays([pa.array([0] * len(out), pa.int32()), batch.column(0).slice(i, j - i), pa.array(out, pa.binary()), pa.array(sizes, pa.int64())], names)

@@ -275,12 +275,12 @@ def test_packing_places_every_id_once(spark, texts):
 @settings(max_examples=150, deadline=None)
 @given(st.text(max_size=200) | st.text(alphabet=st.characters(max_codepoint=255), max_size=400))
 def test_fast_encoding_equals_the_tokenizer(text):
-    assert packing.encode(text) == plain_ids(text)
+    assert packing.encode(text).tolist() == plain_ids(text)
 
 
 @pytest.mark.parametrize("text", ["a <|endoftext|> b", "<|endoftext|>", "é<|endoftext|><|endoftext|>x", "— <|endoftext|> ", "<|endoftext |>", "x" * 30_000 + "<|endoftext|>"])
 def test_added_tokens_keep_their_ids(text):
-    assert packing.encode(text) == plain_ids(text)
+    assert packing.encode(text).tolist() == plain_ids(text)
 
 
 def test_packing_prefers_related_neighbours():
