@@ -70,10 +70,10 @@ class Stored:
     whole texts: their shuffle files go at once.
     """
 
-    def __init__(self, df: DataFrame, name: str, tidy: bool = False):
+    def __init__(self, df: DataFrame, name: str, tidy: bool = False, compression: str = "zstd"):
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
-        df.write.option("compression", "zstd").parquet(self.path)
+        df.write.option("compression", compression).parquet(self.path)
         if tidy:
             release(self.spark)
         atexit.register(_drop_at_exit, self.spark, self.path)

@@ -304,7 +304,7 @@ def pack(
     Other columns are not read.  The vocabulary has fewer than 65,536 ids.
     """
     idt = docs.schema[id_col].dataType.simpleString()
-    held = Stored(token_rows(docs, id_col, text_col, vocabulary, end_id), "token-ids")
+    held = Stored(token_rows(docs, id_col, text_col, vocabulary, end_id), "token-ids", compression="snappy")  # ids hardly get smaller by more
     rows = held.df
     count, total = rows.where("kind = 0").agg(F.count(F.lit(1)), F.sum("n")).first()
     df = document_frequencies(rows)
