@@ -18,13 +18,23 @@ LEVELS = {
 
 # Patterns of identifiers, the first that fits counts.
 KEYWORDS = {
-    "user_id": [r"user[_\s]?id[:\s=]+[\"']?([a-zA-Z0-9_\-]{8,32})", r"uid[:\s=]+[\"']?([a-zA-Z0-9_\-]{8,32})", r"X-User-ID[:\s]+(\S+)"],
+    "user_id": [r"user[_\s]?id[:\s=]+[\"']?([a-zA-Z0-9_\-]{8,32})", r"uid[:\s=]+[\"']?([a-zA-Z0-9_\-]{8,32})", r"[\"']userId[\"'][,\s:]+[\"']([a-zA-Z0-9_\-]{8,32})", r"X-User-ID[:\s]+(\S+)"],
     "order_id": [r"order[_\s]?id[:\s=]+[\"']?([a-zA-Z0-9_\-]{10,40})", r"orderNo[:\s=]+[\"']?([a-zA-Z0-9_\-]{10,40})", r"transaction[_\s]?id[:\s=]+[\"']?([a-zA-Z0-9_\-]{10,40})"],
-    "session_id": [r"session[_\s]?id[:\s=]+[\"']?([a-zA-Z0-9_\-]{16,64})", r"sid[:\s=]+[\"']?([a-zA-Z0-9_\-]{16,64})"],
+    "session_id": [r"session[_\s]?id[:\s=]+[\"']?([a-zA-Z0-9_\-]{16,64})", r"sid[:\s=]+[\"']?([a-zA-Z0-9_\-]{16,64})", r"[\"']sessionId[\"'][,\s:]+[\"']([a-zA-Z0-9_\-]{16,64})"],
     "transaction_id": [r"transaction[_\s]?id[:\s=]+[\"']?([a-zA-Z0-9_\-]{20,64})", r"txn[_\s]?id[:\s=]+[\"']?([a-zA-Z0-9_\-]{20,64})", r"request[_\s]?id[:\s=]+[\"']?([a-zA-Z0-9_\-]{20,64})"],
     "ip_address": [r"\b(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})\b", r"X-Forwarded-For[:\s]+(\S+)", r"client_ip[:\s=]+(\S+)"],
 }
 
+# Patterns of exceptions (case does not count), methods, states and times of a line.
+EXCEPTION = r"(?i)([a-zA-Z_]\w*Exception)\s*:\s*(.+)"
+FRAME = r"(?i)at\s+([a-zA-Z_]\w*(?:\.[a-zA-Z_]\w*)+)\s*\(([^)]+)\)"
+METHOD = r"(GET|POST|PUT|DELETE|PATCH|HEAD|OPTIONS)\s"
+STATUS = r"\s(\d{3})\s"
+ISO_TIME = r"\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:?\d{2})?"
+PLAIN_TIME = r"\d{4}-\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2}"
+SYSLOG_TIME = r"[A-Z][a-z]{2}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2}"
+UNIX_TIME = r"^\d{10,13}$"
+
 # Words of memory trouble.
 MEMORY_WORDS = ["outofmemory", "oom", "heap", "memory", "gc", "garbage collection"]
 
@@ -39,28 +49,35 @@ def keyword(line: Column, field: str) -> Column:
 
 
 def log_timestamp(line: Column, as_of: Column) -> Column:
-    """Time of a line (timestamp_ntz): ISO, plain, or seconds or milliseconds since 1970; else ``as_of``."""
-    iso = F.replace(F.substring(F.regexp_extract(line, r"\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}", 0), 1, 19), F.lit("T"), F.lit(" "))
-    plain = F.regexp_extract(line, r"\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}", 0)
-    unix = F.try_to_number(F.nullif(F.regexp_extract(line, r"^\d{10,13}$", 0), F.lit("")), F.lit("9999999999999")).cast("long")
+    """Time of a line (timestamp_ntz): ISO, plain, syslog, or seconds or milliseconds since 1970; else ``as_of``.
+
+    A syslog time names no year; as the established behaviour has it, that is 1900.
+    """
+    iso = F.replace(F.substring(F.regexp_extract(line, ISO_TIME, 0), 1, 19), F.lit("T"), F.lit(" "))
+    plain = F.regexp_replace(F.regexp_extract(line, PLAIN_TIME, 0), r"\s+", " ")
+    syslog = F.regexp_replace(F.regexp_extract(line, SYSLOG_TIME, 0), r"\s+", " ")
+    unix = F.try_to_number(F.nullif(F.regexp_extract(line, UNIX_TIME, 0), F.lit("")), F.lit("9999999999999")).cast("long")
     seconds = F.when(unix > 1_000_000_000_000, F.floor(unix / 1000)).otherwise(unix)
     when = lambda text: F.try_to_timestamp(F.nullif(text, F.lit(""))).cast("timestamp_ntz")
-    return F.coalesce(when(iso), when(plain), F.timestamp_seconds(seconds).cast("timestamp_ntz"), as_of)
+    named = F.try_to_timestamp(F.concat(F.lit("1900 "), F.nullif(syslog, F.lit(""))), F.lit("yyyy MMM d HH:mm:ss")).cast("timestamp_ntz")
+    return F.coalesce(when(iso), when(plain), named, F.timestamp_seconds(seconds).cast("timestamp_ntz"), as_of)
 
 
 def exception_type(line: Column) -> Column:
-    """Name before the colon of ``XException: text``, or a stack frame that names an exception; null without one."""
-    named = F.regexp_extract(line, r"([a-zA-Z_]\w*Exception)\s*:\s*(.+)", 1)
-    frame = F.regexp_extract(line, r"at\s+([a-zA-Z_]\w*(?:\.[a-zA-Z_]\w*)+)\s*\(([^)]+)\)", 1)
-    return F.coalesce(F.nullif(named, F.lit("")), F.when(frame.contains("Exception"), frame))
+    """Name before the colon of ``XException: text``, else the method of a stack frame; null without one.
+
+    Case does not count in either pattern, but what it matches must hold the word ``Exception``.
+    """
+    found = lambda p: F.when(F.regexp_extract(line, p, 0).contains("Exception"), F.regexp_extract(line, p, 1))
+    return F.coalesce(found(EXCEPTION), found(FRAME))
 
 
 def http_method(line: Column) -> Column:
-    return F.nullif(F.regexp_extract(line, r"(GET|POST|PUT|DELETE|PATCH|HEAD|OPTIONS)\s", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(line, METHOD, 1), F.lit(""))
 
 
 def http_status(line: Column) -> Column:
-    return F.nullif(F.regexp_extract(line, r"\s(\d{3})\s", 1), F.lit("")).cast("int")
+    return F.nullif(F.regexp_extract(line, STATUS, 1), F.lit("")).cast("int")
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:

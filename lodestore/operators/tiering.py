@@ -20,8 +20,8 @@ def default_rules() -> list[Rule]:
     return [
         (F.col("pinned"), "hot", 1.0, "pinned"),
         (F.col("archive_only"), "cold", 1.0, "archive_only"),
-        ((age < 30) & (access < 1000), "hot", 0.9, "access"),
-        (age < 180, "warm", 0.8, "access"),
+        ((age < 30) & (access < 1000), "hot", 0.85, "access"),
+        (age < 180, "warm", 0.75, "access"),
         (age > 365, "cold", 0.7, "age"),
         (F.col("refcount") > 10, "warm", 0.65, "refcount"),
         ((F.col("size") > 100 << 20) & (F.col("ratio") < 1.5), "cold", 0.6, "size"),

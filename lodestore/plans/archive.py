@@ -138,9 +138,9 @@ def _(t: Tables):
     return t.files.agg(F.count_if(~bad).alias("passed"), F.count_if(bad).alias("failed"), F.round(F.count_if(~bad) * 100.0 / F.count(F.lit(1)), 6).alias("rate"))
 
 
-@query("sink_archive_manager", "select path, size, sha256 from files where file_id % 3 = 0")
+@query("sink_archive_manager", "select path, size, sha256 from files")
 def _(t: Tables):
-    return R.bundle(t.files.where("file_id % 3 = 0"))[0]
+    return R.bundle(t.files)[0]
 
 
 @query("arc_fetch_parallel", f"select count(distinct fp) as n from {_PIECES}")

@@ -21,7 +21,7 @@ _PARSED = f"""select block_id, line_number, regexp_extract(raw_line, '\\d{{4}}-\
     {', '.join(f'{_key(f)} as {f}' for f in L.KEYWORDS)},
     nullif(regexp_extract(raw_line, '(GET|POST|PUT|DELETE|PATCH|HEAD|OPTIONS)\\s', 1), '') as http_method,
     nullif(regexp_extract(raw_line, '\\s(\\d{{3}})\\s', 1), '')::int as status,
-    nullif(regexp_extract(raw_line, '([a-zA-Z_]\\w*Exception)\\s*:\\s*(.+)', 1), '') as exception, raw_line from log_lines"""
+    case when contains(regexp_extract(raw_line, '(?i)([a-zA-Z_]\\w*Exception)\\s*:\\s*(.+)', 0), 'Exception') then regexp_extract(raw_line, '(?i)([a-zA-Z_]\\w*Exception)\\s*:\\s*(.+)', 1) end as exception, raw_line from log_lines"""
 _BURST = f"""select block_id, count(*) as survivors, count(*) >= 5 as error_burst from (
     select block_id, epoch(ts::timestamp)::bigint as t, max(epoch(ts::timestamp)::bigint) over (partition by block_id order by line_number rows between current row and unbounded following) as latest
     from ({_PARSED}) where level = 'ERROR') where t > latest - 60 group by 1"""

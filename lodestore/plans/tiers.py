@@ -12,7 +12,7 @@ from .registry import query
 
 _GB = "1073741824.0::double"
 _COST = lambda tier, size="size": f"({size} / {_GB} * case {tier} when 'hot' then 0.03::double when 'warm' then 0.01::double when 'cold' then 0.001::double else 0 end)"
-_RULES = [("pinned", "hot", 1.0, "pinned"), ("archive_only", "cold", 1.0, "archive_only"), ("age_days < 30 and access_count < 1000", "hot", 0.9, "access"), ("age_days < 180", "warm", 0.8, "access"), ("age_days > 365", "cold", 0.7, "age"), ("refcount > 10", "warm", 0.65, "refcount"), ("size > 104857600 and ratio < 1.5", "cold", 0.6, "size")]
+_RULES = [("pinned", "hot", 1.0, "pinned"), ("archive_only", "cold", 1.0, "archive_only"), ("age_days < 30 and access_count < 1000", "hot", 0.85, "access"), ("age_days < 180", "warm", 0.75, "access"), ("age_days > 365", "cold", 0.7, "age"), ("refcount > 10", "warm", 0.65, "refcount"), ("size > 104857600 and ratio < 1.5", "cold", 0.6, "size")]
 _CASE = lambda i, default: "case " + " ".join(f"when {r[0]} then {r[i]!r}" + ("::double" if i == 2 else "") for r in _RULES) + f" else {default} end"
 _CLASS = f"select *, {_CASE(1, repr('warm'))} as new_tier, {_CASE(2, '0.5::double')} as confidence, {_CASE(3, repr('default'))} as reason from fingerprints"
 _MOVES = f"select fp, tier, new_tier, round({_COST('tier')} - {_COST('new_tier')}, 9) as saving from ({_CLASS}) where tier <> new_tier and round({_COST('tier')} - {_COST('new_tier')}, 9) > 0"

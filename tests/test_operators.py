@@ -86,6 +86,35 @@ def test_chain_shows_changes(spark):
     assert [(r["line_no"], r["changed"]) for r in audit.verify_chain(changed).collect()] == [(2, True)]
 
 
+def test_log_lines_of_every_form(spark):
+    """Lines and what each says, written out by hand."""
+    made = [
+        ('{"userId": "abcdef123456", "level": "info"}', {"user_id": "abcdef123456"}),
+        ("{'sessionId': 'sess-0123456789ab'}", {"session_id": "sess-0123456789ab"}),
+        ("user id: someone-42", {"user_id": "someone-42"}),
+        ("X-User-ID: u7", {"user_id": "u7"}),
+        ("uid=longenough1", {"user_id": "longenough1"}),
+        ("orderNo=AB-1234567890", {"order_id": "AB-1234567890"}),
+        ("sid: 0123456789abcdef", {"session_id": "0123456789abcdef"}),
+        ("request_id=abcdefghij0123456789", {"transaction_id": "abcdefghij0123456789"}),
+        ("from 10.0.0.7 now", {"ip_address": "10.0.0.7"}),
+        ("2024-01-15T10:30:45.123Z java.io.IOEXCEPTION: after an Exception", {"time": "2024-01-15 10:30:45", "exception": "IOEXCEPTION"}),
+        ("java.io.IOEXCEPTION: no", {}),
+        ("2024-01-15  10:30:45 x NullPointerException : gone", {"time": "2024-01-15 10:30:45", "exception": "NullPointerException"}),
+        ("Jan  5 10:30:45 host su: AT com.acme.MyException.run (A.java:3)", {"time": "1900-01-05 10:30:45", "exception": "com.acme.MyException.run"}),
+        ("1705314645", {"time": "2024-01-15 10:30:45"}),
+        ("1705314645123", {"time": "2024-01-15 10:30:45"}),
+        ("nothing of the kind", {}),
+    ]
+    lines = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(made)], "i int, line string")
+    line = F.col("line")
+    stamp = F.date_format(logs.log_timestamp(line, F.lit("2000-01-01 00:00:00").cast("timestamp_ntz")), "yyyy-MM-dd HH:mm:ss")
+    got = lines.select("i", stamp.alias("time"), logs.exception_type(line).alias("exception"), *[logs.keyword(line, f).alias(f) for f in logs.KEYWORDS]).collect()
+    for r in got:
+        want = {"time": "2000-01-01 00:00:00"} | made[r["i"]][1]
+        assert {k: v for k, v in r.asDict().items() if k != "i" and v is not None} == want
+
+
 def test_burst_survivors_with_times_out_of_order(spark):
     seconds = [0, 100, 40, 90, 95, 99, 97]
     rows = [("b", i, f"2024-01-01 00:{s // 60:02d}:{s % 60:02d} ERROR x") for i, s in enumerate(seconds)]
