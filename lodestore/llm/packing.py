@@ -159,15 +159,15 @@ class Index:
     """BM25 weights of one shard's documents, by token: postings, and for tokens that one document in COMMON holds a row over all documents."""
 
     def __init__(self, texts: list[np.ndarray], idf: np.ndarray, mean: float):
-        token, doc, weight = [], [], []
-        self.own: list[np.ndarray] = []
-        for i, ids in enumerate(texts):
-            t, n = np.unique(ids, return_counts=True)
-            self.own.append(t)
-            token.append(t)
-            doc.append(np.full(len(t), i, np.int32))
-            weight.append(bm25(n, idf[t], len(ids), mean).astype(np.float32))
-        token, doc, weight = (np.concatenate(x) for x in (token, doc, weight))
+        size = np.array([len(t) for t in texts])
+        kind = np.uint32 if len(texts) <= 1 << 16 else np.int64
+        key = np.repeat(np.arange(len(texts), dtype=kind) << kind(16), size) | np.concatenate(texts)
+        key.sort()
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        n = np.diff(np.append(first, len(key)))
+        doc, token = (key[first] >> 16).astype(np.int32), (key[first] & 0xFFFF).astype(np.int64)
+        weight = bm25(n, idf[token], size[doc], mean).astype(np.float32)
+        self.own = np.split(token, np.searchsorted(doc, np.arange(1, len(texts))))
         self.n = len(texts)
         common = np.flatnonzero(np.bincount(token, minlength=1 << 16) * COMMON >= max(self.n, COMMON))
         self.slot = np.full(1 << 16, -1, np.int32)
@@ -234,7 +234,7 @@ def pack_shard(texts: list[np.ndarray], idf: np.ndarray, mean: float, window: in
             if len(ranked) <= COMPACT * held:
                 index.keep(unused)
                 held = len(ranked)
-            score = index.scores(index.own[seed].astype(np.int64))[ranked]
+            score = index.scores(index.own[seed])[ranked]
             over, open_ = -1, np.arange(len(ranked))
             while at < window and over < 0 and len(open_):
                 best = open_[np.argpartition(-score[open_], RANKED)[:RANKED]] if len(open_) > 4 * RANKED else open_
@@ -304,7 +304,7 @@ def pack(
     Other columns are not read.  The vocabulary has fewer than 65,536 ids.
     """
     idt = docs.schema[id_col].dataType.simpleString()
-    held = Stored(token_rows(docs, id_col, text_col, vocabulary, end_id), "token-ids", compression="snappy")  # ids hardly get smaller by more
+    held = Stored(token_rows(docs, id_col, text_col, vocabulary, end_id), "token-ids")
     rows = held.df
     count, total = rows.where("kind = 0").agg(F.count(F.lit(1)), F.sum("n")).first()
     df = document_frequencies(rows)
