@@ -202,3 +202,26 @@ def shingles(words: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndar
             h = mix(np.array([h ^ w], np.uint64) * _STEP[0])[0]
         out[out_bounds[i]] = h
     return out, out_bounds
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
+    """The rows of batches that are sorted by ``keys`` (whole numbers, none null) as tables that cut no group; memory is that of a batch and a group."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        columns = [batch.column(batch.schema.get_field_index(k)).to_numpy() for k in keys]
+        differs = np.zeros(n, bool)
+        for c in columns:
+            differs |= c != c[-1]
+        start = int(np.flatnonzero(differs)[-1]) + 1 if differs.any() else 0
+        goes_on = held and not start and all(held[-1].column(held[-1].schema.get_field_index(k))[-1].as_py() == c[0] for k, c in zip(keys, columns, strict=True))
+        if goes_on or not held and not start:
+            held.append(batch)
+            continue
+        done = [*held, batch.slice(0, start)] if start else held
+        yield pa.Table.from_batches(done)
+        held = [batch.slice(start)]
+    if held:
+        yield pa.Table.from_batches(held)

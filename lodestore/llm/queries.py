@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, language, mixing, near_dup, packing, quality, search, suffix_dedup, toxicity, url_filter
-from .common import crc_mod, table
+from . import ann, language, lattice, merkle, mixing, near_dup, packing, quality, search, spelling, suffix_dedup, toxicity, url_filter
+from .common import crc_mod, lower_ascii, table
 
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
@@ -66,6 +66,24 @@ def op10_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("score", F.round("score", 6))
 
 
+def op11_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_vectors(table(spark, sf_dir, "embeddings"), least=0.95)
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = ("doc_id", "source", "lang", "n_chars", "text")
+    tampered = merkle.digest(*[F.col(c) for c in fields[:-1]], lower_ascii(F.col("text")))
+    changed = F.when(crc_mod(F.col("doc_id"), 3) == 0, tampered)
+    rows = merkle.manifest(table(spark, sf_dir, "documents"), fields, keep={"changed": changed})
+    told = rows.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("proof")), 256).alias("proof_sha256"), merkle.folded(F.coalesce("changed", "leaf"), F.col("proof")).alias("folded_root"))
+    return told.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = spelling.word_counts(table(spark, sf_dir, "documents"), least=7, spoil=spelling.drop_letter(31))
+    return spelling.variants(counts.where("n >= 2"), ratio=10).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_language": op2_language,
@@ -77,8 +95,15 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_search": op10_search,
+    "op11_lattice_dedup": op11_lattice_dedup,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_spelling": op13_spelling,
 }
 
+#: crc32 in SQL: ``table`` is a list of 256 numbers made by rule, ``bytes`` a list of byte values.
+_CRC_TABLE = "crcs as (select list_transform(range(256), lambda b: list_reduce(range(8), lambda c, i: xor(c >> 1, 3988292384 * (c & 1)), b)) as t)"
+_CRC = "xor(list_reduce(list_transform(range(strlen({x})), lambda i: ('0x' || substr(hex(encode({x})), 2 * i + 1, 2))::bigint), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295)"
+
 ORACLE_SQL = {
     "op1_url_filter": """
         with rules(rule_host, rule_path, rule_verdict) as (
