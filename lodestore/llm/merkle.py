@@ -26,7 +26,6 @@ from .kernel import whole_groups
 
 #: Nodes that become one (places are shifted by its three bits), and levels that a block spans.
 FAN, HEIGHT = 8, 4
-BLOCK = FAN**HEIGHT
 #: Rows that a task holds at a time while it builds subtrees, and bytes a row is reckoned as.
 HELD, ROW_BYTES = 1 << 16, 160
 
@@ -63,9 +62,9 @@ def _joined(nodes: list[bytes]) -> bytes:
     return sha256(b"".join(nodes).hex().encode()).digest()
 
 
-def subtrees(a: int, nodes: list[bytes], n: int) -> Iterator[tuple[int, int, bytes]]:
-    """The largest whole subtrees of up to HEIGHT levels over neighbouring leaves ``a``, ``a + 1`` ... of ``n``: (level, place, digest)."""
-    top = min(HEIGHT, levels(n))
+def subtrees(a: int, nodes: list[bytes], n: int, height: int = HEIGHT) -> Iterator[tuple[int, int, bytes]]:
+    """The largest whole subtrees of up to ``height`` levels over neighbouring leaves ``a``, ``a + 1`` ... of ``n``: (level, place, digest)."""
+    top = min(height, levels(n))
     for level in range(top):
         z = a + len(nodes)
         lo, hi = -(-a // FAN), -(-n // FAN) if z == n else z // FAN
@@ -77,14 +76,14 @@ def subtrees(a: int, nodes: list[bytes], n: int) -> Iterator[tuple[int, int, byt
     yield from ((top, a + i, h) for i, h in enumerate(nodes))
 
 
-def block_levels(nodes: list[tuple[int, int, bytes]], n: int) -> list[tuple[int, list[bytes]]]:
+def block_levels(nodes: list[tuple[int, int, bytes]], n: int, height: int = HEIGHT) -> list[tuple[int, list[bytes]]]:
     """All levels of a block from ``nodes`` (level, place, digest) that together cover it: first place and digests of each, up to its one root."""
     given: dict[int, dict[int, bytes]] = {}
     for level, at, h in nodes:
         given.setdefault(level, {})[at] = h
     out: list[tuple[int, list[bytes]]] = []
     here: dict[int, bytes] = {}
-    for level in range(min(HEIGHT, levels(n)) + 1):
+    for level in range(min(height, levels(n)) + 1):
         here |= given.get(level, {})
         order = sorted(here)
         out.append((order[0] if order else 0, [here[x] for x in order]))
@@ -110,47 +109,58 @@ def _node_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(n, pa.int64()), pa.array(level, pa.int32()), pa.array(at, pa.int64()), pa.array(h, pa.binary())], ["g", "n", "level", "at", "h"])
 
 
-def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Whole subtrees over a partition's leaves (g, n, at, h), some at a time; neighbours need not come in order."""
-    held: list[pa.RecordBatch] = []
+def _build(height: int, most: int):
+    """Whole subtrees over a partition's leaves (g, n, at, h), ``most`` at a time; neighbours need not come in order."""
 
-    def built() -> pa.RecordBatch:
+    def built(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         table = pa.Table.from_batches(held).sort_by([("g", "ascending"), ("at", "ascending")])
         gs, ns, ats, hs = (table.column(c).to_pylist() for c in ("g", "n", "at", "h"))
         rows, start = [], 0
         for i in range(1, len(gs) + 1):
             if i == len(gs) or gs[i] != gs[start] or ats[i] != ats[i - 1] + 1:
-                rows += [(gs[start], ns[start], *node) for node in subtrees(ats[start], hs[start:i], ns[start])]
+                rows += [(gs[start], ns[start], *node) for node in subtrees(ats[start], hs[start:i], ns[start], height)]
                 start = i
         return _node_batch(rows)
 
-    for batch in batches:
-        held.append(batch)
-        if sum(b.num_rows for b in held) >= HELD:
-            yield built()
-            held = []
-    if held:
-        yield built()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= most:
+                yield built(held)
+                held = []
+        if held:
+            yield built(held)
+
+    return run
 
 
-def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _finish(height: int):
     """Roots of blocks whose nodes (g, block, n, level, at, h) lie together."""
-    for table in whole_groups(batches, ("g", "block")):
-        gs, blocks, ns, *rest = (table.column(c).to_pylist() for c in ("g", "block", "n", "level", "at", "h"))
-        nodes = list(zip(*rest, strict=True))
-        rows = []
-        for a, z in _runs(table, "g", "block"):
-            (root,) = block_levels(nodes[a:z], ns[a])[-1][1]
-            rows.append((gs[a], ns[a], min(HEIGHT, levels(ns[a])), blocks[a], root))
-        yield _node_batch(rows)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, ("g", "block")):
+            gs, blocks, ns, *rest = (table.column(c).to_pylist() for c in ("g", "block", "n", "level", "at", "h"))
+            nodes = list(zip(*rest, strict=True))
+            rows = []
+            for a, z in _runs(table, "g", "block"):
+                (root,) = block_levels(nodes[a:z], ns[a], height)[-1][1]
+                rows.append((gs[a], ns[a], min(height, levels(ns[a])), blocks[a], root))
+            yield _node_batch(rows)
+
+    return run
+
+
+def _blocks(n: Column, height: int) -> Column:
+    """Blocks of ``n`` leaves."""
+    return F.shiftright(n + (FAN**height - 1), 3 * height)
 
-def _above(nodes: DataFrame, parts: int) -> DataFrame:
+
+def _above(nodes: DataFrame, parts: int, height: int) -> DataFrame:
     """Block roots from nodes (g, n, level, at, h) as nodes of the next stage, with their place among the blocks of the group."""
-    block = F.expr(f"shiftright(at, 3 * ({HEIGHT} - level))")
-    near = nodes.withColumn("block", block).select("g", "block", "n", "level", "at", "h")
-    roots = near.repartition(parts, "g", "block").sortWithinPartitions("g", "block").mapInArrow(_finish, _NODE)
-    return roots.select("g", F.ceil(F.col("n") / F.lit(BLOCK)).cast("long").alias("n"), F.lit(0).alias("level"), "at", "h")
+    near = nodes.select("g", F.expr(f"shiftright(at, 3 * ({height} - level))").alias("block"), "n", "level", "at", "h")
+    roots = near.repartition(parts, "g", "block").sortWithinPartitions("g", "block").mapInArrow(_finish(height), _NODE)
+    return roots.select("g", _blocks(F.col("n"), height).alias("n"), F.lit(0).alias("level"), "at", "h")
 
 
 class Forest:
@@ -160,9 +170,9 @@ class Forest:
     ``groups``: g, group, n.  ``roots``: g, h.
     """
 
-    def __init__(self, leaves: DataFrame, order: list[str], n_rows: int):
+    def __init__(self, leaves: DataFrame, order: list[str], n_rows: int, height: int = HEIGHT, held: int = HELD):
         spark = leaves.sparkSession
-        self.parts = parts_for(spark, n_rows * ROW_BYTES)
+        self.height, self.parts = height, parts_for(spark, n_rows * ROW_BYTES)
         keys = [F.col(c).asc_nulls_first() for c in ("group", *order)]
         p = F.spark_partition_id()
         dealt = leaves.repartitionByRange(self.parts, *keys).sortWithinPartitions(*keys)
@@ -175,31 +185,35 @@ class Forest:
         named = Stored(named.withColumnRenamed("p", "q"), "merkle-offsets").df
         self.rows = placed.join(named, (F.col("p") == F.col("q")) & F.col("group").eqNullSafe(F.col("of"))).withColumn("at", F.col("i") + F.col("shift")).drop("p", "q", "of", "i", "shift", "group")
         most = self.groups.agg(F.max("n")).first()[0] or 0
-        built = Stored(self.rows.select("g", "n", "at", "h").mapInArrow(_build, _NODE), "merkle-subtrees").df
-        top = F.when(F.col("n") > F.lit(FAN ** (HEIGHT - 1)), HEIGHT).when(F.col("n") > FAN**2, 3).when(F.col("n") > FAN, 2).when(F.col("n") > 1, 1).otherwise(0)
+        built = Stored(self.rows.select("g", "n", "at", "h").mapInArrow(_build(height, held), _NODE), "merkle-subtrees").df
+        top = F.lit(0)
+        for level in range(height):
+            top = top + (F.col("n") > FAN**level).cast("int")
         whole, ragged = built.where(F.col("level") == top), built.where(F.col("level") < top)
-        done = whole.select("g", F.ceil(F.col("n") / F.lit(BLOCK)).cast("long").alias("n"), F.lit(0).alias("level"), "at", "h")
-        self.stages = [self.rows.select("g", "n", "at", "h"), Stored(done.unionByName(_above(ragged, self.parts)), "merkle-blocks").df]
-        most = -(-most // BLOCK)
+        done = whole.select("g", _blocks(F.col("n"), height).alias("n"), F.lit(0).alias("level"), "at", "h")
+        self.stages = [self.rows.select("g", "n", "at", "h"), Stored(done.unionByName(_above(ragged, self.parts, height)), "merkle-blocks").df]
+        most = -(-most // FAN**height)
         while most > 1:
-            rows = max(1, self.parts // BLOCK)
-            self.stages.append(Stored(_above(self.stages[-1], rows), "merkle-blocks").df)
-            most = -(-most // BLOCK)
+            self.stages.append(Stored(_above(self.stages[-1], self._parts_above(len(self.stages) - 1), height), "merkle-blocks").df)
+            most = -(-most // FAN**height)
         self.roots = self.stages[-1].select("g", "h")
 
+    def _parts_above(self, stage: int) -> int:
+        return max(1, self.parts // FAN ** (self.height * stage))
+
     def proofs(self, above: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
         """Each leaf's columns ``keep``, h and proof; ``above`` (g, path) is what follows a group's root on the way up."""
         tops = self.roots.select("g", F.lit(0).cast("long").alias("at"))
         tops = tops.join(above, "g") if above is not None else tops.withColumn("path", F.lit(None).cast(_SIDES))
-        for nodes in self.stages[-2:0:-1]:
-            tops = Stored(_down(nodes, tops, max(1, self.parts // BLOCK), ()), "merkle-paths").df
-        return _down(self.rows, tops, self.parts, keep)
+        for stage in range(len(self.stages) - 2, 0, -1):
+            tops = Stored(_down(self.stages[stage], tops, self._parts_above(stage), self.height), "merkle-paths").df
+        return _down(self.rows, tops, self.parts, self.height, keep)
 
 
-def _down(nodes: DataFrame, tops: DataFrame, parts: int, keep: tuple[str, ...]) -> DataFrame:
+def _down(nodes: DataFrame, tops: DataFrame, parts: int, height: int, keep: tuple[str, ...] = ()) -> DataFrame:
     """Paths of ``nodes`` (g, n, at, h) under ``tops`` (g, at: the block, path)."""
     kept = F.struct(*[F.col(c) for c in keep]) if keep else F.struct(F.lit(0).alias("none"))
-    under = nodes.select("g", F.shiftright("at", 3 * HEIGHT).alias("block"), "at", "n", "h", kept.alias("kept"))
+    under = nodes.select("g", F.shiftright("at", 3 * height).alias("block"), "at", "n", "h", kept.alias("kept"))
     head = tops.select("g", F.col("at").alias("block"), F.lit(-1).cast("long").alias("at"), F.col("path"))
     rows = under.unionByName(head, allowMissingColumns=True).repartition(parts, "g", "block").sortWithinPartitions("g", "block", "at")
     kind = under.schema["kept"].dataType
@@ -212,7 +226,7 @@ def _down(nodes: DataFrame, tops: DataFrame, parts: int, keep: tuple[str, ...])
                     continue
                 n, first = part.column("n")[0].as_py(), part.column("at")[0].as_py()
                 upper = [(s["before"], s["after"]) for s in table.column("path")[a].as_py() or []]
-                tree = block_levels([(0, first + i, h) for i, h in enumerate(part.column("h").to_pylist())], n)
+                tree = block_levels([(0, first + i, h) for i, h in enumerate(part.column("h").to_pylist())], n, height)
                 paths = {tree[-1][0]: upper}
                 for at, run_ in reversed(tree[:-1]):
                     text = [h.hex() for h in run_]
@@ -238,7 +252,7 @@ def _down(nodes: DataFrame, tops: DataFrame, parts: int, keep: tuple[str, ...])
     return found.select("g", "at", "h", "path", *[F.col(f"kept.{c}") for c in keep])
 
 
-def manifest(docs: DataFrame, fields: tuple[str, ...] = ("doc_id", "source", "lang", "n_chars", "text"), id_col: str = "doc_id", group_col: str = "lang", keep: dict[str, Column] | None = None) -> DataFrame:
+def manifest(docs: DataFrame, fields: tuple[str, ...] = ("doc_id", "source", "lang", "n_chars", "text"), id_col: str = "doc_id", group_col: str = "lang", keep: dict[str, Column] | None = None, height: int = HEIGHT, held: int = HELD) -> DataFrame:
     """The Merkle manifest of a table: each row's id, leaf, subroot, root and proof.
 
     A leaf is the :func:`digest` of the row's ``fields``.  In each group leaves ascend
@@ -258,10 +272,10 @@ def manifest(docs: DataFrame, fields: tuple[str, ...] = ("doc_id", "source", "la
     group = F.col(group_col).cast("string").alias("group")
     leaves = docs.select(group, F.col(id_col).alias("id"), F.unhex(digest(*[F.col(c) for c in fields])).alias("h"), F.struct(*[c.alias(k) for k, c in keep.items()], F.lit(0).alias("none")).alias("more"), spare)
     stored = Stored(leaves, "merkle-rows").df
-    trees = Forest(stored, ["id", "h", "salt"], stored.count())
+    trees = Forest(stored, ["id", "h", "salt"], stored.count(), height, held)
     subroots = trees.roots.join(trees.groups, "g").select(F.lit(None).cast("string").alias("group"), F.col("group").alias("name"), F.col("g").alias("tree"), "h")
-    held = Stored(subroots, "merkle-subroots").df
-    upper = Forest(held, ["name"], held.count())
+    tops = Stored(subroots, "merkle-subroots").df
+    upper = Forest(tops, ["name"], tops.count(), height, held)
     above = Stored(upper.proofs(keep=("tree",)).select(F.col("tree").alias("g"), "path"), "merkle-tops").df
     top = upper.roots.first()  # one row, or none of an empty table
     root = F.lit(bytes(top["h"]).hex() if top else None).cast("string").alias("root")

@@ -70,12 +70,12 @@ def _emit_long(word: np.ndarray, id_: int) -> Iterator[pa.RecordBatch]:
     """What one long word emits, part by part."""
     n = len(word)
     steps = [(a, min(n, a + PIECE)) for a in range(0, n, PIECE)]
-    own = shifted = np.uint64(0)
+    own, shifted = np.zeros(1, np.uint64), np.zeros(1, np.uint64)  # arrays, so that sums wrap
     for a, z in steps:
-        own += _letter(word[a:z], np.arange(a, z)).sum(dtype=np.uint64)
-        shifted += _letter(word[a:z], np.arange(a, z) - 1).sum(dtype=np.uint64)
-    yield _batch(np.array([own]), np.array([_SELF]), np.array([-1]), np.array([id_], np.int64))
-    before = after = np.uint64(0)
+        own = own + _letter(word[a:z], np.arange(a, z)).sum(dtype=np.uint64)
+        shifted = shifted + _letter(word[a:z], np.arange(a, z) - 1).sum(dtype=np.uint64)
+    yield _batch(own, np.array([_SELF]), np.array([-1]), np.array([id_], np.int64))
+    before, after = np.zeros(1, np.uint64), np.zeros(1, np.uint64)
     for a, z in steps:
         at = np.arange(a, z)
         here = np.cumsum(_letter(word[a:z], at), dtype=np.uint64)
