@@ -17,13 +17,13 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_words, stored
+from .common import n_words, null_salt, stored
 
 #: Weights of the sources in order, repeating.
 WEIGHTS = (3, 1, 2)
 #: Documents that one fold handles, on average.
 BLOCK = 64
-_ITEM = "struct<h:bigint,row:struct<id:{id},source:string,size:bigint>,base:int,f:double>"
+_ITEM = "struct<h:bigint,row:struct<id:{id},source:string,size:bigint,n:bigint>,base:int,f:double>"
 
 
 def source_targets(sizes: DataFrame, share: float, cap: float, weights: tuple[int, ...]) -> DataFrame:
@@ -72,7 +72,7 @@ def _fold(level: int, seed: int, id_type: str) -> Column:
     say = lambda i: "case " + " ".join(f"when {c[0]} then {c[i]}" for c in cases) + f" else {last[i - 1]} end"
     fixed = f"({fb} = 0D or {wb} = 0)"
     return F.expr(
-        f"aggregate(items, named_struct('done', cast(array() as array<struct<row:struct<id:{id_type},source:string,size:bigint>,copies:int>>), 'open', cast(null as {item})), "
+        f"aggregate(items, named_struct('done', cast(array() as array<struct<row:struct<id:{id_type},source:string,size:bigint,n:bigint>,copies:int>>), 'open', cast(null as {item})), "
         f"(s, e) -> case when {fixed} then named_struct('done', array_append(s.done, {done(b, 0)}), 'open', s.open) "
         "when s.open is null then named_struct('done', s.done, 'open', e) "
         f"else named_struct('done', array_append(s.done, {say(1)}), 'open', {say(2)}) end)"
@@ -89,33 +89,35 @@ def mix_sources(
     weights: tuple[int, ...] = WEIGHTS,
     seed: int = 11,
     block: int = BLOCK,
+    row_col: str | None = None,
 ) -> DataFrame:
     """Decide how many copies of each document a mix takes.
 
     Returns id, source, size (words of the text, null text: 0), source_size,
     target (words), copies and taken (copies times size).  The sum of ``taken``
     over a source misses its target by less than one document, and no document
-    is taken more than ``ceil(cap)`` times.  The result follows from ids and sizes alone, so
-    reruns agree.  A null source is a source of its own and comes last; documents
+    is taken more than ``ceil(cap)`` times.  The result follows from ids and texts alone, so
+    reruns agree; rows without an id are told apart by their place as well.  A null source is a source of its own and comes last; documents
     of size 0 are taken 0 times more than certain.  Rows with the same id are
-    rounded each.  Empty input: no rows.  Other columns are not read.
+    rounded each.  ``row_col`` names a column of whole numbers, one for each row, to return
+    as well.  Empty input: no rows.  Other columns are not read.
     """
     spark = docs.sparkSession
     idt = docs.schema[id_col].dataType.simpleString()
-    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"))
+    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"), F.xxhash64(F.col(text_col), null_salt(F.col(id_col))).alias("mark"), (F.col(row_col) if row_col else F.lit(None)).cast("long").alias("n_row"))
     sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     targets = stored(source_targets(sums, share, cap, weights), "mix-targets")
     most = targets.agg(F.max("n")).first()[0] or 0
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(cap)))).otherwise(F.lit(0.0))
     t = targets.withColumnRenamed("source", "t_source")
-    h = F.xxhash64("id", "size", F.lit(seed))
+    h = F.xxhash64("id", "size", "mark", F.lit(seed))
     open_ = (
         sized.join(t, sized["source"].eqNullSafe(t["t_source"]))
         .withColumn("rate", rate)
         .select(
             "source",
             F.ceil(F.col("n") / block).cast("long").alias("blocks"),
-            F.struct(h.alias("h"), F.struct("id", "source", "size").alias("row"), F.floor("rate").cast("int").alias("base"), (F.col("rate") - F.floor("rate")).alias("f")).alias("item"),
+            F.struct(h.alias("h"), F.struct("id", "source", "size", F.col("n_row").alias("n")).alias("row"), F.floor("rate").cast("int").alias("base"), (F.col("rate") - F.floor("rate")).alias("f")).alias("item"),
         )
     )
     decided, left, level = [], most, 0
@@ -134,7 +136,7 @@ def mix_sources(
     out = decided[0]
     for more in decided[1:]:
         out = out.unionByName(more)
-    out = out.select("row.id", "row.source", "row.size", "copies")
+    out = out.select("row.id", "row.source", "row.size", F.col("row.n").alias("n_row"), "copies")
     return out.join(t, out["source"].eqNullSafe(t["t_source"])).select(
-        F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
+        F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *([F.col("n_row").alias(row_col)] if row_col else [])
     )

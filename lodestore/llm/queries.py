@@ -100,9 +100,30 @@ QUERIES = {
     "op13_spelling": op13_spelling,
 }
 
-#: crc32 in SQL: ``table`` is a list of 256 numbers made by rule, ``bytes`` a list of byte values.
-_CRC_TABLE = "crcs as (select list_transform(range(256), lambda b: list_reduce(range(8), lambda c, i: xor(c >> 1, 3988292384 * (c & 1)), b)) as t)"
+#: crc32 in SQL: a list of 256 numbers made by rule, and its use on the bytes of a text {x}.
+_CRCS = "crcs as (select list_transform(range(256), lambda b: list_reduce(range(8), lambda c, i: xor(c >> 1, 3988292384 * (c & 1)), b)) as t)"
 _CRC = "xor(list_reduce(list_transform(range(strlen({x})), lambda i: ('0x' || substr(hex(encode({x})), 2 * i + 1, 2))::bigint), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295)"
+_FOLD = "translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _sides(name: str, group: str) -> str:
+    """SQL of a tree over ``{name}_leaves(g, pos, h)``: its nodes by level, and (g, pos, level, before, after) for each leaf."""
+    return f"""
+        {name}_nodes(g, level, pos, h, n) as (
+            select g, 0, pos, h, count(*) over ({group}) from {name}_leaves
+            union all
+            select * from (
+                select g, level + 1, pos // 8, sha256(string_agg(h, '' order by pos)), count(*) over ({group}) from {name}_nodes where n > 1 group by g, level, pos // 8
+            )
+        ),
+        {name}_sides as (
+            select l.g, l.pos, s.level, coalesce(string_agg(s.h, '' order by s.pos) filter (s.pos < l.pos >> 3 * s.level), '') as before,
+                coalesce(string_agg(s.h, '' order by s.pos) filter (s.pos > l.pos >> 3 * s.level), '') as after
+            from {name}_leaves l join {name}_nodes s on s.g is not distinct from l.g and s.pos >> 3 = l.pos >> 3 * (s.level + 1) and s.n > 1 group by l.g, l.pos, s.level
+        ),
+        {name}_roots as (select g, h from {name}_nodes where n = 1)
+    """
+
 
 ORACLE_SQL = {
     "op1_url_filter": """
@@ -182,4 +203,65 @@ ORACLE_SQL = {
         ranked as (select *, row_number() over (partition by query_id order by round(score, 9) desc, doc_id)::int as rank from scores)
         select query_id, rank, doc_id, round(score, 6) as score from ranked where rank <= 10
     """,
+    "op11_lattice_dedup": """
+        with recursive vectors as (
+            select vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) as size
+            from (select vec_id, embedding::double[] as v from embeddings where len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0)
+        ),
+        links as (select a.vec_id as a, b.vec_id as b from vectors a join vectors b on a.vec_id <> b.vec_id and a.size > 0 and b.size > 0 and len(a.v) = len(b.v) where list_inner_product(a.v, b.v) / (a.size * b.size) >= 0.95),
+        reach(a, b) as (select a, b from links union select reach.a, links.b from reach join links on reach.b = links.a),
+        lowest as (select a, min(b) as b from reach group by a),
+        counts as (select a, count(*) as n from links group by a)
+        select vec_id, coalesce(n, 0)::bigint as n_links, least(vec_id, coalesce(b, vec_id)) as component_id, vec_id <= coalesce(b, vec_id) as kept
+        from embeddings left join lowest on lowest.a = vec_id left join counts on counts.a = vec_id
+    """,
+    "op12_merkle_manifest": f"""
+        with recursive {_CRCS},
+        fields as (select *, {_FOLD.format(x="text")} as folded from documents),
+        said as (
+            select doc_id, lang, t, {" || ".join(f"coalesce(strlen({c}::varchar) || ':' || {c}, '-')" for c in ("doc_id", "source", "lang", "n_chars"))} as head,
+                coalesce(strlen(text) || ':' || text, '-') as body, coalesce(strlen(folded) || ':' || folded, '-') as changed from fields, crcs
+        ),
+        hashed as (
+            select doc_id, lang, sha256(head || body) as leaf, case when {_CRC.format(x="doc_id::varchar")} % 3 = 0 then sha256(head || changed) end as tampered from said
+        ),
+        placed as (select *, row_number() over (partition by lang order by doc_id, leaf) - 1 as pos from hashed),
+        own_leaves as (select lang as g, pos, leaf as h from placed),
+        {_sides("own", "partition by g")},
+        top_leaves as (select null as g, row_number() over (order by g nulls first) - 1 as pos, h, g as lang from own_roots),
+        {_sides("top", "")},
+        steps as (
+            select doc_id, leaf, tampered, subs.h as subroot, subs.pos as place, own.level, before, after from placed
+            join top_leaves subs on subs.lang is not distinct from placed.lang join own_sides own on own.g is not distinct from placed.lang and own.pos = placed.pos
+            union all
+            select doc_id, leaf, tampered, subs.h, subs.pos, 100 + top.level, before, after from placed join top_leaves subs on subs.lang is not distinct from placed.lang join top_sides top on top.pos = subs.pos
+        ),
+        proofs as (
+            select doc_id, leaf, tampered, subroot, sha256(string_agg(before || after, '' order by level)) as proof_sha256, list(struct_pack(b := before, a := after) order by level) as proof
+            from steps group by doc_id, leaf, tampered, subroot
+        ),
+        ends as (
+            select *, list_reduce(list_transform(proof, lambda x: struct_pack(b := x.b, a := x.a)), lambda h, x: struct_pack(b := sha256(x.b || h.b || x.a), a := ''), struct_pack(b := coalesce(tampered, leaf), a := '')).b as folded_root from proofs
+        )
+        select doc_id, leaf, subroot, top_roots.h as root, proof_sha256, folded_root, folded_root = top_roots.h as verified from ends, top_roots
+    """,
+    "op13_spelling": f"""
+        with recursive {_CRCS},
+        runs as (select doc_id, {_FOLD.format(x="unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+'))")} as run from documents),
+        counted as (select doc_id, run, doc_id || ':' || run as x, count(*) as n from runs where length(run) >= 7 group by all),
+        hashed as (select run, n, coalesce({_CRC.format(x="x")}, 1) as h from counted, crcs),
+        spoilt as (select case when h % 31 = 0 then substr(run, 1, h % length(run)) || substr(run, (h % length(run))::int + 2) else run end as word, n from hashed),
+        words as (select word, sum(n)::bigint as n from spoilt where length(word) >= 7 group by word having sum(n) >= 2),
+        cuts as (select word, n, i, substr(word, 1, i) || substr(word, i + 2) as rest from (select word, n, unnest(range(length(word))) as i from words)),
+        near as (
+            select distinct a.word, b.word as other, b.n from cuts a join cuts b on a.rest = b.rest and a.i = b.i and a.word <> b.word
+            union select cuts.word, words.word, words.n from cuts join words on words.word = cuts.rest
+            union select words.word, cuts.word, cuts.n from cuts join words on words.word = cuts.rest
+        ),
+        best as (select word, count(*) as n_near, min_by(other, (-n, other)) as other, max(n) as form_n from near group by word),
+        forms as (select words.word, words.n, coalesce(n_near, 0)::bigint as n_near, case when form_n >= 10 * n then other end as form, case when form_n >= 10 * n then form_n end as form_n from words left join best using (word)),
+        chain(word, root) as (select word, form from forms where form is not null union all select chain.word, form from chain join forms on forms.word = chain.root where form is not null),
+        ends as (select chain.word, root from chain join forms on forms.word = chain.root where form is null)
+        select forms.word, form, coalesce(root, forms.word) as root, n, n_near, form_n from forms left join ends on ends.word = forms.word
+    """,
 }

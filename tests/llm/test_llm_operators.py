@@ -375,6 +375,15 @@ def test_mixing_meets_its_targets(spark):
     assert mixing.mix_sources(docs.limit(0)).count() == 0
 
 
+def test_mixing_tells_rows_apart(spark):
+    """Rows without an id, or of one id, are spread and come back by their own number."""
+    rows = [(None, f"word{i} more", "a") for i in range(500)] + [(4, "same id", "a"), (4, "another text", "a")]
+    docs = spark.createDataFrame([(n, *r) for n, r in enumerate(rows)], "number long, doc_id long, text string, source string")
+    got = mixing.mix_sources(docs, block=8, row_col="number").collect()
+    assert sorted(r["number"] for r in got) == list(range(502))
+    assert all(r["copies"] in (1, 2) for r in got) and sum(r["taken"] for r in got) in range(1504, 1509)
+
+
 def test_mixing_is_fair(spark):
     docs = spark.createDataFrame([(i, "w " * (1 + i % 5), "a" if i % 2 else "b") for i in range(400)], "doc_id long, text string, source string")
     mean = np.mean([[r["copies"] for r in mixing.mix_sources(docs, share=0.5, weights=(1, 1), seed=s).orderBy("doc_id").collect()] for s in range(6)])
@@ -800,6 +809,35 @@ def test_search_against_brute_force(spark, texts, monkeypatch):
     assert search.top_k(docs, docs.limit(0)).count() == 0
 
 
+def test_queries_that_are_no_documents(spark):
+    docs = frame(spark, ["alpha beta", "gamma delta", "Alpha epsilon zeta"], [1, 2, 3])
+    asked = frame(spark, ["gamma omega", "epsilon", "nothing here", None, "alpha"], [9, 10, 11, 12, 3])
+    got = [(r["query_id"], r["rank"], r["doc_id"]) for r in search.top_k(docs, asked).collect()]
+    assert sorted(got) == [(3, 1, 1), (9, 1, 2), (10, 1, 3)]
+
+
+def test_rows_of_the_queries_own_id_hide_no_others(spark):
+    """Many rows of the query's id, with one text or with different ones, are no answers and leave room for the others."""
+    for own in (["alpha beta"] * 12, [f"alpha beta x{i}" + " alpha" * i for i in range(12)]):
+        docs = frame(spark, [*own, *["alpha beta"] * 4, "alpha gamma delta"], [1] * 12 + [2, 3, 4, 5, 6])
+        found = search.top_k(docs, docs.where("doc_id = 1").limit(1), k=10).orderBy("rank").collect()
+        assert [r["doc_id"] for r in found] == [2, 3, 4, 5, 6]
+    docs = frame(spark, ["alpha"] * 15 + ["alpha beta"], [7] * 15 + [8])
+    found = search.top_k(docs, docs.where("doc_id = 8"), k=10).collect()
+    assert [r["doc_id"] for r in found] == [7] * 10
+
+
+def test_shards_are_bounded_by_documents(spark, monkeypatch):
+    monkeypatch.setattr(search, "SHARD_ROWS", 50)
+    texts = [f"w{i % 37} v{i % 11} u{i % 5} t" for i in range(400)]
+    docs = frame(spark, texts)
+    got = defaultdict(list)
+    for r in search.top_k(docs, docs.where("doc_id % 50 = 0"), k=5).collect():
+        got[r["query_id"]].append((r["rank"], r["doc_id"]))
+    want = plain_search(dict(enumerate(texts)), range(0, 400, 50), 5)
+    assert {q: [i for _, i in sorted(rows)] for q, rows in got.items()} == {q: [i for _, i in best] for q, best in want.items()}
+
+
 def shard_of(texts, k=1):
     import pyarrow as pa
 

@@ -72,6 +72,16 @@ def test_mix_repeats_documents_to_the_targets(stages):
     assert abs(taken - 1.5 * sum(size.values())) <= longest * len(size)
 
 
+def test_mix_takes_rows_by_themselves(spark, small):
+    """Two rows of one id, rows without an id and a plain one: each comes once or twice, and no row is lost."""
+    rows = [(1, "one two", "en", "a", 7), (1, "one two three", "en", "a", 7), (None, "four five", "en", "a", 7), (None, "four five", "en", "a", 7), (2, "six", "en", "a", 7)]
+    docs = spark.createDataFrame(rows, table(spark, small, "documents").schema)
+    got = Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.mix(spark, docs, small).collect())
+    assert set(got) == {r[:2] for r in rows}
+    assert all(n <= 2 * sum(r[:2] == key for r in rows) for key, n in got.items())
+    assert abs(sum(n * len(t.split()) for (_, t), n in got.items()) - 15) <= 3
+
+
 def test_packing_holds_every_copy(stages):
     before, after = stages["packing"]
     docs, copies = texts(before), Counter(r["doc_id"] for r in before.select("doc_id").collect())
@@ -161,9 +171,9 @@ def test_characters_are_not_torn(spark, small):
 
 def test_registered_queries_run(spark, small):
     known = __spark_entry__.queries()
-    assert {f"op{n}" for n in range(1, 11)} <= {q.split("_")[0] for q in known} and "pipeline" in known
+    assert {f"op{n}" for n in range(1, 14)} <= {q.split("_")[0] for q in known} and "pipeline" in known
     n = table(spark, small, "documents").count()
-    for name in ("op2_language", "op4_mixing", "op6_quality", "op7_near_dup", "op8_suffix_dedup", "op9_toxicity"):
+    for name in ("op2_language", "op4_mixing", "op6_quality", "op7_near_dup", "op8_suffix_dedup", "op9_toxicity", "op12_merkle_manifest"):
         rows = known[name](spark, small)
         assert rows.count() == n and rows.select("doc_id").distinct().count() == n
 
