@@ -57,9 +57,11 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it. Rows without an id cannot be named by the mix and are not taken."""
-    mixed = mixing.mix_sources(docs).where("copies > 0 and doc_id is not null").select("doc_id", "copies")
-    copies = _packed(docs).join(mixed, "doc_id")
+    """Each row as often as the mix takes it; rows without an id and rows of one id are each a row of their own."""
+    numbered = stored(_packed(docs).withColumn("number", F.monotonically_increasing_id()), "pipeline-numbered")
+    given = numbered.select("number", "doc_id", "text", "row.source")
+    mixed = mixing.mix_sources(given, row_col="number").where("copies > 0").select("number", "copies")
+    copies = numbered.join(mixed, "number")
     return _unpacked(copies.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))), docs)
 
 
