@@ -99,13 +99,13 @@ def verify_manifest(manifest: DataFrame, blobs: DataFrame) -> DataFrame:
 
 
 def restored(manifest_chunks: DataFrame, blobs: DataFrame) -> DataFrame:
-    """Put files together from ``manifest_chunks(file_id, chunk_index, fp)`` and ``blobs(fp, content)``: file_id, n, content.
+    """Put files together from ``manifest_chunks(file_id, chunk_index, fp)`` and ``blobs(fp, content)``: file_id, n, content (bytes).
 
     A file whose chunks are not all there is left out.
     """
     rows = manifest_chunks.join(blobs, "fp", "left")
     parts = rows.groupBy("file_id").agg(F.count(F.lit(1)).alias("n"), F.count("content").alias("there"), F.array_sort(F.collect_list(F.struct("chunk_index", "content"))).alias("parts"))
-    return parts.where("n = there").select("file_id", "n", F.array_join(F.col("parts.content"), "").alias("content"))
+    return parts.where("n = there").select("file_id", "n", F.unhex(F.array_join(F.transform("parts.content", F.hex), "")).alias("content"))
 
 
 def restore_status(failed: Column, total: Column) -> Column:

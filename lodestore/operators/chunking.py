@@ -21,13 +21,12 @@ RABIN_MIN, RABIN_AVG, RABIN_MAX, RABIN_WINDOW = 4096, 32768, 131072, 48
 FAST_MIN, FAST_MAX, FAST_WINDOW, FAST_BITS, FAST_TARGET = 2048, 16384, 48, 13, 0x1B8F
 
 
-def fixed_blocks(files: DataFrame, block: int = 65536, overlap: int = 4096) -> DataFrame:
-    """Blocks of ``block`` bytes that overlap by ``overlap``: file_id, chunk_index, offset, size, fp."""
+def fixed_blocks(files: DataFrame, block: int = 65536, overlap: int = 4096, content: bool = False) -> DataFrame:
+    """Blocks of ``block`` bytes that overlap by ``overlap``: file_id, chunk_index, offset, size, fp and, if asked for, the block's bytes as ``content``."""
     step = block - overlap
-    content = F.col("text").cast("binary")
-    rows = files.where(F.octet_length("text") > 0).select("file_id", content.alias("c"), F.explode(F.sequence(F.lit(0), F.octet_length("text") - 1, F.lit(step))).alias("offset"))
+    rows = files.where(F.octet_length("text") > 0).select("file_id", F.col("text").cast("binary").alias("c"), F.explode(F.sequence(F.lit(0), F.octet_length("text") - 1, F.lit(step))).alias("offset"))
     rows = rows.withColumn("part", F.substr("c", F.col("offset") + 1, F.lit(block)))
-    return rows.select("file_id", (F.col("offset") / step).cast("long").alias("chunk_index"), F.col("offset").cast("long"), F.octet_length("part").cast("long").alias("size"), F.sha2("part", 256).alias("fp"))
+    return rows.select("file_id", (F.col("offset") / step).cast("long").alias("chunk_index"), F.col("offset").cast("long"), F.octet_length("part").cast("long").alias("size"), F.sha2("part", 256).alias("fp"), *([F.col("part").alias("content")] if content else []))
 
 
 def rabin_cuts(data: np.ndarray, shortest: int = RABIN_MIN, mean: int = RABIN_AVG, longest: int = RABIN_MAX) -> list[int]:
@@ -98,6 +97,36 @@ def content_chunks(files: DataFrame, strategy: str, **params: int) -> DataFrame:
     return files.select("file_id", "text").mapInArrow(run, f"file_id {kind}, chunk_index long, offset long, size long, fp string")
 
 
+# Fixed values of the polynomial fingerprint.
+POLY_BASE, POLY_PRIME = 2, 4611686018427387847
+#: Bytes that are folded at once; their sum stays under the 53 bits of a double.
+_STEP = 40
+
+
+def polynomial(data: bytes) -> int:
+    """The bytes as digits of base POLY_BASE, modulo POLY_PRIME; none give 0."""
+    whole = len(data) // _STEP * _STEP
+    weights = float(POLY_BASE) ** np.arange(_STEP - 1, -1, -1)
+    out = 0
+    for digit in (np.frombuffer(data[:whole], np.uint8).reshape(-1, _STEP) @ weights).tolist():
+        out = (out * POLY_BASE**_STEP + int(digit)) % POLY_PRIME
+    for byte in data[whole:]:
+        out = (out * POLY_BASE + byte) % POLY_PRIME
+    return out
+
+
+def polynomial_fingerprints(files: DataFrame) -> DataFrame:
+    """file_id and fp, the :func:`polynomial` fingerprint of all bytes of ``files(file_id, text)``; null for a null text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).cast(pa.binary()).to_pylist()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if x is None else polynomial(x) for x in texts], pa.int64())], ["file_id", "fp"])
+
+    kind = files.schema["file_id"].dataType.simpleString()
+    return files.select("file_id", "text").mapInArrow(run, f"file_id {kind}, fp long")
+
+
 def chunker(strategy: str, **params: int) -> Callable[[DataFrame], DataFrame]:
     """A function from files to chunks, by name: fixed, rabin or fast."""
     if strategy == "fixed":

@@ -9,13 +9,6 @@ from ..operators import chunking as C
 from .catalog import Tables
 from .registry import query
 
-_ASCII = "(select * from files where strlen(text) = length(text))"
-
-
-def _ascii(t: Tables):
-    return t.files.where(F.octet_length("text") == F.length("text"))
-
-
 @query("sink_archive_gzip", "select file_id, true as verified from files where size >= 400")
 def _(t: Tables):
     return R.gzip_archive(t.files).where("size >= 400").select("file_id", "verified")
@@ -74,34 +67,33 @@ def _(t: Tables):
 
 
 def _chunks(t: Tables):
-    return C.fixed_blocks(_ascii(t), 512, 0)
+    return C.fixed_blocks(t.files, 512, 0)
 
 
 def _chunk_blobs(t: Tables):
-    text = F.substr("text", F.col("offset").cast("int") + 1, F.lit(512))
-    return _chunks(t).join(_ascii(t).select("file_id", "text"), "file_id").groupBy("fp").agg(F.min(text).alias("content"))
+    return C.fixed_blocks(t.files, 512, 0, content=True).groupBy("fp").agg(F.min("content").alias("content"))
 
 
-@query("join_restore_files", f"select file_id, (size + 511) // 512 as n, sha256 from {_ASCII} where size > 0")
+@query("join_restore_files", "select file_id, (size + 511) // 512 as n, sha256 from files where size > 0")
 def _(t: Tables):
     rows = R.restored(_chunks(t).select("file_id", "chunk_index", "fp"), _chunk_blobs(t))
     return rows.select("file_id", "n", F.sha2("content", 256).alias("sha256"))
 
 
-@query("join_restore_partial", f"select file_id, sha256 from {_ASCII} where size > 0 and file_id % 4 = 0")
+@query("join_restore_partial", "select file_id, sha256 from files where size > 0 and file_id % 4 = 0")
 def _(t: Tables):
     chosen = t.files.where("file_id % 4 = 0").select("file_id")
     rows = R.restored(_chunks(t).select("file_id", "chunk_index", "fp").join(chosen, "file_id", "left_semi"), _chunk_blobs(t))
     return rows.select("file_id", F.sha2("content", 256).alias("sha256"))
 
 
-@query("arc_add_file", f"select file_id, (size + 511) // 512 as n from {_ASCII} where size > 0")
+@query("arc_add_file", "select file_id, (size + 511) // 512 as n from files where size > 0")
 def _(t: Tables):
     ordered = F.array_sort(F.collect_list(F.struct("chunk_index", "fp")))
     return _chunks(t).groupBy("file_id").agg(F.size(ordered).cast("long").alias("n"))
 
 
-_PIECES = f"(select file_id, o // 512 as chunk_index, least(512, size - o) as size, sha256(substr(text, o + 1, 512)) as fp from (select file_id, text, size, unnest(range(0, size, 512)) as o from {_ASCII}))"
+_PIECES = "(select file_id, o // 512 as chunk_index, least(512, size - o) as size, sha256(unhex(substr(h, 2 * o + 1, 1024))) as fp from (select file_id, hex(encode(text)) as h, size, unnest(range(0, size, 512)) as o from files))"
 
 
 @query("join_manifest_verify_cdc", f"select file_id, chunk_index, p.fp from {_PIECES} p left join (select distinct fp from {_PIECES} where file_id % 7 <> 0) b on p.fp = b.fp where b.fp is null")

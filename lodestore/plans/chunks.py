@@ -10,18 +10,13 @@ from ..operators import inventory as I
 from .catalog import Tables
 from .registry import query
 
-_ASCII = "(select * from files where strlen(text) = length(text))"
-# blocks of ASCII files, where bytes and characters agree
-_BLOCKS = f"(select file_id, o // 448 as chunk_index, o as offset_, least(512, size - o) as size, sha256(substr(text, o + 1, 512)) as fp from (select file_id, text, size, unnest(range(0, size, 448)) as o from {_ASCII}))"
+# blocks of bytes, as hexadecimal digits
+_BLOCKS = "(select file_id, o // 448 as chunk_index, o as offset_, least(512, size - o) as size, sha256(unhex(substr(h, 2 * o + 1, 1024))) as fp from (select file_id, hex(encode(text)) as h, size, unnest(range(0, size, 448)) as o from files))"
 _SEEN = f"(select *, row_number() over (partition by fp order by file_id, chunk_index) as seen from {_BLOCKS})"
 
 
-def _ascii(t: Tables):
-    return t.files.where(F.octet_length("text") == F.length("text"))
-
-
 def _blocks(t: Tables):
-    return C.fixed_blocks(_ascii(t), 512, 64)
+    return C.fixed_blocks(t.files, 512, 64)
 
 
 @query("cdc_fixed", f"select file_id, chunk_index, offset_, size, fp from {_BLOCKS}")
@@ -62,7 +57,7 @@ def _(t: Tables):
 
 @query("cdc_factory", f"select count(*) as n, sum(size)::bigint as bytes from {_BLOCKS}")
 def _(t: Tables):
-    return C.chunker("fixed", block=512, overlap=64)(_ascii(t)).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
+    return C.chunker("fixed", block=512, overlap=64)(t.files).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
 
 
 @query("ext_chunker", "select sum(size)::bigint as bytes from files")
@@ -70,11 +65,12 @@ def _(t: Tables):
     return C.chunker("fast", shortest=256, longest=2048, bits=9)(t.files).agg(F.sum("size").alias("bytes"))
 
 
-@query("cdc_poly_fp", "select file_id, list_reduce(list_prepend(0::hugeint, list_transform(string_split(substr(text, 1, 40), ''), lambda c: unicode(c)::hugeint)), lambda h, b: (h * 2 + b) % 4611686018427387847)::bigint as fp from (select * from files where strlen(text) = length(text) and size > 0)")
+_POLY = "list_reduce(list_prepend(0::hugeint, list_transform(range(size), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::hugeint)), lambda h, b: (h * 2 + b) % 4611686018427387847)::bigint"
+
+
+@query("cdc_poly_fp", f"select file_id, {_POLY} as fp from (select file_id, size, hex(encode(text)) as h from files where size > 0)")
 def _(t: Tables):
-    codes = F.transform(F.split(F.substring("text", 1, 40), ""), lambda c: F.ascii(c).cast("decimal(38,0)"))
-    fold = F.aggregate(codes, F.lit(0).cast("decimal(38,0)"), lambda h, b: ((h * 2 + b) % F.lit(4611686018427387847).cast("decimal(38,0)")).cast("decimal(38,0)"))
-    return _ascii(t).where("size > 0").select("file_id", fold.cast("long").alias("fp"))
+    return C.polynomial_fingerprints(t.files.where("size > 0").select("file_id", "text"))
 
 
 @query("src_scan_node", f"select file_id, min(seen) = 1 as has_new, count(*) as n from {_SEEN} group by 1")
@@ -137,7 +133,7 @@ def _(t: Tables):
 
 @query("agg_scan_merge", f"select count(distinct fp) as distinct_chunks, count(distinct file_id) as scanned, max(size) as longest from {_BLOCKS}")
 def _(t: Tables):
-    even, odd = (C.fixed_blocks(_ascii(t).where(F.col("file_id") % 2 == k), 512, 64) for k in (0, 1))
+    even, odd = (C.fixed_blocks(t.files.where(F.col("file_id") % 2 == k), 512, 64) for k in (0, 1))
     return even.unionByName(odd).agg(F.count_distinct("fp").alias("distinct_chunks"), F.count_distinct("file_id").alias("scanned"), F.max("size").alias("longest"))
 
 

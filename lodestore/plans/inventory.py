@@ -342,12 +342,12 @@ def _(t: Tables):
     return both.agg((F.count(F.lit(1)) == 0).alias("complete"))
 
 
-@query("src_adapter_interface", "select file_id, substr(text, 1, 16) as head, md5(text) as md5 from files where strlen(text) = length(text)")
+@query("src_adapter_interface", "select file_id, left(hex(encode(text)), 32) as head, md5(text) as md5 from files")
 def _(t: Tables):
     from ..sources.files import hashed
 
-    rows = t.files.where(F.octet_length("text") == F.length("text"))
-    return rows.select("file_id", F.substring("text", 1, 16).alias("head"), hashed(F.col("text"), "md5").alias("md5"))
+    head = F.hex(F.substring(F.col("text").cast("binary"), 1, 16))
+    return t.files.select("file_id", head.alias("head"), hashed(F.col("text"), "md5").alias("md5"))
 
 
 @query("src_connectors", "select kind, count(*) as n from files, (values ('disk'), ('s3')) k(kind) group by 1")
