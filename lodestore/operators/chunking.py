@@ -35,10 +35,12 @@ def rabin_cuts(data: np.ndarray, shortest: int = RABIN_MIN, mean: int = RABIN_AV
     if n < RABIN_WINDOW:
         return [0, n] if n else []
     bits = mean.bit_length() - 1
-    low = np.zeros(n, np.int64)
+    # sums wrap, but never in the bits that are tested
+    kind = np.uint16 if bits <= 16 else np.uint64
+    wide, low = data.astype(kind), np.zeros(n, kind)
     for j in range(bits):
-        low[j:] += data[: n - j].astype(np.int64) << j
-    at = np.flatnonzero(low % mean == 0)
+        low[j:] += wide[: n - j] << kind(j)
+    at = np.flatnonzero(low & kind(mean - 1) == 0)
     starts = [0]
     for s in (at[at >= RABIN_WINDOW] - RABIN_WINDOW + 1).tolist():
         if s - starts[-1] >= shortest:
@@ -56,10 +58,11 @@ def fast_cuts(data: np.ndarray, shortest: int = FAST_MIN, longest: int = FAST_MA
     """Starts of the chunks and the end."""
     n = len(data)
     mask = (1 << bits) - 1
-    low = np.zeros(n + 1, np.int64)
+    kind = np.uint16 if bits <= 16 else np.uint64
+    wide, low = data.astype(kind), np.zeros(n + 1, kind)
     for j in range(min(bits, n)):
-        low[j + 1 :] ^= data[: n - j].astype(np.int64) << j
-    at = np.flatnonzero((low & mask) == (FAST_TARGET & mask))
+        low[j + 1 :] ^= wide[: n - j] << kind(j)
+    at = np.flatnonzero((low & kind(mask)) == kind(FAST_TARGET & mask))
     out, pos = [0] if n else [], 0
     while n - pos > 0:
         k = int(np.searchsorted(at, pos + max(shortest, FAST_WINDOW)))
@@ -75,26 +78,40 @@ CHUNKERS: dict[str, Callable[..., list[int]]] = {"rabin": rabin_cuts, "fast": fa
 
 def content_chunks(files: DataFrame, strategy: str, **params: int) -> DataFrame:
     """Content-defined chunks of ``files(file_id, text)``: file_id, chunk_index, offset, size, fp. A null or empty text has none."""
+    return _cut(files, strategy, False, params)
+
+
+def content_parts(files: DataFrame, strategy: str, **params: int) -> DataFrame:
+    """As :func:`content_chunks`, with each chunk's bytes as ``content``; texts may be binary."""
+    return _cut(files, strategy, True, params)
+
+
+def _cut(files: DataFrame, strategy: str, content: bool, params: dict[str, int]) -> DataFrame:
     if strategy not in CHUNKERS:
         raise ValueError(f"unknown strategy {strategy}")
     cuts_of = CHUNKERS[strategy]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, index, offset, size, fp = [], [], [], [], []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                raw = (text.as_py() or "").encode()
+            rows, index, offset, size, fp, parts = [], [], [], [], [], []
+            for i, text in enumerate(batch.column(1).cast(pa.binary())):
+                raw = text.as_py() or b""
                 cuts = cuts_of(np.frombuffer(raw, np.uint8), **params)
-                for k, (a, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-                    ids.append(i)
-                    index.append(k)
-                    offset.append(a)
+                rows += [i] * (len(cuts) - 1)
+                index += range(len(cuts) - 1)
+                offset += cuts[:-1]
+                for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+                    part = raw[a:z]
                     size.append(z - a)
-                    fp.append(hashlib.sha256(raw[a:z]).hexdigest())
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in ((ids, batch.column(0).type), (index, pa.int64()), (offset, pa.int64()), (size, pa.int64()), (fp, pa.string()))], ["file_id", "chunk_index", "offset", "size", "fp"])
+                    fp.append(hashlib.sha256(part).hexdigest())
+                    if content:
+                        parts.append(part)
+            made = [batch.column(0).take(pa.array(rows, pa.int64())), *(pa.array(x, pa.int64()) for x in (index, offset, size)), pa.array(fp, pa.string())]
+            yield pa.RecordBatch.from_arrays(made + [pa.array(parts, pa.binary())] * content, ["file_id", "chunk_index", "offset", "size", "fp"] + ["content"] * content)
 
     kind = files.schema["file_id"].dataType.simpleString()
-    return files.select("file_id", "text").mapInArrow(run, f"file_id {kind}, chunk_index long, offset long, size long, fp string")
+    schema = f"file_id {kind}, chunk_index long, offset long, size long, fp string" + ", content binary" * content
+    return files.select("file_id", "text").mapInArrow(run, schema)
 
 
 # Fixed values of the polynomial fingerprint.

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import archive as R
+from ..operators import bundles as B
 from ..operators import chunking as C
+from ..sources.shared import shared_folder
 from .catalog import Tables
 from .registry import query
 
@@ -29,17 +31,57 @@ def _(t: Tables):
     return R.codec_sizes(t.files)
 
 
-@query("sink_bundle", "select (select count(*) from files) as n_files, count(*) as n_contents, sum(size)::bigint as bytes from (select sha256, max(size) as size from files where size > 0 group by 1)")
+def _listed(t: Tables):
+    """Files as a bundle takes them; its paths are relative."""
+    return t.files.select(F.substring("path", 2, 1 << 20).alias("path"), "size", "sha256", F.col("text").cast("binary").alias("content"))
+
+
+def _bundled(t: Tables, chunks: str | None = None, **params: int) -> tuple[dict, str]:
+    root = shared_folder(t.spark, "bundles")
+    receipt = B.create(_listed(t), root, chunks, **params)
+    return receipt, f"{root}/{receipt['id']}"
+
+
+@query("sink_bundle", "select sha256, max(size)::bigint as length, count(*) as n_files from files where size > 0 group by 1")
+def _(t: Tables):
+    """A bundle is written; its contents, where they lie and how many files have them."""
+    _, path = _bundled(t)
+    files = t.spark.read.schema("path string, size long, sha256 string").parquet(f"{path}/manifest/files")
+    held = B.contents_of(t.spark, path)
+    return held.join(files, "sha256").groupBy("sha256", "length").agg(F.count(F.lit(1)).alias("n_files"))
+
+
+@query("sink_bundle_restored", "select substr(path, 2) as path, size, sha256(text) as sha256 from files")
+def _(t: Tables):
+    """All files read back from a bundle."""
+    restored = B.restore(t.spark, _bundled(t)[1])
+    return restored.select("path", F.octet_length("content").cast("long").alias("size"), F.sha2("content", 256).alias("sha256"))
+
+
+@query("sink_bundle_cdc", "select substr(path, 2) as path, size, sha256(text) as sha256 from files")
+def _(t: Tables):
+    """All files read back from a bundle of content-defined chunks."""
+    restored = B.restore(t.spark, _bundled(t, "fast", shortest=256, longest=2048, bits=9)[1])
+    return restored.select("path", F.octet_length("content").cast("long").alias("size"), F.sha2("content", 256).alias("sha256"))
+
+
+@query("sink_bundle_receipt", """select count(*) as n_files, count(distinct sha256) filter (where size > 0) as unique_contents, sum(size)::bigint as original_bytes,
+    sum(size)::bigint - (select sum(size) from (select max(size) as size from files group by sha256))::bigint as dedup_bytes, true as smallest, true as reused from files""")
 def _(t: Tables):
-    manifest, contents = R.bundle(t.files)
-    n = manifest.agg(F.count(F.lit(1)).alias("n_files"))
-    return n.crossJoin(contents.agg(F.count(F.lit(1)).alias("n_contents"), F.sum("size").alias("bytes")))  # one row each
+    """A receipt, and that the smallest codec was kept and a second run finds the same bundle."""
+    root = shared_folder(t.spark, "bundles")
+    first, again = (B.create(_listed(t), root) for _ in range(2))
+    smallest = first["trials"][first["codec"]] == min(first["trials"].values())
+    row = (first["file_count"], first["unique_contents"], first["original_bytes"], first["dedup_bytes"], smallest, again["reused"] and again["id"] == first["id"])
+    return t.spark.createDataFrame([row], "n_files long, unique_contents long, original_bytes long, dedup_bytes long, smallest boolean, reused boolean")
 
 
-@query("sink_bundle_cdc", "select sum(size)::bigint as bytes, count(*) as n_files from files where size > 0")
+@query("join_restore_selected", "select substr(path, 2) as path, sha256(text) as sha256 from files where name like '%.log'")
 def _(t: Tables):
-    chunks = C.content_chunks(t.files, "fast", shortest=256, longest=2048, bits=9)
-    return chunks.agg(F.sum("size").alias("bytes"), F.count_distinct("file_id").alias("n_files"))
+    """Some files read from a bundle; only the segments that hold their contents are opened."""
+    _, path = _bundled(t)
+    chosen = _listed(t).where(F.col("path").endswith(".log")).select("path")
+    return B.restore(t.spark, path, chosen).select("path", F.sha2("content", 256).alias("sha256"))
 
 
 _BLOBS = "(select sha256, max(size) + case when min(file_id) % 31 = 0 then 1 else 0 end as size from files where size > 0 and file_id % 23 <> 0 group by 1 union all select 'extra', 5)"
