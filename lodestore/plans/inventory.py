@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..operators import inventory as I
+from ..sources import listing as L
+from ..sources import mounted as M
+from ..sources.files import Registry, default_registry, hashed, scan
+from ..sources.shared import shared_folder
 from .catalog import AS_OF, Tables
 from .registry import query
 
@@ -17,9 +21,26 @@ _FMT = "case when size < 1024 then printf('%.1f', size::double) || ' B' when siz
 _TEMP = "(" + " or ".join(f"contains(name, '{p}')" for p in S.TEMPORARY) + ")"
 
 
-@query("src_scan_local", "select path, size, sha256, mdate::varchar as mdate from files")
+def _tree(t: Tables, files=None) -> str:
+    """The files (or some of them) written as real ones below a mounted folder."""
+    root = shared_folder(t.spark, "tree")
+    rows = (t.files if files is None else files).select(F.substring("path", 2, 1 << 20).alias("path"), F.col("text").cast("binary").alias("content"))
+    M.write_files(rows, root)
+    return root
+
+
+@query("src_scan_local", "select substr(path, 2) as path, size, sha256, true as complete from files")
+def _(t: Tables):
+    """Files are written, then found by a scan level by level and hashed."""
+    report = L.scan_tree(t.spark, _tree(t))
+    return report.files.select("path", "size", "sha256", F.lit(report.complete).alias("complete"))
+
+
+@query("src_scan_errors", "select 0::bigint as n_errors, count(*) as n_files, 3 as levels from files")
 def _(t: Tables):
-    return t.files.select("path", "size", "sha256", F.col("mdate").cast("string").alias("mdate"))
+    report = L.scan_tree(t.spark, _tree(t), hashed=False)
+    n = report.files.agg(F.count(F.lit(1)).alias("n_files"))
+    return n.select(F.lit(report.errors.count()).cast("long").alias("n_errors"), "n_files", F.lit(report.levels).alias("levels"))
 
 
 @query("src_scan_s3", "select path, size, null::varchar as sha256 from files")
@@ -50,11 +71,31 @@ def _(t: Tables):
 
 @query("src_unified_scan", "select sha256, count(*) as n, count(distinct storage_id) as storages from files where size >= 100 group by 1 having count(*) > 1")
 def _(t: Tables):
-    even, odd = t.files.where("file_id % 2 = 0"), t.files.where("file_id % 2 = 1")
-    rows = even.unionByName(odd).where("size >= 100")
+    """Two mounted folders, registered under kinds of their own and scanned as one; small files are left out before they are read."""
+    registry = Registry()
+    for k, kind in enumerate(("disk", "nas")):
+        root = _tree(t, t.files.where(F.col("file_id") % 2 == k))
+        registry.register(kind, lambda spark, at, root=root: M.mounted_files(spark, root).where("size >= 100"))
+    rows = registry.read_all(t.spark)
     return rows.groupBy("sha256").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("storage_id").alias("storages")).where("n > 1")
 
 
+@query("ext_adapters", "select kind, storage_id, count(*) as n, sum(size)::bigint as bytes, count(sha256) as hashed from (select 'disk' as kind, storage_id, size, sha256 from files union all select 's3', null, size, null from files where not starts_with(name, '.')) group by 1, 2")
+def _(t: Tables):
+    """One tree through two kinds of adapter: mounted, read and hashed; and as an object store, only listed."""
+    root = _tree(t)
+    registry = Registry()
+    registry.register("disk", lambda spark, at: M.mounted_files(spark, root))
+    registry.register("s3", lambda spark, at: scan(spark, root, hashed=False))
+    return registry.read_all(t.spark).groupBy("kind", "storage_id").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"), F.count("sha256").alias("hashed"))
+
+
+@query("src_pushed_scan", "select substr(path, 2) as path, sha256 from files where storage_id = 'src2' and size >= 300")
+def _(t: Tables):
+    """Only one storage's folders are opened, and only its larger files read."""
+    return M.mounted_files(t.spark, _tree(t)).where("storage_id = 'src2' and size >= 300").select("path", "sha256")
+
+
 @query("scan_by_type", "select path, size from files where storage_id = 'src2'")
 def _(t: Tables):
     return t.files.where("storage_id = 'src2'").select("path", "size")
@@ -344,42 +385,40 @@ def _(t: Tables):
 
 @query("src_adapter_interface", "select file_id, left(hex(encode(text)), 32) as head, md5(text) as md5 from files")
 def _(t: Tables):
-    from ..sources.files import hashed
-
     head = F.hex(F.substring(F.col("text").cast("binary"), 1, 16))
     return t.files.select("file_id", head.alias("head"), hashed(F.col("text"), "md5").alias("md5"))
 
 
-@query("src_connectors", "select kind, count(*) as n from files, (values ('disk'), ('s3')) k(kind) group by 1")
+@query("src_connectors", "select kind, count(*) as n from files, (values ('disk'), ('s3')) k(kind) where kind = 'disk' or not starts_with(name, '.') group by 1")
 def _(t: Tables):
-    from ..sources.files import Registry
-
-    registry = Registry()
-    registry.register("disk", lambda spark, root: t.files.select("path", "size", "sha256"))
-    registry.register("s3", lambda spark, root: t.files.select("path", "size", F.lit(None).cast("string").alias("sha256")))
-    parts = [registry.read(t.spark, k, "/").withColumn("kind", F.lit(k)) for k in registry.kinds()]
+    root = _tree(t)
+    registry = default_registry()
+    parts = [registry.read(t.spark, k, root).select(F.lit(k).alias("kind")) for k in ("disk", "s3")]
     return parts[0].unionByName(parts[1]).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 for _kind, _storage in (("nas", "src4"), ("usb", "src5"), ("raid", "src6")):
 
-    @query(f"src_{_kind}", f"select path, size, sha256 from files where storage_id = '{_storage}'")
+    @query(f"src_{_kind}", f"select substr(path, 2) as path, size, sha256 from files where storage_id = '{_storage}'")
     def _(t: Tables, kind=_kind, storage=_storage):
-        from ..sources.files import Registry
-
-        registry = Registry()
-        registry.register(kind, lambda spark, root: t.files.where(F.col("storage_id") == root).select("path", "size", "sha256"))
-        return registry.read(t.spark, kind, storage)
+        return default_registry().read(t.spark, kind, _tree(t)).where(F.col("storage_id") == storage).select("path", "size", "sha256")
 
 
 @query("sink_object_store", "select storage_id as bucket, count(*) as objects, sum(size)::bigint as bytes from files group by 1")
 def _(t: Tables):
-    return t.files.groupBy(F.col("storage_id").alias("bucket")).agg(F.count(F.lit(1)).alias("objects"), F.sum("size").alias("bytes"))
+    """Objects written under their buckets and read back by them."""
+    root = shared_folder(t.spark, "objects")
+    t.files.select(F.col("storage_id").alias("bucket"), "path", "size", "text").write.partitionBy("bucket").parquet(root)
+    held = t.spark.read.schema("path string, size long, text string, bucket string").parquet(root)
+    return held.groupBy("bucket").agg(F.count(F.lit(1)).alias("objects"), F.sum(F.octet_length("text")).alias("bytes"))
 
 
-@query("sink_filesystem", f"select path, sha256 as checksum, mdate < date '{AS_OF}' - 300 as expired from files")
+@query("sink_filesystem", f"select substr(path, 2) as path, size, sha256 as checksum, mdate < date '{AS_OF}' - 300 as expired from files")
 def _(t: Tables):
-    return t.files.select("path", F.col("sha256").alias("checksum"), (F.col("mdate") < F.date_sub(F.lit(AS_OF).cast("date"), 300)).alias("expired"))
+    """Files written to a mounted folder; what is there afterwards, and which are past their time."""
+    there = M.mounted_files(t.spark, _tree(t)).select("path", "size", F.col("sha256").alias("checksum"))
+    dates = t.files.select(F.substring("path", 2, 1 << 20).alias("path"), (F.col("mdate") < F.date_sub(F.lit(AS_OF).cast("date"), 300)).alias("expired"))
+    return there.join(dates, "path")
 
 
 @query("sink_kafka", """select file_id::varchar as key, '{"fp":"' || sha256 || '","size":' || size || '}' as value from files""")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
+from ..sources import listing as L
+from ..sources.mounted import local_path, write_files
+from ..sources.shared import shared_folder
 from ..streaming import jobs as J
 from .catalog import Tables
 from .registry import query
@@ -15,8 +17,7 @@ _BIN = lambda seconds: f"strftime(to_timestamp(epoch(ts)::bigint // {seconds} *
 
 
 def _folder(t: Tables) -> str:
-    named = t.spark.conf.get("spark.checkpoint.dir", None)
-    return f"{named.rstrip('/')}/streams" if named else tempfile.mkdtemp(prefix="lodestore-streams-")
+    return shared_folder(t.spark, "streams")
 
 
 def _events(t: Tables):
@@ -65,9 +66,52 @@ def _(t: Tables):
     return J.drain(_events(t).where("event_type = 'view'").select("event_id"), _folder(t)).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("src_fs_events", "select count(*) as n from events")
+def _rewritten(batches):
+    """Write (whole path, content) over what is there, and remove files whose content is null; on the executors."""
+    import os
+
+    import pyarrow as pa
+
+    for batch in batches:
+        for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if content is None:
+                if os.path.exists(path):
+                    os.unlink(path)
+            else:
+                with open(path, "wb") as out:
+                    out.write(content)
+        yield pa.RecordBatch.from_arrays([batch.column(0)], ["path"])
+
+
+@query("src_fs_events", """select 1 as generation, 'created' as kind, substr(path, 2) as path, size from files where file_id % 3 <> 0
+    union all select 2, 'created', substr(path, 2), size from files where file_id % 3 = 0
+    union all select 2, 'modified', substr(path, 2), size + 1 from files where file_id % 3 <> 0 and file_id % 5 = 0
+    union all select 3, 'deleted', substr(path, 2), size + case when file_id % 3 <> 0 and file_id % 5 = 0 then 1 else 0 end from files where file_id % 7 = 0""")
 def _(t: Tables):
-    return J.drain(_events(t).select("event_id"), _folder(t)).agg(F.count(F.lit(1)).alias("n"))
+    """Three generations of a tree; the stream is stopped and started again between them."""
+    root, state, out = (shared_folder(t.spark, n) for n in ("tree", "snapshots", "changes"))
+    path = F.substring("path", 2, 1 << 20)
+    files = t.files.select("file_id", path.alias("path"), F.col("text").cast("binary").alias("content"))
+
+    def rewrite(rows, content):
+        whole = F.concat(F.lit(f"{local_path(root)}/"), "path")
+        rows.select(whole.alias("path"), content.cast("binary").alias("content")).mapInArrow(_rewritten, "path string").write.format("noop").mode("overwrite").save()
+
+    def follow():
+        rows = L.changes(t.spark, state)
+        rows.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+        return rows.schema
+
+    write_files(files.where("file_id % 3 <> 0").select("path", "content"), root)
+    L.take_snapshot(t.spark, root, state)
+    follow()
+    write_files(files.where("file_id % 3 = 0").select("path", "content"), root)
+    rewrite(files.where("file_id % 3 <> 0 and file_id % 5 = 0"), F.concat(F.col("content").cast("string"), F.lit("!")))
+    L.take_snapshot(t.spark, root, state)
+    rewrite(files.where("file_id % 7 = 0"), F.lit(None))
+    L.take_snapshot(t.spark, root, state)
+    schema = follow()
+    return t.spark.read.schema(schema).parquet(f"{out}/rows").withColumn("generation", F.col("generation").cast("int"))
 
 
 @query("str_frame_motion", "select user_id, event_id, abs(value - before) > 30 as moved from (select *, lag(value) over (partition by user_id order by event_id) as before from events) where before is not null and abs(value - before) > 30")

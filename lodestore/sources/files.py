@@ -15,7 +15,9 @@ def scan(spark: SparkSession, root: str, hashed: bool = True, pattern: str = "*"
     """Files below ``root``: path, name, size, mdate and, if ``hashed``, sha256.
 
     Without hashing only the listing is read, as for object stores.  Larger files
-    than ``max_file`` are left out.  Folders that a scan skips are not looked into.
+    than ``max_file`` are left out.  Folders that a scan skips are left out after they are
+    listed, and Spark's readers pass over names that begin with a dot or an underscore;
+    :mod:`.mounted` and :mod:`.listing` do neither, on stores that are mounted.
     """
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
     rows = rows.where(F.col("length") <= max_file)
@@ -78,12 +80,24 @@ class Registry:
             raise ValueError(f"unknown storage type {kind}; known are {', '.join(self.kinds())}")
         return self._readers[kind](spark, root)
 
+    def read_all(self, spark: SparkSession, roots: dict[str, str] | None = None) -> DataFrame:
+        """Files of all kinds (from ``roots`` by kind) as one: kind, and what any of the readers gives, null where one has none."""
+        out: DataFrame | None = None
+        for kind in self.kinds():
+            rows = self.read(spark, kind, (roots or {}).get(kind, "")).withColumn("kind", F.lit(kind))
+            out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+        if out is None:
+            raise ValueError("no storage type is registered")
+        return out
+
 
 def default_registry() -> Registry:
     """Mounted storage (disk, nas, usb, raid) is read and hashed; object stores (s3, oss, cos) are only listed."""
+    from .mounted import mounted_files
+
     registry = Registry()
     for kind in ("disk", "nas", "usb", "raid"):
-        registry.register(kind, scan)
+        registry.register(kind, mounted_files)
     for kind in ("s3", "oss", "cos"):
         registry.register(kind, lambda spark, root: scan(spark, root, hashed=False))
     return registry
