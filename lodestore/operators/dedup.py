@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -50,26 +49,28 @@ def bloom_shape(capacity: int, error: float) -> tuple[int, int]:
     return bits, max(1, int(bits / capacity * math.log(2)))
 
 
-def _positions(item: str, bits: int, hashes: int) -> list[int]:
-    h1, h2 = (int(f(item.encode()).hexdigest(), 16) for f in (hashlib.sha256, hashlib.md5))
-    return [(h1 + i * h2) % bits for i in range(hashes)]
+def _remainder(digits: Column, pieces: int, bits: int) -> Column:
+    """A hexadecimal number of ``pieces`` times eight digits modulo ``bits``, folded from the left in 64-bit steps."""
+    piece = lambda i: F.conv(F.substring(digits, F.lit(8) * i + 1, F.lit(8)), 16, 10).cast("long")
+    return F.aggregate(F.sequence(F.lit(0), F.lit(pieces - 1)), F.lit(0).cast("long"), lambda acc, i: F.pmod(acc * F.lit(1 << 32) + piece(i), F.lit(bits)))
 
 
-def bloom_words(items: DataFrame, column: str, capacity: int, error: float) -> DataFrame:
-    """The filter as rows (word, bits) of 63 bits; partial filters merge by ``bit_or``."""
+def bloom_positions(item: Column, capacity: int, error: float) -> Column:
+    """The bits of a filter that an item sets: two digests, the second added again and again. Null for a null item."""
     bits, hashes = bloom_shape(capacity, error)
+    if bits >= 1 << 31:
+        raise ValueError("a filter has fewer than 2 ** 31 bits")
+    raw = item.cast("binary")
+    pair = F.struct(_remainder(F.sha2(raw, 256), 8, bits).alias("a"), _remainder(F.md5(raw), 4, bits).alias("b"))
+    # the pair is bound once and not written out for each bit
+    return F.when(item.isNotNull(), F.flatten(F.transform(F.array(pair), lambda h: F.transform(F.sequence(F.lit(0), F.lit(hashes - 1)), lambda i: F.pmod(h["a"] + i * h["b"], F.lit(bits))))))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: dict[int, int] = {}
-        for batch in batches:
-            for item in batch.column(0).to_pylist():
-                if item is not None:
-                    for p in _positions(item, bits, hashes):
-                        words[p // 63] = words.get(p // 63, 0) | 1 << p % 63
-        yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.int64()), pa.array(list(words.values()), pa.int64())], ["word", "bits"])
 
-    parts = items.select(column).mapInArrow(run, "word long, bits long")
-    return parts.groupBy("word").agg(F.bit_or("bits").alias("bits"))
+def bloom_words(items: DataFrame, column: str, capacity: int, error: float) -> DataFrame:
+    """The filter as rows (word, bits) of 63 bits; partial filters merge by ``bit_or``."""
+    at = items.select(F.explode(bloom_positions(F.col(column), capacity, error)).alias("p"))
+    bit = F.expr("shiftleft(1L, cast(p % 63 as int))")
+    return at.select(F.floor(F.col("p") / 63).cast("long").alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
 
 
 def bloom_count(words: DataFrame, capacity: int, error: float) -> DataFrame:
@@ -91,9 +92,13 @@ def bloom_probe(keys: DataFrame, column: str, words: DataFrame, capacity: int, e
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            items = batch.column(names.index(column)).to_pylist()
-            maybe = [x is not None and all(int(table[p // 63]) >> p % 63 & 1 for p in _positions(x, bits, hashes)) for x in items]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(maybe)], [*names, "maybe"])
+            positions = batch.column(len(names))
+            there = positions.is_valid().to_numpy(zero_copy_only=False)
+            at = positions.drop_null().flatten().to_numpy().reshape(-1, hashes)
+            maybe = np.zeros(len(there), bool)
+            maybe[there] = (table[at // 63] >> (at % 63) & 1).all(axis=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(maybe)], [*names, "maybe"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keys.schema.fields)
-    return keys.mapInArrow(run, f"{schema}, maybe boolean")
+    probes = keys.select("*", bloom_positions(F.col(column), capacity, error).alias("bloom positions"))
+    return probes.mapInArrow(run, f"{schema}, maybe boolean")

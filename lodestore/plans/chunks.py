@@ -145,17 +145,34 @@ def _(t: Tables):
 _CAPACITY, _ERROR = 5000, 0.001
 
 
-@query("bloom_build")
+_BITS, _HASHES = D.bloom_shape(_CAPACITY, _ERROR)
+
+
+def _mod(digest: str, pieces: int) -> str:
+    """SQL of a hexadecimal digest modulo the bits of the filter."""
+    return f"list_reduce(list_prepend(0::bigint, list_transform(range({pieces}), lambda i: ('0x' || substr({digest}, 8 * i + 1, 8))::bigint)), lambda a, x: (a * 4294967296 + x) % {_BITS})"
+
+
+def _filter(items: str) -> str:
+    """SQL of the words of the filter of ``items(x)``."""
+    return f"""(select p // 63 as word, bit_or(1::bigint << (p % 63))::bigint as bits from (
+        select unnest(list_transform(range({_HASHES}), lambda i: (a + i * b) % {_BITS})) as p from (select {_mod("sha256(x)", 8)} as a, {_mod("md5(x)", 4)} as b from {items})) group by 1)"""
+
+
+_WORDS = _filter("(select distinct sha256 as x from files)")
+
+
+@query("bloom_build", f"select word, bits from {_WORDS}")
 def _(t: Tables):
     return D.bloom_words(t.files, "sha256", _CAPACITY, _ERROR)
 
 
-@query("agg_bloom_count")
+@query("agg_bloom_count", f"select floor(-{(_BITS + 7) // 8 * 8} * ln(1 - sum(bit_count(bits)) / {(_BITS + 7) // 8 * 8}.0::double) / {_HASHES})::bigint as estimate from {_WORDS}")
 def _(t: Tables):
     return D.bloom_count(D.bloom_words(t.files, "sha256", _CAPACITY, _ERROR), _CAPACITY, _ERROR)
 
 
-@query("set_bloom_or")
+@query("set_bloom_or", f"select word, bits from {_WORDS}")
 def _(t: Tables):
     parts = [D.bloom_words(t.files.where(F.col("file_id") % 2 == k), "sha256", _CAPACITY, _ERROR) for k in (0, 1)]
     return parts[0].unionByName(parts[1]).groupBy("word").agg(F.bit_or("bits").alias("bits"))

@@ -10,12 +10,14 @@ from ..sources import listing as L
 from ..sources.mounted import local_path, write_files
 from ..sources.shared import shared_folder
 from ..streaming import jobs as J
+from ..streaming import stateful as K
+from ..streaming.stores import Conflict, GrowingFilter, StateLog
 from .catalog import Tables
+from .chunks import _CAPACITY as CAPACITY
+from .chunks import _ERROR as ERROR
+from .chunks import _filter
 from .registry import query
 
-_BIN = lambda seconds: f"strftime(to_timestamp(epoch(ts)::bigint // {seconds} * {seconds}) at time zone 'UTC', '%Y-%m-%d %H:%M:%S')"
-
-
 def _folder(t: Tables) -> str:
     return shared_folder(t.spark, "streams")
 
@@ -41,29 +43,52 @@ def _(t: Tables):
     return J.drain(J.first_sightings(_events(t), "user_id").select("user_id"), _folder(t)).agg(F.count(F.lit(1)).alias("users"))
 
 
-@query("str_metric_thresholds")
+#: Where the watermark stands at last, in microseconds: an hour behind the newest event, in whole milliseconds.
+_MARK = "((select max(epoch_us(ts)) from events) // 1000 * 1000 - 3600000000)"
+
+
+@query("str_metric_thresholds", f"""select strftime(to_timestamp(s) at time zone 'UTC', '%Y-%m-%d %H:%M:%S') as start, top, n
+    from (select epoch_us(ts) // 10000000 * 10 as s, max(value) as top, count(*) as n from events group by 1) where top > 50 and (s + 10) * 1000000 <= {_MARK}""")
 def _(t: Tables):
-    return J.drain(J.thresholds(_events(t), 50.0), _folder(t), "complete")
+    return J.drain(J.thresholds(_events(t), 50.0), _folder(t))
 
 
-@query("str_burst")
+@query("str_burst", """select strftime(e.ts, '%Y-%m-%d') as block_id, e.event_id as line_number, count(*) as survivors, count(*) >= 5 as error_burst
+    from events e join events f on f.event_type = 'error' and strftime(e.ts, '%Y-%m-%d') = strftime(f.ts, '%Y-%m-%d')
+        and f.ts > e.ts - interval 3600 second and (f.ts, f.event_id) <= (e.ts, e.event_id) where e.event_type = 'error' group by 1, 2""")
 def _(t: Tables):
-    return J.drain(J.bursts(_events(t), 1), _folder(t), "complete")
+    errors = _events(t).where("event_type = 'error'").select(F.date_format("ts", "yyyy-MM-dd").alias("block_id"), F.col("event_id").alias("line_number"), "time")
+    return J.drain(K.error_bursts(errors, 3600, 5), _folder(t))
 
 
-@query("str_log_blocks", "select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') as start, count(*) as n, count(*) filter (where event_type = 'error') as errors from events group by 1")
+@query("str_log_blocks", f"select strftime(start, '%Y-%m-%d %H:%M:%S') as start, n, errors from (select date_trunc('hour', ts) as start, count(*) as n, count(*) filter (where event_type = 'error') as errors from events group by 1) where epoch_us(start) + 3600000000 <= {_MARK}")
 def _(t: Tables):
-    return J.drain(J.blocks(_events(t)), _folder(t), "complete")
+    return J.drain(J.blocks(_events(t)), _folder(t))
 
 
-@query("str_heartbeat", "select user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') as start, count(*) as n from (select *, sum(fresh) over (partition by user_id order by ts, event_id) as run from (select *, case when ts >= lag(ts) over (partition by user_id order by ts, event_id) + interval 6 hour then 1 else 0 end as fresh from events)) group by user_id, run")
+@query("str_sessions", f"select user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') as start, count(*) as n from (select *, sum(fresh) over (partition by user_id order by ts, event_id) as run from (select *, case when ts >= lag(ts) over (partition by user_id order by ts, event_id) + interval 6 hour then 1 else 0 end as fresh from events)) group by user_id, run having epoch_us(max(ts)) + 21600000000 <= {_MARK}")
 def _(t: Tables):
-    return J.drain(J.sessions(_events(t), "6 hours"), _folder(t), "complete")
+    return J.drain(J.sessions(_events(t), "6 hours"), _folder(t))
 
 
-@query("bloom_sync", "select count(*) as n from events where event_type = 'view'")
+@query("str_heartbeat", f"""select user_id as node, ms as last_ms, ms + 21600000 as dead_ms from (
+    select user_id, epoch_us(ts) // 1000 as ms, lead(epoch_us(ts) // 1000) over (partition by user_id order by ts, event_id) as later from events)
+    where later - ms >= 21600000 or later is null and (ms + 21600000) * 1000 <= {_MARK}""")
 def _(t: Tables):
-    return J.drain(_events(t).where("event_type = 'view'").select("event_id"), _folder(t)).agg(F.count(F.lit(1)).alias("n"))
+    """Nodes that are silent for six hours, found by timers."""
+    beats = _events(t).select(F.col("user_id").alias("node"), "time")
+    return J.drain(K.deaths(beats, "6 hours", "1 hour"), _folder(t))
+
+
+@query("bloom_sync", f"select word, bits from {_filter("(select distinct event_id::varchar as x from events where event_type = 'view')")}")
+def _(t: Tables):
+    """A filter that grows with a stream's batches; a batch that comes again changes nothing."""
+    folder = _folder(t)
+    grown = GrowingFilter(t.spark, f"{folder}/filter", CAPACITY, ERROR)
+    items = _events(t).where("event_type = 'view'").select(F.col("event_id").cast("string").alias("item"))
+    grown.follow(items, "item", f"{folder}/state").awaitTermination()
+    grown.add(t.read("events").select(F.lit("again").alias("item")), "item", 0)
+    return grown.words()
 
 
 def _rewritten(batches):
@@ -114,13 +139,11 @@ def _(t: Tables):
     return t.spark.read.schema(schema).parquet(f"{out}/rows").withColumn("generation", F.col("generation").cast("int"))
 
 
-@query("str_frame_motion", "select user_id, event_id, abs(value - before) > 30 as moved from (select *, lag(value) over (partition by user_id order by event_id) as before from events) where before is not null and abs(value - before) > 30")
+@query("str_frame_motion", "select user_id as key, event_id as at, abs(value - before) as change from (select *, lag(value) over (partition by user_id order by event_id) as before from events) where abs(value - before) > 30")
 def _(t: Tables):
-    from pyspark.sql import Window
-
-    rows = J.drain(_events(t).select("user_id", "event_id", "value"), _folder(t))
-    before = F.lag("value").over(Window.partitionBy("user_id").orderBy("event_id"))
-    return rows.withColumn("moved", F.abs(F.col("value") - before) > 30).where("moved").select("user_id", "event_id", "moved")
+    """Frames that differ from the one before of their camera, by a state that the stream keeps for each."""
+    frames = _events(t).select(F.col("user_id").alias("key"), F.col("event_id").alias("at"), "value")
+    return J.drain(K.frame_motion(frames, 30.0), _folder(t))
 
 
 @query("str_checkpoint", "select count(*) as n from events")
@@ -131,3 +154,22 @@ def _(t: Tables):
         run = _events(t).select("event_id").writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
         run.awaitTermination()
     return t.spark.read.schema("event_id long").parquet(f"{folder}/rows").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("str_state_log", """select task_id as key, case when priority = 3 then 'half' else 'begun' end as state, case when priority = 3 then 2 else 1 end as version
+    from tasks where status = 'running' and not (priority = 3 and retries = 4) and not (priority <> 3 and created % 10 = 6) and priority <> 2""")
+def _(t: Tables):
+    """Two versions of tasks' states; a writer that missed the second is refused, and states that are taken out or expired are gone."""
+    log = StateLog(t.spark, f"{_folder(t)}/log")
+    running = t.tasks.where("status = 'running'")
+    forever = F.lit(None).cast("timestamp")
+    first = running.select(F.col("task_id").alias("key"), F.lit("begun").alias("state"), F.when(F.col("created") % 10 == 6, F.lit("2025-01-01").cast("timestamp")).alias("expires"))
+    log.commit(first, 0)
+    later = running.where("priority in (2, 3)")
+    gone = F.when(F.col("priority") == 3, "half")
+    log.commit(later.select(F.col("task_id").alias("key"), gone.alias("state"), F.when(F.col("retries") == 4, F.lit("2025-01-01").cast("timestamp")).alias("expires")), 1)
+    try:
+        log.commit(running.select(F.col("task_id").alias("key"), F.lit("stale").alias("state"), forever.alias("expires")), 1)
+    except Conflict:
+        pass
+    return log.current("2025-06-30")

@@ -41,26 +41,20 @@ def first_sightings(stream: DataFrame, key: str, delay: str = "60 days") -> Data
     return stream.withWatermark("time", delay).dropDuplicatesWithinWatermark([key])
 
 
-def thresholds(stream: DataFrame, limit: float, window: str = "10 seconds", delay: str = "60 days") -> DataFrame:
-    """Windows whose largest value exceeds the limit."""
+def thresholds(stream: DataFrame, limit: float, window: str = "10 seconds", delay: str = "1 hour") -> DataFrame:
+    """Windows whose largest value exceeds the limit, each when the watermark has passed it; its state goes then."""
     sums = stream.withWatermark("time", delay).groupBy(F.window("time", window)).agg(F.max("value").alias("top"), F.count(F.lit(1)).alias("n"))
     return sums.where(F.col("top") > limit).select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "top", "n")
 
 
-def bursts(stream: DataFrame, errors: int, window: str = "60 seconds", slide: str = "10 seconds", delay: str = "60 days") -> DataFrame:
-    """Sliding windows with at least ``errors`` error events."""
-    sums = stream.where("event_type = 'error'").withWatermark("time", delay).groupBy(F.window("time", window, slide)).agg(F.count(F.lit(1)).alias("n"))
-    return sums.where(F.col("n") >= errors).select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
-
-
-def blocks(stream: DataFrame, window: str = "1 hour", delay: str = "60 days") -> DataFrame:
-    """Counts of events and errors of tumbling windows."""
+def blocks(stream: DataFrame, window: str = "1 hour", delay: str = "1 hour") -> DataFrame:
+    """Counts of events and errors of tumbling windows, each when the watermark has passed it."""
     sums = stream.withWatermark("time", delay).groupBy(F.window("time", window)).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("event_type") == "error").alias("errors"))
     return sums.select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n", "errors")
 
 
-def sessions(stream: DataFrame, gap: str, delay: str = "60 days") -> DataFrame:
-    """Runs of a user's events with no gap longer than ``gap``: a node is dead between them."""
+def sessions(stream: DataFrame, gap: str, delay: str = "1 hour") -> DataFrame:
+    """Runs of a user's events with no gap longer than ``gap``, each when the watermark has passed it."""
     runs = stream.withWatermark("time", delay).groupBy("user_id", F.session_window("time", gap)).agg(F.count(F.lit(1)).alias("n"))
     return runs.select("user_id", F.date_format("session_window.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
 
