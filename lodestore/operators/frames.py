@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -120,10 +125,149 @@ def ema(frames: DataFrame, keep: float = 0.95, value: str = "level") -> DataFram
     gain = F.when(first == 1, F.lit(1.0)).otherwise(F.lit(1 - keep))
     rows = rows.withColumn("part", F.sum(gain * F.col(value) * weight).over(w) * F.pow(F.lit(keep), F.col("i").cast("double")))
     ends = rows.groupBy("camera", "block").agg(F.max_by("part", "i").alias("end"), F.max("i").alias("last"))
-    # what a block inherits: folded over the ends of the blocks before, one small array a camera
-    chain = ends.groupBy("camera").agg(F.array_sort(F.collect_list(F.struct("block", "end", "last"))).alias("ends"))
-    carried = F.aggregate(
-        F.filter("ends", lambda e: e["block"] < F.col("block")), F.lit(0.0), lambda s, e: e["end"] + s * F.pow(F.lit(keep), (e["last"] + 1).cast("double"))
-    )
-    rows = rows.join(chain, "camera")
-    return rows.withColumn("background", F.col("part") + carried * F.pow(F.lit(keep), (F.col("i") + 1).cast("double"))).drop("ends", "part", "block", "i")
+    # what a block inherits; of blocks further back less than a double can tell is left
+    reach = max(1, math.ceil(-math.log(1e-20) / (-256 * math.log(keep)))) if 0 < keep < 1 else 1
+    chain = F.collect_list(F.struct("end", "last")).over(Window.partitionBy("camera").orderBy("block").rowsBetween(-reach, -1))
+    carried = F.aggregate(chain, F.lit(0.0), lambda s, e: e["end"] + s * F.pow(F.lit(keep), (e["last"] + 1).cast("double")))
+    rows = rows.join(ends.select("camera", "block", carried.alias("carried")), ["camera", "block"])
+    return rows.withColumn("background", F.col("part") + F.col("carried") * F.pow(F.lit(keep), (F.col("i") + 1).cast("double"))).drop("carried", "part", "block", "i")
+
+
+def _linked(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of ``n`` nodes the smallest one that the links (a, b) join it to."""
+    low = np.arange(n)
+    while True:
+        least = np.minimum(low[a], low[b])
+        new = low.copy()
+        for at in (a, b, low[a], low[b]):
+            np.minimum.at(new, at, least)
+        new = new[new]
+        if (new == low).all():
+            return low
+        low = new
+
+
+def mask_regions(masks: np.ndarray) -> dict[str, np.ndarray]:
+    """Connected regions (by sides and corners) of ``masks`` (n, height, width): image, x, y, width, height, area.
+
+    Rows are cut into runs; runs that touch one in the next row are found by two
+    searches in the sorted list of all runs, and joined.
+    """
+    n, height, width = masks.shape
+    padded = np.zeros((n * height, width + 2), np.int8)
+    padded[:, 1:-1] = masks.reshape(n * height, width)
+    step = np.diff(padded, axis=1)
+    row, start = np.nonzero(step == 1)
+    _, end = np.nonzero(step == -1)
+    end -= 1
+    wide = width + 4
+    first, last = row * wide + start + 2, row * wide + end + 2
+    # the row below, unless it is another image's
+    below = (row + 1) * wide + 2
+    lo, hi = np.searchsorted(last, below + start - 1, "left"), np.searchsorted(first, below + end + 1, "right")
+    hi = np.where((row + 1) % height == 0, lo, hi)
+    size = np.maximum(hi - lo, 0)
+    a = np.repeat(np.arange(len(row)), size)
+    b = np.repeat(lo - np.cumsum(size) + size, size) + np.arange(size.sum())
+    low = _linked(len(row), a, b)
+    _, back = np.unique(low, return_inverse=True)
+    count = int(back.max()) + 1 if len(back) else 0
+
+    def least(values: np.ndarray) -> np.ndarray:
+        out = np.full(count, np.iinfo(np.int64).max)
+        np.minimum.at(out, back, values)
+        return out
+
+    x, y = least(start), least(row % height)
+    return {"image": least(row // height), "x": x, "y": y, "width": -least(-end) - x + 1, "height": -least(-(row % height)) - y + 1, "area": np.bincount(back, end - start + 1, count).astype(np.int64)}
+
+
+_REGION = "rank int, x long, y long, width long, height long, area long, center_x long, center_y long"
+
+
+def regions(masks: DataFrame, height: int, width: int, top: int = 10, least: int = 1) -> DataFrame:
+    """The ``top`` largest connected regions of each mask of ``masks(camera, frame, mask)``, an array of height times width booleans by rows.
+
+    Returns camera, frame, rank, the box (x, y, width, height), area and the box's centre.
+    Ties go to the upper, then to the left one; regions under ``least`` values are left out.
+    """
+    kinds = ", ".join(f"{c} {masks.schema[c].dataType.simpleString()}" for c in ("camera", "frame"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            found = mask_regions(batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(bool).reshape(-1, height, width))
+            order = np.lexsort((found["x"], found["y"], -found["area"], found["image"]))
+            order = order[found["area"][order] >= least]
+            image = found["image"][order]
+            rank = np.arange(len(order)) - np.searchsorted(image, image) + 1
+            order, rank = order[rank <= top], rank[rank <= top]
+            box = [found[c][order] for c in ("x", "y", "width", "height", "area")]
+            centre = [box[0] + box[2] // 2, box[1] + box[3] // 2]
+            at = pa.array(found["image"][order])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(rank, pa.int32()), *(pa.array(c, pa.int64()) for c in box + centre)], ["camera", "frame", *[c.split()[0] for c in _REGION.split(", ")]])
+
+    return masks.select("camera", "frame", "mask").mapInArrow(run, f"{kinds}, {_REGION}")
+
+
+# Fixed values of the background model: components of a value, how fast it learns, what counts as near, the share that is background, first and least variance.
+COMPONENTS, RATE, NEAR, SHARE, FIRST_VARIANCE, LEAST_VARIANCE = 3, 0.05, 2.5, 0.7, 900.0, 4.0
+
+
+class Mixture:
+    """A Gaussian mixture for each of ``n`` values, that learns frame by frame."""
+
+    def __init__(self, n: int):
+        self.weight = np.zeros((COMPONENTS, n))
+        self.mean = np.zeros((COMPONENTS, n))
+        self.variance = np.full((COMPONENTS, n), FIRST_VARIANCE)
+
+    def foreground(self, frame: np.ndarray) -> np.ndarray:
+        """Which values are no background; the model then learns the frame. All of the first frame are."""
+        every = np.arange(len(frame))
+        apart = (frame - self.mean) ** 2
+        fits = (self.weight > 0) & (apart <= NEAR**2 * self.variance)
+        # the components in order of weight by deviation; the first that make up the share are background
+        order = np.argsort(-self.weight / np.sqrt(self.variance), axis=0, kind="stable")
+        sorted_ = np.take_along_axis(self.weight, order, axis=0)
+        is_back = np.empty_like(fits)
+        np.put_along_axis(is_back, order, np.cumsum(sorted_, axis=0) - sorted_ < SHARE, axis=0)
+        hit = np.take_along_axis(fits, order, axis=0)
+        found = hit.any(axis=0)
+        own = order[hit.argmax(axis=0), every]
+        out = ~(found & is_back[own, every])
+        # a value that fits none begins a component in place of the lightest
+        own = np.where(found, own, self.weight.argmin(axis=0))
+        self.weight *= 1 - RATE
+        self.weight[own, every] += RATE
+        fresh = every[~found]
+        self.mean[own[fresh], fresh], self.variance[own[fresh], fresh] = frame[fresh], FIRST_VARIANCE
+        old = every[found]
+        difference = frame[old] - self.mean[own[old], old]
+        self.mean[own[old], old] += RATE * difference
+        self.variance[own[old], old] = np.maximum(LEAST_VARIANCE, self.variance[own[old], old] + RATE * (difference**2 - self.variance[own[old], old]))
+        self.weight /= self.weight.sum(axis=0)
+        return out
+
+
+def background_model(frames: DataFrame) -> DataFrame:
+    """Foreground of each frame of ``frames(camera, frame, vec)`` under its camera's :class:`Mixture`: camera, frame, foreground (values that are no background) and mask.
+
+    A camera's frames pass one task in order, a batch at a time; the mixture is carried
+    from batch to batch, so what is held is one model and one batch.
+    """
+    kinds = ", ".join(f"{c} {frames.schema[c].dataType.simpleString()}" for c in ("camera", "frame"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        camera, model = None, None
+        for batch in batches:
+            masks = []
+            for c, vec in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if model is None or c != camera:
+                    camera, model = c, Mixture(len(vec))
+                masks.append(model.foreground(np.array(vec, float)).tolist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([sum(m) for m in masks], pa.int64()), pa.array(masks, pa.list_(pa.bool_()))], ["camera", "frame", "foreground", "mask"])
+
+    ordered = frames.select("camera", "frame", "vec").repartition("camera").sortWithinPartitions("camera", "frame")
+    return ordered.mapInArrow(run, f"{kinds}, foreground long, mask array<boolean>")

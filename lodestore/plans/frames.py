@@ -36,7 +36,7 @@ def _(t: Tables):
     return rows.select("camera", "frame", F.size(F.filter(V.abs_diff(F.col("vec"), F.col("before")), lambda x: x > 25)).cast("long").alias("masked"))
 
 
-@query("vid_bg_model", f"select camera, round(avg(moved), 9) as motion_ratio from (select camera, {_SHARE(_DIFF('vec', 'before'), 100)} as moved from (select *, lag(vec) over (partition by camera order by frame) as before from frames) where before is not null) group by 1")
+@query("vid_motion_ratio", f"select camera, round(avg(moved), 9) as motion_ratio from (select camera, {_SHARE(_DIFF('vec', 'before'), 100)} as moved from (select *, lag(vec) over (partition by camera order by frame) as before from frames) where before is not null) group by 1")
 def _(t: Tables):
     return V.frame_diff(t.frames, 100).where("frame > 0").groupBy("camera").agg(F.round(F.avg("moved"), 9).alias("motion_ratio"))
 
@@ -169,10 +169,26 @@ def _(t: Tables):
     return t.frames.select("camera", "frame", F.round(F.avg("level").over(V.by_camera().rowsBetween(-29, 0)), 6).alias("quality"))
 
 
-@query("topk_clusters", "select camera, frame, level from (select *, row_number() over (partition by camera order by level desc, frame) as rn from frames) where rn <= 10")
+_MASKED = f"(select camera, frame, unnest(range(64)) as i, unnest(list_transform({_DIFF('vec', 'before')}, lambda x: x > 200)) as on_ from (select *, lag(vec) over (partition by camera order by frame) as before from frames) where before is not null)"
+
+
+@query("topk_clusters", f"""with recursive pixels as (select camera, frame, i, i % 8 as x, i // 8 as y from {_MASKED} where on_),
+    reach(camera, frame, i, low, x, y) as (select camera, frame, i, i, x, y from pixels
+        union select p.camera, p.frame, p.i, r.low, p.x, p.y from reach r join pixels p on p.camera = r.camera and p.frame = r.frame and abs(p.x - r.x) <= 1 and abs(p.y - r.y) <= 1),
+    owner as (select camera, frame, i, x, y, min(low) as low from reach group by all),
+    boxes as (select camera, frame, min(x) as x, min(y) as y, max(x) - min(x) + 1 as width, max(y) - min(y) + 1 as height, count(*) as area from owner group by camera, frame, low)
+    select * from (select camera, frame, row_number() over (partition by camera, frame order by area desc, y, x)::int as rank, x, y, width, height, area, x + width // 2 as center_x, y + height // 2 as center_y from boxes) where rank <= 10""")
+def _(t: Tables):
+    """The ten largest connected regions of each frame's motion mask."""
+    rows = t.frames.withColumn("before", F.lag("vec").over(V.by_camera())).where("before is not null")
+    masks = rows.select("camera", "frame", F.transform(V.abs_diff(F.col("vec"), F.col("before")), lambda x: x > 200).alias("mask"))
+    return V.regions(masks, 8, 8)
+
+
+@query("vid_bg_model")
 def _(t: Tables):
-    rn = F.row_number().over(Window.partitionBy("camera").orderBy(F.col("level").desc(), "frame"))
-    return t.frames.withColumn("rn", rn).where("rn <= 10").select("camera", "frame", "level")
+    """Values of each frame that are no background under a mixture that learns frame by frame."""
+    return V.background_model(t.frames).select("camera", "frame", "foreground")
 
 
 @query("vid_indoor_rules", "select * from (values (8, 22, 'medium', 'business_hours'), (22, 24, 'high', 'night'), (0, 8, 'high', 'night')) t(start_hour, end_hour, priority, reason)")

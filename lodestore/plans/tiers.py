@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from ..operators import lifecycle as Y
 from ..operators import tiering as T
 from .catalog import Tables
 from .registry import query
@@ -223,10 +224,24 @@ def _(t: Tables):
     return t.fingerprints.where("refcount = 0").select(F.concat(F.lit("del-"), F.substring("fp", 1, 16)).alias("request_id"))
 
 
-@query("delete_workflow", "select fp, case when refcount = 0 and part % 2 = 0 then 'authorized' when refcount = 0 then 'requested' else 'refused' end as state from fingerprints")
+_REFS = "(select l_partkey as key, l_shipdate::date as day, 1 as delta from lineitem union all select l_partkey, l_shipdate::date + 20 * l_linenumber, -1 from lineitem)"
+_REQUESTS = "(select l_orderkey * 10 + l_linenumber as request_id, l_partkey as key, l_shipdate::date + 30 * l_linenumber as requested, case when l_linenumber <> 3 then l_shipdate::date + 30 * l_linenumber + 14 end as decided from lineitem where l_linenumber <= 3)"
+_COUNTS = f"(select key, day, sum(sum(delta)) over (partition by key order by day) as n from {_REFS} group by key, day)"
+
+
+@query("delete_workflow", f"""select request_id, refs_requested, refs_decided, case when state = 'restored' then later end as restored, state from (
+    select *, case when refs_requested > 0 then 'refused' when decided is null then 'pending' when refs_decided > 0 then 'rejected' when later <= decided + 30 then 'restored' else 'authorized' end as state from (
+        select r.*, coalesce(a.n, 0)::bigint as refs_requested, case when decided is not null then coalesce(b.n, 0)::bigint end as refs_decided, c.day as later from {_REQUESTS} r
+        asof left join {_COUNTS} a on r.key = a.key and r.requested >= a.day
+        asof left join {_COUNTS} b on r.key = b.key and r.decided >= b.day
+        asof left join (select distinct key, day from {_REFS} where delta > 0) c on r.key = c.key and r.decided < c.day))""")
 def _(t: Tables):
-    state = S.first_of([((F.col("refcount") == 0) & (F.col("part") % 2 == 0), "authorized"), (F.col("refcount") == 0, "requested")], "refused")
-    return t.fingerprints.select("fp", state.alias("state"))
+    """References come and go with shipments; what became of requests to delete, as of their days."""
+    number, shipped = F.col("l_linenumber"), F.to_date("l_shipdate")
+    lines = t.read("lineitem").select(F.col("l_partkey").alias("key"), "l_orderkey", "l_linenumber", shipped.alias("day"), F.date_add(shipped, 20 * number).alias("back"), F.date_add(shipped, 30 * number).alias("requested"))
+    changes = lines.select("key", "day", F.lit(1).alias("delta")).unionByName(lines.select("key", F.col("back").alias("day"), F.lit(-1).alias("delta")))
+    requests = lines.where(number <= 3).select((F.col("l_orderkey") * 10 + number).alias("request_id"), "key", "requested", F.when(number != 3, F.date_add("requested", 14)).alias("decided"))
+    return Y.delete_states(requests, changes).select("request_id", "refs_requested", "refs_decided", "restored", "state")
 
 
 @query("join_fp_lookup", "select q.key, f.fp is not null as found, coalesce(f.refcount, 0) as refcount from (select item_id as key, sha256((item_id * 7)::varchar) as fp from benchmark) q left join fingerprints f on q.fp = f.fp")
