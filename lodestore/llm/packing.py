@@ -51,33 +51,42 @@ def encoders(vocabulary: str):
     slow = Tokenizer.from_file(public.path(f"{vocabulary}.json"))
     with open(public.path(f"{vocabulary}.tiktoken"), "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    fast = tiktoken.Encoding("ranks", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return slow, fast, tuple(t.content for t in slow.get_added_tokens_decoder().values())
+    made = lambda pattern: tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    fast, plain = made(public.PATTERN), made(public.PATTERN.replace(r"|\s+(?!\S)", ""))
+    return slow, fast, plain, tuple(t.content for t in slow.get_added_tokens_decoder().values())
 
 
-def _long_run(text: str) -> bool:
-    space = np.concatenate([[True], kernel.SPACE[np.frombuffer(text.encode("latin-1"), np.uint8)], [True]])
+#: White space of any kind among the Latin-1 characters.
+_WIDE = np.zeros(256, bool)
+_WIDE[[*range(9, 14), *range(28, 33), 0x85, 0xA0]] = True
+
+
+def _long_run(data: np.ndarray) -> bool:
+    space = np.concatenate([[True], kernel.SPACE[data], [True]])
     edge = np.flatnonzero(space[1:] != space[:-1])
-    return len(edge) < 2 or bool(np.diff(np.concatenate([[0], edge, [len(text)]])).max() >= LONG_RUN)
+    return len(edge) < 2 or bool(np.diff(np.concatenate([[0], edge, [len(data)]])).max() >= LONG_RUN)
 
 
 def encode(text: str, vocabulary: str = VOCABULARY) -> np.ndarray:
     """Ids as the tokenizer's own library gives them.
 
-    The same merges run about three times as fast from the rank file; that way is
-    taken for Latin-1 texts without giant words or added tokens (such as an
-    end-of-text mark, which the library gives its own id wherever it stands).
+    The same merges run faster from the rank file; that way is taken for Latin-1 texts
+    without giant words or added tokens (such as an end-of-text mark, which the
+    library gives its own id wherever it stands).  The pattern that cuts a text into words
+    looks ahead only for runs of white space; a text without two such characters side by
+    side is cut alike by the pattern without that, at twice the speed.
     """
-    slow, fast, added = encoders(vocabulary)
+    slow, fast, plain, added = encoders(vocabulary)
     if any(mark in text for mark in added):
         return np.array(slow.encode(text, add_special_tokens=False).ids, np.uint32)
     try:
-        text.encode("latin-1")
+        data = np.frombuffer(text.encode("latin-1"), np.uint8)
     except UnicodeEncodeError:
         pass
     else:
-        if len(text) < LONG_RUN or not _long_run(text):
-            return fast.encode_to_numpy(text, disallowed_special=())
+        if len(text) < LONG_RUN or not _long_run(data):
+            space = _WIDE[data]
+            return (fast if (space[1:] & space[:-1]).any() else plain).encode_to_numpy(text, disallowed_special=())
     return np.array(slow.encode(text, add_special_tokens=False).ids, np.uint32)
 
 

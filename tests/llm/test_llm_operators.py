@@ -278,6 +278,62 @@ def test_fast_encoding_equals_the_tokenizer(text):
     assert packing.encode(text).tolist() == plain_ids(text)
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet="ab1'.s é\xa0\x85\x1c\t\n", max_size=40) | st.lists(st.sampled_from(["can't", "12", "été", "a", "...", "x'll", "ÿ9"]), max_size=12).flatmap(lambda w: st.sampled_from([" ", "\n", "\xa0"]).map(lambda c: c.join(w) + c)))
+def test_cutting_without_looking_ahead_gives_the_same_ids(text):
+    assert packing.encode(text).tolist() == plain_ids(text)
+
+
+def plain_pack(texts, idf, mean, window):
+    """The windows of one shard by the rule written out, for at most 256 texts."""
+    bags, left = [Counter(t.tolist()) for t in texts], {}
+    pieces, sequence = [], 0
+    for i, t in enumerate(texts):
+        for k in range(len(t) // window):
+            pieces.append((i, k * window, window, sequence, 0))
+            sequence += 1
+        if len(t) % window:
+            left[i] = (len(t) // window * window, len(t) % window)
+
+    def score(seed, i):
+        n = len(texts[i])
+        return sum(idf[w] * bags[i][w] * 2.2 / (bags[i][w] + 1.2 * (0.25 + 0.75 * n / mean)) for w in bags[seed] if w in bags[i])
+
+    seed = None
+    while left:
+        seed = seed if seed in left else min(left)
+        at = 0
+
+        def put(i, n):
+            nonlocal at
+            start, have = left.pop(i)
+            pieces.append((i, start, n, sequence, at))
+            at += n
+            if n < have:
+                left[i] = (start + n, have - n)
+
+        put(seed, left[seed][1])
+        order = sorted(left, key=lambda i: (-score(seed, i), i)) if at < window else []
+        for i in order:
+            if left[i][1] <= window - at:
+                put(i, left[i][1])
+        over = next((i for i in order if i in left), None)
+        if over is not None and at < window:
+            put(over, window - at)
+            seed = over
+        sequence += 1
+    return pieces
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_windows_are_filled_as_by_the_rule(seed):
+    rng = np.random.default_rng(seed)
+    texts = [rng.zipf(1.3, int(rng.integers(1, 90))).clip(max=3000).astype(np.uint16) for _ in range(int(rng.integers(1, 250)))]
+    texts.append(rng.integers(0, 500, 700).astype(np.uint16))
+    idf = rng.random(1 << 16) + 0.1
+    assert packing.pack_shard(texts, idf, 40.0, 200) == plain_pack(texts, idf, 40.0, 200)
+
+
 @pytest.mark.parametrize("text", ["a <|endoftext|> b", "<|endoftext|>", "é<|endoftext|><|endoftext|>x", "— <|endoftext|> ", "<|endoftext |>", "x" * 30_000 + "<|endoftext|>"])
 def test_added_tokens_keep_their_ids(text):
     assert packing.encode(text).tolist() == plain_ids(text)
