@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import bz2
 import gzip
+import io
 import lzma
+import tarfile
+import zipfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -71,6 +74,115 @@ def codec_sizes(files: DataFrame) -> DataFrame:
     return files.select("file_id", "text").mapInArrow(run, f"file_id {id_type}, codec string, bytes long")
 
 
+# Codec of each tier, and levels.
+TIER_CODECS = {"hot": "none", "warm": "zstd", "cold": "xz9"}
+
+
+def _tier_codecs() -> dict[str, tuple[Callable[[bytes], bytes], Callable[[bytes], bytes]]]:
+    import zstandard
+
+    return {
+        "none": (bytes, bytes),
+        "zstd": (zstandard.ZstdCompressor(level=6).compress, zstandard.ZstdDecompressor().decompress),
+        "xz9": (lambda b: lzma.compress(b, preset=9), lzma.decompress),
+    }
+
+
+def tier_blobs(files: DataFrame) -> DataFrame:
+    """``files(fp, tier, content)`` as a tier's backend keeps them: fp, tier, codec, checksum of the content, data. A tier without a codec keeps contents as they are."""
+    codec = F.coalesce(*[F.when(F.col("tier") == t, c) for t, c in TIER_CODECS.items()], F.lit("none"))
+    rows = files.select("fp", "tier", codec.alias("codec"), F.sha2("content", 256).alias("checksum"), "content")
+    return _by_codec(rows, "content", "data", 0).drop("content")
+
+
+def tier_contents(blobs: DataFrame) -> DataFrame:
+    """fp and content of what :func:`tier_blobs` made; null where the checksum is not the content's."""
+    rows = _by_codec(blobs, "data", "content", 1)
+    return rows.select("fp", F.when(F.sha2("content", 256) == F.col("checksum"), F.col("content")).alias("content"))
+
+
+def _by_codec(rows: DataFrame, old: str, new: str, way: int) -> DataFrame:
+    names = rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codecs = _tier_codecs()
+        for batch in batches:
+            made = [None if x.as_py() is None else codecs[c][way](x.as_py()) for c, x in zip(batch.column(names.index("codec")).to_pylist(), batch.column(names.index(old)), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.binary())], [*names, new])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.mapInArrow(run, f"{schema}, {new} binary")
+
+
+#: Bytes of contents in one container of an export.
+EXPORT_BYTES = 32 << 20
+
+
+def _container(form: str, files: list[tuple[str, bytes]]) -> bytes:
+    out = io.BytesIO()
+    if form == "zip":
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as box:
+            for path, content in files:
+                box.writestr(zipfile.ZipInfo(path), content)
+    else:
+        with tarfile.open(fileobj=out, mode="w:gz" if form == "tar.gz" else "w") as box:
+            for path, content in files:
+                info = tarfile.TarInfo(path)
+                info.size = len(content)
+                box.addfile(info, io.BytesIO(content))
+    return out.getvalue()
+
+
+def exported(files: DataFrame, form: str, part_bytes: int = EXPORT_BYTES) -> DataFrame:
+    """``files(path, content)`` in containers of a form (tar, tar.gz, zip), or as they are (raw): name, data.
+
+    A container holds files up to ``part_bytes`` and is made where they are; its name is
+    that of its first file. Null contents count as empty.
+    """
+    if form not in ("tar", "tar.gz", "zip", "raw"):
+        raise ValueError(f"unknown form {form}")
+    if form == "raw":
+        return files.select(F.col("path").alias("name"), F.coalesce("content", F.lit(b"")).alias("data"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def packed() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([f"{held[0][0]}.{form}"]), pa.array([_container(form, held)], pa.binary())], ["name", "data"])
+
+        held: list[tuple[str, bytes]] = []
+        size = 0
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                held.append((path, content.as_py() or b""))
+                size += len(held[-1][1])
+                if size >= part_bytes:
+                    yield packed()
+                    held, size = [], 0
+        if held:
+            yield packed()
+
+    return files.select("path", "content").mapInArrow(run, "name string, data binary")
+
+
+def imported(containers: DataFrame, form: str) -> DataFrame:
+    """path and content of the files in ``containers(name, data)``."""
+    if form == "raw":
+        return containers.select(F.col("name").alias("path"), F.col("data").alias("content"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column(1):
+                raw = io.BytesIO(data.as_py())
+                if form == "zip":
+                    with zipfile.ZipFile(raw) as box:
+                        found = [(n, box.read(n)) for n in box.namelist()]
+                else:
+                    with tarfile.open(fileobj=raw) as box:
+                        found = [(m.name, box.extractfile(m).read()) for m in box]
+                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found]), pa.array([c for _, c in found], pa.binary())], ["path", "content"])
+
+    return containers.select("name", "data").mapInArrow(run, "path string, content binary")
+
+
 def best_codec(sizes: DataFrame) -> DataFrame:
     """The codec with the fewest bytes for each file; at a tie the first by name."""
     best = F.min(F.struct("bytes", "codec"))

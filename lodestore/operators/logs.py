@@ -80,14 +80,18 @@ def http_status(line: Column) -> Column:
     return F.nullif(F.regexp_extract(line, STATUS, 1), F.lit("")).cast("int")
 
 
-def parse_lines(lines: DataFrame) -> DataFrame:
-    """Parse ``lines(block_id, line_number, raw_line)``; all fields in one projection."""
+def parse_lines(lines: DataFrame, as_of: str | None = None) -> DataFrame:
+    """Parse ``lines(block_id, line_number, raw_line)``; all fields in one projection.
+
+    ``ts`` is the line's time in whole seconds as :func:`log_timestamp` finds it, whatever
+    its form; a line without one has ``as_of``.
+    """
     raw = F.trim("raw_line")
-    stamp = F.regexp_extract(raw, r"\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}", 0)
+    stamp = log_timestamp(raw, F.lit(as_of).cast("timestamp_ntz"))
     return lines.select(
         "block_id",
         "line_number",
-        F.replace(stamp, F.lit("T"), F.lit(" ")).alias("ts"),
+        F.date_format(stamp, "yyyy-MM-dd HH:mm:ss").alias("ts"),
         log_level(raw).alias("level"),
         *[keyword(raw, f).alias(f) for f in KEYWORDS],
         http_method(raw).alias("http_method"),

@@ -26,11 +26,40 @@ def _(t: Tables):
     return R.best_codec(R.codec_sizes(t.files))
 
 
-@query("sink_tier_backend")
+@query("agg_codec_sizes")
 def _(t: Tables):
     return R.codec_sizes(t.files)
 
 
+_TIER = "['hot', 'warm', 'cold'][file_id % 3 + 1]"
+
+
+@query("sink_tier_backend", f"select sha256 as fp, {_TIER} as tier, case {_TIER} when 'hot' then 'none' when 'warm' then 'zstd' else 'xz9' end as codec, file_id, true as restored from files")
+def _(t: Tables):
+    """Contents kept by their tier's codec, written, read back and held against their checksums."""
+    tier = F.element_at(F.array(F.lit("hot"), F.lit("warm"), F.lit("cold")), (F.col("file_id") % 3 + 1).cast("int"))
+    files = t.files.select(F.concat_ws(":", F.col("file_id").cast("string"), "sha256").alias("fp"), tier.alias("tier"), F.col("text").cast("binary").alias("content"))
+    path = shared_folder(t.spark, "tiers")
+    R.tier_blobs(files).write.partitionBy("tier").parquet(path)
+    blobs = t.spark.read.schema("fp string, codec string, checksum string, data binary, tier string").parquet(path)
+    found = blobs.select("fp", "tier", "codec").join(R.tier_contents(blobs), "fp")
+    sha = F.element_at(F.split("fp", ":"), 2)
+    return found.select(sha.alias("fp"), "tier", "codec", F.element_at(F.split("fp", ":"), 1).cast("long").alias("file_id"), (F.sha2("content", 256) == sha).alias("restored"))
+
+
+@query("sink_restore_export", "select form, substr(path, 2) as path, sha256 from files, (values ('tar'), ('tar.gz'), ('zip'), ('raw')) f(form)")
+def _(t: Tables):
+    """All files exported in every form, written, and read out of their containers again."""
+    files = _listed(t).select("path", "content")
+    out = None
+    for form in ("tar", "tar.gz", "zip", "raw"):
+        path = shared_folder(t.spark, "export")
+        R.exported(files, form, 1 << 20).write.parquet(path)
+        rows = R.imported(t.spark.read.schema("name string, data binary").parquet(path), form).select(F.lit(form).alias("form"), "path", F.sha2("content", 256).alias("sha256"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def _listed(t: Tables):
     """Files as a bundle takes them; its paths are relative."""
     return t.files.select(F.substring("path", 2, 1 << 20).alias("path"), "size", "sha256", F.col("text").cast("binary").alias("content"))
@@ -84,6 +113,7 @@ def _(t: Tables):
     return B.restore(t.spark, path, chosen).select("path", F.sha2("content", 256).alias("sha256"))
 
 
+_PIECES = "(select file_id, o // 512 as chunk_index, least(512, size - o) as size, sha256(unhex(substr(h, 2 * o + 1, 1024))) as fp from (select file_id, hex(encode(text)) as h, size, unnest(range(0, size, 512)) as o from files))"
 _BLOBS = "(select sha256, max(size) + case when min(file_id) % 31 = 0 then 1 else 0 end as size from files where size > 0 and file_id % 23 <> 0 group by 1 union all select 'extra', 5)"
 _MANIFEST = "(select path, size, sha256 from files union all select path, size, sha256 from files where file_id % 101 = 0 union all select dir as path, 0 as size, '' as sha256 from files where file_id % 211 = 0)"
 
@@ -135,7 +165,6 @@ def _(t: Tables):
     return _chunks(t).groupBy("file_id").agg(F.size(ordered).cast("long").alias("n"))
 
 
-_PIECES = "(select file_id, o // 512 as chunk_index, least(512, size - o) as size, sha256(unhex(substr(h, 2 * o + 1, 1024))) as fp from (select file_id, hex(encode(text)) as h, size, unnest(range(0, size, 512)) as o from files))"
 
 
 @query("join_manifest_verify_cdc", f"select file_id, chunk_index, p.fp from {_PIECES} p left join (select distinct fp from {_PIECES} where file_id % 7 <> 0) b on p.fp = b.fp where b.fp is null")
@@ -156,9 +185,17 @@ def _(t: Tables):
     return t.files.join(now, "path").where("size <> size_now").select("path")
 
 
-@query("arc_restore_status", "select storage_id, case when sum((file_id % 7 = 0)::int) = 0 then 'COMPLETED' when sum((file_id % 7 = 0)::int) < count(*) then 'PARTIAL' else 'FAILED' end as status from files group by 1")
+_LOST = f"(select distinct file_id from {_PIECES} p where fp not in (select fp from {_PIECES} where file_id % 7 <> 0))"
+
+
+@query("arc_restore_status", f"select storage_id, case when sum((l.file_id is not null)::int) = 0 then 'COMPLETED' when sum((l.file_id is not null)::int) < count(*) then 'PARTIAL' else 'FAILED' end as status, sum((l.file_id is not null)::int)::bigint as failed from files f left join {_LOST} l on f.file_id = l.file_id where size > 0 group by 1")
 def _(t: Tables):
-    return t.files.groupBy("storage_id").agg(R.restore_status(F.count_if(F.col("file_id") % 7 == 0), F.count(F.lit(1))).alias("status"))
+    """Files are put together from a store that has lost the blocks which only some files held."""
+    there = C.fixed_blocks(t.files.where("file_id % 7 <> 0"), 512, 0, content=True).groupBy("fp").agg(F.min("content").alias("content"))
+    made = R.restored(_chunks(t).select("file_id", "chunk_index", "fp"), there).select("file_id", F.sha2("content", 256).alias("now"))
+    rows = t.files.where("size > 0").join(made, "file_id", "left")
+    failed = F.count_if(F.col("now").isNull() | (F.col("now") != F.col("sha256")))
+    return rows.groupBy("storage_id").agg(R.restore_status(failed, F.count(F.lit(1))).alias("status"), failed.alias("failed"))
 
 
 @query("arc_vault_catalog", "select path, size, sha256 = sha256(text) as verified from files")
@@ -166,15 +203,23 @@ def _(t: Tables):
     return t.files.select("path", "size", (F.col("sha256") == F.sha2("text", 256)).alias("verified"))
 
 
-@query("agg_verification", "select count(*) filter (where file_id % 29 <> 0) as passed, count(*) filter (where file_id % 29 = 0) as failed, round(count(*) filter (where file_id % 29 <> 0) * 100.0::double / count(*), 6) as rate from files")
+_NOW = "sha256(case when file_id % 29 = 0 then text || '!' else text end)"
+
+
+@query("agg_verification", f"select count(*) filter (where sha256 = {_NOW}) as passed, count(*) filter (where sha256 <> {_NOW}) as failed, round(count(*) filter (where sha256 = {_NOW}) * 100.0::double / count(*), 6) as rate from files")
 def _(t: Tables):
-    bad = F.col("file_id") % 29 == 0
-    return t.files.agg(F.count_if(~bad).alias("passed"), F.count_if(bad).alias("failed"), F.round(F.count_if(~bad) * 100.0 / F.count(F.lit(1)), 6).alias("rate"))
+    """Contents, of which some have changed, are hashed again and held against what was listed."""
+    now = t.files.select("sha256", F.when(F.col("file_id") % 29 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")).alias("content"))
+    good = F.col("sha256") == F.sha2("content", 256)
+    return now.agg(F.count_if(good).alias("passed"), F.count_if(~good).alias("failed"), F.round(F.count_if(good) * 100.0 / F.count(F.lit(1)), 6).alias("rate"))
 
 
-@query("sink_archive_manager", "select path, size, sha256 from files")
+@query("sink_archive_manager", "select substr(path, 2) as path, size, sha256, (select count(*) from files g where g.sha256 = f.sha256) as copies from files f")
 def _(t: Tables):
-    return R.bundle(t.files)[0]
+    """The manifest of an archive that keeps each content once."""
+    _, path = _bundled(t)
+    rows = t.spark.read.schema("path string, size long, sha256 string").parquet(f"{path}/manifest/files")
+    return rows.join(rows.groupBy("sha256").agg(F.count(F.lit(1)).alias("copies")), "sha256").select("path", "size", "sha256", "copies")
 
 
 @query("arc_fetch_parallel", f"select count(distinct fp) as n from {_PIECES}")

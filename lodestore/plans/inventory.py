@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from ..operators import inventory as I
 from ..sources import listing as L
 from ..sources import mounted as M
 from ..sources.files import Registry, default_registry, hashed, scan
-from ..sources.shared import shared_folder
+from ..sources.shared import Store, shared_folder
 from .catalog import AS_OF, Tables
 from .registry import query
 
@@ -426,11 +428,15 @@ def _(t: Tables):
     return t.files.select(F.col("file_id").cast("string").alias("key"), F.to_json(F.struct(F.col("sha256").alias("fp"), "size")).alias("value"))
 
 
-@query("sink_restore_export", "select case file_id % 4 when 0 then 'tar' when 1 then 'tar.gz' when 2 then 'zip' else 'raw' end as form, count(*) as n, sum(size)::bigint as bytes from files group by 1")
+@query("atomic_json", "select storage_id, count(*) as n, sum(size)::bigint as bytes from files group by 1")
 def _(t: Tables):
-    k = F.col("file_id") % 4
-    form = S.first_of([(k == 0, "tar"), (k == 1, "tar.gz"), (k == 2, "zip")], "raw")
-    return t.files.groupBy(form.alias("form")).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
+    """A small file that is replaced in one step: readers see the old one or the new one."""
+    path = f"{shared_folder(t.spark, 'state')}/summary.json"
+    totals = t.files.groupBy("storage_id").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
+    store = Store(t.spark, path)
+    store.replace(path, "[]")
+    store.replace(path, json.dumps([r.asDict() for r in totals.collect()]))  # a row a storage
+    return t.spark.read.schema("storage_id string, n long, bytes long").json(path)
 
 
 @query("chat", "select conv_id, turn, case when contains(lower(text), 'dup') then 'duplicates' when contains(lower(text), 'large') then 'large' when contains(lower(text), 'the') then 'stats' else 'help' end as intent from conversations")

@@ -56,10 +56,35 @@ def _(t: Tables):
     return t.log_lines.select("line_number", L.log_level(F.col("raw_line")).alias("level"))
 
 
-@query("fn_log_timestamp", "select line_number, substr(raw_line, 1, 19) as ts from log_lines")
+def _forms(t: Tables):
+    """Lines whose times are plain, ISO with fraction and zone, syslog, in seconds and in milliseconds since 1970; and lines without one."""
+    at, day = F.col("ts"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
+    forms = [
+        F.concat(day, F.lit(" ERROR plain")),
+        F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z INFO iso")),
+        F.concat(F.date_format("ts", "MMM d HH:mm:ss"), F.lit(" host app: WARN syslog")),
+        F.unix_seconds(at.cast("timestamp")).cast("string"),
+        F.unix_millis(at.cast("timestamp")).cast("string"),
+        F.lit("DEBUG no time at all"),
+    ]
+    line = F.element_at(F.array(*forms), (F.col("event_id") % 6 + 1).cast("int"))
+    return t.read("events").select(F.lit("b").alias("block_id"), F.col("event_id").alias("line_number"), line.alias("raw_line"))
+
+
+_FORM_TIMES = "select event_id as line_number, case event_id % 6 when 2 then strftime(ts, '1900-%m-%d %H:%M:%S') when 5 then {none} else strftime(ts, '%Y-%m-%d %H:%M:%S') end as ts from events"
+
+
+@query("fn_log_timestamp", _FORM_TIMES.format(none="'2025-06-30 00:00:00'"))
 def _(t: Tables):
     stamp = L.log_timestamp(F.col("raw_line"), F.lit("2025-06-30 00:00:00").cast("timestamp_ntz"))
-    return t.log_lines.select("line_number", F.date_format(stamp, "yyyy-MM-dd HH:mm:ss").alias("ts"))
+    return _forms(t).select("line_number", F.date_format(stamp, "yyyy-MM-dd HH:mm:ss").alias("ts"))
+
+
+@query("op_parse_times", f"select line_number, ts, ['ERROR', 'INFO', 'WARN', 'UNKNOWN', 'UNKNOWN', 'DEBUG'][line_number % 6 + 1] as level, epoch(ts::timestamp)::bigint as seconds from ({_FORM_TIMES.format(none='null')})")
+def _(t: Tables):
+    """Parsed lines bear the time of their line, whatever its form."""
+    rows = L.parse_lines(_forms(t))
+    return rows.select("line_number", "ts", "level", L.seconds_of(F.col("ts")).alias("seconds"))
 
 
 @query("fn_log_exception", f"select line_number, exception from ({_PARSED})")

@@ -6,6 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..operators import ops as O
+from ..sources.shared import shared_folder
+from ..sources.sinks import export_report
+from ..streaming.stores import StateLog
 from .catalog import Tables
 from .registry import query
 
@@ -161,9 +164,17 @@ def _(t: Tables):
     return rows.join(t.nodes.where("healthy").select("node_id"), "node_id", "left_anti").select("task_id")
 
 
-@query("hb_recoverable", "select task_id from tasks where status = 'running' and created % 6 = 3")
+@query("hb_recoverable", "select task_id, 'node-' || (created % 6) as node, 1 as version from tasks where status = 'running' and created % 6 = 3")
 def _(t: Tables):
-    return t.tasks.where("status = 'running' and created % 6 = 3").select("task_id")
+    """States that tasks left in a log, of those on nodes that are not healthy; what was finished since is gone."""
+    log = StateLog(t.spark, shared_folder(t.spark, "tasks"))
+    node = F.concat(F.lit("node-"), (F.col("created") % 6).cast("string"))
+    state = F.to_json(F.struct(node.alias("node"), F.lit("ACTIVE").alias("status")))
+    begun = t.tasks.where("status in ('running', 'completed')").select(F.col("task_id").alias("key"), state.alias("state"), F.lit(None).cast("timestamp").alias("expires"))
+    log.commit(begun, 0)
+    log.commit(t.tasks.where("status = 'completed'").select(F.col("task_id").alias("key"), F.lit(None).cast("string").alias("state"), F.lit(None).cast("timestamp").alias("expires")), 1)
+    held = log.current("2025-06-30").select(F.col("key").alias("task_id"), F.from_json("state", "node string, status string").alias("s"), "version").where("s.status = 'ACTIVE'")
+    return held.join(t.nodes.where("not healthy"), F.col("s.node") == F.col("node_id"), "left_semi").select("task_id", F.col("s.node").alias("node"), "version")
 
 
 @query("hb_expire", "select task_id from tasks where status in ('completed', 'failed', 'cancelled') and created < 500")
@@ -243,6 +254,19 @@ def _(t: Tables):
     return row.select(F.explode(F.create_map(F.lit("files"), F.col("files"), F.lit("bytes"), F.col("bytes"))).alias("item", "value"))
 
 
-@query("sink_compliance_export", "select count(*) as n, min(ts) as first, max(ts) as last from audit_log")
+_REPORTED = "(select event_type, count(*) as n, sum(original_size)::bigint as bytes, min(ts) as first, max(ts) as last from audit_log group by 1)"
+
+
+@query("sink_compliance_export", f"""select 'json' as form, '{{"event_type":"' || event_type || '","n":' || n || ',"bytes":' || bytes || ',"first":"' || first || '","last":"' || last || '"}}' as line from {_REPORTED}
+    union all select 'text', rpad(event_type, 20, ' ') || lpad(n::varchar, 12, ' ') || lpad(bytes::varchar, 20, ' ') || '  ' || first || ' to ' || last from {_REPORTED}
+    union all select 'html', '<tr><td>' || event_type || '</td><td>' || n || '</td><td>' || bytes || '</td><td>' || first || '</td><td>' || last || '</td></tr>' from {_REPORTED}""")
 def _(t: Tables):
-    return t.audit_log.agg(_N(), F.min("ts").alias("first"), F.max("ts").alias("last"))
+    """A report by event, written in each form and read back line by line."""
+    rows = t.audit_log.groupBy("event_type").agg(_N(), F.sum("original_size").alias("bytes"), F.min("ts").alias("first"), F.max("ts").alias("last"))
+    out = None
+    for form in ("json", "text", "html"):
+        path = shared_folder(t.spark, "report")
+        export_report(rows, path, form)
+        lines = t.spark.read.text(path).select(F.lit(form).alias("form"), F.col("value").alias("line"))
+        out = lines if out is None else out.unionByName(lines)
+    return out

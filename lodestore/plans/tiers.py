@@ -6,9 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from ..operators import dedup as D
 from ..operators import lifecycle as Y
 from ..operators import tiering as T
 from .catalog import Tables
+from .chunks import _BITS, _CAPACITY, _ERROR, _HASHES, _filter, _mod
 from .registry import query
 
 _GB = "1073741824.0::double"
@@ -251,13 +253,23 @@ def _(t: Tables):
     return rows.select("key", F.coalesce("there", F.lit(False)).alias("found"), F.coalesce("refcount", F.lit(0)).alias("refcount"))
 
 
-@query("join_layered_lookup", "select q.key, case when q.key % 4 = 0 then 'bloom' when c.fp is not null then 'cache' when f.fp is not null then 'index' else 'miss' end as source from (select item_id as key, sha256((item_id * 7)::varchar) as fp from benchmark) q left join (select fp from fingerprints where tier = 'hot') c on q.fp = c.fp left join fingerprints f on q.fp = f.fp")
+_LAYER = _filter("(select fp as x from fingerprints)")
+_BIT = f"(select key, unnest(list_transform(range({_HASHES}), lambda i: (a + i * b) % {_BITS})) as p from (select key, {_mod('sha256(fp)', 8)} as a, {_mod('md5(fp)', 4)} as b from q))"
+
+
+@query("join_layered_lookup", f"""with q as (select item_id as key, sha256((item_id * 7)::varchar) as fp from benchmark),
+    probed as (select key, bool_and(coalesce((bits >> (p % 63)) & 1, 0) = 1) as maybe from {_BIT} left join {_LAYER} w on w.word = p // 63 group by key)
+    select q.key, case when not maybe then 'bloom' when c.fp is not null then 'cache' when f.fp is not null then 'index' else 'miss' end as source
+    from q join probed on probed.key = q.key left join (select fp from fingerprints where tier = 'hot') c on q.fp = c.fp left join fingerprints f on q.fp = f.fp""")
 def _(t: Tables):
+    """A filter of all fingerprints is asked first; what it may hold is looked for in the cache, then in the index."""
+    words = D.bloom_words(t.fingerprints, "fp", _CAPACITY, _ERROR)
     keys = t.read("benchmark").select(F.col("item_id").alias("key"), F.sha2((F.col("item_id") * 7).cast("string"), 256).alias("fp"))
+    probed = D.bloom_probe(keys, "fp", words, _CAPACITY, _ERROR)
     cache = t.fingerprints.where("tier = 'hot'").select("fp", F.lit("cache").alias("in_cache"))
     index = t.fingerprints.select("fp", F.lit("index").alias("in_index"))
-    rows = keys.join(cache, "fp", "left").join(index, "fp", "left")
-    return rows.select("key", F.coalesce(F.when(F.col("key") % 4 == 0, "bloom"), "in_cache", "in_index", F.lit("miss")).alias("source"))
+    rows = probed.where("maybe").join(cache, "fp", "left").join(index, "fp", "left").select("key", F.coalesce("in_cache", "in_index", F.lit("miss")).alias("source"))
+    return rows.unionByName(probed.where("not maybe").select("key", F.lit("bloom").alias("source")))
 
 
 @query("fn_usage_percent", "select node_id, load * 100.0::double / 8 as percent from nodes")

@@ -23,7 +23,7 @@ class Store:
     """Files of the store that a path is on."""
 
     def __init__(self, spark: SparkSession, root: str):
-        self._jvm, self._conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        self._jvm, self._conf, self._array = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._gateway.new_array
         self.fs = self._path(root).getFileSystem(self._conf)
 
     def _path(self, path: str):
@@ -60,6 +60,19 @@ class Store:
             stream.close()
         return True
 
+    def replace(self, path: str, text: str) -> None:
+        """Write a small file under another name and put it in the place of what is there; readers see either whole."""
+        work = f"{path}.{uuid.uuid4().hex}"
+        self.create(work, text)
+        hadoop = self._jvm.org.apache.hadoop.fs
+        context = hadoop.FileContext.getFileContext(self.fs.getUri(), self._conf)
+        options = self._array(hadoop.Options.Rename, 1)
+        options[0] = hadoop.Options.Rename.OVERWRITE
+        try:
+            context.rename(self._path(work), self._path(path), options)
+        finally:
+            self.delete(work)
+
     def names(self, path: str) -> list[str]:
         """Names in a folder, in order; none of a folder that isn't there."""
         if not self.exists(path):

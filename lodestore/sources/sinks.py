@@ -34,3 +34,22 @@ def export_audit(entries: DataFrame, path: str, form: str = "json") -> int:
 def prometheus_lines(metrics: DataFrame) -> DataFrame:
     """Text exposition of ``metrics(name, labels, value)``, one line a sample."""
     return metrics.select(F.concat("name", F.lit("{"), "labels", F.lit("} "), F.col("value").cast("string")).alias("line"))
+
+
+def export_report(rows: DataFrame, path: str, form: str) -> None:
+    """Write a report's rows as lines of ``json``, ``text`` (numbers to the right) or ``html`` (rows of a table, with its marks escaped)."""
+    names = rows.columns
+    if form == "json":
+        line = F.to_json(F.struct(*names))
+    elif form == "html":
+        escaped = lambda c: F.replace(F.replace(F.replace(F.col(c).cast("string"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+        line = F.concat(F.lit("<tr>"), *[F.concat(F.lit("<td>"), F.coalesce(escaped(c), F.lit("")), F.lit("</td>")) for c in names], F.lit("</tr>"))
+    elif form == "text":
+        first, *rest = names
+        cell = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+        numbers = [c for c in rest if dict(rows.dtypes)[c] in ("bigint", "int", "double")]
+        widths = dict(zip(numbers, (12, *[20] * len(numbers))))
+        line = F.concat(F.rpad(cell(first), 20, " "), *[F.lpad(cell(c), widths[c], " ") for c in numbers], F.lit("  "), F.concat_ws(" to ", *[cell(c) for c in rest if c not in numbers]))
+    else:
+        raise ValueError(f"unknown form {form}")
+    rows.select(line.alias("value")).write.text(path)
