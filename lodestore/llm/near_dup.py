@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel
-from .common import Stored, release, shuffle_partitions
+from .common import Stored, parts_for, release, shuffle_partitions
 from .components import components
 
 #: Bands and registers a band: a pair at 0.8 escapes all bands with odds of about 5 in a million.
@@ -36,6 +36,8 @@ BUCKETS = BANDS * ROWS
 MANTISSA = 10
 #: Standard errors by which an estimate must fall short before a pair is discarded; smaller sets share registers, so their estimate is not used.
 MARGIN, ESTIMATED = 5.0, 50
+#: Members of a block of a center, and bytes of shingles on one side of a block of a bucket.
+MEMBERS, SIDE_BYTES = 256, 24 << 20
 
 
 def registers(values: np.ndarray) -> np.ndarray:
@@ -175,7 +177,17 @@ def _plausible(pairs: DataFrame, sk: DataFrame, threshold: float, id_type: str)
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int, id_type: str) -> DataFrame:
-    """Pairs with 100 * common >= percent * union on the full sets."""
+    """Pairs with 100 * common >= percent * union on the full sets.
+
+    A center (``a``) with many members is dealt into blocks of them; its text goes to each
+    block once, before its members' texts.
+    """
+    held = Stored(pairs, "pairs")
+    many = held.df.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("blocks"))
+    side = lambda x: texts.select(F.col("id").alias(x), "text")
+    members = held.df.join(many, "a").join(side("b"), "b").select("a", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block"), F.lit(1).alias("role"), "b", "text")
+    centers = many.join(side("a"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("role"), F.col("a").alias("b"), "text")
+    dealt = centers.unionByName(members).repartition("a", "block").sortWithinPartitions("a", "block", "role")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def shingle_set(text: bytes) -> np.ndarray:
@@ -183,23 +195,19 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int, id_
             words, bounds = kernel.word_hashes(data, np.array([0, len(data)]))
             return np.unique(kernel.shingles(words, bounds, width)[0])
 
-        held: tuple[bytes, np.ndarray] = (b"", np.zeros(0, np.uint64))
+        x = np.zeros(0, np.uint64)
         for batch in batches:
             keep = np.zeros(batch.num_rows, bool)
-            for i, (ta, tb) in enumerate(zip(batch.column(2).cast(pa.binary()), batch.column(3).cast(pa.binary()), strict=True)):
-                a, b = ta.as_py(), tb.as_py()
-                if a != held[0]:
-                    held = (a, shingle_set(a))
-                x, y = held[1], shingle_set(b)
+            for i, (role, text) in enumerate(zip(batch.column(2).to_pylist(), batch.column(4).cast(pa.binary()), strict=True)):
+                y = shingle_set(text.as_py())
+                if not role:
+                    x = y
+                    continue
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 keep[i] = common > 0 and 100 * common >= percent * (len(x) + len(y) - common)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
-
-    def side(x: str) -> DataFrame:
-        return texts.select(F.col("id").alias(x), F.col("text").alias(f"t{x}"))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3)], ["a", "b"]).filter(pa.array(keep))
 
-    joined = pairs.join(side("b"), "b").join(side("a"), "a")
-    return joined.select("a", "b", "ta", "tb").mapInArrow(run, f"a {id_type}, b {id_type}")
+    return dealt.mapInArrow(run, f"a {id_type}, b {id_type}")
 
 
 def _shingle_sets(texts: DataFrame, width: int, id_type: str) -> DataFrame:
@@ -257,19 +265,25 @@ def _across_groups(placed: DataFrame, sk: DataFrame, texts: DataFrame, width: in
     """Links (a, b) that connect the groups of ``placed(key, id, g)`` wherever members of different groups in a bucket reach the threshold.
 
     In a bucket the members outside its largest group are held against all
-    others.  A bucket of more than ``block`` members is dealt into blocks.
+    others.  A bucket of more than ``block`` members, or of larger sets than a side of a
+    block should hold, is dealt into blocks.
     """
     spark = placed.sparkSession
     several = placed.groupBy("key").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("key")
-    counts = placed.join(several, "key").groupBy("key", "g").agg(F.count(F.lit(1)).alias("m"))
-    plan = counts.groupBy("key").agg(F.sum("m").alias("n"), F.max(F.struct("m", "g")).alias("top"))
+    counts = placed.join(several, "key").join(sk.select("id", "n"), "id").groupBy("key", "g").agg(F.count(F.lit(1)).alias("m"), F.sum(F.col("n") * 8).alias("bytes"))
+    plan = counts.groupBy("key").agg(F.sum("m").alias("n"), F.sum("bytes").alias("bytes"), F.max(F.struct("m", "g", "bytes")).alias("top"))
+    cells = lambda m, size: F.ceil(F.greatest(m / block, size / SIDE_BYTES)).cast("int")
     plan = plan.select(
         "key",
         F.col("top.g").alias("main"),
-        F.ceil((F.col("n") - F.col("top.m")) / block).cast("int").alias("lefts"),
-        F.ceil(F.col("n") / block).cast("int").alias("rights"),
+        cells(F.col("n") - F.col("top.m"), F.col("bytes") - F.col("top.bytes")).alias("lefts"),
+        cells(F.col("n"), F.col("bytes")).alias("rights"),
+        "bytes",
+        (F.col("bytes") - F.col("top.bytes")).alias("left_bytes"),
     )
-    rows = Stored(placed.join(plan, "key"), "open-buckets")
+    plan = Stored(plan, "bucket-plan").df
+    sent = plan.agg(F.sum(F.col("bytes") * F.col("lefts") + F.col("left_bytes") * F.col("rights"))).first()[0] or 0
+    rows = Stored(placed.join(plan.select("key", "main", "lefts", "rights"), "key"), "open-buckets")
     if rows.df.isEmpty():
         return spark.createDataFrame([], f"a {id_type}, b {id_type}")
     own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
@@ -279,7 +293,7 @@ def _across_groups(placed: DataFrame, sk: DataFrame, texts: DataFrame, width: in
     open_ = rows.df.select("id").distinct()
     sets = Stored(_shingle_sets(texts.join(open_, "id", "left_semi"), width, id_type).join(sk.select("id", "registers"), "id"), "shingle-sets")
     dealt = left.unionByName(right).join(sets.df, "id")
-    dealt = dealt.repartition(shuffle_partitions(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
+    dealt = dealt.repartition(max(shuffle_partitions(spark), parts_for(spark, sent, 4 * SIDE_BYTES)), "key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, sides, found = None, ([], []), []

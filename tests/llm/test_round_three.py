@@ -304,3 +304,30 @@ def test_roots_follow_forms(spark):
     forms = spark.createDataFrame([(1, 2), (2, 3), (5, 3), (7, 8)], "id long, form long")
     assert {tuple(r) for r in spelling.roots(forms).collect()} == {(1, 3), (2, 3), (5, 3), (7, 8)}
     assert spelling.roots(forms.where(F.lit(False))).collect() == []
+
+
+# 7
+
+
+def test_groups_do_not_depend_on_the_blocks(spark, monkeypatch):
+    """Centers of many members, and buckets of large sets, are dealt into blocks; the groups stay the same."""
+    from test_llm_operators import plain_groups
+
+    from lodestore.llm import near_dup
+
+    rng = np.random.default_rng(6)
+    base = [f"w{x}" for x in rng.integers(0, 900, 120)]
+    texts = {}
+    for i in range(60):
+        t = list(base)
+        for at in rng.choice(120, int(rng.integers(0, 12)), replace=False):
+            t[at] = f"v{rng.integers(0, 10**6)}"
+        texts[i] = " ".join(t)
+    texts |= {100 + i: " ".join(f"u{x}" for x in rng.integers(0, 500, 80)) for i in range(10)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = plain_groups(texts, 5, 80)
+    for members, size in ((256, 24 << 20), (2, 3000)):
+        monkeypatch.setattr(near_dup, "MEMBERS", members)
+        monkeypatch.setattr(near_dup, "SIDE_BYTES", size)
+        got = near_dup.near_duplicates(df).collect()
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == {i: tuple(want[i][:2]) for i in texts}
