@@ -128,3 +128,17 @@ def merged_config(current: Column, new: Column) -> Column:
     """``new`` over ``current``; keys that start with an underscore are dropped."""
     keep = F.map_filter(current, lambda k, _: ~F.map_contains_key(new, k))
     return F.map_filter(F.map_concat(keep, new), lambda k, _: ~k.startswith("_"))
+
+
+# Built-in policies as name: (retention in days, share that is kept), and the one of each kind of data.
+TEMPLATES = {"surveillance": (30, 0.3), "application_log": (90, 0.5), "database_log": (365, 1.0), "archive": (3650, 0.1)}
+TEMPLATE_OF = {"video": "surveillance", "log": "application_log", "document": "database_log"}
+
+
+def under_templates(log: DataFrame, other: str = "archive") -> DataFrame:
+    """By kind of data: its template (``other`` if it has none of its own), retention and the bytes that are kept."""
+    name = F.coalesce(*[F.when(F.col("data_type") == k, v) for k, v in TEMPLATE_OF.items()], F.lit(other))
+    rows = log.withColumn("template", name)
+    of = lambda i: F.coalesce(*[F.when(F.col("template") == k, F.lit(v[i])) for k, v in TEMPLATES.items()])
+    rows = rows.withColumn("retention_days", of(0)).withColumn("kept", F.floor(F.col("original_size") * of(1)).cast("long"))
+    return rows.groupBy("data_type", "template", "retention_days").agg(F.sum("kept").alias("kept"))

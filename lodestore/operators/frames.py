@@ -93,6 +93,19 @@ def clip_policy(c: DataFrame, ordering: str = "lexical") -> DataFrame:
     )
 
 
+# Default rules of a scene, as (from hour, before hour, priority, reason).
+DEFAULT_RULES = {
+    "indoor": [(8, 22, "medium", "business_hours"), (22, 24, "high", "night"), (0, 8, "high", "night")],
+    "parking": [(6, 22, "low", "day"), (22, 24, "medium", "night"), (0, 6, "medium", "night")],
+}
+
+
+def by_hour(rows: DataFrame, hour: str, rules: list[tuple[int, int, str, str]]) -> DataFrame:
+    """Add priority and reason of the first rule whose hours hold the row's; null where none does."""
+    holds = lambda i: first_of([((F.col(hour) >= r[0]) & (F.col(hour) < r[1]), r[i]) for r in rules])
+    return rows.withColumn("priority", holds(2)).withColumn("reason", holds(3))
+
+
 def scene_changes(frames: DataFrame, low: float = 0.01, high: float = 0.8) -> DataFrame:
     """Frames whose motion is outside the band that ordinary movement has."""
     return frames.where((F.col("motion") < low) | (F.col("motion") > high))

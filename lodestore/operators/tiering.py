@@ -67,3 +67,14 @@ def cost_by_tier(ctx: DataFrame) -> DataFrame:
     row = ctx.agg(*[F.round(F.sum(F.when(F.col("tier") == t, tier_cost(F.col("tier"), F.col("size"))).otherwise(0.0)), 6).alias(t) for t in TIER_COST])
     total = sum(F.col(t) for t in TIER_COST)
     return row.withColumn("monthly", F.round(total, 6)).withColumn("annual", F.round(total * 12, 6))
+
+
+# Tiers from warm to cold.
+TIERS = ["hot", "warm", "cold"]
+
+
+def next_colder(tier: Column) -> Column:
+    """The tier after this one; null after the last and for a tier that is none."""
+    order = F.array(*map(F.lit, TIERS))
+    place = F.array_position(order, tier)
+    return F.when((place > 0) & (place < len(TIERS)), F.element_at(order, (place + 1).cast("int")))

@@ -232,9 +232,12 @@ def _(t: Tables):
     return _versions(t).select("policy_id", "version", F.array_join(F.filter(checks, lambda x: x.isNotNull()), "").alias("errors"))
 
 
-@query("ext_policy_templates", "select * from (values ('surveillance', 30, 0.3::double), ('application_log', 90, 0.5::double), ('database_log', 365, 1.0::double), ('archive', 3650, 0.1::double)) t(name, retention_days, ratio)")
+@query("ext_policy_templates", """select data_type, case data_type when 'video' then 'surveillance' when 'log' then 'application_log' when 'document' then 'database_log' else 'archive' end as template,
+    case data_type when 'video' then 30 when 'log' then 90 when 'document' then 365 else 3650 end as retention_days,
+    sum(floor(original_size * case data_type when 'video' then 0.3::double when 'log' then 0.5::double when 'document' then 1.0::double else 0.1::double end)::bigint)::bigint as kept from audit_log group by 1""")
 def _(t: Tables):
-    return t.spark.sql("select * from values ('surveillance', 30, 0.3D), ('application_log', 90, 0.5D), ('database_log', 365, 1.0D), ('archive', 3650, 0.1D) as t(name, retention_days, ratio)")
+    """What each kind of data would keep under its built-in policy."""
+    return A.under_templates(t.audit_log)
 
 
 @query("audit_text_report", "select 1 as line, 'entries: ' || count(*) as text from audit_log union all select 2, 'reduced: ' || count(*) from audit_log where event_type = 'DATA_REDUCED'")

@@ -149,8 +149,10 @@ class Tables:
 
     @cached_property
     def nodes(self) -> DataFrame:
-        rows = ", ".join(f"('node-{i}', {100 * 1073741824}L, {'true' if i != 3 else 'false'}, {(i * 13) % 7})" for i in range(5))
-        return self.spark.sql(f"select * from values {rows} as t(node_id, capacity, healthy, load)")
+        """The nodes that sent samples; their number bounds what is made of them."""
+        k = F.col("k").cast("string")
+        sent = self.read("events").groupBy((F.col("user_id") % 5).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+        return sent.select(F.concat(F.lit("node-"), k).alias("node_id"), F.lit(100 * 1073741824).cast("long").alias("capacity"), (F.col("k") != 3).alias("healthy"), (F.col("n") % 7).cast("int").alias("load"))
 
 
 _EXT = "[" + ", ".join(f"'{x}'" for x in EXTENSIONS) + "]"
@@ -188,5 +190,5 @@ VIEWS = {
         '{"space_freed": ' || floor(o_totalprice)::bigint || '}' as result, (o_orderkey % 5)::int as retries from orders""",
     "metrics": """select event_id as sample, strftime(ts, '%Y-%m-%d %H:%M') as minute, 'node-' || (user_id % 5) as node, ['cpu', 'memory', 'disk'][event_id % 3 + 1] as metric,
         (event_id * 17 % 101)::double as value from events""",
-    "nodes": "select * from (values " + ", ".join(f"('node-{i}', {100 * 1073741824}, {'true' if i != 3 else 'false'}, {(i * 13) % 7})" for i in range(5)) + ") t(node_id, capacity, healthy, load)",
+    "nodes": "select 'node-' || (user_id % 5) as node_id, 107374182400 as capacity, user_id % 5 <> 3 as healthy, (count(*) % 7)::int as load from events group by user_id % 5",
 }

@@ -191,14 +191,14 @@ def _(t: Tables):
     return V.background_model(t.frames).select("camera", "frame", "foreground")
 
 
-@query("vid_indoor_rules", "select * from (values (8, 22, 'medium', 'business_hours'), (22, 24, 'high', 'night'), (0, 8, 'high', 'night')) t(start_hour, end_hour, priority, reason)")
-def _(t: Tables):
-    return t.spark.sql("select * from values (8, 22, 'medium', 'business_hours'), (22, 24, 'high', 'night'), (0, 8, 'high', 'night') as t(start_hour, end_hour, priority, reason)")
-
-
-@query("vid_parking_rules", "select * from (values (6, 22, 'low', 'day'), (22, 24, 'medium', 'night'), (0, 6, 'medium', 'night')) t(start_hour, end_hour, priority, reason)")
-def _(t: Tables):
-    return t.spark.sql("select * from values (6, 22, 'low', 'day'), (22, 24, 'medium', 'night'), (0, 6, 'medium', 'night') as t(start_hour, end_hour, priority, reason)")
+for _scene, _rules in V.DEFAULT_RULES.items():
+    _by_hour = " ".join(f"when frame % 24 >= {a} and frame % 24 < {z} then '{p}:{r}'" for a, z, p, r in _rules)
+
+    @query(f"vid_{_scene}_rules", f"select camera, frame, split_part(rule, ':', 1) as priority, split_part(rule, ':', 2) as reason from (select camera, frame, case {_by_hour} end as rule from frames where scene = '{_scene}')")
+    def _(t: Tables, scene=_scene):
+        """Frames of one kind of scene under its default rules by hour."""
+        rows = t.frames.where(F.col("scene") == scene).withColumn("hour", F.col("frame") % 24)
+        return V.by_hour(rows, "hour", V.DEFAULT_RULES[scene]).select("camera", "frame", "priority", "reason")
 
 
 @query("vid_hour_segments", "select camera, h as hour, 104857600 as size from (select camera, max(frame) as last from frames group by 1), (select unnest(range(0, 24)) as h) where h * 60 <= last")

@@ -79,10 +79,13 @@ def _(t: Tables):
     return rows.select("shard", "n", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
 
 
-@query("agg_ring_stats", f"select count(distinct node_id) as physical, count(*) as slots, count(distinct case when node_id <> 'node-3' then node_id end) as healthy from {_RING}")
+@query("agg_ring_stats", f"select physical, slots, healthy, keys, nodes_with_keys from (select count(distinct node_id) as physical, count(*) as slots, count(distinct case when node_id <> 'node-3' then node_id end) as healthy from {_RING}), (select count(*) as keys, count(distinct node_id) as nodes_with_keys from (select file_id, arg_min(node_id, turn * 4294967296 + slot) as node_id from ({_WALK}) group by 1))")
 def _(t: Tables):
+    """The ring's slots and nodes, and how many keys they have."""
     r = P.ring(t.nodes, _V).join(F.broadcast(t.nodes.select("node_id", "healthy")), "node_id")  # one row a node
-    return r.agg(F.count_distinct("node_id").alias("physical"), F.count(F.lit(1)).alias("slots"), F.count_distinct(F.when(F.col("healthy"), F.col("node_id"))).alias("healthy"))
+    slots = r.agg(F.count_distinct("node_id").alias("physical"), F.count(F.lit(1)).alias("slots"), F.count_distinct(F.when(F.col("healthy"), F.col("node_id"))).alias("healthy"))
+    keys = P.route(_keys(t), P.ring(t.nodes, _V)).agg(F.count(F.lit(1)).alias("keys"), F.count_distinct("node_id").alias("nodes_with_keys"))
+    return slots.crossJoin(keys)  # one row each
 
 
 _PLACED = f"select * from ({_DISTINCT}) where place <= 2"

@@ -129,13 +129,12 @@ def _(t: Tables):
     return t.fingerprints.groupBy((F.col("part") % 50).alias("blob")).agg(F.min_by("tier", rank).alias("tier"))
 
 
-@query("win_next_cold_tier", "select * from (values ('hot', 'warm'), ('warm', 'cold'), ('cold', null)) t(tier, next_tier)")
+@query("win_next_cold_tier", "select fp, tier, case tier when 'hot' then 'warm' when 'warm' then 'cold' end as next_tier from fingerprints")
 def _(t: Tables):
-    rows = t.spark.sql("select * from values (0, 'hot'), (1, 'warm'), (2, 'cold') as t(ord, tier)")
-    return rows.select("tier", F.lead("tier").over(Window.partitionBy(F.lit(0)).orderBy("ord")).alias("next_tier"))
+    """Where each content goes when its tier is full; tiers stand in a fixed order, and nothing follows the last."""
+    return t.fingerprints.select("fp", "tier", T.next_colder(F.col("tier")).alias("next_tier"))
 
 
-# the fingerprint index
 @query("flt_orphans", "select fp from fingerprints where refcount <= 0")
 def _(t: Tables):
     return t.fingerprints.where("refcount <= 0").select("fp")
