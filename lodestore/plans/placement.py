@@ -33,9 +33,10 @@ def _(t: Tables):
     return t.files.select("file_id", S.md5_shard(F.col("sha256")).alias("shard"))
 
 
-@query("fn_kafka_partition")
+@query("fn_kafka_partition", f"select file_id, {_POS('sha256')} % 100 as partition from files")
 def _(t: Tables):
-    return t.files.select("file_id", F.pmod(F.xxhash64("sha256"), F.lit(100)).alias("partition"))
+    """The partition of a topic that a key's messages go to."""
+    return t.files.select("file_id", F.pmod(S.ring_position(F.col("sha256")), F.lit(100)).alias("partition"))
 
 
 @query("join_ring_route", f"select file_id, arg_min(node_id, turn * 4294967296 + slot) as node_id from ({_WALK}) group by 1")
