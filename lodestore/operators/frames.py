@@ -17,6 +17,26 @@ def by_camera() -> object:
     return Window.partitionBy("camera").orderBy("frame")
 
 
+#: Frames that one task looks at in order.
+SPAN = 1024
+
+
+def with_neighbour(frames: DataFrame, value: str, name: str, after: bool = False, span: int = SPAN) -> DataFrame:
+    """Add ``name``: the value of the camera's frame before (or after), null where there is none.
+
+    Frames are looked at by spans of their numbers, so no task sorts a whole camera; only
+    the outermost value of each span takes part in the window across spans.
+    """
+    rows = frames.withColumn("span", F.floor(F.col("frame") / span))
+    order = F.col("frame").desc() if after else F.col("frame").asc()
+    inside = Window.partitionBy("camera", "span").orderBy(order)
+    outer = (F.min_by if after else F.max_by)(value, "frame")
+    across = Window.partitionBy("camera").orderBy(F.col("span").desc() if after else F.col("span").asc())
+    ends = rows.groupBy("camera", "span").agg(outer.alias("end")).select("camera", "span", F.lag("end").over(across).alias("carried"))
+    met = rows.withColumn("own", F.lag(value).over(inside)).withColumn("head", F.row_number().over(inside) == 1).join(ends, ["camera", "span"])
+    return met.withColumn(name, F.when(F.col("head"), F.col("carried")).otherwise(F.col("own"))).drop("span", "own", "head", "carried")
+
+
 def abs_diff(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: F.abs(x - y))
 
@@ -28,14 +48,13 @@ def share_above(values: Column, limit: float) -> Column:
 
 def frame_diff(frames: DataFrame, limit: float) -> DataFrame:
     """Motion of each frame: share of its values that differ from the frame before by more than ``limit``; the first has none."""
-    rows = frames.withColumn("before", F.lag("vec").over(by_camera()))
+    rows = with_neighbour(frames, "vec", "before")
     return rows.withColumn("moved", F.when(F.col("before").isNotNull(), share_above(abs_diff(F.col("vec"), F.col("before")), limit)).otherwise(F.lit(0.0))).drop("before")
 
 
 def three_frame_diff(frames: DataFrame, limit: float) -> DataFrame:
     """Motion between both neighbours: share of values that differ from the one before and the one after."""
-    w = by_camera()
-    rows = frames.withColumn("b", F.lag("vec").over(w)).withColumn("n", F.lead("vec").over(w)).where("b is not null and n is not null")
+    rows = with_neighbour(with_neighbour(frames, "vec", "b"), "vec", "n", after=True).where("b is not null and n is not null")
     both = F.zip_with(abs_diff(F.col("vec"), F.col("b")), abs_diff(F.col("n"), F.col("vec")), lambda x, y: F.least(x, y))
     return rows.withColumn("moved", share_above(both, limit)).drop("b", "n")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,3 +60,39 @@ def progress(tasks: DataFrame, key: str, order: str, amount: str) -> DataFrame:
     w = Window.partitionBy(key)
     done = F.sum(amount).over(w.orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
     return tasks.withColumn("done", done).withColumn("percent", F.round(done * 100.0 / F.sum(amount).over(w), 6))
+
+
+def retry_queue(tasks: DataFrame, slots: int, most: int = 3) -> DataFrame:
+    """State of each task of ``tasks(task_id, status, priority, created, retries)``: attempts, and running, waiting or dead.
+
+    A task that is put in more than once is one task, as it was put in last.  A failed one
+    is tried again unless it was ``most`` times, which sets it aside.  The ``slots`` most
+    urgent ones run: by priority, then age, then id.
+    """
+    once = tasks.groupBy("task_id").agg(F.max(F.struct("created", "retries", "priority", "status")).alias("t")).select("task_id", "t.*")
+    failed = F.col("status") == "failed"
+    rows = once.withColumn("attempts", F.col("retries") + failed.cast("int")).withColumn("dead", failed & (F.col("retries") >= most))
+    first = rows.where("not dead").orderBy(F.col("priority").desc(), "created", "task_id").limit(slots).select("task_id", F.lit("running").alias("runs"))
+    state = F.when(F.col("dead"), "dead").otherwise(F.coalesce("runs", F.lit("waiting")))
+    return rows.join(first, "task_id", "left").withColumn("state", state).drop("dead", "runs")
+
+
+class Handlers:
+    """Functions from rows to rows by the kind in a column."""
+
+    def __init__(self, column: str):
+        self.column = column
+        self._by_kind: dict[str, Callable[[DataFrame], DataFrame]] = {}
+
+    def register(self, kind: str, handler: Callable[[DataFrame], DataFrame]) -> None:
+        if kind in self._by_kind:
+            raise ValueError(f"two handlers for {kind}")
+        self._by_kind[kind] = handler
+
+    def run(self, rows: DataFrame) -> DataFrame:
+        """What the handlers make of their rows, and the rows of other kinds with a ``problem``."""
+        known = F.col(self.column).isin(list(self._by_kind))
+        out = rows.where(~F.coalesce(known, F.lit(False))).withColumn("problem", F.lit("no handler"))
+        for kind, handler in self._by_kind.items():
+            out = out.unionByName(handler(rows.where(F.col(self.column) == kind)), allowMissingColumns=True)
+        return out

@@ -32,7 +32,7 @@ def _(t: Tables):
 
 @query("vid_motion_mask", f"select camera, frame, len(list_filter({_DIFF('vec', 'before')}, lambda x: x > 25)) as masked from (select *, lag(vec) over (partition by camera order by frame) as before from frames) where before is not null")
 def _(t: Tables):
-    rows = t.frames.withColumn("before", F.lag("vec").over(V.by_camera())).where("before is not null")
+    rows = V.with_neighbour(t.frames, "vec", "before").where("before is not null")
     return rows.select("camera", "frame", F.size(F.filter(V.abs_diff(F.col("vec"), F.col("before")), lambda x: x > 25)).cast("long").alias("masked"))
 
 
@@ -180,7 +180,7 @@ _MASKED = f"(select camera, frame, unnest(range(64)) as i, unnest(list_transform
     select * from (select camera, frame, row_number() over (partition by camera, frame order by area desc, y, x)::int as rank, x, y, width, height, area, x + width // 2 as center_x, y + height // 2 as center_y from boxes) where rank <= 10""")
 def _(t: Tables):
     """The ten largest connected regions of each frame's motion mask."""
-    rows = t.frames.withColumn("before", F.lag("vec").over(V.by_camera())).where("before is not null")
+    rows = V.with_neighbour(t.frames, "vec", "before").where("before is not null")
     masks = rows.select("camera", "frame", F.transform(V.abs_diff(F.col("vec"), F.col("before")), lambda x: x > 200).alias("mask"))
     return V.regions(masks, 8, 8)
 

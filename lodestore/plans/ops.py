@@ -100,14 +100,14 @@ def _(t: Tables):
     return t.tasks.where("status = 'pending'").orderBy("priority", "created").limit(50).select("task_id")
 
 
-@query("sort_scan_history", "select task_id from tasks where task_type = 'scan' order by created desc limit 20")
+@query("sort_scan_history", "select task_id from tasks where task_type = 'scan' order by created desc, task_id limit 20")
 def _(t: Tables):
-    return t.tasks.where("task_type = 'scan'").orderBy(F.col("created").desc()).limit(20).select("task_id")
+    return t.tasks.where("task_type = 'scan'").orderBy(F.col("created").desc(), "task_id").limit(20).select("task_id")
 
 
-@query("ops_list", "select task_id, status from tasks where status = 'failed' order by created desc limit 50")
+@query("ops_list", "select task_id, status from tasks where status = 'failed' order by created desc, task_id limit 50")
 def _(t: Tables):
-    return t.tasks.where("status = 'failed'").orderBy(F.col("created").desc()).limit(50).select("task_id", "status")
+    return t.tasks.where("status = 'failed'").orderBy(F.col("created").desc(), "task_id").limit(50).select("task_id", "status")
 
 
 @query("ops_approve", "select task_id, case when status = 'pending' and priority < 2 then 'approved' else status end as status from tasks")
@@ -115,14 +115,46 @@ def _(t: Tables):
     return t.tasks.select("task_id", F.when((F.col("status") == "pending") & (F.col("priority") < 2), "approved").otherwise(F.col("status")).alias("status"))
 
 
-@query("user_tasks", "select task_id from tasks where user_id = 'u3' and status = 'completed' order by created desc limit 1000")
+@query("user_tasks", "select task_id from tasks where user_id = 'u3' and status = 'completed' order by created desc, task_id limit 1000")
 def _(t: Tables):
-    return t.tasks.where("user_id = 'u3' and status = 'completed'").orderBy(F.col("created").desc()).limit(1000).select("task_id")
+    return t.tasks.where("user_id = 'u3' and status = 'completed'").orderBy(F.col("created").desc(), "task_id").limit(1000).select("task_id")
 
 
-@query("str_retry_queue", "select task_id, case when retries < 3 then 'pending' else 'dead' end as next from tasks where status = 'failed'")
+@query("str_retry_queue", """select task_id, priority, retries + case when status = 'failed' then 1 else 0 end as attempts, case when status = 'failed' and retries >= 3 then 'dead' when rank <= 50 then 'running' else 'waiting' end as state
+    from (select *, row_number() over (partition by status = 'failed' and retries >= 3 order by priority desc, created, task_id) as rank from tasks where status in ('failed', 'pending'))""")
 def _(t: Tables):
-    return t.tasks.where("status = 'failed'").select("task_id", F.when(F.col("retries") < 3, "pending").otherwise("dead").alias("next"))
+    """Tasks that wait or have failed, put in twice; fifty run at a time, the most urgent first, and what failed too often is set aside."""
+    given = t.tasks.where("status in ('failed', 'pending')")
+    return O.retry_queue(given.unionByName(given.where("priority > 1")), slots=50).select("task_id", "priority", "attempts", "state")
+
+
+@query("ext_task_handlers", "select task_id, task_type, case task_type when 'scan' then created * 2 when 'dedup' then created + retries end as outcome, case when task_type = 'archive' then 'no handler' end as problem from tasks")
+def _(t: Tables):
+    """Each kind of task goes through the handler that is registered for it."""
+    handlers = O.Handlers("task_type")
+    handlers.register("scan", lambda rows: rows.withColumn("outcome", F.col("created") * 2))
+    handlers.register("dedup", lambda rows: rows.withColumn("outcome", F.col("created") + F.col("retries")))
+    return handlers.run(t.tasks).select("task_id", "task_type", "outcome", "problem")
+
+
+@query("ext_processors", "select line_no, action, case action when 'keep' then original_size when 'compress' then floor(original_size * 0.3::double)::bigint else floor(original_size * 0.1::double)::bigint end as kept from audit_log")
+def _(t: Tables):
+    """Each strategy has its processor."""
+    processors = O.Handlers("action")
+    for action, share in (("keep", 1.0), ("compress", 0.3), ("sample", 0.1)):
+        processors.register(action, lambda rows, share=share: rows.withColumn("kept", F.floor(F.col("original_size") * share).cast("long")))
+    return processors.run(t.audit_log).select("line_no", "action", "kept")
+
+
+@query("ext_health_checks", "select metric, case when max(value) >= 95 then 'UNHEALTHY' when max(value) >= 80 then 'DEGRADED' else 'HEALTHY' end as status, count(*) as samples from metrics where metric <> 'memory' group by 1 union all select metric, case when avg(value) >= 90 then 'UNHEALTHY' else 'HEALTHY' end, count(*) from metrics where metric = 'memory' group by 1")
+def _(t: Tables):
+    """Each component has a check of its own."""
+    checks = O.Handlers("metric")
+    top = F.max("value")
+    for metric in ("cpu", "disk"):
+        checks.register(metric, lambda rows: rows.groupBy("metric").agg(S.first_of([(top >= 95, "UNHEALTHY"), (top >= 80, "DEGRADED")], "HEALTHY").alias("status"), F.count(F.lit(1)).alias("samples")))
+    checks.register("memory", lambda rows: rows.groupBy("metric").agg(F.when(F.avg("value") >= 90, "UNHEALTHY").otherwise("HEALTHY").alias("status"), F.count(F.lit(1)).alias("samples")))
+    return checks.run(t.metrics).select("metric", "status", "samples")
 
 
 @query("str_schedule", "select task_id, case task_type when 'scan' then created + 3600 when 'dedup' then (created // 86400 + 1) * 86400 end as next_run from tasks")
@@ -141,11 +173,11 @@ def _(t: Tables):
     return O.progress(t.tasks, "user_id", "created", "created").select("task_id", "done", "percent")
 
 
-@query("join_left_channels", "select t.task_id, coalesce(c.name, t.task_id) as channel from tasks t left join (values ('u1', 'mail'), ('u2', 'chat')) c(id, name) on t.user_id = c.id order by t.created desc limit 100")
+@query("join_left_channels", "select t.task_id, coalesce(c.name, t.task_id) as channel from tasks t left join (values ('u1', 'mail'), ('u2', 'chat')) c(id, name) on t.user_id = c.id order by t.created desc, t.task_id limit 100")
 def _(t: Tables):
     channels = t.spark.sql("select * from values ('u1', 'mail'), ('u2', 'chat') as c(user_id, name)")
     rows = t.tasks.join(F.broadcast(channels), "user_id", "left")  # two rows
-    return rows.orderBy(F.col("created").desc()).limit(100).select("task_id", F.coalesce("name", "task_id").alias("channel"))
+    return rows.orderBy(F.col("created").desc(), "task_id").limit(100).select("task_id", F.coalesce("name", "task_id").alias("channel"))
 
 
 _BEATS = "(select node_id, healthy, case node_id when 'node-2' then 20 else load end as age from nodes)"

@@ -154,3 +154,33 @@ def test_orders_and_hours(spark):
     rows = V.by_hour(spark.range(25).withColumn("hour", F.col("id")), "hour", V.DEFAULT_RULES["indoor"]).orderBy("id").collect()
     assert [(r["priority"], r["reason"]) for r in rows] == [("high", "night")] * 8 + [("medium", "business_hours")] * 14 + [("high", "night")] * 2 + [(None, None)]
     assert S.CATEGORIES
+
+
+def test_queries_run_by_name(spark, small, tmp_path, capsys):
+    from lodestore.__main__ import main
+
+    assert main(["list"]) == 0 and "agg_dup_groups" in capsys.readouterr().out.split()
+    assert main(["run", "no_such_query", "--data", small]) == 2
+    assert main(["run", "agg_storage_stats", "--data", small, "--out", str(tmp_path / "out"), "--format", "json"], spark) == 0
+    assert spark.read.json(str(tmp_path / "out")).count() > 0
+
+
+def test_handlers_leave_no_row_out(spark):
+    from lodestore.operators import ops as O
+
+    handlers = O.Handlers("kind")
+    handlers.register("a", lambda rows: rows.withColumn("x", F.lit(1)))
+    with pytest.raises(ValueError):
+        handlers.register("a", lambda rows: rows)
+    rows = spark.createDataFrame([("a",), ("b",), (None,)], "kind string")
+    assert sorted(map(tuple, handlers.run(rows).select("kind", "x", "problem").collect()), key=str) == [("a", 1, None), ("b", None, "no handler"), (None, None, "no handler")]
+
+
+def test_neighbours_over_spans(spark):
+    frames = [(c, f, f * 10 + c) for c in (1, 2) for f in (0, 1, 2, 5, 6, 13, 14, 30)]
+    rows = spark.createDataFrame(frames, "camera int, frame int, v int")
+    both = V.with_neighbour(V.with_neighbour(rows, "v", "before", span=3), "v", "after", after=True, span=4).collect()
+    for r in both:
+        own = sorted(v for c, _, v in frames if c == r["camera"])
+        at = own.index(r["v"])
+        assert r["before"] == (own[at - 1] if at else None) and r["after"] == (own[at + 1] if at + 1 < len(own) else None)
