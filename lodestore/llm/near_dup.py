@@ -37,7 +37,7 @@ MANTISSA = 10
 #: Standard errors by which an estimate must fall short before a pair is discarded; smaller sets share registers, so their estimate is not used.
 MARGIN, ESTIMATED = 5.0, 50
 #: Members of a block of a center, and bytes of shingles on one side of a block of a bucket.
-MEMBERS, SIDE_BYTES = 256, 24 << 20
+MEMBERS, SIDE_BYTES = 64, 24 << 20
 
 
 def registers(values: np.ndarray) -> np.ndarray:
