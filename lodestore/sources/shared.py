@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -9,14 +10,26 @@ from pyspark.sql import SparkSession
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder's path below the shared folder that ``spark.checkpoint.dir`` names; a private one only where one machine does all the work."""
+    """A new folder's path below the shared folder that ``spark.checkpoint.dir`` names; a private one only where one machine does all the work.
+
+    It is for intermediate files, which go when the driver ends.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         named = tempfile.mkdtemp(prefix="lodestore-")
         spark.conf.set("spark.checkpoint.dir", named)
-    return f"{named.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{named.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_drop, spark, path)
+    return path
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    try:
+        Store(spark, path).delete(path)
+    except Exception:  # noqa: BLE001  the session has ended; nothing is left to talk to
+        pass
 
 
 class Store:

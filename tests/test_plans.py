@@ -32,7 +32,7 @@ def test_filters_reach_the_scan(spark, small):
     assert "EqualTo(source,src2)" in plan(QUERIES["scan_by_type"](spark, small))
 
 
-@pytest.mark.parametrize("name", ["agg_storage_stats", "agg_duplicates_staged", "op_parse_line", "agg_log_block", "win_burst", "tier_classify", "join_ring_route", "cdc_fixed", "win_hash_chain", "win_ema_background", "join_manifest_verify", "agg_clip"])
+@pytest.mark.parametrize("name", ["agg_storage_stats", "agg_duplicates_staged", "op_parse_line", "agg_log_block", "win_burst", "tier_classify", "join_ring_route", "cdc_fixed", "win_hash_chain", "win_ema_background", "join_manifest_verify", "agg_clip", "bloom_build", "agg_bloom_count", "delete_workflow", "fn_log_timestamp", "join_restore_files", "win_frame_diff"])
 def test_no_python_where_expressions_do(name, spark, small):
     text = plan(QUERIES[name](spark, small))
     assert "Python" not in text and "Arrow" not in text and "CartesianProduct" not in text
@@ -43,3 +43,17 @@ def test_entry_and_registry(spark):
     assert df.count() > 0
     known = __spark_entry__.queries()
     assert set(__spark_entry__.oracle_sql()) <= set(known)
+
+
+def test_storage_filters_reach_a_mounted_source(spark, tmp_path):
+    """One folder of three is opened, and Spark has nothing left to filter by storage."""
+    from lodestore.sources import mounted as M
+
+    for i in range(3):
+        (tmp_path / f"s{i}" / "d").mkdir(parents=True)
+        (tmp_path / f"s{i}" / "d" / "f").write_text("x" * i)
+    rows = M.mounted_files(spark, str(tmp_path))
+    assert rows.rdd.getNumPartitions() == 7
+    one = rows.where("storage_id = 's1'")
+    assert one.rdd.getNumPartitions() == 2 and one.count() == 1
+    assert "storage_id" not in plan(one).split("Filter")[-1].split("\n")[0] or "Filter" not in plan(one)
