@@ -256,7 +256,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id"
     lattice finds: pairs under ``least`` never, pairs above it nearly always.  Cosines are
     taken in double precision.
 
-    Vectors that are null, zero or hold null or non-finite components link with nothing,
+    Components travel in the type they have.  Vectors that are null, zero or hold null or non-finite components link with nothing,
     and vectors of different lengths do not link.  Rows with one id are one vector, the smallest
     of theirs; a row without an id is returned once, linked with nothing, without
     a component and kept.  No rows: none.  Other columns are not read.  ``options`` are
@@ -265,7 +265,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id"
     spark = vectors.sparkSession
     v = F.col(vector_col)
     good = v.isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
-    named = vectors.select(F.col(id_col).alias("id"), F.when(good, F.transform(v, lambda x: x.cast("double"))).alias("vector"))
+    named = vectors.select(F.col(id_col).alias("id"), F.when(good, v).alias("vector"))
     once = Stored(named.where("id is not null").groupBy("id").agg(F.min("vector").alias("vector")), "vectors").df
     classes = Stored(once.where("vector is not null").groupBy("vector").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("size")), "vector-classes").df
     keyed = Stored(classes.select("lead", "vector").mapInArrow(_keyed(options), "id long, own array<long>, near array<long>"), "vector-cells").df
