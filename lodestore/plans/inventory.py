@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -45,14 +46,27 @@ def _(t: Tables):
     return n.select(F.lit(report.errors.count()).cast("long").alias("n_errors"), "n_files", F.lit(report.levels).alias("levels"))
 
 
-@query("src_scan_s3", "select path, size, null::varchar as sha256 from files")
+def _objects(t: Tables, prefix: str = ""):
+    """Objects below a prefix, only listed; paths as keys."""
+    root = _tree(t)
+    rows = scan(t.spark, f"{root}/{prefix}", hashed=False)
+    return rows.withColumn("path", F.element_at(F.split("path", f"{os.path.basename(root)}/"), -1))
+
+
+# Spark's readers pass over names that begin with a dot
+_LISTED = "files where not starts_with(name, '.')"
+
+
+@query("src_scan_s3", f"select substr(path, 2) as path, size, null::varchar as sha256 from {_LISTED}")
 def _(t: Tables):
-    return t.files.select("path", "size", F.lit(None).cast("string").alias("sha256"))
+    return _objects(t).select("path", "size", "sha256")
 
 
 @query("src_iter_files", "select path from files where not starts_with(name, '.')")
 def _(t: Tables):
-    return I.visible(t.files, max_depth=2).select("path")
+    """Visible files of a tree, found level by level and not read."""
+    found = L.scan_tree(t.spark, _tree(t), hashed=False).files.withColumn("path", F.concat(F.lit("/"), "path"))
+    return I.visible(found, max_depth=2).select("path")
 
 
 @query("src_scan_directory", f"select category, ext, count(*) as n_files, sum(size)::bigint as bytes from ({_KIND}) where dir = '/src1/en' group by 1, 2")
@@ -63,12 +77,15 @@ def _(t: Tables):
 
 @query("src_local_disk", f"select path, size from files where size >= 500 and {_EXT} not in ('tmp', 'bak') and not contains(lower(path), '/src3/')")
 def _(t: Tables):
-    return I.local_scan(t.files, 500, ["tmp", "bak"], ["/SRC3/"]).select("path", "size")
+    """A mounted disk; sizes are tested before anything is read."""
+    found = M.mounted_files(t.spark, _tree(t), hashed=False).withColumn("path", F.concat(F.lit("/"), "path"))
+    return I.local_scan(found, 500, ["tmp", "bak"], ["/SRC3/"]).select("path", "size")
 
 
-@query("src_cloud", "select path, size from files where starts_with(path, '/src1')")
+@query("src_cloud", f"select substr(path, 2) as path, size from {_LISTED} and starts_with(path, '/src1')")
 def _(t: Tables):
-    return t.files.where(F.col("path").startswith("/src1")).select("path", "size")
+    """Objects whose keys begin with a prefix; others are not listed."""
+    return _objects(t, "src1*").select("path", "size")
 
 
 @query("src_unified_scan", "select sha256, count(*) as n, count(distinct storage_id) as storages from files where size >= 100 group by 1 having count(*) > 1")
