@@ -29,9 +29,39 @@ def _(t: Tables):
     return C.fixed_blocks(t.files, 512, 64).groupBy("file_id").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"))
 
 
-@query("cdc_fast")
+def _rolling(bits: int, joined: str) -> str:
+    """SQL of a rolling hash of the last ``bits`` bytes after each byte of each file: (file_id, i, h)."""
+    terms = "b"
+    for j in range(1, bits):
+        terms = joined.format(a=terms, b=f"(coalesce(lag(b, {j}) over w, 0) << {j})")
+    return f"""(select file_id, i, ({terms}) & {(1 << bits) - 1} as h from (
+        select file_id, i, ('0x' || substr(x, 2 * i + 1, 2))::bigint as b from (select file_id, hex(encode(text)) as x, unnest(range(0, size)) as i from files)) window w as (partition by file_id order by i))"""
+
+
+_CUT = "file_id, row_number() over (partition by file_id order by a) - 1 as chunk_index, a as offset_, z - a as size, sha256(unhex(substr(hex(encode(text)), 2 * a + 1, 2 * (z - a)))) as fp"
+
+# from cut to cut: the first place that the rule allows, else the longest chunk
+_FAST = f"""with recursive marks as (select file_id, list(i + 1 order by i) as places from {_rolling(9, "xor({a}, {b})")} where h = {C.FAST_TARGET & 511} group by file_id),
+    walk(file_id, places, n, a, z) as (
+        select f.file_id, coalesce(places, []), size, 0::bigint, null::bigint from files f left join marks m on m.file_id = f.file_id where size > 0
+        union all
+        select file_id, places, n, least(a + 2048, n, coalesce(list_filter(places, lambda x: x >= a + 256 and x <= least(a + 2048, n) and x < n)[1], n)), a from walk where a < n)
+    select {_CUT} from (select w.file_id, w.z as a, w.a as z, text from walk w join files f on f.file_id = w.file_id where w.z is not null)"""
+
+_RABIN = f"""with recursive marks as (select file_id, list(i - 47 order by i) as places from {_rolling(15, "({a} + {b})")} where h = 0 and i >= 48 group by file_id),
+    walk(file_id, places, n, a, z) as (
+        select f.file_id, case when size >= 48 then coalesce(places, []) else [] end, size, 0::bigint, null::bigint from files f left join marks m on m.file_id = f.file_id where size > 0
+        union all
+        select file_id, places, n, coalesce(list_filter(places, lambda x: x >= a + 4096)[1], n), a from walk where a < n),
+    spans as (select file_id, z as a, a as z from walk where z is not null),
+    halved as (select file_id, a + 65536 * k as a, case when z - a - 65536 * k > 131072 then a + 65536 * (k + 1) else z end as z from (
+        select file_id, a, z, unnest(range(0, greatest(0, (z - a - 131072 + 65535) // 65536) + 1)) as k from spans))
+    select {_CUT} from (select h.file_id, h.a, h.z, text from halved h join files f on f.file_id = h.file_id)"""
+
+
+@query("cdc_fast", _FAST)
 def _(t: Tables):
-    return C.content_chunks(t.files, "fast", shortest=256, longest=2048, bits=9)
+    return C.content_chunks(t.files, "fast", shortest=256, longest=2048, bits=9).withColumnRenamed("offset", "offset_")
 
 
 @query("cdc_fast_sizes", "select file_id, size as bytes from files where size > 0")
@@ -39,9 +69,9 @@ def _(t: Tables):
     return C.content_chunks(t.files, "fast", shortest=256, longest=2048, bits=9).groupBy("file_id").agg(F.sum("size").alias("bytes"))
 
 
-@query("cdc_rabin")
+@query("cdc_rabin", _RABIN)
 def _(t: Tables):
-    return C.content_chunks(t.files, "rabin")
+    return C.content_chunks(t.files, "rabin").withColumnRenamed("offset", "offset_")
 
 
 @query("cdc_rabin_sizes", "select file_id, size as bytes, 0::bigint as first from files where size > 0")
@@ -49,10 +79,10 @@ def _(t: Tables):
     return C.content_chunks(t.files, "rabin", shortest=512, mean=1024, longest=8192).groupBy("file_id").agg(F.sum("size").alias("bytes"), F.min("offset").alias("first"))
 
 
-@query("cdc_boundaries", "select file_id, min(0) as first, max(size) as last from files where size > 0 group by 1")
+@query("cdc_boundaries", f"select file_id, offset_, offset_ + size as until_ from ({_RABIN})")
 def _(t: Tables):
-    rows = C.content_chunks(t.files, "rabin", shortest=512, mean=1024, longest=8192)
-    return rows.groupBy("file_id").agg(F.min("offset").cast("int").alias("first"), F.max(F.col("offset") + F.col("size")).alias("last"))
+    rows = C.content_chunks(t.files, "rabin")
+    return rows.select("file_id", F.col("offset").alias("offset_"), (F.col("offset") + F.col("size")).alias("until_"))
 
 
 @query("cdc_factory", f"select count(*) as n, sum(size)::bigint as bytes from {_BLOCKS}")
