@@ -26,7 +26,7 @@ def _(t: Tables):
     return R.best_codec(R.codec_sizes(t.files))
 
 
-@query("agg_codec_sizes")
+@query("sink_tier_backend")
 def _(t: Tables):
     return R.codec_sizes(t.files)
 
@@ -34,7 +34,7 @@ def _(t: Tables):
 _TIER = "['hot', 'warm', 'cold'][file_id % 3 + 1]"
 
 
-@query("sink_tier_backend", f"select sha256 as fp, {_TIER} as tier, case {_TIER} when 'hot' then 'none' when 'warm' then 'zstd' else 'xz9' end as codec, file_id, true as restored from files")
+@query("sink_tier_store", f"select sha256 as fp, {_TIER} as tier, case {_TIER} when 'hot' then 'none' when 'warm' then 'zstd' else 'xz9' end as codec, file_id, true as restored from files")
 def _(t: Tables):
     """Contents kept by their tier's codec, written, read back and held against their checksums."""
     tier = F.element_at(F.array(F.lit("hot"), F.lit("warm"), F.lit("cold")), (F.col("file_id") % 3 + 1).cast("int"))
