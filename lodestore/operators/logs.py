@@ -80,29 +80,40 @@ def http_status(line: Column) -> Column:
     return F.nullif(F.regexp_extract(line, STATUS, 1), F.lit("")).cast("int")
 
 
-def parse_lines(lines: DataFrame, as_of: str | None = None) -> DataFrame:
-    """Parse ``lines(block_id, line_number, raw_line)``; all fields in one projection.
+#: Fields that a line is parsed into.
+FIELDS = ("ts", "level", *KEYWORDS, "http_method", "status", "exception", "raw_line")
+
+
+def parse_lines(lines: DataFrame, as_of: str | None = None, fields: tuple[str, ...] = FIELDS) -> DataFrame:
+    """Parse ``lines(block_id, line_number, raw_line)`` into some ``fields``.
 
     ``ts`` is the line's time in whole seconds as :func:`log_timestamp` finds it, whatever
-    its form; a line without one has ``as_of``.
+    its form; a line without one has ``as_of``.  A line is parsed once, before whatever
+    filters or reads its fields, and lines are dealt out, as few bytes of them take long.
     """
-    raw = F.trim("raw_line")
-    stamp = log_timestamp(raw, F.lit(as_of).cast("timestamp_ntz"))
-    return lines.select(
-        "block_id",
-        "line_number",
-        F.date_format(stamp, "yyyy-MM-dd HH:mm:ss").alias("ts"),
-        log_level(raw).alias("level"),
-        *[keyword(raw, f).alias(f) for f in KEYWORDS],
-        http_method(raw).alias("http_method"),
-        http_status(raw).alias("status"),
-        exception_type(raw).alias("exception"),
-        raw.alias("raw_line"),
-    )
+
+    def parsed(line: Column) -> Column:
+        raw = line["raw_line"]
+        made = {
+            "ts": lambda: F.date_format(log_timestamp(raw, F.lit(as_of).cast("timestamp_ntz")), "yyyy-MM-dd HH:mm:ss"),
+            "level": lambda: log_level(raw),
+            **{f: (lambda f=f: keyword(raw, f)) for f in KEYWORDS},
+            "http_method": lambda: http_method(raw),
+            "status": lambda: http_status(raw),
+            "exception": lambda: exception_type(raw),
+            "raw_line": lambda: raw,
+        }
+        return F.struct(line["block_id"].alias("block_id"), line["line_number"].alias("line_number"), *[made[f]().alias(f) for f in FIELDS if f in fields])
+
+    dealt = lines.select("block_id", "line_number", F.trim("raw_line").alias("raw_line")).repartition("line_number", "raw_line")
+    # in a list of one, what is found in a line is neither written out for each use nor part of one long method
+    return dealt.select(F.inline(F.transform(F.array(F.struct("block_id", "line_number", "raw_line")), parsed)))
 
 
 def seconds_of(ts: Column) -> Column:
-    return F.unix_seconds(F.to_timestamp(F.concat(ts, F.lit(" UTC")), "yyyy-MM-dd HH:mm:ss z"))
+    """Seconds since 1970 of a time as :func:`parse_lines` writes it."""
+    part = lambda at, n: F.substring(ts, at, n).cast("long")
+    return F.unix_date(F.substring(ts, 1, 10).cast("date")) * F.lit(86400).cast("long") + part(12, 2) * 3600 + part(15, 2) * 60 + part(18, 2)
 
 
 def bursts(parsed: DataFrame, window: int = 60, threshold: int = 5) -> DataFrame:
@@ -111,12 +122,17 @@ def bursts(parsed: DataFrame, window: int = 60, threshold: int = 5) -> DataFrame
     An error survives if it lies within ``window`` seconds before the latest time
     of itself and all later errors.
     """
-    later = Window.partitionBy("block_id").orderBy("line_number").rowsBetween(0, Window.unboundedFollowing)
+    # from the last line back, as Spark adds up a frame of all that follows anew for each row
+    later = Window.partitionBy("block_id").orderBy(F.col("line_number").desc()).rowsBetween(Window.unboundedPreceding, 0)
     errors = parsed.where("level = 'ERROR'").withColumn("t", seconds_of(F.col("ts")))
     alive = errors.withColumn("latest", F.max("t").over(later)).where(F.col("t") > F.col("latest") - window)
     return alive.groupBy("block_id").agg(F.count(F.lit(1)).alias("survivors")).select("block_id", "survivors", (F.col("survivors") >= threshold).alias("error_burst"))
 
 
+#: Fields that :func:`blocks` reads.
+BLOCK_FIELDS = ("ts", "level", "user_id", "order_id", "session_id", "raw_line")
+
+
 def blocks(parsed: DataFrame) -> DataFrame:
     """One row for each block: counts by level, distinct identifiers, time range, anomalies, validity."""
     low = F.lower("raw_line")
@@ -124,8 +140,13 @@ def blocks(parsed: DataFrame) -> DataFrame:
     memory = F.lit(False)
     for word in MEMORY_WORDS:
         memory = memory | low.contains(word)
+    # what is told of a line goes on, and the line does not
+    told = parsed.select(
+        "block_id", "ts", "level", "user_id", "order_id", "session_id",
+        low.contains("circuit breaker").alias("breaker"), (error & memory).alias("memory"), (error & low.contains("timeout")).alias("timeout"),
+    )
     count = lambda c: F.count_if(c)
-    base = parsed.groupBy("block_id").agg(
+    base = told.groupBy("block_id").agg(
         F.count(F.lit(1)).alias("total_lines"),
         count(error).alias("error_count"),
         count(F.col("level") == "WARN").alias("warn_count"),
@@ -136,9 +157,9 @@ def blocks(parsed: DataFrame) -> DataFrame:
         F.count_distinct("session_id").alias("unique_sessions"),
         F.min("ts").alias("start_time"),
         F.max("ts").alias("end_time"),
-        F.coalesce(F.bool_or(low.contains("circuit breaker")), F.lit(False)).alias("circuit_breaker_open"),
-        F.coalesce(F.bool_or(error & memory), F.lit(False)).alias("memory_warning"),
-        (count(error & low.contains("timeout")) >= 3).alias("timeout_pattern"),
+        F.coalesce(F.bool_or("breaker"), F.lit(False)).alias("circuit_breaker_open"),
+        F.coalesce(F.bool_or("memory"), F.lit(False)).alias("memory_warning"),
+        (count(F.col("timeout")) >= 3).alias("timeout_pattern"),
         F.round(count(F.col("level") != "UNKNOWN") / F.count(F.lit(1)), 6).alias("format_valid"),
     )
     out = base.join(bursts(parsed).select("block_id", "error_burst"), "block_id", "left")

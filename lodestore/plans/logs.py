@@ -37,8 +37,12 @@ _SCORED = f"""select *, round(least(1.0::double, least(0.5::double, error_count
 _PARSED_COLUMNS = "block_id, line_number, ts, level, " + ", ".join(L.KEYWORDS) + ", http_method, status, exception"
 
 
-def _parsed(t: Tables):
-    return L.parse_lines(t.log_lines)
+def _parsed(t: Tables, *fields: str):
+    return L.parse_lines(t.log_lines, fields=fields or L.FIELDS)
+
+
+def _blocks(t: Tables):
+    return L.blocks(_parsed(t, *L.BLOCK_FIELDS))
 
 
 @query("src_log_lines", "select block_id, count(*) as n, sum(strlen(raw_line))::bigint as bytes from log_lines group by 1")
@@ -110,33 +114,33 @@ def _(t: Tables):
 
 @query("agg_log_block", f"select * from ({_BLOCKS})")
 def _(t: Tables):
-    return L.blocks(_parsed(t))
+    return _blocks(t)
 
 
 @query("agg_log_stats", f"select count(*) as blocks, sum(total_lines)::bigint as total, sum(error_count)::bigint as errors, round(avg(total_lines), 4) as mean_lines, round(sum(error_count) / sum(total_lines)::double, 6) as error_rate from ({_BLOCKS})")
 def _(t: Tables):
-    b = L.blocks(_parsed(t))
+    b = _blocks(t)
     return b.agg(F.count(F.lit(1)).alias("blocks"), F.sum("total_lines").alias("total"), F.sum("error_count").alias("errors"), F.round(F.avg("total_lines"), 4).alias("mean_lines"), F.round(F.sum("error_count") / F.sum("total_lines"), 6).alias("error_rate"))
 
 
 @query("agg_most_common_error", f"select block_id, arg_max(name, n * 1000000000 - first) as most_common_error from (select block_id, regexp_extract(raw_line, '([A-Z]\\w*Exception)', 1) as name, count(*) as n, min(line_number) as first from ({_PARSED}) where level = 'ERROR' and regexp_extract(raw_line, '([A-Z]\\w*Exception)', 1) <> '' group by 1, 2) group by 1")
 def _(t: Tables):
-    return L.most_common_error(_parsed(t))
+    return L.most_common_error(_parsed(t, "level", "raw_line"))
 
 
 @query("win_burst", _BURST)
 def _(t: Tables):
-    return L.bursts(_parsed(t))
+    return L.bursts(_parsed(t, "ts", "level"))
 
 
 @query("win_patterns", f"select block_id, circuit_breaker_open, memory_warning, timeout_pattern from ({_BLOCKS})")
 def _(t: Tables):
-    return L.blocks(_parsed(t)).select("block_id", "circuit_breaker_open", "memory_warning", "timeout_pattern")
+    return _blocks(t).select("block_id", "circuit_breaker_open", "memory_warning", "timeout_pattern")
 
 
 @query("log_preserve_score", f"select block_id, preserve_score from ({_SCORED})")
 def _(t: Tables):
-    return L.preserve_score(L.blocks(_parsed(t))).select("block_id", "preserve_score")
+    return L.preserve_score(_blocks(t)).select("block_id", "preserve_score")
 
 
 _ACTION = f"""select block_id, case when error_count > 0 and error_burst then 'preserve' when preserve_score >= 0.6 then 'sample' when preserve_score >= 0.3 or warn_count > 5 then 'compress' when preserve_score >= 0.1 then 'sample' else 'discard' end as block_action,
@@ -145,7 +149,7 @@ _ACTION = f"""select block_id, case when error_count > 0 and error_burst then 'p
 
 @query("log_action", _ACTION)
 def _(t: Tables):
-    return L.block_action(L.preserve_score(L.blocks(_parsed(t)))).select("block_id", "block_action", "sample_rate")
+    return L.block_action(L.preserve_score(_blocks(t))).select("block_id", "block_action", "sample_rate")
 
 
 def _policy_sql(lexical: bool) -> str:
@@ -171,18 +175,18 @@ def _policy_sql(lexical: bool) -> str:
 
 @query("log_policy_eval", _policy_sql(True))
 def _(t: Tables):
-    return L.policy(L.blocks(_parsed(t)), "lexical")
+    return L.policy(_blocks(t), "lexical")
 
 
 @query("log_policy_ranked", _policy_sql(False))
 def _(t: Tables):
-    return L.policy(L.blocks(_parsed(t)), "ranked")
+    return L.policy(_blocks(t), "ranked")
 
 
 @query("join_time_rules", f"select block_id, case when substr(start_time, 12, 2)::int < 6 then 'night' when substr(start_time, 12, 2)::int between 9 and 17 then 'business' end as rule from ({_BLOCKS})")
 def _(t: Tables):
     rules = t.spark.sql("select * from values (1, 0, 6, 'night'), (2, 9, 18, 'business'), (3, 22, 9, 'late') as r(ord, start_hour, end_hour, reason)")
-    b = L.blocks(_parsed(t)).select("block_id", F.substring("start_time", 12, 2).cast("int").alias("hour"))
+    b = _blocks(t).select("block_id", F.substring("start_time", 12, 2).cast("int").alias("hour"))
     # three rows of rules
     met = b.join(F.broadcast(rules), (F.col("hour") >= F.col("start_hour")) & (F.col("hour") < F.col("end_hour")), "left")
     return met.groupBy("block_id").agg(F.min_by("reason", "ord").alias("rule"))
@@ -197,30 +201,30 @@ for _strategy, _keep in (("head", "rn <= floor(n * 0.3::double)"), ("tail", "bac
 
     @query("log_sampling" if _strategy == "head" else f"log_sampling_{_strategy}", _sample_sql(_keep))
     def _(t: Tables, strategy=_strategy):
-        return L.sample_lines(_parsed(t), strategy, 0.3).select("block_id", "line_number", "level")
+        return L.sample_lines(_parsed(t, "level"), strategy, 0.3).select("block_id", "line_number", "level")
 
 
 @query("join_band_errors", f"select block_id, line_number from (select *, max(case when level = 'ERROR' then 1 else 0 end) over (partition by block_id order by line_number rows between 4 preceding and 5 following) as near from ({_PARSED})) where near = 1")
 def _(t: Tables):
-    return L.near_errors(_parsed(t), 10).select("block_id", "line_number")
+    return L.near_errors(_parsed(t, "level"), 10).select("block_id", "line_number")
 
 
 @query("log_reduce", f"select block_id, count(*) as n, sum(strlen(raw_line))::bigint as bytes_before, sum(case when level in ('ERROR', 'WARN') then strlen(raw_line) else 0 end)::bigint as bytes_after from ({_PARSED}) group by 1")
 def _(t: Tables):
     size = F.octet_length("raw_line").cast("long")
-    return _parsed(t).groupBy("block_id").agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("bytes_before"), F.sum(F.when(F.col("level").isin("ERROR", "WARN"), size).otherwise(0)).alias("bytes_after"))
+    return _parsed(t, "level", "raw_line").groupBy("block_id").agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("bytes_before"), F.sum(F.when(F.col("level").isin("ERROR", "WARN"), size).otherwise(0)).alias("bytes_after"))
 
 
 @query("red_classify_log", f"select block_id, case when error_count > 0 then 'preserve' when warn_count > 0 then 'downsample' when unique_orders > 0 then 'keep_business' else 'archive' end as decision from ({_BLOCKS})")
 def _(t: Tables):
     decision = S.first_of([(F.col("error_count") > 0, "preserve"), (F.col("warn_count") > 0, "downsample"), (F.col("unique_orders") > 0, "keep_business")], "archive")
-    return L.blocks(_parsed(t)).select("block_id", decision.alias("decision"))
+    return _blocks(t).select("block_id", decision.alias("decision"))
 
 
 @query("red_log_new_size", f"select block_id, (floor(total_lines * sample_rate)::bigint * bytes // total_lines)::bigint as new_size from (select b.block_id, total_lines, a.sample_rate, s.bytes from ({_BLOCKS}) b join ({_ACTION}) a on a.block_id = b.block_id join (select block_id, sum(strlen(raw_line))::bigint as bytes from log_lines group by 1) s on s.block_id = b.block_id)")
 def _(t: Tables):
     size = t.log_lines.groupBy("block_id").agg(F.sum(F.octet_length("raw_line").cast("long")).alias("bytes"))
-    b = L.block_action(L.preserve_score(L.blocks(_parsed(t)))).join(size, "block_id")
+    b = L.block_action(L.preserve_score(_blocks(t))).join(size, "block_id")
     return b.select("block_id", F.expr("floor(total_lines * sample_rate) * bytes div total_lines").alias("new_size"))
 
 
