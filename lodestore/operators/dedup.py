@@ -80,11 +80,23 @@ def bloom_count(words: DataFrame, capacity: int, error: float) -> DataFrame:
     return words.agg(F.sum(F.bit_count("bits")).alias("x")).select(F.floor(-m * F.log(1 - F.col("x") / m) / hashes).alias("estimate"))
 
 
+def _bloom_joined(keys: DataFrame, column: str, words: DataFrame, capacity: int, error: float) -> DataFrame:
+    at = keys.select(F.col(column).alias("bloom key")).where(F.col(column).isNotNull()).distinct().select("bloom key", F.explode(bloom_positions(F.col("bloom key"), capacity, error)).alias("p"))
+    asked = at.select("bloom key", F.floor(F.col("p") / 63).cast("long").alias("word"), F.expr("shiftleft(1L, cast(p % 63 as int))").alias("bit"))
+    hit = F.coalesce(F.col("bits").bitwiseAND(F.col("bit")) != 0, F.lit(False))
+    told = asked.join(words, "word", "left").groupBy("bloom key").agg(F.bool_and(hit).alias("maybe"))
+    return keys.join(told, F.col(column) == F.col("bloom key"), "left").select(*[F.col(f"`{c}`") for c in keys.columns], F.coalesce("maybe", F.lit(False)).alias("maybe"))
+
+
 def bloom_probe(keys: DataFrame, column: str, words: DataFrame, capacity: int, error: float, limit: int = 1 << 24) -> DataFrame:
-    """Add ``maybe``: whether the filter may hold the key.  The filter must have at most ``limit`` bits, as it is sent to all tasks."""
+    """Add ``maybe``: whether the filter may hold the key; false for a null one.
+
+    A filter of at most ``limit`` bits is sent to all tasks.  The words of a larger one are
+    joined to the positions of the distinct keys.
+    """
     bits, hashes = bloom_shape(capacity, error)
     if bits > limit:
-        raise ValueError("the filter is too large to send; join the fingerprints instead")
+        return _bloom_joined(keys, column, words, capacity, error)
     table = np.zeros(bits // 63 + 1, np.int64)
     for row in words.collect():  # no more rows than the filter has words
         table[row["word"]] = row["bits"]

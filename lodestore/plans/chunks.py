@@ -211,9 +211,11 @@ def _(t: Tables):
 @query("join_bloom_probe", "select kind, case when kind = 'held' then count(*) else 0 end as surely_found, true as few_others from (select 'held' as kind from files union all select 'other' from files) group by 1")
 def _(t: Tables):
     """All keys, and as many that the filter was not given: none of the first may be missed, and few of the second be found."""
-    words = D.bloom_words(t.files, "sha256", _CAPACITY, _ERROR)
+    # a filter that holds more than its capacity finds too many others
+    capacity = max(_CAPACITY, t.files.agg(F.count_distinct("sha256")).first()[0])
+    words = D.bloom_words(t.files, "sha256", capacity, _ERROR)
     keys = t.files.select(F.lit("held").alias("kind"), "sha256").unionByName(t.files.select(F.lit("other").alias("kind"), F.sha2(F.concat("sha256", F.col("file_id").cast("string")), 256).alias("sha256")))
-    found = D.bloom_probe(keys, "sha256", words, _CAPACITY, _ERROR)
+    found = D.bloom_probe(keys, "sha256", words, capacity, _ERROR)
     held = F.col("kind") == "held"
     n = F.count_if(F.col("maybe"))
     return found.groupBy("kind").agg(n.alias("n"), F.count(F.lit(1)).alias("all")).select("kind", F.when(held, F.col("n")).otherwise(F.lit(0)).alias("surely_found"), (held | (F.col("n") <= 10 + 5 * _ERROR * F.col("all"))).alias("few_others"))

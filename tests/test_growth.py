@@ -1,8 +1,11 @@
 """Steps whose work must grow no faster than their input."""
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
-from lodestore.operators import logs
+from lodestore.operators import dedup, logs
+from lodestore.plans import registry
 
 
 def _plan(df):
@@ -26,3 +29,20 @@ def test_a_line_is_parsed_before_its_level_is_asked(spark):
     errors = logs.parse_lines(_lines(spark, 10), fields=("ts", "level")).where("level = 'ERROR'")
     assert not [x for x in _plan(errors).splitlines() if "Filter" in x and "RLIKE" in x.upper()]
     assert errors.count() == 10
+
+
+def test_a_filter_grows_with_its_table(spark, tmp_path):
+    """With room for 5000 keys, one that holds 30,000 found nearly all others too."""
+    ids = list(range(30_000))
+    rows = {"doc_id": ids, "text": [f"text {i}" for i in ids], "lang": ["en"] * len(ids), "source": ["src1"] * len(ids)}
+    pq.write_table(pa.table(rows), tmp_path / "documents.parquet")
+    found = {r["kind"]: (r["surely_found"], r["few_others"]) for r in registry.queries()["join_bloom_probe"](spark, str(tmp_path)).collect()}
+    assert found == {"held": (30_000, True), "other": (0, True)}
+
+
+def test_a_filter_too_large_to_send_is_joined(spark):
+    items = spark.createDataFrame([(f"k{i}",) for i in range(500)], "k string")
+    words = dedup.bloom_words(items, "k", 1000, 0.01)
+    probe = items.unionByName(spark.createDataFrame([(f"o{i}",) for i in range(500)] + [(None,), ("k1",)], "k string"))
+    sent, joined = (sorted(map(tuple, dedup.bloom_probe(probe, "k", words, 1000, 0.01, **limit).collect()), key=str) for limit in ({}, {"limit": 1}))
+    assert joined == sent and len(joined) == 1002
