@@ -14,11 +14,25 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+def xz(level: int) -> Callable[[bytes], bytes]:
+    """xz at a level, with a dictionary no larger than the content needs; a level's own takes up to 700 MB to set up, for each content.
+
+    The smallest is a megabyte, so that hashes of short contents spread as with the level's own.
+    """
+    own = {6: 8 << 20, 9: 64 << 20}[level]
+
+    def pack(content: bytes) -> bytes:
+        size = min(own, max(1 << 20, 1 << max(0, len(content) - 1).bit_length()))
+        return lzma.compress(content, filters=[{"id": lzma.FILTER_LZMA2, "preset": level, "dict_size": size}])
+
+    return pack
+
+
 # Codecs and their levels.
 CODECS: dict[str, tuple[Callable[[bytes], bytes], Callable[[bytes], bytes]]] = {
     "gzip": (lambda b: gzip.compress(b, 6, mtime=0), gzip.decompress),
     "bzip2": (lambda b: bz2.compress(b, 9), bz2.decompress),
-    "xz": (lambda b: lzma.compress(b, preset=6), lzma.decompress),
+    "xz": (xz(6), lzma.decompress),
 }
 
 
@@ -84,7 +98,7 @@ def _tier_codecs() -> dict[str, tuple[Callable[[bytes], bytes], Callable[[bytes]
     return {
         "none": (bytes, bytes),
         "zstd": (zstandard.ZstdCompressor(level=6).compress, zstandard.ZstdDecompressor().decompress),
-        "xz9": (lambda b: lzma.compress(b, preset=9), lzma.decompress),
+        "xz9": (xz(9), lzma.decompress),
     }
 
 

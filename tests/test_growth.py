@@ -1,10 +1,12 @@
 """Steps whose work must grow no faster than their input."""
 
+import lzma
+
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
-from lodestore.operators import dedup, logs
+from lodestore.operators import archive, dedup, logs
 from lodestore.plans import registry
 
 
@@ -53,3 +55,15 @@ def test_an_object_scan_lists_names_with_a_dot(spark, small):
     found = [r["path"].split("/")[-1] for r in registry.queries()["src_scan_s3"](spark, small).collect()]
     assert len(found) == spark.read.parquet(f"{small}/documents.parquet").count()
     assert any(name.startswith(".") for name in found)
+
+
+def test_xz_sets_up_no_more_than_a_content_needs(spark, small):
+    """Level 9 takes a dictionary of 64 MB for a text of a few KB; sizes must be those of the plain codec."""
+    texts = [r["text"].encode() for r in spark.read.parquet(f"{small}/documents.parquet").where("text is not null").select("text").limit(100).collect()]
+    for level in (6, 9):
+        pack = archive.xz(level)
+        for raw in [b"", b"x", *texts[:20], b"".join(texts) * 10]:
+            packed = pack(raw)
+            assert lzma.decompress(packed) == raw and len(packed) == len(lzma.compress(raw, preset=level))
+            # the dictionary's size in the filter flags of the block header
+            assert not raw or packed[12 + 4] <= (16 if len(raw) <= 1 << 20 else 36)
