@@ -1,57 +1,43 @@
 """Deletion with history: what a count was at a time, and what became of requests to delete.
 
-A count's history is not sorted by key.  Changes are added up by day; a month holds its
-days as an array (31 at most), and a key its months (as many as the calendar has).  A
-question is joined by key to the months, which give the count before its month, and by
-key and month to the days, which give the rest, so a key with very many changes or
-questions costs a row no more than any other.
+Changes are added up by day, so a key has no more of them than the calendar has days.
+Its history is one row: the days in order, the count after each, and the days on which
+something was added.  A question meets it by key once, and all that is asked of it is
+found there; no history goes on with a question.  Of each STEP-th day there is a mark,
+so a question looks at the marks and at STEP days, however long a history is.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import first_of
 
+#: Days between two marks of a history; about the root of the days of seven years.
+STEP = 50
 
-def _month(day: Column) -> Column:
-    return F.year(day) * 12 + F.month(day) - 1
 
+def _marks(days: str) -> Column:
+    return F.filter(days, lambda _, i: i % STEP == 0)
 
-def _running(items: Column) -> Column:
-    """An array of (at, delta) in order, as (at, total)."""
-    start = F.struct(F.lit(0).cast("long").alias("sum"), F.array().cast("array<struct<at:int,total:bigint>>").alias("out"))
-    step = lambda s, x: F.struct((s["sum"] + x["delta"]).alias("sum"), F.array_append(s["out"], F.struct(x["at"].alias("at"), (s["sum"] + x["delta"]).alias("total"))).alias("out"))
-    return F.aggregate(items, start, step, lambda s: s["out"])
 
+def _until(days: str, marks: str, at: Column) -> Column:
+    """How many of a history's ``days`` lie not after ``at``; 0 without a history."""
+    block = F.coalesce(F.array_size(F.filter(marks, lambda x: x <= at)), F.lit(0))
+    begin = (block - 1) * STEP
+    return F.when(block == 0, F.lit(0)).otherwise(begin + F.array_size(F.filter(F.slice(days, begin + 1, STEP), lambda x: x <= at)))
 
-def count_as_of(questions: DataFrame, changes: DataFrame, at: str, name: str) -> DataFrame:
-    """Add ``name``: the sum of ``changes(key, day, delta)`` of a question's key up to and with the day in its column ``at``; 0 if there are none, null for a null day."""
-    days = changes.groupBy("key", "day").agg(F.sum("delta").cast("long").alias("delta"))
-    days = days.withColumn("month", _month(F.col("day")))
-    by_month = days.groupBy("key", "month").agg(F.array_sort(F.collect_list(F.struct(F.dayofmonth("day").alias("at"), "delta"))).alias("days"), F.sum("delta").alias("delta"))
-    by_key = by_month.groupBy("key").agg(F.array_sort(F.collect_list(F.struct(F.col("month").alias("at"), "delta"))).alias("months"))
-    inner = by_month.select(F.col("key").alias("a_key"), F.col("month").alias("a_month"), _running(F.col("days")).alias("a_days"))
-    outer = by_key.select(F.col("key").alias("b_key"), _running(F.col("months")).alias("b_months"))
-    month, day = _month(F.col(at)), F.dayofmonth(F.col(at))
-    rows = questions.join(outer, F.col("key") == F.col("b_key"), "left").join(inner, (F.col("key") == F.col("a_key")) & (month == F.col("a_month")), "left")
-    last = lambda items, kept: F.coalesce(F.array_max(F.filter(items, kept))["total"], F.lit(0))
-    found = last(F.col("b_months"), lambda x: x["at"] < month) + last(F.col("a_days"), lambda x: x["at"] <= day)
-    return rows.withColumn(name, F.when(F.col(at).isNotNull(), found)).drop("a_key", "a_month", "a_days", "b_key", "b_months")
 
-
-def first_after(questions: DataFrame, events: DataFrame, at: str, name: str) -> DataFrame:
-    """Add ``name``: the first day of ``events(key, day)`` of a question's key after the day in its column ``at``, or null."""
-    days = events.select("key", "day").distinct().withColumn("month", _month(F.col("day")))
-    by_month = days.groupBy("key", "month").agg(F.array_sort(F.collect_list("day")).alias("days"))
-    by_key = by_month.groupBy("key").agg(F.array_sort(F.collect_list(F.struct(F.col("month").alias("at"), F.array_min("days").alias("first")))).alias("months"))
-    inner = by_month.select(F.col("key").alias("a_key"), F.col("month").alias("a_month"), F.col("days").alias("a_days"))
-    outer = by_key.select(F.col("key").alias("b_key"), F.col("months").alias("b_months"))
-    month, day = _month(F.col(at)), F.col(at)
-    rows = questions.join(outer, F.col("key") == F.col("b_key"), "left").join(inner, (F.col("key") == F.col("a_key")) & (month == F.col("a_month")), "left")
-    later = F.array_min(F.filter("b_months", lambda x: x["at"] > month))["first"]
-    return rows.withColumn(name, F.coalesce(F.array_min(F.filter("a_days", lambda x: x > day)), later)).drop("a_key", "a_month", "a_days", "b_key", "b_months")
+def histories(changes: DataFrame) -> DataFrame:
+    """One row for each key of ``changes(key, day, delta)``: days, totals (after each day), added (days with something added), and the marks of both lists."""
+    by_day = changes.where("day is not null").groupBy("key", "day").agg(F.sum("delta").cast("long").alias("delta"), F.max(F.col("delta") > 0).alias("up"))
+    # dealt by key once, for the running count, the lists and the questions
+    total = F.sum("delta").over(Window.partitionBy("key").orderBy("day").rowsBetween(Window.unboundedPreceding, 0))
+    counted = by_day.repartition("key").select("key", "day", "up", total.alias("total"))
+    lists = counted.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("day", "total"))).alias("counts"), F.array_sort(F.collect_list(F.when(F.col("up"), F.col("day")))).alias("added"))
+    flat = lists.select("key", F.col("counts.day").alias("days"), F.col("counts.total").alias("totals"), "added")
+    return flat.select("*", _marks("days").alias("day_marks"), _marks("added").alias("added_marks"))
 
 
 def delete_states(requests: DataFrame, changes: DataFrame, grace: int = 30) -> DataFrame:
@@ -61,13 +47,18 @@ def delete_states(requests: DataFrame, changes: DataFrame, grace: int = 30) -> D
     ``refused``).  A request without a decision stays ``pending``; one that is decided is
     ``rejected`` if there are references by then, else ``authorized``.  A content that is
     referenced anew within ``grace`` days after that comes back from its backup (``restored``).
-    Adds refs_requested, refs_decided, restored and state.
+    Adds refs_requested, refs_decided, restored and state.  Changes without a day count nowhere.
     """
-    rows = count_as_of(requests, changes, "requested", "refs_requested")
-    rows = count_as_of(rows, changes, "decided", "refs_decided")
-    rows = first_after(rows, changes.where("delta > 0"), "decided", "next")
+    known = [F.col(c).alias(f"h_{c}") for c in ("key", "days", "totals", "added", "day_marks", "added_marks")]
+    met = requests.join(histories(changes).select(*known), F.col("key") == F.col("h_key"), "left")
+
+    def count(at: str) -> Column:
+        n = _until("h_days", "h_day_marks", F.col(at))
+        return F.when(F.col(at).isNotNull(), F.coalesce(F.get("h_totals", n - 1), F.lit(0).cast("long")))
+
+    later = F.when(F.col("decided").isNotNull(), F.get("h_added", _until("h_added", "h_added_marks", F.col("decided"))))
+    rows = met.select(*requests.columns, count("requested").alias("refs_requested"), count("decided").alias("refs_decided"), later.alias("next"))
     back = F.col("next") <= F.date_add("decided", grace)
     state = first_of([(F.col("refs_requested") > 0, "refused"), (F.col("decided").isNull(), "pending"), (F.col("refs_decided") > 0, "rejected"), (F.coalesce(back, F.lit(False)), "restored")], "authorized")
     rows = rows.withColumn("state", state)
     return rows.withColumn("restored", F.when(F.col("state") == "restored", F.col("next"))).drop("next")
-

@@ -1,12 +1,13 @@
 """Steps whose work must grow no faster than their input."""
 
 import lzma
+from datetime import date, timedelta
 
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
-from lodestore.operators import archive, dedup, logs
+from lodestore.operators import archive, dedup, lifecycle, logs
 from lodestore.plans import registry
 
 
@@ -67,3 +68,20 @@ def test_xz_sets_up_no_more_than_a_content_needs(spark, small):
             assert lzma.decompress(packed) == raw and len(packed) == len(lzma.compress(raw, preset=level))
             # the dictionary's size in the filter flags of the block header
             assert not raw or packed[12 + 4] <= (16 if len(raw) <= 1 << 20 else 36)
+
+
+def test_requests_meet_histories_once(spark, small):
+    """Each count and the next shipment had joins of their own, and rows went on with the lists they had met."""
+    found = registry.queries()["delete_workflow"](spark, small)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Join " in x for x in plan.splitlines()) == 1
+
+
+def test_long_histories_are_found_at_each_end_of_a_block(spark):
+    """More days than two marks apart, asked on, before and after every day."""
+    first, n = date(2024, 1, 1), lifecycle.STEP * 3
+    changes = [("k", first + timedelta(days=2 * i), 1 if i % 3 else -1) for i in range(n)] + [("k", None, 5)]
+    asked = [(i, "k", first + timedelta(days=i - 2), first + timedelta(days=i)) for i in range(2 * n + 6)] + [(-1, None, first, first), (-2, "other", first, first)]
+    rows = lifecycle.delete_states(spark.createDataFrame(asked, "request_id long, key string, requested date, decided date"), spark.createDataFrame(changes, "key string, day date, delta int"), grace=3)
+    count = lambda key, day: sum(x for k, d, x in changes if k == key and d is not None and d <= day)
+    assert {(r["request_id"], r["refs_requested"], r["refs_decided"]) for r in rows.collect()} == {(i, count(k, a), count(k, b)) for i, k, a, b in asked}
