@@ -81,6 +81,10 @@ def content_chunks(files: DataFrame, strategy: str, **params: int) -> DataFrame:
     return _cut(files, strategy, False, params)
 
 
+#: Bytes of texts whose chunks are handed on at once.
+LOT_BYTES = 4 << 20
+
+
 def content_parts(files: DataFrame, strategy: str, **params: int) -> DataFrame:
     """As :func:`content_chunks`, with each chunk's bytes as ``content``; texts may be binary."""
     return _cut(files, strategy, True, params)
@@ -93,7 +97,12 @@ def _cut(files: DataFrame, strategy: str, content: bool, params: dict[str, int])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, index, offset, size, fp, parts = [], [], [], [], [], []
+            ids, rows, index, offset, size, fp, parts, held = batch.column(0), [], [], [], [], [], [], 0
+
+            def made() -> pa.RecordBatch:
+                columns = [ids.take(pa.array(rows, pa.int64())), *(pa.array(x, pa.int64()) for x in (index, offset, size)), pa.array(fp, pa.string())]
+                return pa.RecordBatch.from_arrays(columns + [pa.array(parts, pa.binary())] * content, ["file_id", "chunk_index", "offset", "size", "fp"] + ["content"] * content)
+
             for i, text in enumerate(batch.column(1).cast(pa.binary())):
                 raw = text.as_py() or b""
                 cuts = cuts_of(np.frombuffer(raw, np.uint8), **params)
@@ -106,8 +115,12 @@ def _cut(files: DataFrame, strategy: str, content: bool, params: dict[str, int])
                     fp.append(hashlib.sha256(part).hexdigest())
                     if content:
                         parts.append(part)
-            made = [batch.column(0).take(pa.array(rows, pa.int64())), *(pa.array(x, pa.int64()) for x in (index, offset, size)), pa.array(fp, pa.string())]
-            yield pa.RecordBatch.from_arrays(made + [pa.array(parts, pa.binary())] * content, ["file_id", "chunk_index", "offset", "size", "fp"] + ["content"] * content)
+                held += len(raw)
+                if held >= LOT_BYTES:
+                    yield made()
+                    rows, index, offset, size, fp, parts, held = [], [], [], [], [], [], 0
+            if rows:
+                yield made()
 
     kind = files.schema["file_id"].dataType.simpleString()
     schema = f"file_id {kind}, chunk_index long, offset long, size long, fp string" + ", content binary" * content
@@ -118,6 +131,7 @@ def _cut(files: DataFrame, strategy: str, content: bool, params: dict[str, int])
 POLY_BASE, POLY_PRIME = 2, 4611686018427387847
 #: Bytes that are folded at once; their sum stays under the 53 bits of a double.
 _STEP = 40
+_PART = _STEP << 14
 
 
 def polynomial(data: bytes) -> int:
@@ -125,8 +139,10 @@ def polynomial(data: bytes) -> int:
     whole = len(data) // _STEP * _STEP
     weights = float(POLY_BASE) ** np.arange(_STEP - 1, -1, -1)
     out = 0
-    for digit in (np.frombuffer(data[:whole], np.uint8).reshape(-1, _STEP) @ weights).tolist():
-        out = (out * POLY_BASE**_STEP + int(digit)) % POLY_PRIME
+    # as doubles bytes take eight times their room, so a long text is folded part by part
+    for at in range(0, whole, _PART):
+        for digit in (np.frombuffer(data, np.uint8, min(_PART, whole - at), at).reshape(-1, _STEP) @ weights).tolist():
+            out = (out * POLY_BASE**_STEP + int(digit)) % POLY_PRIME
     for byte in data[whole:]:
         out = (out * POLY_BASE + byte) % POLY_PRIME
     return out
@@ -137,8 +153,9 @@ def polynomial_fingerprints(files: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if x is None else polynomial(x) for x in texts], pa.int64())], ["file_id", "fp"])
+            # a text is taken out when its turn comes, so a batch has no second copy
+            found = [None if not x.is_valid else polynomial(x.as_py()) for x in batch.column(1).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], ["file_id", "fp"])
 
     kind = files.schema["file_id"].dataType.simpleString()
     return files.select("file_id", "text").mapInArrow(run, f"file_id {kind}, fp long")

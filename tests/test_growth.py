@@ -1,14 +1,19 @@
 """Steps whose work must grow no faster than their input."""
 
 import lzma
+import random
+import tracemalloc
 from datetime import date, timedelta
 
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSourceArrowWriter
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from lodestore.operators import archive, dedup, lifecycle, logs
+from lodestore.operators import archive, bundles, chunking, dedup, lifecycle, logs
 from lodestore.plans import registry
+from lodestore.sources import mounted
 
 
 def _plan(df):
@@ -85,3 +90,76 @@ def test_long_histories_are_found_at_each_end_of_a_block(spark):
     rows = lifecycle.delete_states(spark.createDataFrame(asked, "request_id long, key string, requested date, decided date"), spark.createDataFrame(changes, "key string, day date, delta int"), grace=3)
     count = lambda key, day: sum(x for k, d, x in changes if k == key and d is not None and d <= day)
     assert {(r["request_id"], r["refs_requested"], r["refs_decided"]) for r in rows.collect()} == {(i, count(k, a), count(k, b)) for i, k, a, b in asked}
+
+
+def _peak(run, batches):
+    """Most bytes of Python's own that ``run`` holds while its batches are read."""
+    tracemalloc.start()
+    for _ in run(iter(batches)):
+        pass
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return most
+
+
+class _Given:
+    """Stands for files, to get at the function that their batches go through."""
+
+    schema = {"file_id": type("Field", (), {"dataType": LongType()})}
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, run, schema):
+        return run
+
+
+def _texts(n, each):
+    return pa.record_batch([pa.array(range(n), pa.int64()), pa.array([bytes([i % 251]) * each for i in range(n)], pa.binary())], ["file_id", "text"])
+
+
+def test_segments_are_opened_one_at_a_time():
+    """A batch of them was copied whole, with a row for each of its entries."""
+    entries = [{"sha256": "0" * 64, "begin": 0, "at": i * 512, "length": 512} for i in range(128)]
+    kind = pa.list_(pa.struct([("sha256", pa.string()), ("begin", pa.int64()), ("at", pa.int32()), ("length", pa.int32())]))
+    packed = [archive.CODECS["gzip"][0](random.Random(i).randbytes(65536)) for i in range(100)]
+    columns = [pa.array(["gzip"] * 100), pa.array([65536] * 100, pa.int64()), pa.array([entries] * 100, kind), pa.array(packed, pa.binary())]
+    batch = pa.record_batch(columns, ["codec", "raw_bytes", "entries", "data"])
+    assert _peak(bundles._unpack, [batch]) < 1 << 20
+    assert sum(b.num_rows for b in bundles._unpack(iter([batch]))) == 12800
+
+
+def test_chunks_are_handed_on_in_lots():
+    """All chunks of a batch were held beside its texts."""
+    batch = _texts(400, 100_000)
+    run = chunking.content_parts(_Given(), "fast", shortest=256, longest=2048, bits=9)
+    assert _peak(run, [batch]) < 16 << 20
+    assert b"".join(x.as_py() for b in run(iter([batch])) for x in b.column("content")) == b"".join(x.as_py() for x in batch.column("text"))
+
+
+def test_fingerprints_hold_one_text_at_a_time():
+    """A batch was copied whole, and a long text taken as doubles at once."""
+    run = chunking.polynomial_fingerprints(_Given())
+    assert _peak(run, [_texts(400, 100_000)]) < 8 << 20
+    assert _peak(run, [_texts(1, 20_000_000)]) < 48 << 20
+
+
+def test_writers_hold_one_content_at_a_time(tmp_path):
+    """A batch was turned into rows first."""
+    writer = mounted.MountedFiles({"path": str(tmp_path)}).writer(StructType([StructField("path", StringType()), StructField("content", BinaryType())]), False)
+    assert isinstance(writer, DataSourceArrowWriter)
+    names = pa.array([f"a/f{i}" for i in range(100)])
+    batch = pa.record_batch([names, pa.array([None] + [bytes([i]) * 100_000 for i in range(1, 100)], pa.binary())], ["path", "content"])
+    assert _peak(lambda b: [writer.write(b)], [batch]) < 2 << 20
+    assert [(tmp_path / "a" / f"f{i}").read_bytes() for i in range(100)] == [x.as_py() or b"" for x in batch.column("content")]
+
+
+def test_a_bundle_cuts_its_contents_twice(spark, small, tmp_path, monkeypatch):
+    """Once for the manifest and once for the container; its name and counts come from the manifest."""
+    read = []
+    made = bundles.identifier
+    monkeypatch.setattr(bundles, "identifier", lambda files, pieces, kind: read.append(_plan(pieces)) or made(files, pieces, kind))
+    files = spark.read.parquet(f"{small}/documents.parquet").where("text is not null").select(F.col("doc_id").cast("string").alias("path"), F.col("text").cast("binary").alias("content"))
+    files = files.select("path", F.octet_length("content").cast("long").alias("size"), F.sha2("content", 256).alias("sha256"), "content")
+    receipt = bundles.create(files, str(tmp_path / "b"), "fast", shortest=256, longest=2048, bits=9)
+    assert "MapInArrow" not in read[0] and receipt["verified"]
