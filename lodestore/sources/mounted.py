@@ -19,7 +19,7 @@ from hashlib import sha256
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, StringStartsWith, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceWriter, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, StringStartsWith, WriterCommitMessage
 
 from .files import SKIPPED
 
@@ -78,12 +78,12 @@ class MountedFiles(DataSource):
     def reader(self, schema) -> FolderReader:
         return FolderReader(self.options)
 
-    def writer(self, schema, overwrite: bool) -> FolderWriter:
+    def writer(self, schema, overwrite: bool) -> BatchWriter:
         if overwrite:
             raise ValueError("files are added, never replaced; write with mode append")
         if [f.name for f in schema.fields] != ["path", "content"]:
             raise ValueError("rows must be (path, content)")
-        return FolderWriter(local_path(self.options["path"]))
+        return BatchWriter(local_path(self.options["path"]))
 
 
 class FolderReader(DataSourceReader):
@@ -225,6 +225,14 @@ class FolderWriter(DataSourceWriter):
         shutil.rmtree(self.work, ignore_errors=True)
 
 
+class BatchWriter(FolderWriter, DataSourceArrowWriter):
+    """Takes a content out of its batch when it is written, so that a batch has no second copy."""
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Moved:
+        pairs = (pair for batch in iterator for pair in zip(batch.column("path"), batch.column("content"), strict=True))
+        return super().write({"path": path.as_py(), "content": content.as_buffer() if content.is_valid else None} for path, content in pairs)
+
+
 def register(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(MountedFiles)
