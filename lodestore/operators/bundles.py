@@ -51,9 +51,10 @@ def chunked_contents(files: DataFrame, strategy: str = "rabin", **params: int) -
 
 
 def _first(problems: DataFrame, what: str) -> None:
-    found = problems.limit(1).collect()
-    if found:
-        raise Refused(f"{what}: {found[0][0]}")
+    # all parts are looked at in one go; a limit asks a few, then a few more
+    found = problems.agg(F.count(F.lit(1)).alias("n"), F.min(problems.columns[0]).alias("first")).first()
+    if found["n"]:
+        raise Refused(f"{what}: {found['first']}")
 
 
 def check_files(files: DataFrame) -> None:
@@ -100,7 +101,8 @@ def _packed(codecs: tuple[str, ...], segment_bytes: int):
                 number, raw, entries = number + 1, bytearray(), []
 
         for batch in batches:
-            for p, fp, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            for p, fp, content in zip(*(batch.column(i) for i in range(3)), strict=True):
+                p, fp = p.as_py(), fp.as_py()
                 if p != part:
                     yield from cut()
                     part, number = p, 0
@@ -130,11 +132,6 @@ def create(files: DataFrame, root: str, chunks: str | None = None, codecs: tuple
     store = Store(spark, root)
     check_files(files)
     pieces = chunked_contents(files, chunks, **params) if chunks else whole_contents(files)
-    name = identifier(files, pieces, chunks or "whole")
-    target = f"{root.rstrip('/')}/{name}"
-    if store.exists(f"{target}/receipt.json"):
-        _first(inspect(spark, target).select(F.concat_ws(" ", "problem", "subject")), "bundle is damaged")
-        return json.loads(store.read(f"{target}/receipt.json")) | {"reused": True}
     total = files.agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")).first()
     if not total["n"]:
         raise Refused("no files")
@@ -142,11 +139,19 @@ def create(files: DataFrame, root: str, chunks: str | None = None, codecs: tuple
     try:
         files.select("path", "size", "sha256").write.parquet(f"{work}/manifest/files")
         pieces.select("path", "k", "fp").write.parquet(f"{work}/manifest/pieces")
+        # contents are cut for the manifest and for the container; all else reads the manifest
+        listed = spark.read.schema("path string, k long, fp string").parquet(f"{work}/manifest/pieces")
+        name = identifier(files.select("path", "size", "sha256"), listed, chunks or "whole")
+        target = f"{root.rstrip('/')}/{name}"
+        if store.exists(f"{target}/receipt.json"):
+            _first(inspect(spark, target).select(F.concat_ws(" ", "problem", "subject")), "bundle is damaged")
+            return json.loads(store.read(f"{target}/receipt.json")) | {"reused": True}
         parts = max(1, math.ceil((total["bytes"] or 0) / part_bytes))
         # digests are spread evenly, so their leading digits deal them into ranges of about one size
         part = F.floor(F.conv(F.substring("fp", 1, 8), 16, 10).cast("long") * parts / 4294967296).cast("int")
         once = pieces.groupBy("fp").agg(F.min("content").alias("content")).select(part.alias("part"), "fp", "content")
-        sorted_ = once.repartition(parts, "part").sortWithinPartitions("part", "fp")
+        # a task a part; dealt by a hash, several parts would meet in one
+        sorted_ = once.repartitionById(parts, "part").sortWithinPartitions("part", "fp")
         sorted_.mapInArrow(_packed(codecs, segment_bytes), _SEGMENT).write.partitionBy("codec").option("compression", "uncompressed").parquet(f"{work}/data")
         segments = spark.read.schema(_SEGMENT).parquet(f"{work}/data")
         trials = {r["codec"]: r["bytes"] for r in segments.groupBy("codec").agg(F.sum("packed_bytes").alias("bytes")).collect()}  # a row a codec
@@ -156,7 +161,7 @@ def create(files: DataFrame, root: str, chunks: str | None = None, codecs: tuple
                 store.delete(f"{work}/data/codec={other}")
         _first(inspect(spark, work).select(F.concat_ws(" ", "problem", "subject")), "bundle is damaged")
         check_sources(files)
-        counts = pieces.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("fp").alias("contents")).first()
+        counts = listed.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("fp").alias("contents")).first()
         unique = segments.where(F.col("codec") == codec).agg(F.sum("raw_bytes")).first()[0] or 0
         receipt = {
             "id": name, "kind": chunks or "whole", "codec": codec, "trials": trials, "file_count": total["n"], "pieces": counts["n"], "unique_contents": counts["contents"],
@@ -188,16 +193,17 @@ def contents_of(spark: SparkSession, bundle: str) -> DataFrame:
 
 
 def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pieces of contents in segments (codec, raw_bytes, entries, data), and none of a segment that can't be read."""
+    """The pieces of contents in segments (codec, raw_bytes, entries, data), and none of a segment that can't be read; one segment is held at a time."""
     for batch in batches:
-        for codec, raw_bytes, entries, data in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+        for codec, raw_bytes, entries, data in zip(*(batch.column(i) for i in range(4)), strict=True):
             try:
-                raw = A.CODECS[codec][1](data)
+                raw = A.CODECS[codec.as_py()][1](data.as_py())
             except Exception:  # noqa: BLE001  codecs raise errors of many kinds; what is missing is reported
                 continue
-            if len(raw) == raw_bytes:
-                cut = [(e["sha256"], e["begin"], raw[e["at"] : e["at"] + e["length"]]) for e in entries]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*cut, strict=True), (pa.string(), pa.int64(), pa.binary()), strict=True)], ["sha256", "begin", "bytes"])
+            if len(raw) == raw_bytes.as_py():
+                held = entries.values
+                cut = [raw[at : at + n] for at, n in zip(held.field("at").to_pylist(), held.field("length").to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([held.field("sha256"), held.field("begin"), pa.array(cut, pa.binary())], ["sha256", "begin", "bytes"])
 
 
 def blobs(spark: SparkSession, bundle: str, wanted: DataFrame | None = None) -> DataFrame:
