@@ -101,8 +101,8 @@ def _(t: Tables):
     root = shared_folder(t.spark, "bundles")
     first, again = (B.create(_listed(t), root) for _ in range(2))
     smallest = first["trials"][first["codec"]] == min(first["trials"].values())
-    row = (first["file_count"], first["unique_contents"], first["original_bytes"], first["dedup_bytes"], smallest, again["reused"] and again["id"] == first["id"])
-    return t.spark.createDataFrame([row], "n_files long, unique_contents long, original_bytes long, dedup_bytes long, smallest boolean, reused boolean")
+    counts = [F.lit(first[old]).cast("long").alias(new) for old, new in (("file_count", "n_files"), ("unique_contents", "unique_contents"), ("original_bytes", "original_bytes"), ("dedup_bytes", "dedup_bytes"))]
+    return t.spark.range(1).select(*counts, F.lit(smallest).alias("smallest"), F.lit(again["reused"] and again["id"] == first["id"]).alias("reused"))
 
 
 @query("join_restore_selected", "select substr(path, 2) as path, sha256(text) as sha256 from files where name like '%.log'")
