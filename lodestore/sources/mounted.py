@@ -119,7 +119,7 @@ class FolderReader(DataSourceReader):
         """Two levels are listed here; what is below them is listed by tasks."""
         found = [] if self.storages is not None or not os.path.isdir(self.root) else [Folder("", False)]
         for top in self._folders(""):
-            if self.storages is None or top in self.storages:
+            if (self.storages is None or top in self.storages) and self._may_hold(top):
                 found.append(Folder(top, False))
                 found += [Folder(sub, True) for sub in self._folders(top) if self._may_hold(sub)]
         return [f for f in found if self._may_hold(f.path)]

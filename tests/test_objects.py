@@ -30,6 +30,24 @@ def test_adapters_count_empty_objects(spark, blanks):
     same_rows(registry.queries()["ext_adapters"](spark, folder), con, registry.oracle_sql()["ext_adapters"])
 
 
+def test_a_prefix_lists_empty_objects(spark, blanks):
+    folder, con = blanks
+    same_rows(registry.queries()["src_cloud"](spark, folder), con, registry.oracle_sql()["src_cloud"])
+
+
+def test_other_prefixes_are_not_listed(tmp_path, monkeypatch):
+    """Not even to find the folders below them."""
+    from lodestore.sources import mounted as M
+
+    for p in ("src1/en", "src10/en", "src2/en"):
+        (tmp_path / p).mkdir(parents=True)
+    reader = M.FolderReader({"path": str(tmp_path)})
+    assert list(reader.pushFilters([M.StringStartsWith(("path",), "src1")]))
+    seen, folders = [], reader._folders
+    monkeypatch.setattr(reader, "_folders", lambda path: seen.append(path) or folders(path))
+    assert [p.path for p in reader.partitions()] == ["src1", "src1/en", "src10", "src10/en"] and seen == ["", "src1", "src10"]
+
+
 def test_a_scan_gives_empty_files(spark, tmp_path):
     made = {"a/full.txt": b"x", "a/none.txt": b"", "none.log": b"", "_k=1/p.txt": b"", ".dot/f.txt": b"x", "a/_under.txt": b"x", "a/.dot.txt": b"", "ab/f.txt": b"12"}
     for path, content in made.items():
