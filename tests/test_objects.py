@@ -30,6 +30,11 @@ def test_adapters_count_empty_objects(spark, blanks):
     same_rows(registry.queries()["ext_adapters"](spark, folder), con, registry.oracle_sql()["ext_adapters"])
 
 
+def test_connectors_count_empty_objects(spark, blanks):
+    folder, con = blanks
+    same_rows(registry.queries()["src_connectors"](spark, folder), con, registry.oracle_sql()["src_connectors"])
+
+
 def test_a_prefix_lists_empty_objects(spark, blanks):
     folder, con = blanks
     same_rows(registry.queries()["src_cloud"](spark, folder), con, registry.oracle_sql()["src_cloud"])
