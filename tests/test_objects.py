@@ -50,7 +50,7 @@ def test_other_prefixes_are_not_listed(tmp_path, monkeypatch):
     assert list(reader.pushFilters([M.StringStartsWith(("path",), "src1")]))
     seen, folders = [], reader._folders
     monkeypatch.setattr(reader, "_folders", lambda path: seen.append(path) or folders(path))
-    assert [p.path for p in reader.partitions()] == ["src1", "src1/en", "src10", "src10/en"] and seen == ["", "src1", "src10"]
+    assert [p.path for p in reader.partitions()] == ["", "src1", "src1/en", "src10", "src10/en"] and seen == ["", "src1", "src10"]
 
 
 def test_a_scan_gives_empty_files(spark, tmp_path):
